@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, html_extract, quality_model, toxicity
+from storyloom.llm import bpe, host_rules, html_extract, mixing, quality_model, toxicity
 from storyloom.llm.common import documents
 
 
@@ -26,11 +26,19 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(documents(spark, sf_dir)).drop("host_rate")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op8_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op5_host_rules, op6_mixing, op8_bpe)}
+ORACLES = {"op5_host_rules": host_rules.ORACLE, "op6_mixing": mixing.ORACLE}
