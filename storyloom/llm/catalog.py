@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, host_rules, html_extract, mixing, quality_model, toxicity
+from storyloom.llm import bpe, host_rules, html_extract, mixing, pii, quality_model, toxicity
 from storyloom.llm.common import documents
 
+#: The key of the surrogates here; a user passes their own.
+SECRET = "storyloom"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,5 +43,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op5_host_rules, op6_mixing, op8_bpe)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir), SECRET).select("doc_id", "n_entities", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op5_host_rules, op6_mixing, op8_bpe, op10_pii)}
 ORACLES = {"op5_host_rules": host_rules.ORACLE, "op6_mixing": mixing.ORACLE}
