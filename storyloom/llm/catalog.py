@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, host_rules, html_extract, mixing, pii, quality_model, toxicity
+from storyloom.llm import bpe, fingerprint, host_rules, html_extract, mixing, pii, quality_model, toxicity
 from storyloom.llm.common import documents
 
 #: The key of the surrogates here; a user passes their own.
@@ -29,6 +29,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.versions(documents(spark, sf_dir))
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(documents(spark, sf_dir)).drop("host_rate")
 
@@ -47,5 +51,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir), SECRET).select("doc_id", "n_entities", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op5_host_rules, op6_mixing, op8_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op4_fingerprints, op5_host_rules, op6_mixing, op8_bpe, op10_pii)}
 ORACLES = {"op5_host_rules": host_rules.ORACLE, "op6_mixing": mixing.ORACLE}
