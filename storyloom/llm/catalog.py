@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, fingerprint, host_rules, html_extract, mixing, pii, quality_model, toxicity
+from storyloom.llm import bpe, fingerprint, host_rules, html_extract, mixing, pii, quality_model, substring_dedup, toxicity
 from storyloom.llm.common import documents
 
 #: The key of the surrogates here; a user passes their own.
@@ -41,6 +41,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduplicated(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,5 +56,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir), SECRET).select("doc_id", "n_entities", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op4_fingerprints, op5_host_rules, op6_mixing, op8_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op4_fingerprints, op5_host_rules, op6_mixing, op7_substring_dedup, op8_bpe, op10_pii)}
 ORACLES = {"op5_host_rules": host_rules.ORACLE, "op6_mixing": mixing.ORACLE}

@@ -47,8 +47,8 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(-1))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts have about SLICE_CHARS bytes together; a longer text comes alone."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts have at most `most` bytes together; a longer text comes alone."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -56,7 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         at = 0
         while at < b.num_rows:
             base = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, base + SLICE_CHARS, "right")))
+            to = max(at + 1, int(np.searchsorted(size, base + most, "right")))
             yield b.slice(at, to - at)
             at = to
 

@@ -26,33 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import slices
+from storyloom.llm.numeric import R_INVERSE, R, U, mixed, powers
 
 #: Bits of the boundary hash: 2**COARSE characters to a paragraph in the mean; texts under SHORT characters have the FINE sketch too.
 COARSE, FINE, SHORT = 6, 4, 1024
 PARTS = 3
 #: Characters that are worked on at once.
 AT_ONCE = 600_000
-U = np.uint64
-R = U(0x9E3779B97F4A7C15)
-R_INVERSE = U(pow(int(R), -1, 1 << 64))
 SEEDS = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
 
 
-def mixed(x: np.ndarray, seed: int | np.uint64 = 0) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = x + U(seed)
-    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
-    return x ^ (x >> U(32))
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def paragraphs(texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """(text number, digest) of the coarse and of the fine paragraphs of all texts."""
     size = np.array([len(t) for t in texts], np.int64)
