@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, fingerprint, host_rules, html_extract, mixing, pii, quality_model, substring_dedup, toxicity
+from storyloom.llm import bpe, fingerprint, host_rules, html_extract, mixing, near_dedup, pii, quality_model, substring_dedup, toxicity
 from storyloom.llm.common import documents
 
 #: The key of the surrogates here; a user passes their own.
@@ -52,9 +52,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir), SECRET).select("doc_id", "n_entities", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op4_fingerprints, op5_host_rules, op6_mixing, op7_substring_dedup, op8_bpe, op10_pii)}
-ORACLES = {"op5_host_rules": host_rules.ORACLE, "op6_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op4_fingerprints, op5_host_rules, op6_mixing, op7_substring_dedup, op8_bpe, op9_near_dedup, op10_pii)}
+ORACLES = {"op5_host_rules": host_rules.ORACLE, "op6_mixing": mixing.ORACLE, "op9_near_dedup": near_dedup.ORACLE}
