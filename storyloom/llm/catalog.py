@@ -53,7 +53,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(documents(spark, sf_dir))
+    return near_dedup.classes(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

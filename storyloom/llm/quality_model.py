@@ -140,26 +140,25 @@ def boost(x: np.ndarray, y: np.ndarray, bins: int = 64, pair_bins: int = 8, roun
     return Model(base, edges, tables, coarse, pairs)
 
 
-def measured(df: DataFrame, keep: tuple[str, ...], score: Model | None) -> DataFrame:
-    """keep, and the features as an array or, given a model, the score. Features of a slice of rows are binned at once."""
-    src = df.select(*[F.col(c) for c in keep], "text")
+def measured(df: DataFrame, keep: tuple[str, ...], score: Model | None, to: str) -> DataFrame:
+    """keep, and as column `to` the features or, given a model, the score. Features of a slice of rows are binned at once."""
+    src = df.select(*[F.col(c) for c in keep], F.col("text").alias("__text"))
     shared = df.sparkSession.sparkContext.broadcast(score)
-    what = "score" if score else "features"
-    schema = src.drop("text").withColumn(what, F.lit(0.0) if score else F.array(F.lit(0.0))).schema
+    schema = src.drop("__text").withColumn(to, F.lit(0.0) if score else F.array(F.lit(0.0))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, model = kinds(), shared.value
-        for b in slices(batches):
-            x = np.array([features(t, kind) for t in b.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
+        for b in slices(batches, "__text"):
+            x = np.array([features(t, kind) for t in b.column("__text").to_pylist()], float).reshape(-1, len(FEATURES))
             out = pa.array(model.score(x), pa.float64()) if model else pa.array(list(x), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], out], names=[*keep, what])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], out], names=[*keep, to])
 
     return src.mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000) -> Model:
     """max_labelled bounds the rows that are learned from; only their features come to the driver."""
-    rows = measured(sample(docs, labels, "quality", 5, 0, max_labelled), ("y",), None).toPandas()
+    rows = measured(sample(docs, labels, "quality", 5, 0, max_labelled), ("y",), None, "features").toPandas()
     y = rows["y"].to_numpy(float)
     if len(y) == 0 or y.min() == y.max():
         p = min(max(y.mean() if len(y) else 1.0, 1e-6), 1 - 1e-6)
@@ -169,7 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000) -> Mod
     return boost(x[order], y[order])
 
 
-def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: Model | None = None) -> DataFrame:
-    """keep, held_out, score, predicted."""
-    out = measured(docs, keep, model or train(docs, labels))
-    return out.select(*keep, (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+def scored(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    out = measured(docs, ("doc_id",), model or train(docs, labels), "score")
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
+    """The documents that score `least` or more, in all their columns."""
+    return measured(docs, tuple(docs.columns), train(docs, labels), "__score").where(F.col("__score") >= least).select(docs.columns)
