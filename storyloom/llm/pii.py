@@ -125,48 +125,57 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10
 
 
-def new_name(key: str, mention: Column, tries: Column) -> Column:
-    title = F.regexp_extract(mention, rf"^(?:{'|'.join(TITLES.values())})(?=[. ])\.?", 0)
-    bare = F.regexp_replace(title, r"\.", "")
-    parts = F.split(F.substring(mention, F.length(title) + 2, F.lit(200)), " ")
-    out = F.lit(None)
-    for (gender, script), titles in reversed(TITLES.items()):
-        syllables = F.array(*[F.lit(x) for x in SYLLABLES[script].split()])
-        given = F.array(*[F.lit(x) for x in FIRST[gender, script].split()])
-
-        def token(part: Column, i: Column) -> Column:
-            keyed = stream(key, F.lit("name"), part, F.when((i == 0) | (F.size(parts) == 1), tries).otherwise(0))
-            surname = F.initcap(F.array_join(F.transform(F.slice(keyed, 1, 4), lambda v: F.get(syllables, v % 32)), ""))  # noqa: B023
-            first = F.get(given, F.get(keyed, F.lit(0)) % 16)  # noqa: B023
-            return F.when(i == F.size(parts) - 1, surname).when(tries == 0, first).otherwise(F.concat(first, F.lower(surname)))
-
-        out = F.when(bare.rlike(f"^(?:{titles})$"), F.concat(title, F.lit(" "), F.array_join(F.transform(parts, token), " "))).otherwise(out)
-    return out
-
-
-def surrogate(key: str, kind: Column, mention: Column, canon: Column, tries: Column) -> Column:
-    """The replacement of a mention of the entity (kind, canon), keyed for the (tries + 1)-th time."""
-    keyed = stream(key, kind, canon, tries)
-    digits = F.regexp_replace(mention, "[^0-9]", "")
+def by_title(title: Column, choices: dict[tuple[str, str], str]) -> Column:
+    """The list for the gender and script of a title, as an array."""
+    lists = [(titles, F.array(*[F.lit(x) for x in choices[of].split()])) for of, titles in TITLES.items()]
+    return reduce(lambda out, kv: F.when(title.rlike(f"^(?:{kv[0]})$"), kv[1]).otherwise(out), lists[1:], lists[0][1])
+
+
+def with_names(df: DataFrame, key: str) -> DataFrame:
+    """Adds __name: new names after the title of mentions of kind name, word by word; the last word is a surname."""
+    title = F.regexp_extract("mention", rf"^(?:{'|'.join(TITLES.values())})(?=[. ])\.?", 0)
+    df = df.withColumn("__title", F.when(F.col("kind") == "name", title))
+    df = df.withColumn("__parts", F.split(F.substring("mention", F.length("__title") + 2, F.lit(200)), " "))
+    bare = F.regexp_replace("__title", r"\.", "")
+    df = df.withColumn("__given", by_title(bare, FIRST)).withColumn("__syllables", by_title(bare, {of: SYLLABLES[of[1]] for of in TITLES}))
+    tries = lambda i: F.when((i == 0) | (F.size("__parts") == 1), F.col("tries")).otherwise(0)
+    df = df.withColumn("__keyed", F.transform("__parts", lambda part, i: stream(key, F.lit("name"), part, tries(i))))
+    surname = lambda k: F.initcap(F.array_join(F.transform(F.slice(k, 1, 4), lambda v: F.get("__syllables", v % 32)), ""))
+    df = df.withColumn("__last", F.transform("__keyed", surname))
+    first = F.transform("__keyed", lambda k, i: F.concat(F.get("__given", F.get(k, F.lit(0)) % 16), F.when(tries(i) == 0, "").otherwise(F.lower(F.get("__last", i)))))
+    words = F.zip_with(first, F.sequence(F.lit(1), F.size("__parts")), lambda f, i: F.when(i == F.size("__parts"), F.get("__last", i - 1)).otherwise(f))
+    return df.withColumn("__name", F.concat("__title", F.lit(" "), F.array_join(words, " ")))
+
+
+def with_surrogates(df: DataFrame, key: str) -> DataFrame:
+    """Adds `new`, the replacement of each mention of (kind, canon), keyed for the (tries + 1)-th time.
+
+    Intermediate values are columns, so that each is worked out once.
+    """
+    columns, kind, mention, canon, tries = df.columns, *map(F.col, ("kind", "mention", "canon", "tries"))
+    df = df.withColumn("__key", stream(key, kind, canon, tries)).withColumn("__digits", F.regexp_replace(mention, "[^0-9]", ""))
     kept = F.when(kind == "card", 1).when(kind == "phone", F.length(F.regexp_extract(mention, r"^\+([0-9]{1,3}?)(?=[^0-9]|[0-9]{8,12}$)", 1))).otherwise(0)
-    number = F.concat(F.substring(digits, F.lit(1), kept), F.substring(masked(digits, keyed), kept + 1, F.lit(64)))
-    last = F.substring(number, -1, 1).cast("int")
-    checked = F.concat(F.substring(number, F.lit(1), F.length(number) - 1), ((last + 10 - luhn(number)) % 10).cast("string"))
-    number = formatted(mention, "[0-9]", F.when((kind == "card") & (luhn(digits) == 0), checked).otherwise(number))
-    user, domain = F.substring_index(mention, "@", 1), F.lower(F.substring_index(mention, "@", -1))
+    df = df.withColumn("__kept", kept).withColumn("__number", masked(F.col("__digits"), F.col("__key")))
+    df = df.withColumn("__number", F.concat(F.substring("__digits", F.lit(1), F.col("__kept")), F.substring("__number", F.col("__kept") + 1, F.lit(64))))
+    last = F.substring("__number", -1, 1).cast("int")
+    checked = F.concat(F.substring("__number", F.lit(1), F.length("__number") - 1), ((last + 10 - luhn(F.col("__number"))) % 10).cast("string"))
+    df = df.withColumn("__number", F.when((kind == "card") & (luhn(F.col("__digits")) == 0), checked).otherwise(F.col("__number")))
+    domain = F.lower(F.substring_index(mention, "@", -1))
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     host = masked(F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), stream(key, F.lit("domain"), domain))
-    email = F.concat(masked(user, stream(key, F.lit("user"), canon, tries)), F.lit("@"), host, top)
-    ip = F.array_join(F.transform(F.slice(keyed, 1, 4), lambda v: (v % 254 + 1).cast("string")), ".")
-    head = F.regexp_extract(mention, rf"^(?:AKIA|gh[pousr]_|sk-|xox[abps]-|{LABEL}[\"']?(?:AKIA)?)?", 0)
-    rest = F.substring(mention, F.length(head) + 1, F.lit(1000))
+    email = F.concat(masked(F.substring_index(mention, "@", 1), F.col("__key")), F.lit("@"), host, top)
+    ip = F.array_join(F.transform(F.slice("__key", 1, 4), lambda v: (v % 254 + 1).cast("string")), ".")
+    df = df.withColumn("__head", F.regexp_extract(mention, rf"^(?:AKIA|gh[pousr]_|sk-|xox[abps]-|{LABEL}[\"']?(?:AKIA)?)?", 0))
+    df = df.withColumn("__rest", F.substring(mention, F.length("__head") + 1, F.lit(1000)))
+    rest, keyed = F.col("__rest"), F.col("__key")
     hexes = changed(rest, keyed, lambda c, v: F.when(c.rlike("[0-9a-f]"), pick("0123456789abcdef", v)).otherwise(c))
-    secret = F.concat(head, F.when(rest.rlike("^[0-9a-f]{8,}[\"']?$"), hexes).otherwise(masked(rest, keyed)))
+    secret = F.concat("__head", F.when(rest.rlike("^[0-9a-f]{8,}[\"']?$"), hexes).otherwise(masked(rest, keyed)))
     iban = formatted(mention, "[^ ]", F.concat(F.substring(canon, 1, 2), masked(F.substring(canon, 3, 64), keyed)))
-    return (
-        F.when(kind.isin("phone", "card", "ssn"), number).when(kind == "email", email).when(kind == "ip", ip)
-        .when(kind == "secret", secret).when(kind == "iban", iban).otherwise(new_name(key, mention, tries))
+    new = (
+        F.when(kind.isin("phone", "card", "ssn"), formatted(mention, "[0-9]", F.col("__number"))).when(kind == "email", email)
+        .when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "iban", iban).otherwise(F.col("__name"))
     )
+    return with_names(df, key).withColumn("new", new).select(*columns, "new")
 
 
 def mentions(text: Column) -> Column:
@@ -177,7 +186,7 @@ def rekeyed(entities: DataFrame, key: str, most: int = 64) -> DataFrame:
     """kind, canon, tries of the entities (kind, canon, mention) whose first surrogate another entity has, or is."""
     current = written(entities.withColumn("tries", F.lit(0)))
     for _ in range(most):
-        new = current.withColumn("s", canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("mention"), F.col("canon"), F.col("tries"))))
+        new = written(with_surrogates(current, key).withColumn("s", canonical(F.col("kind"), F.col("new"))).drop("new"))
         owners = new.groupBy(F.col("kind").alias("k"), F.col("s").alias("t")).agg(F.min("canon").alias("owner"))
         real = entities.select(F.col("kind").alias("rk"), F.col("canon").alias("rc"))
         new = new.join(owners, (F.col("kind") == F.col("k")) & (F.col("s") == F.col("t")))
@@ -202,8 +211,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     entities = written(each.groupBy("kind", "canon").agg(F.min("mention").alias("mention")))
     again = rekeyed(entities, key).select(F.col("kind").alias("a_kind"), F.col("canon").alias("a_canon"), "tries")
     each = each.join(again, (F.col("kind") == F.col("a_kind")) & (F.col("canon") == F.col("a_canon")), "left")
-    new = surrogate(key, F.col("kind"), F.col("mention"), F.col("canon"), F.coalesce("tries", F.lit(0)))
-    per_doc = each.select("m_id", "m_hash", "pos", new.alias("new")).groupBy("m_id", "m_hash").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("news"))
+    each = each.select("m_id", "m_hash", "pos", "kind", "mention", "canon", F.coalesce("tries", F.lit(0)).alias("tries"))
+    per_doc = with_surrogates(each, key).groupBy("m_id", "m_hash").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("news"))
     per_doc = written(per_doc)
     n = F.size(mentions(F.col(text)))
     untouched = docs.where(F.coalesce(n == 0, F.lit(True))).withColumn("n_entities", F.lit(0).cast("long"))
