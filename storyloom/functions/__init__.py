@@ -1 +1 @@
-"""functions of the character-graph pipeline."""
+"""Column functions of the character-graph pipeline."""

@@ -1 +1 @@
-"""streaming of the character-graph pipeline."""
+"""Structured Streaming forms of ordered operators."""
