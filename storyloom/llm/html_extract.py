@@ -148,33 +148,29 @@ def first_pass(found: list[tuple[str, float, bool, bool]]) -> list[str]:
 
 
 def second_pass(found: list[tuple[str, float, bool, bool]], labels: list[str]) -> list[bool]:
-    """Whether each block is kept. In an article only the article's own blocks are neighbours, and without any the block is kept."""
-    n = len(labels)
-
-    def nearest(known: tuple[str, ...], step: int) -> list[str | None]:
-        last: dict[bool, str | None] = {False: None, True: None}
-        out: list[str | None] = [None] * n
-        for i in range(n) if step > 0 else range(n - 1, -1, -1):
-            inside = found[i][3] and not found[i][2]
-            out[i] = last[inside]
-            if labels[i] in known:
-                last[inside] = labels[i]
-                if not inside:
-                    last[False] = labels[i]
+    """Whether each block is kept: an undecided one goes with its nearest decided neighbour, of two as near with the one before.
+
+    An article's own blocks are neighbours of each other only, and without a decided one they are kept.
+    """
+    groups = [article and not aside for _, _, aside, article in found]
+
+    def nearest(step: int) -> list[int | None]:
+        """The place of the first decided block of the same group before (step 1) or after (step -1) each."""
+        last: dict[bool, int | None] = {False: None, True: None}
+        out: list[int | None] = [None] * len(labels)
+        for i in range(len(labels))[::step]:
+            out[i] = last[groups[i]]
+            if labels[i] in (GOOD, BAD) or labels[i] == NEAR and not groups[i]:
+                last[groups[i]] = i
         return out
 
-    before, after = nearest((GOOD, NEAR, BAD), 1), nearest((GOOD, NEAR, BAD), -1)
     out = []
-    for i, label in enumerate(labels):
-        if label == AMBIGUOUS:
-            inside = found[i][3]
-            near = [x for x in (before[i], after[i]) if x]
-            out.append(inside and not near or any(x != BAD for x in near) and (inside or len(near) == 2 and BAD not in near or near[-1] == GOOD))
-        elif label == NEAR:
-            near = [x for x in (before[i], after[i]) if x]
-            out.append(not near or any(x != BAD for x in near))
-        else:
+    for i, (label, before, after) in enumerate(zip(labels, nearest(1), nearest(-1), strict=True)):
+        if label in (GOOD, BAD):
             out.append(label == GOOD)
+            continue
+        near = [k for k in (before, after) if k is not None]
+        out.append(labels[min(near, key=lambda k: abs(k - i))] != BAD if near else groups[i] or label == NEAR)
     return out
 
 
