@@ -60,3 +60,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield b.slice(at, to - at)
             at = to
 
+
+
+def by_key(df: DataFrame, key: str, *sums: Column) -> DataFrame:
+    """df.groupBy(key).agg(*sums) for a join of df's rows with it on the same whole number.
+
+    Groups are dealt out by another expression than the key, so the join deals out both of its sides itself; only
+    then can Spark split a hot key's rows over several tasks.
+    """
+    other = F.bitwise_not(F.col(key))
+    return df.groupBy(other.alias("__other")).agg(*sums).withColumn(key, F.bitwise_not(F.col("__other"))).drop("__other")

@@ -23,7 +23,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import slices, written
+from storyloom.llm.common import by_key, slices, written
 from storyloom.llm.numeric import Runs, Words
 
 #: Words of a gram: the anchor of a window is one of its grams.
@@ -151,10 +151,10 @@ def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
     found = anchors(docs.where("doc_id IS NOT NULL"), length)
-    span = found.groupBy("anchor").agg(*[f(c).alias(f"{n}_{c}") for c in ("context", "doc_id") for n, f in (("min", F.min), ("max", F.max))])
+    span = by_key(found, "anchor", *[f(c).alias(f"{n}_{c}") for c in ("context", "doc_id") for n, f in (("min", F.min), ("max", F.max))])
     shared = span.where("min_doc_id < max_doc_id").select("anchor", (F.col("min_context") != F.col("max_context")).alias("varied"))
     shared = written(found.join(shared, "anchor"))  # rows of anchors that two documents have
-    least = shared.groupBy("context").agg(F.min("doc_id").alias("least"))
+    least = by_key(shared, "context", F.min("doc_id").alias("least"))
     known = F.col("least") < F.col("doc_id")
     per_doc = shared.join(least, "context").groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.when(known, F.col("context"))).alias("known"), F.collect_set(F.when(~known & F.col("varied"), F.col("anchor"))).alias("open")
@@ -162,7 +162,7 @@ def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
     per_doc = written(per_doc)
     key = ["doc_id", "text_hash"]
     windows = open_windows(docs.join(per_doc.where(F.size("open") > 0), key), length)
-    earliest = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
+    earliest = by_key(windows, "window", F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
     repeated = windows.join(earliest, "window").where("least < doc_id").groupBy(key).agg(F.collect_set("window").alias("windows"))
     marks = per_doc.select(*key, "known").join(repeated, key, "left").where("size(known) > 0 OR windows IS NOT NULL")
     return without(docs.join(marks, key, "left"), length)
