@@ -12,8 +12,9 @@ LAYERS = ("SUCCESS", "SUCCESS_ALIAS", "SUCCESS_CANONICAL", "CATEGORY_LAYER_D5",
 
 
 def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; a line that can't be read is left out, with its text in `_corrupt`."""
-    return spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    """JSON lines but for blank ones; of a line that can't be read `_corrupt` is the text and all else null."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
 
 
 def all_or_nothing(lines: DataFrame) -> DataFrame:

@@ -197,10 +197,10 @@ ANSWERS = [
 @query(
     f"WITH a AS {values(ANSWERS, 'i, answer')}, p AS (SELECT i, CASE WHEN json_valid(answer) THEN from_json(answer, '{{\"characters\":[{{\"name\":\"VARCHAR\",\"category\":\"VARCHAR\"}}],\"relationships\":[{{\"source\":\"VARCHAR\",\"target\":\"VARCHAR\",\"type\":\"VARCHAR\",\"confidence\":\"DOUBLE\"}}]}}') END AS r FROM a),"
     f" v AS (SELECT i, r, coalesce(len(list_filter(r.characters, lambda c: NOT (length(c.name) BETWEEN 1 AND 50) OR c.category NOT IN {CATEGORIES})) = 0 AND len(list_filter(r.relationships, lambda x: NOT (x.type IN {RELATION_TYPES} AND x.confidence BETWEEN 0 AND 1))) = 0, false) AS valid FROM p)"
-    f" SELECT i, valid, CASE WHEN valid THEN len(list_filter(r.relationships, lambda x: x.source <> x.target)) END AS relations FROM v"
+    f" SELECT i, valid, CASE WHEN valid THEN len(list_filter(r.relationships, lambda x: x.source <> x.target)) ELSE -1 END AS relations FROM v"
 )
 def sch1_sch2_validation(spark, sf):
-    return extraction.parse(spark.createDataFrame(ANSWERS, "i int, answer string")).select("i", "valid", F.when(F.col("valid"), F.size("result.relationships")).alias("relations"))
+    return extraction.parse(spark.createDataFrame(ANSWERS, "i int, answer string")).select("i", "valid", F.when(F.col("valid"), F.size("result.relationships")).otherwise(-1).alias("relations"))
 
 
 @query("SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, arg_min(l_linenumber, l_orderkey * 10 + l_linenumber) AS line FROM lineitem GROUP BY ALL")

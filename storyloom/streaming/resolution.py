@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from storyloom.operators.resolution import AliasJudge, Novel, frame
-from storyloom.schema import EXTRACTION, RESOLUTION
+from storyloom.schema import CHARACTER, RELATIONSHIP, RESOLUTION
 
-INPUT = f"novel_id string, chunk_id int, chapter_id int, text string, section_type string, {EXTRACTION.removeprefix('struct<').removesuffix('>')}, tombstone boolean, last boolean"
+INPUT = f"novel_id string, chunk_id int, chapter_id int, text string, section_type string, characters array<{CHARACTER}>, relationships array<{RELATIONSHIP}>, tombstone boolean, last boolean"
 
 
 def resolve_stream(inputs: DataFrame, judge: AliasJudge, lineage: bool = False) -> DataFrame:
