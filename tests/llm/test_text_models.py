@@ -125,6 +125,8 @@ def test_bpe_against_the_library(spark, odd, none, tokenizer, monkeypatch):
         assert rows[r.doc_id].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert rows[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
     assert bpe.digests(odd, path, pattern).count() == odd.count()
+    there_and_back = bpe.decode(bpe.encode(odd, path, pattern, keep=("doc_id", "text")), path).collect()
+    assert all(bytes(r.decoded).decode() == (r.text or "") for r in there_and_back)
     assert bpe.digests(none, path, pattern).count() == 0
     monkeypatch.setattr(bpe, "CACHE", 3)  # the memory of pieces doesn't change results
     coder, rng = bpe.Encoder(bpe.read_ranks(path), pattern), np.random.default_rng(1)
