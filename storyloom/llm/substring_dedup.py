@@ -1,6 +1,10 @@
-"""Removal of long passages that an earlier document has.
+"""Removal of long passages that a reference, or an earlier document, has.
 
-A window is `length` consecutive words. Of the grams in a window the one of least hash is its
+A reference of bounded size is broadcast in shards, of which each worker makes suffix automata;
+documents are streamed through them, and what matches in maximal spans of `length` words or more goes.
+
+Documents that are their own reference have no such bound: all automata are as large as the corpus.
+There the passages are found by an index. A window is `length` consecutive words. Of the grams in a window the one of least hash is its
 anchor; equal windows have equal anchors at equal offsets. Documents are first matched by anchors
 with their surroundings, a few for each hundred words; where an anchor is shared but surroundings
 differ, by the windows of that anchor. For each the least doc_id is found by aggregation, so
@@ -166,3 +170,95 @@ def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
     repeated = windows.join(earliest, "window").where("least < doc_id").groupBy(key).agg(F.collect_set("window").alias("windows"))
     marks = per_doc.select(*key, "known").join(repeated, key, "left").where("size(known) > 0 OR windows IS NOT NULL")
     return without(docs.join(marks, key, "left"), length)
+
+
+class Automaton:
+    """Suffix automaton of sequences of word hashes; no match runs over the end of one."""
+
+    def __init__(self, sequences: list[list[int]]):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        for sequence in sequences:
+            last = 0
+            for c in sequence:
+                last = self.extend(last, c)
+
+    def extend(self, last: int, c: int) -> int:
+        if c in self.next[last]:  # sequences after the first may lead along known states
+            q = self.next[last][c]
+            return q if self.length[q] == self.length[last] + 1 else self.split(last, c, q)
+        new = len(self.next)
+        self.next.append({})
+        self.link.append(0)
+        self.length.append(self.length[last] + 1)
+        p = last
+        while p >= 0 and c not in self.next[p]:
+            self.next[p][c] = new
+            p = self.link[p]
+        if p >= 0:
+            q = self.next[p][c]
+            self.link[new] = q if self.length[q] == self.length[p] + 1 else self.split(p, c, q)
+        return new
+
+    def split(self, p: int, c: int, q: int) -> int:
+        """A copy of q for the shorter strings that lead to it from p on."""
+        copy = len(self.next)
+        self.next.append(dict(self.next[q]))
+        self.link.append(self.link[q])
+        self.length.append(self.length[p] + 1)
+        self.link[q] = copy
+        while p >= 0 and self.next[p].get(c) == q:
+            self.next[p][c] = copy
+            p = self.link[p]
+        return copy
+
+    def statistics(self, words: list[int]) -> list[int]:
+        """For each place the length of the longest match that ends there."""
+        state = size = 0
+        out = []
+        for c in words:
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                size = self.length[state]
+            if c in self.next[state]:
+                state = self.next[state][c]
+                size += 1
+            out.append(size)
+        return out
+
+
+def without_reference(docs: DataFrame, reference: DataFrame, length: int = 50, shard_words: int = 20_000, max_words: int = 100_000) -> DataFrame:
+    """doc_id, n_words, n_removed, kept: without the words in runs of `length` or more that a text of the reference has.
+
+    max_words bounds what is broadcast, 8 bytes a word; a larger reference is an error, not cut.
+    """
+    texts = reference.where("text IS NOT NULL").select("text").distinct()
+    size = texts.select(F.size(F.split("text", r"[\x20\x09-\x0D]+")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if size > max_words:
+        raise ValueError(f"the reference has {size} words, and at most {max_words} are broadcast")
+    words = Words.of(sorted(r.text.encode() for r in texts.collect()) or [b""])
+    sequences = [words.hash[a:b].tolist() for a, b in zip(words.first, words.first[1:], strict=False) if b - a >= length]
+    ends = np.cumsum([len(x) for x in sequences]) // shard_words
+    shards = docs.sparkSession.sparkContext.broadcast([[x for x, k in zip(sequences, ends, strict=True) if k == shard] for shard in np.unique(ends)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = [Automaton(x) for x in shards.value]
+        for b in slices(batches, most=AT_ONCE):
+            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
+            found = Words.of(texts)
+            n_words, n_removed, kept = [], [], []
+            for t, a, e in zip(texts, found.first, found.first[1:], strict=False):
+                depth = np.zeros(e - a + 1, np.int64)
+                for automaton in automata:
+                    match = np.array(automaton.statistics(found.hash[a:e].tolist()), np.int64)
+                    at = np.flatnonzero(match >= length)
+                    np.add.at(depth, at + 1 - match[at], 1)
+                    np.add.at(depth, at + 1, -1)
+                stay = np.cumsum(depth)[:-1] == 0
+                n_words.append(len(stay))
+                n_removed.append(int((~stay).sum()))
+                kept.append(b" ".join(compress(t.split(), stay.tolist())))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    zero = F.lit(0).cast("long")
+    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id", zero.alias("n_words"), zero.alias("n_removed"), F.lit("").alias("kept")).schema)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from helpers import prose
 
 from storyloom.llm import fingerprint, near_dedup, substring_dedup
@@ -154,3 +155,32 @@ def test_one_document_of_each_class(make, odd):
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()]
     assert sorted(ids) == sorted(set(ids)) and 6 not in ids and 5 in ids and {1, 2, 3, 4} <= set(ids)
+
+
+def test_reference_passages_against_plain_code(make, odd, none):
+    rng = random.Random(9)
+    reference = [prose(rng, n) for n in (30, 50, 64, 200)] + ["la li " * 40]
+    texts = [prose(rng, 20) + " " + " ".join(rng.choice(reference).split()[rng.randrange(5) :]) + "\n" + prose(rng, rng.randrange(30)) for _ in range(60)]
+    windows = {tuple(r.split()[k : k + 50]) for r in reference for k in range(len(r.split()) - 49)}
+    docs = make([(i, t, "s") for i, t in enumerate(texts)] + [(99, None, "s")])
+    ref = make([(i, t, "s") for i, t in enumerate(reference)] + [(8, None, "s")])
+    for shard_words in (100, 20_000):
+        out = {r.doc_id: r for r in substring_dedup.without_reference(docs, ref, shard_words=shard_words).collect()}
+        assert out[99].n_words == 0 and len(out) == 61
+        for i, t in enumerate(texts):
+            w = t.split()
+            gone = {k + j for k in range(len(w) - 49) if tuple(w[k : k + 50]) in windows for j in range(50)}
+            assert (out[i].n_words, out[i].n_removed, out[i].kept) == (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    assert substring_dedup.without_reference(none, ref).count() == 0 and substring_dedup.without_reference(odd, none).where("n_removed > 0").count() == 0
+    with pytest.raises(ValueError, match="at most"):
+        substring_dedup.without_reference(docs, ref, max_words=100)
+
+
+def test_automaton_against_brute_force():
+    rng = random.Random(1)
+    for _ in range(150):
+        seqs = [[rng.randrange(3) for _ in range(rng.randrange(12))] for _ in range(rng.randrange(1, 4))]
+        known = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+        doc = [rng.randrange(4) for _ in range(15)]
+        best = [max([n for n in range(1, i + 2) if tuple(doc[i + 1 - n : i + 1]) in known], default=0) for i in range(len(doc))]
+        assert substring_dedup.Automaton(seqs).statistics(doc) == best
