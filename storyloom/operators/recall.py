@@ -23,9 +23,10 @@ def text_mentions(chunks: DataFrame, index: DataFrame, gram: int = 3) -> DataFra
     Names of `gram` characters or more meet the chunks that have their first `gram` characters, by an equi-join;
     shorter names, of which a novel has few, are grouped in one array for each novel and looked for in each chunk.
     """
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - gram + 1), lambda i: F.substring(F.col("text"), i, F.lit(gram))))
     texts = chunks.select("novel_id", "chunk_id", "text")
-    keyed = texts.where(F.length("text") >= gram).select("novel_id", "chunk_id", F.explode(grams).alias("g"))
+    grams = F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{{gram}}}))"), F.lit(1))  # at every place
+    keyed = texts.select("novel_id", "chunk_id", F.explode(F.array_distinct(grams)).alias("g"))
+    keyed = keyed.join(index.select("novel_id", F.substring("name", 1, gram).alias("g")).distinct(), ["novel_id", "g"], "left_semi")
     long = index.where(F.length("name") >= gram).withColumn("g", F.substring("name", 1, gram))
     likely = keyed.join(long, ["novel_id", "g"]).select("novel_id", "chunk_id", "canonical", "name").distinct()
     hit = likely.join(texts, ["novel_id", "chunk_id"]).where(F.contains("text", "name")).select("novel_id", "chunk_id", "canonical")
