@@ -79,6 +79,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1
     upto = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("before")
     cut = peers.withColumn("upto", upto).where("upto <= budget AND budget < upto + size").select(F.col("source").alias("c_source"), F.col("place").alias("cut"), F.floor((F.col("budget") - F.col("upto")) / F.col("n")).alias("rest"))
     plan = plan.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").select(F.col("source").alias("p_source"), "source_size", "target", "copies", "budget", "cut", "rest")
+    plan = written(plan)  # a row for each source: of known size, so that Spark broadcasts it if it's small and else splits the hot source
     place = F.col("place")
     # a budget of a whole source's size or more ends in no bucket: then every document is within it
     part = F.when(F.col("budget") <= 0, 0).when(F.col("cut").isNull() | (place < F.col("cut")), F.col("size")).when(place == F.col("cut"), F.col("rest")).otherwise(0)
