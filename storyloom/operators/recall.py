@@ -41,14 +41,20 @@ def candidates(mentions: DataFrame, index: DataFrame, extraction: DataFrame, tex
     All strong candidates, those of the extraction before those of the text, by name within each; weak ones fill up to
     `k` by substring, shared characters, name. mentions: (novel_id, chunk_id, mention).
     """
+    key = ["novel_id", "chunk_id", "mention"]
     names = index.groupBy("novel_id", "canonical").agg(F.sort_array(F.collect_set("name")).alias("matched_names")).where(~hard_filtered(F.col("canonical")))
-    strong = extraction.withColumn("tier", F.lit(0)).union(text.withColumn("tier", F.lit(1))).groupBy("novel_id", "chunk_id", "canonical").agg(F.min("tier").alias("tier"))
-    every = mentions.join(names, "novel_id").where("mention <> canonical").join(strong, ["novel_id", "chunk_id", "canonical"], "left")
+    tiers = extraction.withColumn("tier", F.lit(0)).union(text.withColumn("tier", F.lit(1))).groupBy("novel_id", "chunk_id", "canonical").agg(F.min("tier").alias("tier"))
+    strong = mentions.join(tiers, ["novel_id", "chunk_id"]).where("mention <> canonical").join(names, ["novel_id", "canonical"])
+    strong = strong.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("tier", "canonical")))
+    had = strong.groupBy(*key).agg(F.count(F.lit(1)).alias("had"))
+    # only mentions that lack candidates are held against all canonicals of their novel
+    open_ = mentions.join(had, key, "left").na.fill(0, ["had"]).where(F.col("had") < k)
+    weak = open_.join(names, "novel_id").where("mention <> canonical").join(strong.select(*key, "canonical"), [*key, "canonical"], "left_anti")
     part = F.exists("matched_names", lambda n: F.contains(F.col("mention"), n) | F.contains(n, F.col("mention")))
     shared = F.array_max(F.transform("matched_names", lambda n: char_overlap(F.col("mention"), n)))
-    every = every.withColumns({"tier": F.coalesce("tier", F.lit(2)), "part": part.cast("int"), "shared": shared})
-    weak = F.col("tier") == 2
-    order = [F.col("tier"), F.when(weak, -F.col("part")), F.when(weak, -F.col("shared")), F.col("canonical")]
-    every = every.withColumn("rank", F.row_number().over(Window.partitionBy("novel_id", "chunk_id", "mention").orderBy(*order)))
+    weak = weak.withColumns({"part": part, "shared": shared, "tier": F.lit(2)})
+    weak = weak.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("part"), F.desc("shared"), "canonical"))).where(F.col("i") <= k)
+    weak = weak.withColumn("rank", (F.col("had") + F.col("i")).cast("int")).where(F.col("rank") <= k)
     source = F.when(F.col("tier") == 0, "strong_extraction").when(F.col("tier") == 1, "strong_text").otherwise("weak")
-    return every.where((F.col("tier") < 2) | (F.col("rank") <= k)).select("novel_id", "chunk_id", "mention", "canonical", "rank", source.alias("source"), "matched_names")
+    columns = [*key, "canonical", "rank", source.alias("source"), "matched_names"]
+    return strong.select(columns).union(weak.select(columns))
