@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +61,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(size, base + most, "right")))
             yield b.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps Python workers for later tasks, beside those that run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 
