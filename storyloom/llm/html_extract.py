@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,13 +29,16 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-#: Parts of class, id and role values that mark what isn't the article.
+#: Parts of class, id and role values that mark what isn't the article; those of OUTSIDE do so only outside of one.
+EDGE = r"(?:^|[\s_-])(?:%s)(?:$|[\s_-])"
 ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|alert|popup|modal|dialog|newsletter|subscri\w*"
-    r"|sidebar\w*|side|aside|widget\w*|related|recommend\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*|toolbar|pagination|pager"
-    r"|header|masthead|footer|footnav|comment\w*|respond|disqus\w*|share\w*|sharing|social\w*|login|signup|search|contentinfo|complementary)(?:$|[\s_-])",
-    re.I,
-)
+    EDGE % (
+        r"ad|ads\w*|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|alert|popup|modal|dialog|newsletter|subscri\w*|sidebar\w*|side|aside|widget\w*|related|recommend\w*"
+        r"|menu\w*|nav|navbar|navigation|breadcrumb\w*|toolbar|pagination|pager|footer|footnav|comment\w*|respond|disqus\w*|share\w*|sharing|social\w*|login|signup|search|contentinfo|complementary"
+    ), re.I)
+OUTSIDE = re.compile(EDGE % "header|masthead", re.I)
+#: Those that mark an article.
+ARTICLE = re.compile(r"(?:^|\s)(?:article|post|entry|story)(?:[_-]?(?:body|content|text|main))?(?:$|\s)", re.I)
 SKIP = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "label", "option", "datalist", "fieldset", "legend"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 INLINE = {
@@ -60,6 +64,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
     text: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, whether in what isn't the article, whether in an article
+    open_: Counter[str] = Counter()
     links = breaks = at = 0
 
     def close_block() -> None:
@@ -98,30 +103,29 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             continue
         if name == "a":
             links = max(0, links + (-1 if m[2] else 1))
-        if name in INLINE and not (name == "span" and not m[2] and ASIDE.search(" ".join(NAMES.findall(m[4])[0]) if NAMES.search(m[4]) else "")):
-            if m[2] and any(e[0] == name for e in stack[-3:]):  # an inline element that was marked
-                close_block()
-                while stack and stack.pop()[0] != name:
-                    pass
+        marks = "" if m[2] else " ".join(x for g in NAMES.findall(m[4]) for x in g if x)
+        marked = bool(ASIDE.search(marks))
+        opened = open_[name] > 0  # inline elements are there only if they were marked
+        if name in INLINE and not marked and not (m[2] and opened):
             continue
         close_block()
         links = 0
         if m[2]:
-            if any(e[0] == name for e in stack):
-                while stack.pop()[0] != name:
-                    pass
+            while opened:
+                gone = stack.pop()[0]
+                open_[gone] -= 1
+                opened = gone != name
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-            stack.pop()  # such an element ends where the next begins
+            open_[stack.pop()[0]] -= 1  # such an element ends where the next begins
         aside, article = stack[-1][1:] if stack else (False, False)
-        marks = " ".join(x for g in NAMES.findall(m[4]) for x in g if x)
-        if name in ("article", "main"):
-            article = True
-        elif name in SKIP or name == "header" and not article:
-            aside = True
-        if marks and ASIDE.search(marks) and name not in ("html", "body", "main") and not (name == "article" and not re.search("comment", marks, re.I)):
-            aside = True
+        article |= name in ("article", "main") or "role" in m[4] and "main" in marks.split() or name in ("div", "section") and bool(ARTICLE.search(marks))
+        aside |= name in SKIP or not article and (name == "header" or bool(OUTSIDE.search(marks)))
+        if name == "article":
+            marked = "comment" in marks.lower()
+        aside |= marked and name not in ("html", "body", "main")
         stack.append((name, aside, article))
+        open_[name] += 1
     add(page[at:])
     close_block()
     return out

@@ -26,6 +26,8 @@ def auc(y, s):
         (f"<div><p>{PROSE}</p><p>Short.</p></div><div class='comments'><p>{PROSE}</p></div>", f"{PROSE}\nShort."),
         (f"<article><p>a &amp;amp; b&nbsp;&lt;c&gt; {PROSE}</p><script>var x='</p>';</script><style>p{{}}</style><!-- no --></article>", f"a &amp; b <c> {PROSE}"),
         (f"<article><p>{PROSE}</p><aside>{PROSE}</aside><form><p>{PROSE}</p></form><div id=cookie-notice>{PROSE}</div></article>", PROSE),
+        (f"<div class='page-header'>{PROSE}</div><div class='post-content'><div class=entry-header><h2>Title</h2></div><p>{PROSE}</div><p>{PROSE}", f"Title\n{PROSE}"),
+        (f"<div role=main><p>{PROSE}<br>more<br><br>apart {PROSE}</div><section class=reader-comments><p>{PROSE}</section>", f"{PROSE} more\napart {PROSE}"),
         (f"<body><ul class=menu><li><a href=1>{PROSE}</a></li></ul><p>{PROSE}</p><!-- open", PROSE),
     ],
 )
