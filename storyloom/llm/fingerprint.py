@@ -241,38 +241,35 @@ def edited(text: str, following: str) -> str:
 
 
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id, text in ranges of descending doc_id, `range`; the first rows of each also end the range before it (`ahead`)."""
+    """doc_id, text in ranges of descending doc_id, each a partition; the first rows of each also end the range before it (`ahead`)."""
     ids = docs.select(F.col("doc_id").cast("long").alias("id"))
-    bounds = np.unique(ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.0005))  # `parts` numbers
-    last = len(bounds) + 1
+    bounds = np.unique(ids.approxQuantile("id", [i / parts for i in range(1, parts)], max(1e-6, 0.1 / parts)))  # `parts` numbers
 
-    @F.pandas_udf("int")
-    def range_of(x: pd.Series) -> pd.Series:
+    def place(x: pd.Series) -> np.ndarray:
         at = len(bounds) - np.searchsorted(bounds, x.fillna(0).to_numpy(float), "right")
-        return pd.Series(np.where(x.isna(), last, at).astype("int32"))
+        return np.where(x.isna(), len(bounds) + 1, at).astype("int32")
 
+    range_of = F.pandas_udf(lambda x: pd.Series(place(x)), "int")
     tops = {r["range"]: r["top"] for r in ids.groupBy(range_of("id").alias("range")).agg(F.max("id").alias("top")).collect()}  # a row for each range
-    order = sorted(tops)
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    ahead = {tops[r]: before[r] for r in order}
-
-    @F.pandas_udf("array<int>")
-    def ranges(x: pd.Series) -> pd.Series:
-        own = len(bounds) - np.searchsorted(bounds, x.fillna(0).to_numpy(float), "right")
-        out = [[last if gone else int(r)] for gone, r in zip(x.isna(), own, strict=True)]
+    order = {r: i for i, r in enumerate(sorted(tops))}
+    ahead = {top: (order[r] - 1) % len(order) for r, top in tops.items()}
+
+    def places(x: pd.Series) -> pd.Series:
+        out = [[order[int(r)]] for r in place(x)]
         for i, v in enumerate(x):
             if (key := None if pd.isna(v) else int(v)) in ahead:
                 out[i].append(-1 - ahead[key])
         return pd.Series(out)
 
+    ranges = F.pandas_udf(places, "array<int>")
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.explode(ranges(F.col("doc_id").cast("long"))).alias("r"))
     rows = rows.select("doc_id", "text", (F.col("r") < 0).alias("ahead"), F.when(F.col("r") < 0, -1 - F.col("r")).otherwise(F.col("r")).alias("range"))
-    return rows.repartition(parts, "range").sortWithinPartitions("range", "ahead", F.col("doc_id").desc_nulls_last(), "text")
+    return rows.repartitionById(max(1, len(order)), "range").sortWithinPartitions("ahead", F.col("doc_id").desc_nulls_last(), "text")
 
 
-def versions(docs: DataFrame, per_part: int = 5_000) -> DataFrame:
+def versions(docs: DataFrame, per_part: int = 2_000, most_parts: int = 20_000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    parts = max(4, -(-docs.count() // per_part))
+    parts = min(most_parts, max(4, -(-docs.count() // per_part)))  # beyond that, parts are larger
     rows = in_order(docs, parts)
     names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = rows.select("doc_id", *[F.lit(x).alias(n) for n, x in zip(names, (0, "", "", "", 0.0, 0.0), strict=True)]).withColumn("n_chars", F.lit(0).cast("long")).schema
@@ -293,13 +290,11 @@ def versions(docs: DataFrame, per_part: int = 5_000) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids[:-1], id_type), *cols], names=["doc_id", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, chars, at, ended = [], [], 0, None, False
+        ids, texts, chars, ended = [], [], 0, False
         for b in slices(batches):
-            for doc_id, text, ahead, r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "ahead", "range")), strict=True):
-                if r != at:
-                    ids, texts, chars, at, ended = [], [], 0, r, False
-                if ended:
-                    continue
+            for doc_id, text, ahead in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "ahead")), strict=True):
+                if ended:  # by the first of the rows that the next range begins with
+                    break
                 ids.append(doc_id)
                 texts.append(text)
                 chars += len(text)
