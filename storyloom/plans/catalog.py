@@ -102,7 +102,7 @@ RELATED = f"""{NAMES}, related AS (SELECT a.novel_id, a.chunk_id, a.chapter_id,
 
 @query(f"WITH {CHAPTERS}, t AS (SELECT *, count(*) OVER (PARTITION BY novel_id) AS total FROM chapters) SELECT novel_id, chapter_id, format('第{{}}章', chapter_id) AS chapter_title, length(text) AS n, {section_sql("''", 'text', 'chapter_id - 1', 'total')} AS section_type FROM t")
 def src3_src4_chapters(spark, sf):
-    return chapters(spark, sf).select("novel_id", "chapter_id", "chapter_title", F.length("text").alias("n"), "section_type")
+    return chapters(spark, sf).select("novel_id", "chapter_id", "chapter_title", F.length("text").cast("long").alias("n"), "section_type")
 
 
 UPLOADS = [("a.epub", 10), ("B.EPUB", 52428800), ("c.epub", 52428801), ("d.pdf", 10), ("e.epub", 0), ("f.txt", 99999999)]
@@ -200,7 +200,7 @@ ANSWERS = [
     f" SELECT i, valid, CASE WHEN valid THEN len(list_filter(r.relationships, lambda x: x.source <> x.target)) ELSE -1 END AS relations FROM v"
 )
 def sch1_sch2_validation(spark, sf):
-    return extraction.parse(spark.createDataFrame(ANSWERS, "i int, answer string")).select("i", "valid", F.when(F.col("valid"), F.size("result.relationships")).otherwise(-1).alias("relations"))
+    return extraction.parse(spark.createDataFrame(ANSWERS, "i int, answer string")).select("i", "valid", F.when(F.col("valid"), F.size("result.relationships")).otherwise(-1).cast("long").alias("relations"))
 
 
 @query("SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, arg_min(l_linenumber, l_orderkey * 10 + l_linenumber) AS line FROM lineitem GROUP BY ALL")
@@ -332,7 +332,7 @@ def join_lists(df: DataFrame, *names: str) -> DataFrame:
 
 @query(f"WITH {PEOPLE} SELECT novel_id, name, mention_count, {joined('chapters')}, len(chunk_ids) AS n FROM people")
 def agg1_persons(spark, sf):
-    return join_lists(people(spark, sf), "chapters").select("novel_id", "name", "mention_count", "chapters", F.size("chunk_ids").alias("n"))
+    return join_lists(people(spark, sf), "chapters").select("novel_id", "name", "mention_count", "chapters", F.size("chunk_ids").cast("long").alias("n"))
 
 
 @query(f"WITH {EDGES} SELECT novel_id, source, target, type, weight, round(confidence, 6) AS confidence, {joined('evidence')}, array_to_string(chunk_ids, ',') AS chunks FROM edges")
@@ -437,7 +437,7 @@ def mrg5_decisions(spark, sf):
 @query(f"WITH {DECIDED} SELECT novel_id, second AS drop, max(k) AS at FROM decided WHERE outcome = 'merged' GROUP BY ALL")
 def mrg6_merge_map(spark, sf):
     d = decided(spark, sf)
-    last = d.where("outcome = 'merged'").groupBy("novel_id", "drop").agg(F.max("ordinal").alias("at"))
+    last = d.where("outcome = 'merged'").groupBy("novel_id", "drop").agg(F.max("ordinal").cast("long").alias("at"))
     return merging.merge_map(d).join(last, ["novel_id", "drop"]).select("novel_id", "drop", "at")
 
 
