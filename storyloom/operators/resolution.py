@@ -8,6 +8,7 @@ rows and storyloom.streaming over a stream. All outputs are rows of one type, to
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -41,6 +42,11 @@ def judge_from(answers: dict[str, str | None]) -> AliasJudge:
     return lambda text, pending: [{"mention": p["mention"], "resolves_to": answers[p["mention"]]} for p in pending if p["mention"] in answers]
 
 
+def fingerprint(*asked: object) -> str:
+    """Of a judge's version and input; lists are in a total order already."""
+    return hashlib.sha256(json.dumps(asked, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+
+
 def kind_of_name(name: str | None) -> str | None:
     """The class that rules alone give: invalid, collective, generic or none."""
     if name is None or len(name) > 50 or INVALID.fullmatch(name):
@@ -86,6 +92,8 @@ class Novel:
     novel_id: str
     lineage: bool = False
     own_candidates_only: bool = True  # a judge may pick only from the mention's own candidates
+    version: str = ""  # of the judge: its prompt, model and settings
+    replays: dict[str, str] = field(default_factory=dict)  # earlier answers by the fingerprint of what was asked
     canonical: dict[str, str] = field(default_factory=dict)
     aliases: dict[str, list[str]] = field(default_factory=dict)
     index: dict[str, set[str]] = field(default_factory=dict)
@@ -264,11 +272,13 @@ class Novel:
     def judged(self, chunk: Chunk, judge: AliasJudge) -> bool:
         """Asks once for all pending mentions; whether that failed. Wrong targets count as no answer."""
         asked = [{"mention": m, "candidates": [{"canonical": c, "matched_names": sorted(self.index[c])} for c in found]} for m, found in chunk.pending.items()]
+        question = fingerprint(self.version, chunk.text, asked)
         try:
             answers: dict[str, str | None] = {}
-            for a in judge(chunk.text, asked):
+            for a in json.loads(self.replays[question]) if question in self.replays else judge(chunk.text, asked):
                 answers.setdefault(a["mention"], a["resolves_to"])
             failed = False
+            self.emit("judgement", chunk, name=question, text=json.dumps([{"mention": m, "resolves_to": t} for m, t in answers.items()], ensure_ascii=False))
         except Exception as e:  # noqa: BLE001  a judge may fail in any way; its chunk is marked
             answers, failed = {}, True
             self.emit("judge_failure", chunk, text=f"{type(e).__name__}: {e}")
@@ -358,21 +368,31 @@ def frame(rows: Iterable[dict]) -> pd.DataFrame:
     return out
 
 
-def resolve(inputs: DataFrame, judge: AliasJudge, lineage: bool = False) -> DataFrame:
+def resolve(inputs: DataFrame, judge: AliasJudge, lineage: bool = False, replays: DataFrame | None = None, version: str = "") -> DataFrame:
     """RESOLUTION rows of every novel. inputs: (novel_id, chunk_id, chapter_id, text, section_type, characters, relationships).
 
+    replays, as judgements() gives them, answer what an earlier run has asked of the same version of the judge.
     Write the result before it's split by kind: each action runs the judge anew.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        novel = Novel(key[0], lineage)
+    def run(key: tuple, rows: pd.DataFrame, old: pd.DataFrame | None = None) -> pd.DataFrame:
+        known = {} if old is None else dict(zip(old["fingerprint"], old["answers"], strict=True))
+        novel = Novel(key[0], lineage, version=version, replays=known)
         for row in rows.sort_values("chunk_id").to_dict("records"):
             novel.take(row, judge)
-        novel.close()
+        if len(rows):
+            novel.close()
         return frame(novel.taken())
 
-    columns = ["novel_id", "chunk_id", "chapter_id", "text", "section_type", "characters", "relationships"]
-    return inputs.select(columns).groupBy("novel_id").applyInPandas(run, RESOLUTION)
+    groups = inputs.select("novel_id", "chunk_id", "chapter_id", "text", "section_type", "characters", "relationships").groupBy("novel_id")
+    if replays is None:
+        return groups.applyInPandas(lambda key, rows: run(key, rows), RESOLUTION)
+    return groups.cogroup(replays.select("novel_id", "fingerprint", "answers").groupBy("novel_id")).applyInPandas(run, RESOLUTION)
+
+
+def judgements(rows: DataFrame) -> DataFrame:
+    """novel_id, chunk_id, fingerprint, answers of the calls that succeeded; a failed call leaves none and is made again."""
+    return rows.where("kind = 'judgement'").select("novel_id", "chunk_id", F.col("name").alias("fingerprint"), F.col("text").alias("answers"))
 
 
 def characters(rows: DataFrame) -> DataFrame:

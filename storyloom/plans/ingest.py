@@ -16,6 +16,8 @@ from storyloom.schema import EXTRACTIONS
 
 CHECKPOINT = f"{EXTRACTIONS}, config_fingerprint string"
 
+JUDGEMENTS = "novel_id string, chunk_id int, fingerprint string, answers string"
+
 
 def keep_none(pairs: list[dict]) -> list[dict]:
     """A merge judge that merges nothing."""
@@ -61,13 +63,20 @@ def build(
     if checkpoint:
         store_.put("extractions", checkpoint, extractions)
     ready = resume.assembled(chunks, extractions.where("status = 'completed'")).select("*", "result.*")
-    resolved = written(resolution.resolve(ready, judge, settings.lineage), "resolution")
+    past = store_.get("judgements", checkpoint, JUDGEMENTS) if checkpoint else None
+    resolved = written(resolution.resolve(ready, judge, settings.lineage, past, settings.model), "resolution")
+    if checkpoint:
+        store_.put("judgements", checkpoint, resolution.judgements(resolved))
     texts = chunks.select("novel_id", "chunk_id", "text")
     people = graph.apply_aliases(graph.persons(resolution.characters(resolved)), resolution.aliases(resolved))
     edges = graph.relations(resolution.relations(resolved).join(texts, ["novel_id", "chunk_id"]))
     evidence = merging.pair_evidence(resolution.bridges(resolved))
     pairs = merging.pair_metadata(evidence, resolution.canonicals(resolved))
-    answers = written(merging.judged(pairs, merge_judge), "merge_answers").withColumn("ordinal", F.lit(0))
+    past = store_.get("merge_answers", checkpoint, merging.ANSWERS) if checkpoint else None
+    answers = written(merging.judged(pairs, merge_judge, past, settings.model), "merge_answers")
+    if checkpoint:
+        store_.put("merge_answers", checkpoint, answers.where("error IS NULL"))
+    answers = answers.withColumn("ordinal", F.lit(0))
     decisions = written(merging.decide(pairs, answers, settings.merge_threshold), "decisions")
     merges = merging.roots(merging.merge_map(decisions), lambda df: written(df, f"roots_{next(numbers)}"))
     merges = written(graph.valid_merges(people, merges), "merges")

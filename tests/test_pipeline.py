@@ -158,6 +158,43 @@ def test_resume_repeats_nothing(spark, tmp_path):
     assert resumed.extractions.where("chunk_id = 4").first().attempts == 2
 
 
+def test_judges_are_not_asked_again(spark, tmp_path):
+    texts = ["Anna met Bert in town", "Anna and Bertram and Annabel", "Carla saw Bertrand", "Bert and Anna and Dora"]
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def note(kind):
+        (log / f"{kind}-{len(list(log.iterdir()))}").touch()
+
+    def judge(text, pending):
+        note("alias")
+        if "Carla" in text and not (tmp_path / "mended").exists():
+            raise TimeoutError
+        same = {"Bertram": "Bert", "Bertrand": "Bert", "Annabel": "Anna"}
+        return [{"mention": p["mention"], "resolves_to": same.get(p["mention"])} for p in pending]
+
+    def merge_judge(pairs):
+        note("merge")
+        return [{"a": p["a"], "b": p["b"], "merge": False, "confidence": 1.0} for p in pairs]
+
+    def calls():
+        return sorted(p.name.split("-")[0] for p in log.iterdir())
+
+    run = lambda key, work="w": ingest.build(spark, chapters(spark, texts), str(tmp_path / work), judge=judge, merge_judge=merge_judge, checkpoint=key)
+    assert not run("k").admission.first().complete
+    first = calls()
+    (tmp_path / "mended").touch()
+    again = run("k")
+    assert again.admission.first().complete
+    added = len(calls()) - len(first)
+    assert 1 <= added <= 4  # the call that failed, those that its answer changes, and the merge call
+    third = run("k")
+    assert len(calls()) == len(first) + added
+    full = run(None, "v")
+    for one in (again, third):
+        assert sorted(map(str, one.persons.collect())) == sorted(map(str, full.persons.select(one.persons.columns).collect()))
+
+
 def test_store_round_trip(spark, tmp_path):
     people = graph.apply_aliases(graph.persons(spark.createDataFrame([("n", 1, 1, "A"), ("n", 2, 1, "A"), ("n", 1, 1, "B"), ("m", 1, 1, "A")], "novel_id string, chunk_id int, chapter_id int, name string")), spark.createDataFrame([("n", "A", "Ay", 0)], "novel_id string, canonical string, alias string, ordinal int"))
     edges = graph.relations(relations(spark, [(1, "A", "B", 0.8), (1, "A", "Ghost", 0.8)]))
