@@ -2,10 +2,12 @@
 
 Documents with equal sets of shingles are one node. Signatures are cut into chunks; two signatures
 that differ in few enough symbols agree, by the pigeonhole principle, in some chunk but for one
-symbol, so each chunk is looked up with each symbol left out. What shares such a key isn't paired
-with each other, only with a few leaders of the key: the least and the greatest node, which pairs
-all in keys of up to three nodes, then, across what isn't connected yet, leaders by other orders.
-Pairs are confirmed on full sets, and links closed to components by least labels.
+symbol, so each chunk is looked up with each symbol left out. What shares such a key is first paired
+with a few leaders of the key only: the least and the greatest node, which pairs all in keys of up to
+three nodes, then, across what isn't connected yet, leaders by other orders. Last, in keys whose nodes
+are still in several components, every pair across them is looked at, so that each pair within
+MAX_DISTANCE is compared or connected. Pairs are confirmed on full sets, and links closed to
+components by least labels.
 
 Rows: null and empty texts have empty sets and link with nothing; rows of equal sets are linked,
 repeated rows too; a null doc_id is never a component's id unless all of its ids are null; an empty
@@ -30,6 +32,8 @@ from storyloom.llm.numeric import Runs, Words, mixed
 CHUNKS, WIDTH = 8, 4
 MAX_DISTANCE = 15
 AT_ONCE = 600_000
+#: Nodes of a key that one task holds against the key's others.
+AT_ONCE_NODES = 512
 FACTORS = mixed(np.arange(CHUNKS * WIDTH, dtype=np.uint64), 11) | np.uint64(1)
 
 
@@ -81,13 +85,18 @@ def keys(sig: str) -> Column:
     return F.array(*out)
 
 
+def may_link(percent: int) -> Column:
+    """Whether sizes n_a, n_b and signatures sig_a, sig_b allow a link."""
+    near = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x != y), lambda z: z)) <= MAX_DISTANCE
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & near
+
+
 def pairs(led: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of nodes whose sizes and signatures allow a link, from rows of a node and an array of its keys' leaders."""
     both = led.select("node", F.explode("leaders").alias("other")).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     for x in ("a", "b"):
         both = both.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")), x)
-    near = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x != y), lambda z: z)) <= MAX_DISTANCE
-    return both.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & near).select("a", "b")
+    return both.where(may_link(percent)).select("a", "b")
 
 
 def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -101,6 +110,24 @@ def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return first, more
 
 
+def remaining(nodes: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """All pairs that share a key of more than three nodes, may link and have different labels.
+
+    In each key, nodes outside its largest component meet all of other components; hot keys are dealt out by salts.
+    """
+    named = nodes.join(label, "node", "left").select("node", "n", "sig", F.coalesce("label", "node").alias("label"))
+    keyed = named.select("*", F.explode(keys("sig")).alias("key"))
+    torn = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("size > 3 AND low <> high")
+    rows = written(keyed.join(written(torn.select("key", F.ceil(F.col("size") / AT_ONCE_NODES).cast("int").alias("salts"))), "key"))
+    part = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    rows = rows.join(part.groupBy("key").agg(F.max(F.struct("size", "label")).getField("label").alias("main")), "key")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "label")]
+    few = rows.where("label <> main").select("key", F.col("node").alias("a"), *side("a"), F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"))
+    all_ = rows.select("key", F.col("node").alias("b"), *side("b"), "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    apart = (F.col("label_b") == F.col("main")) | (F.col("label_a") < F.col("label_b"))
+    return few.join(all_, ["key", "salt"]).where(apart & may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """node, shingles of the wanted (doc_id, node)."""
 
@@ -143,16 +170,26 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     rows = written(described(docs, size))
     nodes = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")))
     first, more = candidates(nodes, percent)
-    ends = first.union(more).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(ends, "node").select("node", F.col("id").alias("doc_id"))
-    sets = written(sets_of(docs, wanted, size))
-    links = confirmed(first, sets, percent)
+
+    def sets(found: DataFrame) -> DataFrame:
+        ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return written(sets_of(docs, nodes.join(ends, "node").select("node", F.col("id").alias("doc_id")), size))
+
+    of_leaders = sets(first.union(more))
+    links = confirmed(first, of_leaders, percent)
     label = labels(links)
+    across = more
     for x in ("a", "b"):
-        more = more.join(label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
-    more = confirmed(more.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), sets, percent)
-    if not more.isEmpty():
-        label = labels(links.union(more))
+        across = across.join(label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
+    found = confirmed(across.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), of_leaders, percent)
+    if not found.isEmpty():
+        links = links.union(found)
+        label = labels(links)
+    rest = written(remaining(nodes, label, percent).join(first.union(more), ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        found = confirmed(rest, sets(rest), percent)
+        if not found.isEmpty():
+            label = labels(links.union(found))
     label = nodes.join(label, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = label.groupBy("label").agg(F.min("id").alias("component_id"))
     component = label.join(least, "label").select(F.col("node").alias("of"), "component_id")

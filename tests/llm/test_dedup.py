@@ -184,3 +184,16 @@ def test_automaton_against_brute_force():
         doc = [rng.randrange(4) for _ in range(15)]
         best = [max([n for n in range(1, i + 2) if tuple(doc[i + 1 - n : i + 1]) in known], default=0) for i in range(len(doc))]
         assert substring_dedup.Automaton(seqs).statistics(doc) == best
+
+
+def copies(rng, n, share):
+    """n copies of one text, each with that share of its words or a little more or less changed."""
+    base = prose(rng, 150).split()
+    rate = [share * rng.uniform(0.8, 1.3) for _ in range(n)]
+    return [" ".join(x if rng.random() > r else f"{x}x{rng.random()}" for x in base) for r in rate]
+
+
+@pytest.mark.parametrize("share", [0.02, 0.036])
+def test_copies_just_under_the_threshold_against_plain_code(make, share):
+    """Hundreds of copies, most pairs of which aren't near: their leaders alone miss links."""
+    check_classes(make([(i, t, "s") for i, t in enumerate(copies(random.Random(0), 300, share))]))
