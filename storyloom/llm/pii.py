@@ -48,7 +48,7 @@ NAME = rf"\b(?:{'|'.join(TITLES.values())})\.?[ ]{UPPER}(?:[ ]{UPPER}){{0,2}}"
 LABEL = r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b\"?[ ]?[=:][ ]?)"
 PATTERNS = {
     "email": r"[A-Za-z0-9_](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\.[A-Za-z]{2,24}\b",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?:gh[pousr]_|sk-|xox[abps]-)[A-Za-z0-9_-]{16,}|" + LABEL + r"(?:\"[^\"\n]{4,200}\"|'[^'\n]{4,200}'|[^\s\"',;]{4,200})|\b[0-9a-f]{40}(?:[0-9a-f]{24})?\b",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?:gh[pousr]_|sk-|xox[abps]-)[A-Za-z0-9_-]{16,}|" + LABEL + r"(?:\"[^\"\n]{4,}+\"|'[^'\n]{4,}+'|[^\s\"',;]{4,}+)|\b[0-9a-f]{40}(?:[0-9a-f]{24})?\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -79,10 +79,14 @@ def canonical(kind: Column, mention: Column) -> Column:
     )
 
 
-def stream(key: str, *of: Column) -> Column:
-    """352 keyed bytes, as integers."""
+def stream(key: str, *of: Column, size: Column | None = None) -> Column:
+    """352 keyed bytes, as integers; `size` of them at least."""
     base = F.concat_ws("\x1f", F.lit(key), *[x.cast("string") for x in of])
-    blocks = F.array(*[F.sha2(F.concat(base, F.lit(f"\x1f{i}")).cast("binary"), 256) for i in range(11)])
+    block = lambda i: F.sha2(F.concat(base, F.lit("\x1f"), i).cast("binary"), 256)
+    blocks = F.array(*[block(F.lit(str(i))) for i in range(11)])
+    if size is not None:
+        more = F.transform(F.sequence(F.lit(0), F.ceil(size / 32).cast("int")), lambda i: block(i.cast("string")))
+        blocks = F.when(size > 352, more).otherwise(blocks)
     return F.transform(F.regexp_extract_all(F.array_join(blocks, ""), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
 
 
@@ -96,7 +100,7 @@ def pick(choices: str, k: Column) -> Column:
 
 
 def changed(s: Column, keyed: Column, how) -> Column:
-    """s with each character c changed to how(c, byte); characters after the 352nd go by the byte 0."""
+    """s with each character c changed to how(c, byte); characters that have no byte left go by the byte 0."""
     new = F.zip_with(chars(s), keyed, lambda c, v: F.when(c.isNull(), "").otherwise(how(c, F.coalesce(v, F.lit(0)))))
     return F.array_join(new, "")
 
@@ -153,7 +157,7 @@ def with_surrogates(df: DataFrame, key: str) -> DataFrame:
     Intermediate values are columns, so that each is worked out once.
     """
     columns, kind, mention, canon, tries = df.columns, *map(F.col, ("kind", "mention", "canon", "tries"))
-    df = df.withColumn("__key", stream(key, kind, canon, tries)).withColumn("__digits", F.regexp_replace(mention, "[^0-9]", ""))
+    df = df.withColumn("__key", stream(key, kind, canon, tries, size=F.length(mention))).withColumn("__digits", F.regexp_replace(mention, "[^0-9]", ""))
     kept = F.when(kind == "card", 1).when(kind == "phone", F.length(F.regexp_extract(mention, r"^\+([0-9]{1,3}?)(?=[^0-9]|[0-9]{8,12}$)", 1))).otherwise(0)
     df = df.withColumn("__kept", kept).withColumn("__number", masked(F.col("__digits"), F.col("__key")))
     df = df.withColumn("__number", F.concat(F.substring("__digits", F.lit(1), F.col("__kept")), F.substring("__number", F.col("__kept") + 1, F.lit(64))))
@@ -166,7 +170,7 @@ def with_surrogates(df: DataFrame, key: str) -> DataFrame:
     email = F.concat(masked(F.substring_index(mention, "@", 1), F.col("__key")), F.lit("@"), host, top)
     ip = F.array_join(F.transform(F.slice("__key", 1, 4), lambda v: (v % 254 + 1).cast("string")), ".")
     df = df.withColumn("__head", F.regexp_extract(mention, rf"^(?:AKIA|gh[pousr]_|sk-|xox[abps]-|{LABEL}[\"']?(?:AKIA)?)?", 0))
-    df = df.withColumn("__rest", F.substring(mention, F.length("__head") + 1, F.lit(1000)))
+    df = df.withColumn("__rest", F.substring(mention, F.length("__head") + 1, F.length(mention)))
     rest, keyed = F.col("__rest"), F.col("__key")
     hexes = changed(rest, keyed, lambda c, v: F.when(c.rlike("[0-9a-f]"), pick("0123456789abcdef", v)).otherwise(c))
     secret = F.concat("__head", F.when(rest.rlike("^[0-9a-f]{8,}[\"']?$"), hexes).otherwise(masked(rest, keyed)))

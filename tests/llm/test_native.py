@@ -1,5 +1,6 @@
 """Host rules, mixing and surrogates against SQL and plain versions, and the pipeline's stages."""
 
+import random
 import re
 
 import duckdb
@@ -137,6 +138,20 @@ def test_distinct_entities_stay_distinct(make):
     assert not {n.split("@")[0] for n in new} & set(users) or len({n.split("@")[1] for n in new}) == 1
 
 
+@pytest.mark.parametrize("quote", ["", '"', "'"])
+def test_long_secrets_are_replaced_whole(make, quote):
+    rng = random.Random(1)
+    long = ["".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ123456789-_.") for _ in range(n)) for n in (201, 5000)]
+    df = make([(i, f"see token={quote}{x}{quote}; end", "s") for i, x in enumerate(long)] + [(7, f"sk-{'aB3' * 1000} end", "s")])
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "key").collect()}
+    kinds = lambda t: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", t)))
+    for i, x in enumerate(long):
+        assert out[i].n_entities == 1 and kinds(out[i].text) == kinds(f"see token={quote}{x}{quote}; end")
+        new = out[i].text[10 + len(quote) :][: len(x)]
+        assert not any(x[k : k + 12] in new for k in range(len(x) - 11)) and len(set(new[-40:])) > 8
+    assert out[7].n_entities == 1 and kinds(out[7].text) == kinds(f"sk-{'aB3' * 1000} end") and "aB3aB3" not in out[7].text
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as c
 
