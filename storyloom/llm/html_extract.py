@@ -2,7 +2,8 @@
 
 The first pass decides blocks by length, link density and stop-word density, and by the elements
 that hold them; the second gives short, ambiguous blocks the label of their nearest decided
-neighbours. Kept blocks are joined in page order by one line break.
+neighbours. Article elements count only where they hold at least as much unlinked text as the dense
+blocks outside of them: else they are teasers, and density decides all blocks alike. Kept blocks are joined in page order by one line break.
 
 Rows: null and empty html give an empty text; each row gives one row, repeated rows the same one;
 an empty table gives an empty table; unclosed elements, comments and quotes end with the page.
@@ -131,6 +132,20 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
     return out
 
 
+def stop_density(s: str) -> float:
+    w = WORD.findall(s.lower())
+    return sum(x in STOP for x in w) / max(1, len(w))
+
+
+def hinted(found: list[tuple[str, float, bool, bool]]) -> list[tuple[str, float, bool, bool]]:
+    """The blocks, none of them in an article if articles hold less unlinked text than the dense blocks outside of them."""
+    size = {False: 0, True: 0}
+    for s, links, aside, article in found:
+        if not aside and links <= LINKS and len(s) >= SHORT and (article or stop_density(s) >= STOP_LOW):
+            size[article] += len(s)
+    return found if size[True] >= size[False] else [(s, links, aside, False) for s, links, aside, _ in found]
+
+
 def first_pass(found: list[tuple[str, float, bool, bool]]) -> list[str]:
     has_article = any(article and not aside for _, _, aside, article in found)
     out = []
@@ -142,8 +157,7 @@ def first_pass(found: list[tuple[str, float, bool, bool]]) -> list[str]:
         elif article:
             out.append(GOOD)
         else:
-            w = WORD.findall(s.lower())
-            density = sum(x in STOP for x in w) / max(1, len(w))
+            density = stop_density(s)
             if density >= STOP_HIGH:
                 out.append(GOOD if len(s) > LONG else NEAR)
             else:
@@ -181,7 +195,7 @@ def second_pass(found: list[tuple[str, float, bool, bool]], labels: list[str]) -
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = blocks(page)
+    found = hinted(blocks(page))
     return "\n".join(b[0] for b, keep in zip(found, second_pass(found, first_pass(found)), strict=True) if keep)
 
 

@@ -35,6 +35,12 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_main_text_beside_a_teaser_article():
+    teaser = "<article><h2>Next</h2><p>It is the teaser of an other text that you can read here.</p></article>"
+    for page in (f"<div><p>{PROSE}</p><p>More: {PROSE}</p></div>{teaser}", f"{teaser.replace('article', 'section')}<div class=post>Short.</div><p>{PROSE}</p><p>More: {PROSE}</p>"):
+        assert f"{PROSE}\nMore: {PROSE}" in html_extract.main_text(page)
+
+
 def test_extract_odd_pages(spark):
     rows = [(1, "u", f"<article><p>{PROSE}</p></article>", "clash"), (1, "u", f"<article><p>{PROSE}</p></article>", "clash"), (2, None, None, None), (3, "v", "<p>" + PROSE * 2000, None)]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
