@@ -1,12 +1,16 @@
 """Main text of web pages by two passes over their blocks.
 
-The first pass decides blocks by length, link density and stop-word density, and by the elements
-that hold them; the second gives short, ambiguous blocks the label of their nearest decided
-neighbours. Article elements count only where they hold at least as much unlinked text as the dense
-blocks outside of them: else they are teasers, and density decides all blocks alike. Kept blocks are joined in page order by one line break.
+The first pass decides blocks by length, link density and stop-word density, with the stop words of the page's
+own language; where no list fits the page, by length and link density alone. The second gives what is left open
+the label of its nearest decided neighbour: nearest in the page's tree, then by place. Elements that never hold
+main text (navigation, footers, forms and the like) and containers marked as furniture go first. Article elements
+are a hint only, and only where they hold at least as much dense text as the rest of the page: outside of them what is
+middling is bad, and open blocks look for neighbours on their own side. Kept blocks are joined in page order by one
+line break.
 
 Rows: null and empty html give an empty text; each row gives one row, repeated rows the same one;
-an empty table gives an empty table; unclosed elements, comments and quotes end with the page.
+an empty table gives an empty table; unclosed elements, comments and quotes end with the page; of two neighbours
+as near the one before counts.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,58 +29,100 @@ from storyloom.llm.common import slices
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|textarea|iframe|object|head|select|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|iframe|head|select|annotation|annotation-xml)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
     r"|<[!?/a-zA-Z][^>]*>?",
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-#: Parts of class, id and role values that mark what isn't the article; those of OUTSIDE do so only outside of one.
-EDGE = r"(?:^|[\s_-])(?:%s)(?:$|[\s_-])"
-ASIDE = re.compile(
-    EDGE % (
-        r"ad|ads\w*|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|alert|popup|modal|dialog|newsletter|subscri\w*|sidebar\w*|side|aside|widget\w*|related|recommend\w*"
-        r"|menu\w*|nav|navbar|navigation|breadcrumb\w*|toolbar|pagination|pager|footer|footnav|comment\w*|respond|disqus\w*|share\w*|sharing|social\w*|login|signup|search|contentinfo|complementary"
-    ), re.I)
-OUTSIDE = re.compile(EDGE % "header|masthead", re.I)
+#: Words that mark furniture in class, id and role values, and words that may stand beside them in one name: cookie-notice, but not side-effects.
+FURNITURE = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|dialog|newsletter|subscri\w*|sidebar\w*|side|aside|widgets?|related|recommend\w*"
+    r"|menu\w*|nav|navbar|navigation|breadcrumbs?|toolbar|pagination|pager|footer|footnav|comments?|respond|disqus\w*|shar(?:e|ing)|social\w*|login|signup|search|contentinfo|complementary", re.I)
+BESIDE = re.compile(
+    r"\d*|[a-z]|page|site|global|main|top|bottom|left|right|inner|outer|wrap(?:per)?|box|bars?|area|block|container|content|section|list|items?|links?|buttons?|btn|header|title|body|text|form|icons?|media|sticky|fixed"
+    r"|inline|mobile|desktop|primary|secondary|panel|group|row|col|module|slot|unit|reader|user|posts?|articles?|stor(?:y|ies)|news|thread|policy|up|off|canvas|hidden", re.I)
+#: Those that mark a page's head, which an article may have too.
+HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 #: Those that mark an article.
 ARTICLE = re.compile(r"(?:^|\s)(?:article|post|entry|story)(?:[_-]?(?:body|content|text|main))?(?:$|\s)", re.I)
 SKIP = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "label", "option", "datalist", "fieldset", "legend"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt",
-    "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "audio", "video", "canvas", "object", "picture",
+    "math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mstyle", "svg", "g", "tspan",
 }
-#: Function words of English, German, French and Spanish; fixed values.
-STOP = frozenset(
-    "the of and to in is that it was for on with as are this be by at from or an not have has but they which you his her he she we all were their one "
-    "der die das und ist von den dem ein eine einer zu mit sich nicht auf für im des auch als an es werden aus er hat dass sie nach wird bei um am sind noch wie "
-    "le la les de et un une du que qui dans pour pas sur est par plus au avec ce il ou son se sont elle aux mais nous comme leur "
-    "el los las y en del por con una para su al lo como más o pero sus ya esta entre cuando muy sin sobre".split()
-)
+#: Elements that are blocks of a container, and no containers themselves.
+LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "pre", "figcaption", "caption", "summary", "address"}
+#: Frequent function words by language; fixed values. Other languages are told by that none of the lists fits.
+STOP = {
+    "en": "the of and to in is that it was for on with as are this be by at from or an not have which",
+    "de": "der die das und ist von den dem ein eine einer zu mit sich nicht auf für im des auch als an es werden",
+    "fr": "le la les de et un une du que qui dans pour pas sur est par plus au avec ce il en des elle",
+    "es": "el la los las y en de del que por con una un para su al lo como más no se es sus pero",
+    "it": "il la di e che in un una per è non con del della le i si da al sono come gli nel anche",
+    "pt": "o a de que e do da em um uma para com não os as no na por mais dos como se ao foi",
+    "nl": "de het een en van in is dat op te met voor niet zijn aan er die ook als door bij naar om uit",
+    "ru": "и в не на что он с как это по но из у за так же от о для бы к его был она",
+}
+STOPS = {k: frozenset(v.split()) for k, v in STOP.items()}
+ALL_STOPS = frozenset().union(*STOPS.values())
 WORD = re.compile(r"[^\W\d_]+")
-#: Thresholds of the first pass: characters of a short and of a long block, densities of links and stop words.
-SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 70, 200, 0.5, 0.2, 0.3
-GOOD, NEAR, BAD, AMBIGUOUS = "good", "near", "bad", "ambiguous"
+#: Characters of scripts without spaces, each of which says as much as some letters.
+WIDE = re.compile(r"[฀-໿က-႟ក-៿⺀-ヿ㐀-鿿가-힯豈-﫿\U00020000-\U0003ffff]")
+#: Thresholds of the first pass: characters of a short and of a long block, densities of links and stop words, and the density from which a list fits a page.
+SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH, FITS = 70, 200, 0.5, 0.1, 0.2, 0.1
+GOOD, NEAR, BAD, OPEN = "good", "near", "bad", "open"
+
+
+@dataclass(slots=True)
+class Block:
+    text: str
+    links: float  # share of its characters
+    aside: bool  # in furniture
+    article: bool  # in an article or main element
+    depth: int  # of its container
+    shared: int  # least depth of the containers from the block before to this one: that of the last one that holds both
+
+
+def furniture(marks: str) -> bool:
+    """Whether some name among class, id and role values says furniture and nothing else."""
+    for name in marks.split():
+        parts = re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name)
+        marked = [bool(FURNITURE.fullmatch(p)) for p in parts]
+        if any(marked) and all(m or BESIDE.fullmatch(p) for m, p in zip(marked, parts, strict=True)):
+            return True
+    return False
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
-    """(text, link density, in what isn't the article, in an article or main element) of each block that has text."""
-    out: list[tuple[str, float, bool, bool]] = []
+def blocks(page: str) -> list[Block]:
+    """The blocks that have text."""
+    out: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, whether in what isn't the article, whether in an article
+    stack: list[tuple[str, bool, bool, int]] = []  # open elements: name, in furniture, in an article, containers up to it
     open_: Counter[str] = Counter()
-    links = breaks = at = 0
+    links = breaks = at = shared = 0
 
     def close_block() -> None:
+        nonlocal shared
         if text:
             if s := " ".join(html.unescape("".join(text)).split()):
                 n = len(" ".join(html.unescape(" ".join(linked)).split())) if linked else 0
-                out.append((s, n / len(s), *(stack[-1][1:] if stack else (False, False))))
+                _, aside, article, depth = stack[-1] if stack else ("", False, False, 0)
+                out.append(Block(s, n / len(s), aside, article, depth, min(shared, depth)))
+                shared = depth
             text.clear()
             linked.clear()
 
+    def pop() -> str:
+        nonlocal shared
+        gone = stack.pop()[0]
+        open_[gone] -= 1
+        shared = min(shared, stack[-1][3] if stack else 0)
+        return gone
+
     def add(s: str) -> None:
         nonlocal breaks
         if s:
@@ -91,7 +138,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
         name = (m[3] or "").lower()
         if not name:
             if m[1]:
-                close_block() if m[1].lower() in ("head", "iframe", "video", "textarea", "select") else None
+                close_block() if m[1].lower() in ("head", "iframe", "textarea", "select") else None
             continue
         if name in VOID:
             if name == "br":
@@ -105,7 +152,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
         if name == "a":
             links = max(0, links + (-1 if m[2] else 1))
         marks = "" if m[2] else " ".join(x for g in NAMES.findall(m[4]) for x in g if x)
-        marked = bool(ASIDE.search(marks))
+        marked = bool(marks) and furniture(marks)
         opened = open_[name] > 0  # inline elements are there only if they were marked
         if name in INLINE and not marked and not (m[2] and opened):
             continue
@@ -113,90 +160,116 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
         links = 0
         if m[2]:
             while opened:
-                gone = stack.pop()[0]
-                open_[gone] -= 1
-                opened = gone != name
+                opened = pop() != name
+            continue
+        if m[4].endswith("/") and (":" in name or "-" in name):  # an empty element of a foreign vocabulary
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-            open_[stack.pop()[0]] -= 1  # such an element ends where the next begins
-        aside, article = stack[-1][1:] if stack else (False, False)
+            pop()  # such an element ends where the next begins
+        _, aside, article, depth = stack[-1] if stack else ("", False, False, 0)
         article |= name in ("article", "main") or "role" in m[4] and "main" in marks.split() or name in ("div", "section") and bool(ARTICLE.search(marks))
-        aside |= name in SKIP or not article and (name == "header" or bool(OUTSIDE.search(marks)))
+        aside |= name in SKIP or not article and (name == "header" or bool(marks) and bool(HEADER.search(marks)))
         if name == "article":
             marked = "comment" in marks.lower()
         aside |= marked and name not in ("html", "body", "main")
-        stack.append((name, aside, article))
+        stack.append((name, aside, article, depth + (name not in LEAF)))
         open_[name] += 1
     add(page[at:])
     close_block()
     return out
 
 
-def stop_density(s: str) -> float:
-    w = WORD.findall(s.lower())
-    return sum(x in STOP for x in w) / max(1, len(w))
+def size(s: str) -> int:
+    """Characters, of which those of scripts without spaces count threefold."""
+    return len(s) if s.isascii() else len(s) + 2 * len(WIDE.findall(s))
 
 
-def hinted(found: list[tuple[str, float, bool, bool]]) -> list[tuple[str, float, bool, bool]]:
-    """The blocks, none of them in an article if articles hold less unlinked text than the dense blocks outside of them."""
-    size = {False: 0, True: 0}
-    for s, links, aside, article in found:
-        if not aside and links <= LINKS and len(s) >= SHORT and (article or stop_density(s) >= STOP_LOW):
-            size[article] += len(s)
-    return found if size[True] >= size[False] else [(s, links, aside, False) for s, links, aside, _ in found]
+def densities(found: list[Block]) -> list[float]:
+    """Share of stop words in each block, by the list that fits the page's unlinked text outside of furniture best; 1 for all if none does."""
+    words = [WORD.findall(b.text.lower()) for b in found]
+    known, total = Counter(), 0
+    for b, w in zip(found, words, strict=True):
+        if not b.aside and b.links <= LINKS:
+            known.update(filter(ALL_STOPS.__contains__, w))
+            total += len(w)
+    n = {k: sum(known[w] for w in stop) for k, stop in STOPS.items()}
+    best = max(n, key=n.__getitem__)
+    if n[best] < FITS * max(1, total):
+        return [1.0] * len(found)
+    return [sum(map(STOPS[best].__contains__, w)) / max(1, len(w)) for w in words]
 
 
-def first_pass(found: list[tuple[str, float, bool, bool]]) -> list[str]:
-    has_article = any(article and not aside for _, _, aside, article in found)
+def first_pass(found: list[Block]) -> list[str]:
+    """good, near, bad or open, by lengths and densities."""
     out = []
-    for s, links, aside, article in found:
-        if aside or links > LINKS or has_article and not article:
+    for b, density in zip(found, densities(found), strict=True):
+        if b.aside or b.links > LINKS:
             out.append(BAD)
-        elif len(s) < SHORT:
-            out.append(AMBIGUOUS if article or not links else BAD)
-        elif article:
-            out.append(GOOD)
+        elif (n := size(b.text)) < SHORT or density < STOP_LOW:
+            out.append(OPEN)
         else:
-            density = stop_density(s)
-            if density >= STOP_HIGH:
-                out.append(GOOD if len(s) > LONG else NEAR)
-            else:
-                out.append(NEAR if density >= STOP_LOW else BAD)
+            out.append(GOOD if density >= STOP_HIGH and n > LONG else NEAR)
     return out
 
 
-def second_pass(found: list[tuple[str, float, bool, bool]], labels: list[str]) -> list[bool]:
-    """Whether each block is kept: an undecided one goes with its nearest decided neighbour, of two as near with the one before.
+def hinted(found: list[Block], labels: list[str]) -> list[bool]:
+    """Whether each block is on the article's side; all are on one side if articles hold less dense text than the rest."""
+    dense = {False: 0, True: 0}
+    for b, label in zip(found, labels, strict=True):
+        if label in (GOOD, NEAR):
+            dense[b.article] += len(b.text)
+    return [b.article and not b.aside for b in found] if dense[True] >= dense[False] else [True] * len(found)
+
 
-    An article's own blocks are neighbours of each other only, and without a decided one they are kept.
+def second_pass(found: list[Block], labels: list[str], inside: list[bool]) -> list[bool]:
+    """Whether each block is kept: what isn't decided goes with its nearest decided neighbour.
+
+    Near is who shares the deeper container, then who has fewer blocks between. On a page without a good block the near ones
+    are good, and without these the open ones of the container that has most of their text.
     """
-    groups = [article and not aside for _, _, aside, article in found]
-
-    def nearest(step: int) -> list[int | None]:
-        """The place of the first decided block of the same group before (step 1) or after (step -1) each."""
-        last: dict[bool, int | None] = {False: None, True: None}
-        out: list[int | None] = [None] * len(labels)
-        for i in range(len(labels))[::step]:
-            out[i] = last[groups[i]]
-            if labels[i] in (GOOD, BAD) or labels[i] == NEAR and not groups[i]:
-                last[groups[i]] = i
+    if GOOD not in labels:
+        labels = [GOOD if x == NEAR else x for x in labels]
+    if GOOD not in labels:
+        groups: list[list[int]] = []
+        for i, (b, x) in enumerate(zip(found, labels, strict=True)):
+            if x == OPEN:
+                same = groups and groups[-1][-1] == i - 1 and found[i - 1].depth == b.shared == b.depth
+                groups[-1].append(i) if same else groups.append([i])
+        for i in max(groups, key=lambda g: sum(len(found[i].text) for i in g), default=()):
+            labels[i] = GOOD
+    labels = [BAD if x == NEAR and not side else x for x, side in zip(labels, inside, strict=True)]
+    hint = any(inside) and not all(inside)
+
+    def nearest(order: range, step: int) -> list[tuple[int, int, str] | None]:
+        """(shared depth, blocks between, label) of the first decided block on the same side in one direction."""
+        out: list[tuple[int, int, str] | None] = [None] * len(labels)
+        last: dict[bool, tuple[int, int, str] | None] = {False: None, True: None}
+        for i in order:
+            gap = found[i].shared if step > 0 else found[i + 1].shared if i + 1 < len(found) else 0
+            last = {k: v and (min(v[0], gap), v[1], v[2]) for k, v in last.items()}
+            if labels[i] in (GOOD, BAD):
+                last[inside[i]] = (found[i].depth, i, labels[i])
+            elif v := last[inside[i]]:
+                out[i] = v[0], abs(v[1] - i), v[2]
         return out
 
+    n = len(labels)
     out = []
-    for i, (label, before, after) in enumerate(zip(labels, nearest(1), nearest(-1), strict=True)):
+    for label, side, before, after in zip(labels, inside, nearest(range(n), 1), nearest(range(n - 1, -1, -1), -1), strict=True):
         if label in (GOOD, BAD):
             out.append(label == GOOD)
             continue
-        near = [k for k in (before, after) if k is not None]
-        out.append(labels[min(near, key=lambda k: abs(k - i))] != BAD if near else groups[i] or label == NEAR)
+        near = [x for x in (before, after) if x]
+        out.append(min(near, key=lambda x: (-x[0], x[1]))[2] == GOOD if near else side and hint or label == NEAR)
     return out
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = hinted(blocks(page))
-    return "\n".join(b[0] for b, keep in zip(found, second_pass(found, first_pass(found)), strict=True) if keep)
+    found = blocks(page)
+    labels = first_pass(found)
+    return "\n".join(b.text for b, keep in zip(found, second_pass(found, labels, hinted(found, labels)), strict=True) if keep)
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), source: str = "html") -> DataFrame:

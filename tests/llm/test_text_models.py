@@ -26,7 +26,8 @@ def auc(y, s):
         (f"<div><p>{PROSE}</p><p>Short.</p></div><div class='comments'><p>{PROSE}</p></div>", f"{PROSE}\nShort."),
         (f"<article><p>a &amp;amp; b&nbsp;&lt;c&gt; {PROSE}</p><script>var x='</p>';</script><style>p{{}}</style><!-- no --></article>", f"a &amp; b <c> {PROSE}"),
         (f"<article><p>{PROSE}</p><aside>{PROSE}</aside><form><p>{PROSE}</p></form><div id=cookie-notice>{PROSE}</div></article>", PROSE),
-        (f"<div class='page-header'>{PROSE}</div><div class='post-content'><div class=entry-header><h2>Title</h2></div><p>{PROSE}</div><p>{PROSE}", f"Title\n{PROSE}"),
+        (f"<div class='page-header'>{PROSE}</div><div class='post-content'><div class=entry-header><h2>Title</h2></div><p>{PROSE}</div><p>{PROSE}", f"Title\n{PROSE}\n{PROSE}"),  # an article is a hint only: long dense text beside it stays
+        (f"<div class='page-header'>{PROSE}</div><div class='post-content'><p>{PROSE}</div><p>{PROSE[:150]}", PROSE),
         (f"<div role=main><p>{PROSE}<br>more<br><br>apart {PROSE}</div><section class=reader-comments><p>{PROSE}</section>", f"{PROSE} more\napart {PROSE}"),
         (f"<body><ul class=menu><li><a href=1>{PROSE}</a></li></ul><p>{PROSE}</p><!-- open", PROSE),
     ],
@@ -41,6 +42,79 @@ def test_main_text_beside_a_teaser_article():
         assert f"{PROSE}\nMore: {PROSE}" in html_extract.main_text(page)
 
 
+@pytest.mark.parametrize("mark", ["class=side-effects", "id=share-price", "class='search-for-meaning notices-of-1850'"])
+def test_names_of_sections_are_not_furniture(mark):
+    assert html_extract.main_text(f"<article><p>{PROSE}</p><section {mark}><p>{PROSE}</p></section></article>") == f"{PROSE}\n{PROSE}"
+
+
+@pytest.mark.parametrize("mark", ["class=side", "class='x ad-slot-2'", "id=commentList", "class=related_posts", "role=navigation", "class=newsletter-signup-box"])
+def test_names_of_furniture(mark):
+    assert html_extract.main_text(f"<div><p>{PROSE}</p><div {mark}><p>{PROSE}</p></div></div>") == PROSE
+
+
+def test_contents_of_other_vocabularies_stay():
+    page = f"<div><p>{PROSE} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> <object>plain</object> <svg><path d=''/><text>label</text></svg></p></div>"
+    assert html_extract.main_text(page).replace("\n", " ") == f"{PROSE} x=2 plain label"
+
+
+@pytest.mark.parametrize(
+    "prose",
+    [
+        "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。" * 4, "Однажды в студёную зимнюю пору сидел за пригорками леса и видел поднимается медленно гору лошадка везущая хворосту воз. " * 2,
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita e quanto a dir qual era è cosa dura. " * 2, "Vaka vanha Väinämöinen itse tuon sanoiksi virkki sanoi sillä lausehella pani suulla puhtahalla jotta kuulisi jokainen. " * 2,
+        "ในเบื้องต้นพระเจ้าทรงเนรมิตสร้างฟ้าและแผ่นดิน" * 6,
+    ],
+)
+def test_plain_blocks_of_many_languages(prose):
+    prose = prose.strip()
+    page = f"<body><ul><li><a href=1>Home page</a><li><a href=2>All articles</a></ul><div><h1>{prose[:20]}</h1><p>{prose}</p><p>{prose[:9]}</p><p>{prose}</p></div><footer>2024</footer>"
+    assert html_extract.main_text(page) == "\n".join(x.strip() for x in (prose[:20], prose, prose[:9], prose))
+
+
+def test_marks_are_not_what_decides(spark):
+    """Without class, id and article marks nearly every page gives the same text; what differs has no dense block at all."""
+    import re
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    bare = [re.sub("<(/?)article>", r"<\1div>", re.sub(r' (?:class|id)="[^"]*"', "", p)) for p in pages]
+    same = [html_extract.main_text(a) == html_extract.main_text(b) for a, b in zip(pages, bare, strict=True)]
+    assert sum(same) >= 0.98 * len(same)
+    for p, ok in zip(pages, same, strict=True):
+        assert ok or html_extract.GOOD not in html_extract.first_pass(html_extract.blocks(p))
+
+
+def test_second_pass_against_brute_force():
+    """Neighbours by the paths of containers of all pairs of blocks."""
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        n, path, found, paths = int(rng.integers(1, 14)), [], [], []
+        for k in range(n):
+            low = len(path)
+            for _ in range(rng.integers(0, 3)):
+                path = path[: rng.integers(0, len(path) + 1)]
+                low = min(low, len(path))
+                path = path + [len(paths) * 10 + int(rng.integers(9))] * int(rng.integers(0, 2))
+            paths.append(tuple(path))
+            found.append(html_extract.Block("x" * int(rng.integers(1, 9)), 0.0, False, False, len(path), min(low, len(path)) if k else 0))
+        common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        for k in range(1, n):
+            found[k].shared = common(paths[k - 1], paths[k])
+        labels = [str(x) for x in rng.choice([html_extract.GOOD, html_extract.BAD, html_extract.NEAR, html_extract.OPEN], n)]
+        inside = [bool(x) for x in rng.integers(0, 2, n)]
+        if html_extract.GOOD not in labels:
+            continue
+        used = [html_extract.BAD if x == html_extract.NEAR and not s else x for x, s in zip(labels, inside, strict=True)]
+        expected = []
+        for i in range(n):
+            if used[i] in (html_extract.GOOD, html_extract.BAD):
+                expected.append(used[i] == html_extract.GOOD)
+                continue
+            others = [j for j in range(n) if used[j] in (html_extract.GOOD, html_extract.BAD) and inside[j] == inside[i]]
+            best = min(others, key=lambda j: (-common(paths[i], paths[j]), abs(i - j), j > i), default=None)
+            expected.append(used[best] == html_extract.GOOD if best is not None else inside[i] and not all(inside) or used[i] == html_extract.NEAR)
+        assert html_extract.second_pass(found, labels, inside) == expected
+
+
 def test_extract_odd_pages(spark):
     rows = [(1, "u", f"<article><p>{PROSE}</p></article>", "clash"), (1, "u", f"<article><p>{PROSE}</p></article>", "clash"), (2, None, None, None), (3, "v", "<p>" + PROSE * 2000, None)]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
