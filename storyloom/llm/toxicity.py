@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +38,7 @@ class Model:
     weights: dict[str, float]  # of the tokens whose log-odds differ from those of their next shorter beginning
     drift: float  # of a token without a weight
     decay: float  # lambda
-    scale: float  # K
+    scale: tuple[float, float]  # K of the best segments, and of those whose words are counted once
     fit: tuple[float, ...]  # intercept and coefficients of the logistic fit
 
 
@@ -63,36 +64,53 @@ class Scores(dict):
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """Every maximal scoring segment (start, end, sum), by one scan with a list of candidates."""
+    """Every maximal scoring segment (start, end, sum), by one scan with a list of candidates.
+
+    A candidate knows the last one before it that began at a lower sum, so that none is passed over twice. When none began lower than
+    the newest, no later one can join those before, and they are done: the scan takes linear time.
+    """
     total = np.cumsum(scores)
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before it, sum up to its end
-    for i in np.flatnonzero(scores > 0):
-        start, end, left, right = int(i), int(i) + 1, float(total[i] - scores[i]), float(total[i])
+    done: list[tuple[int, int, float, float, int]] = []
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sum before it, sum up to its end, place of the lower one
+    at = np.flatnonzero(scores > 0)
+    for i, left, right in zip(at.tolist(), (total[at] - scores[at]).tolist(), total[at].tolist(), strict=True):
+        start, j = i, len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= right:
                 break
-            start, left = found[j][0], found[j][2]
+            start, left, lower = found[j][0], found[j][2], found[j][4]
             del found[j:]
-        found.append((start, end, left, right))
-    return [(a, b, r - l) for a, b, l, r in found]
+            j = lower
+        if j < 0:
+            done += found
+            found.clear()
+        found.append((start, i + 1, left, right, j))
+    return [(a, b, r - l) for a, b, l, r, _ in done + found]
 
 
-def read(text: str | None, scores: Scores) -> np.ndarray:
-    """Scores of a text's words; a word that comes again weighs nothing, as a text repeats harmless words too."""
+def read(text: str | None, scores: Scores) -> tuple[np.ndarray, list[str]]:
+    """Scores of a text's words, each time they come, and the words."""
     found = WORD.findall((text or "").lower())
-    out = np.full(len(found), scores.drift)
-    for w, i in dict(zip(reversed(found), range(len(found) - 1, -1, -1), strict=True)).items():
-        out[i] = scores[w]
-    return out
+    return np.fromiter(map(scores.__getitem__, found), float, len(found)), found
+
 
+def measured(scores: np.ndarray, words: list[str], found: list[tuple[int, int, float]], drift: float) -> tuple[float, float, float]:
+    """Best segment of all; best segment and sum of all segments where a word that came before in the text weighs nothing, as texts repeat harmless words too."""
+    if not found:
+        return 0.0, 0.0, 0.0
+    n = len(words)
+    fresh = np.full(n, drift)
+    first = list(dict(zip(reversed(words), range(n - 1, -1, -1), strict=True)).values())
+    fresh[first] = scores[first]
+    new = [x[2] for x in (found if len(first) == n else segments(fresh))]
+    return max(x[2] for x in found), max(new), sum(new)
 
-def statistics(found: list[tuple[int, int, float]], n: int, model: Model) -> tuple[float, float]:
-    """The best segment less its expected size among n tokens, and the logarithm of all segments' sum, in units of 1 / lambda."""
-    best = model.decay * max((x[2] for x in found), default=0.0)
-    return best - math.log(1 + model.scale * n), math.log1p(model.decay * sum(x[2] for x in found))
+
+def statistics(best: np.ndarray, fresh: np.ndarray, total: np.ndarray, n: np.ndarray, model: Model) -> list[np.ndarray]:
+    """The best segments less their expected size among n tokens, and the logarithm of the fresh segments' sum, in units of 1 / lambda."""
+    return [model.decay * fresh - np.log(1 + model.scale[1] * n), np.log1p(model.decay * total), model.decay * best - np.log(1 + model.scale[0] * n)]
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> DataFrame:
@@ -138,16 +156,26 @@ def karlin(values: np.ndarray, share: np.ndarray) -> float:
     return max(high, 0.05)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, ...]:
-    """Intercept and coefficients by Newton's method with a ridge penalty."""
+def gumbel_scale(best: np.ndarray, n: np.ndarray, decay: float) -> float:
+    """K of greatest likelihood where P(best <= s) = exp(-K n exp(-decay s)) for each text of n words."""
+    expected = float((n * np.exp(-decay * best)).sum())
+    return len(best) / expected if expected > 0 else 1.0
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 100) -> tuple[float, ...]:
+    """Intercept and coefficients by Newton's method with a ridge penalty; a step is halved until the penalised loss falls."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
+    loss = lambda w: float(np.logaddexp(0, a @ w).sum() - y @ (a @ w) + ridge / 2 * w @ w)
+    now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        while (new := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if new > now or np.abs(step).max() < 1e-9:
             break
+        w, now = w + step, new
     return tuple(w.tolist())
 
 
@@ -162,30 +190,33 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, min_co
     total = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     if not 0 < total[0] < total[1]:
         p = min(max(total[0] / max(1, total[1]), 1e-6), 1 - 1e-6) if total[1] else 1e-6
-        return Model({}, -drift, 1.0, 1.0, (math.log(p / (1 - p)), 0.0, 0.0))
-    model = Model(weigh(counts | {"": (total[0], total[1] - total[0])}, prior, doubt), -drift, 1.0, 0.1, (0.0, 0.0, 0.0))
+        return Model({}, -drift, 1.0, (1.0, 1.0), (math.log(p / (1 - p)), 0.0, 0.0, 0.0))
+    model = Model(weigh(counts | {"": (total[0], total[1] - total[0])}, prior, doubt), -drift, 1.0, (1.0, 1.0), (0.0, 0.0, 0.0, 0.0))
 
     def null_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores, count = Scores(model), {}
+        scores, count = Scores(model), Counter()
         for b in slices(batches):
             for text in b.column("text").to_pylist():
-                for k, n in zip(*np.unique(read(text, scores).round(2), return_counts=True), strict=True):
-                    count[float(k)] = count.get(float(k), 0) + int(n)
+                count.update(read(text, scores)[0].round(2).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.float64()), pa.array(count.values(), pa.int64())], names=["s", "n"])
 
     null = rows.where("y = 0").select("text").mapInArrow(null_scores, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
     n = null["n"].to_numpy(float)
-    model = Model(model.weights, model.drift, karlin(null["s"].to_numpy(float), n / max(1.0, n.sum())), 0.1, model.fit)
+    decay = karlin(null["s"].to_numpy(float), n / max(1.0, n.sum()))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model)
         for b in slices(batches):
-            each = (read(t, scores) for t in b.column("text").to_pylist())
-            x = [statistics(segments(v), len(v), model) for v in each]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*x, strict=True)] + [b.column("y")], names=["e", "t", "y"])
+            x = [(*measured(v, w, segments(v), model.drift), float(len(w))) for v, w in (read(t, scores) for t in b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*x, strict=True)] + [b.column("y")], names=["best", "fresh", "total", "n", "y"])
 
-    seen = rows.mapInArrow(measure, "e double, t double, y int").toPandas()
-    return Model(model.weights, model.drift, model.decay, model.scale, logistic(seen[["e", "t"]].to_numpy(), seen["y"].to_numpy(float)))
+    seen = rows.mapInArrow(measure, "best double, fresh double, total double, n double, y int").toPandas()  # numbers of at most max_labelled rows
+    seen = seen.sort_values(["n", "best", "fresh", "total", "y"])  # the fit doesn't depend on the order in which rows came
+    clean = seen[seen["y"] == 0]
+    scale = tuple(gumbel_scale(clean[c].to_numpy(), clean["n"].to_numpy(), decay) for c in ("best", "fresh"))
+    model = Model(model.weights, model.drift, decay, scale, model.fit)
+    x = np.column_stack(statistics(*(seen[c].to_numpy() for c in ("best", "fresh", "total", "n")), model))
+    return Model(model.weights, model.drift, decay, scale, logistic(x, seen["y"].to_numpy(float)))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -201,11 +232,11 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
         for b in slices(batches):
             out, spans = [], []
             for text in b.column("text").to_pylist():
-                s = read(text, scores)
+                s, words = read(text, scores)
                 found = segments(s)
-                z = m.fit[0] + float(np.dot(m.fit[1:], statistics(found, len(s), m)))
+                z = m.fit[0] + float(np.dot(m.fit[1:], statistics(*measured(s, words, found, m.drift), len(s), m)))
                 out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))))
-                spans.append([(a, e - a, x) for a, e, x in found if m.decay * x > math.log(1 + m.scale * len(s))])
+                spans.append([(a, e - a, x) for a, e, x in found if m.decay * x > math.log(1 + m.scale[0] * len(s))])
             spans = [[{"first": a, "words": n, "log_odds": x} for a, n, x in p] for p in spans]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(out, pa.float64()), pa.array(spans, span)], names=[*keep, "score", "passages"])
 

@@ -179,6 +179,67 @@ def test_segments_against_brute_force():
         assert [(a, b) for a, b, _ in toxicity.segments(s)] == [(a, b) for a, b, _ in brute_segments(s)]
 
 
+def test_segment_scan_is_linear():
+    """Falling sums, each a candidate of its own: twice the words, twice the steps."""
+    import sys
+
+    def steps(n):
+        s = np.full(n, -0.25)
+        s[::4] = 0.6 - np.arange(len(s[::4])) * 1e-6
+        lines = 0
+
+        def count(frame, event, arg):
+            nonlocal lines
+            lines += event == "line"
+            return count
+
+        sys.settrace(count)
+        try:
+            toxicity.segments(s)
+        finally:
+            sys.settrace(None)
+        return lines
+
+    assert steps(16_000) < 2.2 * steps(8_000)
+
+
+TOXIC = toxicity.Model({f"{w}$": 2.0 for w in ("foul", "vile", "rotten", "nasty", "wicked")} | {"calm$": -1.0}, -0.25, 1.0, (0.05, 0.05), (-3.0, 0.5, 0.1, 0.5))
+
+
+def test_a_passage_counts_where_its_words_came_before(make):
+    quiet, passage = "calm lake " * 200, "foul vile rotten nasty wicked"
+    twice, scattered = f"{passage} {quiet}{passage}", quiet.join(passage.split()) + f" {quiet}{passage}"
+    out = {r.doc_id: r for r in toxicity.score(make([(1, quiet, "s"), (2, twice, "s"), (3, scattered, "s"), (4, passage + " " + quiet, "s")]), TOXIC).collect()}
+    spans = {i: [(p.first, p.words) for p in r.passages] for i, r in out.items()}
+    assert spans[1] == [] and spans[2] == [(0, 5), (405, 5)] and spans[4] == [(0, 5)]
+    assert spans[3] == [(len(scattered.split()) - 5, 5)]
+    assert out[3].score > out[1].score + 0.2 and min(out[2].score, out[4].score) > 0.9
+
+
+def test_scores_against_plain_code(odd, make):
+    rng = np.random.default_rng(6)
+    words = ["foul", "vile", "calm", "lake", "nasty", "Foul,"]
+    df = odd.where("doc_id <> 4").union(make([(500 + i, " ".join(rng.choice(words, rng.integers(1, 30))), "s") for i in range(60)]))
+    for r in toxicity.score(df, TOXIC, keep=("doc_id", "text")).collect():
+        w = toxicity.WORD.findall((r.text or "").lower())
+        each = np.array([TOXIC.weights.get(x + "$", 0.0) - 0.25 for x in w])
+        fresh = np.array([e if x not in w[:i] else -0.25 for i, (x, e) in enumerate(zip(w, each, strict=True))])
+        full, new = ([v for _, _, v in brute_segments(x)] for x in (each, fresh))
+        z = -3 + 0.5 * (max(new, default=0) - np.log(1 + 0.05 * len(w))) + 0.1 * np.log1p(sum(new)) + 0.5 * (max(full, default=0) - np.log(1 + 0.05 * len(w)))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
+        assert len(r.passages) == sum(v > np.log(1 + 0.05 * len(w)) for v in full)
+
+
+def test_extreme_value_scale_is_found_again():
+    rng = np.random.default_rng(2)
+    n = rng.integers(50, 4000, 4000).astype(float)
+    best = np.log(0.03 * n / -np.log(rng.uniform(size=4000))) / 1.7
+    assert abs(toxicity.gumbel_scale(best, n, 1.7) / 0.03 - 1) < 0.06
+    x = np.linspace(-1, 1, 200)[:, None] * 400
+    fit = toxicity.logistic(x, (x[:, 0] > 0).astype(float))  # separable
+    assert np.isfinite(fit).all() and fit[1] > 0
+
+
 def test_gam_finds_an_interaction():
     rng = np.random.default_rng(5)
     x = np.zeros((3000, len(quality_model.FEATURES)))
