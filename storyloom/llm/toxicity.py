@@ -222,16 +222,16 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, min_co
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, score, passages: array of (first word, words, log-odds) of each segment expected less than once by chance."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*[F.col(c) for c in keep], "text")
+    src = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"))
     span = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("log_odds", pa.float64())]))
-    schema = src.drop("text").withColumns({"score": F.lit(0.0), "passages": F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("words"), F.lit(0.0).alias("log_odds")))}).schema
+    schema = src.drop("__text").withColumns({"score": F.lit(0.0), "passages": F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("words"), F.lit(0.0).alias("log_odds")))}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scores = Scores(m)
-        for b in slices(batches):
+        for b in slices(batches, "__text"):
             out, spans = [], []
-            for text in b.column("text").to_pylist():
+            for text in b.column("__text").to_pylist():
                 s, words = read(text, scores)
                 found = segments(s)
                 z = m.fit[0] + float(np.dot(m.fit[1:], statistics(*measured(s, words, found, m.drift), len(s), m)))
