@@ -203,7 +203,7 @@ def test_segment_scan_is_linear():
     assert steps(16_000) < 2.2 * steps(8_000)
 
 
-TOXIC = toxicity.Model({f"{w}$": 2.0 for w in ("foul", "vile", "rotten", "nasty", "wicked")} | {"calm$": -1.0}, -0.25, 1.0, (0.05, 0.05), (-3.0, 0.5, 0.1, 0.5))
+TOXIC = toxicity.Model({"foul$": 2.0137, "vile$": 1.8719, "rotten$": 2.2003, "nasty$": 1.7311, "wicked$": 2.0071, "calm$": -1.0173}, -0.25, 1.0, (0.05, 0.05), (-3.0, 0.5, 0.1, 0.5))
 
 
 def test_a_passage_counts_where_its_words_came_before(make):
