@@ -1,14 +1,19 @@
 """Removal of long passages that a reference, or an earlier document, has.
 
-A reference of bounded size is broadcast in shards, of which each worker makes suffix automata;
-documents are streamed through them, and what matches in maximal spans of `length` words or more goes.
+Suffix automata of reference shards decide what goes: documents are streamed through them for matching statistics, and
+the words of maximal spans of `length` or more that match are removed. Two forms:
 
-Documents that are their own reference have no such bound: all automata are as large as the corpus.
-There the passages are found by an index. A window is `length` consecutive words. Of the grams in a window the one of least hash is its
-anchor; equal windows have equal anchors at equal offsets. Documents are first matched by anchors
-with their surroundings, a few for each hundred words; where an anchor is shared but surroundings
-differ, by the windows of that anchor. For each the least doc_id is found by aggregation, so
-nothing grows with the square of a group of copies, and nothing is broadcast.
+without_reference(): a reference of bounded size is broadcast in shards, of which each worker makes automata.
+
+deduplicated(): documents are their own reference, which has no such bound, and all documents past all shards would be
+quadratic. So shards are picked by anchors. A window is `length` consecutive words; of the grams in it the one of least
+hash is its anchor, and equal windows have equal anchors at equal places. An anchor's shard is the set of its different
+surroundings in all documents, each once, with the least document that has it; Spark brings a shard together by its
+anchor, its automaton is made there, and the surroundings run through it: each window gets the least document in which
+it starts. A surrounding without rival needs no automaton, as it matches itself in full. An anchor of more than `most`
+surroundings (a phrase that a large part of all documents has) is no shard of bounded size: its windows are shards
+of their own, one passage each, and their least documents are found by aggregation.
+So nothing grows with the square of a group of copies, and no task holds more than `most` surroundings at once.
 
 Rows: null and empty texts have no words; a null doc_id is neither earlier nor later than any;
 rows of one doc_id don't remove each other's words; each row gives one row; an empty table gives an
@@ -17,7 +22,6 @@ empty table; other columns are not looked at.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -27,7 +31,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import by_key, slices, written
+from storyloom.llm.common import by_key, give_back, slices, written
 from storyloom.llm.numeric import Runs, Words
 
 #: Words of a gram: the anchor of a window is one of its grams.
@@ -117,20 +121,104 @@ def open_windows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, docs.select(F.lit(0).cast("long").alias("window"), "doc_id", "text_hash").schema)
 
 
+def passages(docs: DataFrame, length: int) -> DataFrame:
+    """anchor, context, least, words (hashes) of the surroundings in column `wanted`, which the document is the least to have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, most=AT_ONCE):
+            a = Anchors([t.encode() for t in b.column("text").to_pylist()], length)
+            k = np.flatnonzero(members(a.context, a.doc, sets_of(b.column("wanted"))))
+            if len(k):
+                _, one = np.unique(np.stack([a.doc[k].astype(np.uint64), a.context[k]]), axis=1, return_index=True)
+                k = k[one]
+                size = a.high[k] - a.low[k]
+                ends = np.cumsum(size)
+                flat = a.words.hash[np.repeat(a.low[k] - ends + size, size) + np.arange(ends[-1])]
+                words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), signed(flat))
+                yield pa.RecordBatch.from_arrays([signed(a.gram[k]), signed(a.context[k]), b.column("doc_id").take(pa.array(a.doc[k])), words], names=["anchor", "context", "least", "words"])
+
+    zero = F.lit(0).cast("long")
+    return docs.mapInArrow(run, docs.select(zero.alias("anchor"), zero.alias("context"), F.col("doc_id").alias("least"), F.array(zero).alias("words")).schema)
+
+
+def shard_runs(contexts: list[int], least: list[int], words: list[list[int]], length: int) -> list[tuple[int, int, int, int]]:
+    """(context, first window, last window, least document in which those windows start) of the surroundings of one shard."""
+    automaton = Automaton([])
+    ends = [automaton.add(w, i) for w, i in zip(words, least, strict=True)]
+    owner, top = automaton.owners(length)
+    out = []
+    for context, at in zip(contexts, ends, strict=True):
+        each = [owner[top[state]] for state in at[length - 1 :]]  # of the window that ends at each place
+        cuts = [k for k in range(1, len(each)) if each[k] != each[k - 1]]
+        out += [(context, i, j - 1, each[i]) for i, j in zip([0, *cuts], [*cuts, len(each)], strict=True)]
+    return out
+
+
+def matched(rows: DataFrame, length: int) -> DataFrame:
+    """context, first, last, least for the rows of passages(): a shard for each anchor."""
+    id_type = rows.schema["least"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: tuple[list, list, list] = ([], [], [])
+        now, out = None, []
+
+        def batch(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), kind), strict=True)], names=["context", "first", "last", "least"])
+
+        kind = pa.int64()
+        for b in batches:
+            kind = b.schema.field("least").type
+            for anchor, *row in zip(*(b.column(c).to_pylist() for c in ("anchor", "context", "least", "words")), strict=True):
+                if anchor != now and shard[0]:
+                    out += shard_runs(*shard, length)
+                    shard = ([], [], [])
+                now = anchor
+                for column, value in zip(shard, row, strict=True):
+                    column.append(value)
+            if len(out) > 20_000:
+                yield batch(out, kind)
+                out = []
+        if shard[0]:
+            out += shard_runs(*shard, length)
+        if out:
+            yield batch(out, kind)
+        give_back()
+
+    by_anchor = rows.repartition("anchor").sortWithinPartitions("anchor", "context")
+    return by_anchor.mapInArrow(run, rows.select("context", F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0).cast(id_type).alias("least")).schema)
+
+
+def spans_of(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """context, first, last of the runs of each document, sorted by context; a negative last stands for the last window."""
+    out = []
+    for runs in column.to_pylist():
+        r = np.array([(x["context"], x["first"], x["last"]) for x in runs or []], np.int64).reshape(-1, 3)
+        key = np.ascontiguousarray(r[:, 0]).view(np.uint64)
+        order = np.argsort(key, kind="stable")
+        out.append((key[order], r[order, 1], r[order, 2]))
+    return out
+
+
 def without(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_words, n_removed, kept: the words left, joined by one space; columns `known` and `windows` tell what goes."""
+    """doc_id, n_words, n_removed, kept: the words left, joined by one space; columns `known` (runs of windows in surroundings) and `windows` tell what goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=AT_ONCE):
             texts = [t.encode() for t in b.column("text").to_pylist()]
-            known, gone = sets_of(b.column("known")), sets_of(b.column("windows"))
-            some = [i for i in range(len(texts)) if len(known[i]) or len(gone[i])]
+            known, gone = spans_of(b.column("known")), sets_of(b.column("windows"))
+            some = [i for i in range(len(texts)) if len(known[i][0]) or len(gone[i])]
             a = Anchors([texts[i] for i in some], length)
             depth = np.zeros(len(a.words.hash) + 1, np.int64)
             if len(a.at):
-                k = members(a.context, a.doc, [known[i] for i in some])
-                np.add.at(depth, a.low[k], 1)
-                np.add.at(depth, a.high[k], -1)
+                ends = np.searchsorted(a.doc, np.arange(len(some) + 1))
+                for i, start, end in zip(some, ends, ends[1:], strict=False):
+                    key, first, last = known[i]
+                    left, right = (np.searchsorted(key, a.context[start:end], side) for side in ("left", "right"))
+                    n = right - left
+                    row = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    low, high = np.repeat(a.low[start:end], n), np.repeat(a.high[start:end], n)
+                    np.add.at(depth, low + first[row], 1)
+                    np.add.at(depth, np.where(last[row] < 0, high, low + last[row] + length), -1)
                 w = members(a.hashes(np.arange(len(a.window))), a.doc[a.window_anchor], [gone[i] for i in some])
                 np.add.at(depth, a.window[w], 1)
                 np.add.at(depth, a.window[w] + length, -1)
@@ -150,25 +238,29 @@ def without(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, docs.select("doc_id", zero.alias("n_words"), zero.alias("n_removed"), F.lit("").alias("kept")).schema)
 
 
-def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed, kept."""
+def deduplicated(docs: DataFrame, length: int = 50, most: int = 256) -> DataFrame:
+    """doc_id, n_words, n_removed, kept. `most` bounds a shard: the surroundings of an anchor that one automaton holds."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    key, zero = ["doc_id", "text_hash"], F.lit(0)
     found = anchors(docs.where("doc_id IS NOT NULL"), length)
-    span = by_key(found, "anchor", *[f(c).alias(f"{n}_{c}") for c in ("context", "doc_id") for n, f in (("min", F.min), ("max", F.max))])
-    shared = span.where("min_doc_id < max_doc_id").select("anchor", (F.col("min_context") != F.col("max_context")).alias("varied"))
-    shared = written(found.join(shared, "anchor"))  # rows of anchors that two documents have
-    least = by_key(shared, "context", F.min("doc_id").alias("least"))
-    known = F.col("least") < F.col("doc_id")
-    per_doc = shared.join(least, "context").groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.when(known, F.col("context"))).alias("known"), F.collect_set(F.when(~known & F.col("varied"), F.col("anchor"))).alias("open")
-    )  # at most as many as the document's words
-    per_doc = written(per_doc)
-    key = ["doc_id", "text_hash"]
-    windows = open_windows(docs.join(per_doc.where(F.size("open") > 0), key), length)
+    span = by_key(found, "anchor", F.min("doc_id").alias("min_doc_id"), F.max("doc_id").alias("max_doc_id")).where("min_doc_id < max_doc_id")
+    shared = written(found.join(span.select("anchor"), "anchor"))  # rows of anchors that two documents have
+    context = by_key(shared, "context", F.min(F.struct(*key)).alias("holder"), F.first("anchor").alias("anchor"))
+    context = written(context.select("context", "anchor", F.col("holder.doc_id").alias("least"), F.col("holder.text_hash").alias("text_hash")))
+    size = by_key(context, "anchor", F.count(F.lit(1)).alias("n"))
+    context = written(context.join(size, "anchor"))
+    few = context.where(F.col("n").between(2, most)).groupBy(F.col("least").alias("doc_id"), "text_hash").agg(F.collect_list("context").alias("wanted"))  # at most as many as the document's words
+    runs = matched(passages(docs.join(few, key), length), length)
+    whole = context.where((F.col("n") == 1) | (F.col("n") > most)).select("context", zero.alias("first"), F.lit(-1).alias("last"), "least")
+    runs = written(runs.unionByName(whole))
+    at = shared.join(runs, "context").where("least < doc_id").groupBy(key).agg(F.collect_set(F.struct("context", "first", "last")).alias("known"))
+    open_ = shared.join(context.where(F.col("n") > most).select("context", "least"), "context").where("least >= doc_id").groupBy(key).agg(F.collect_set("anchor").alias("open"))
+    at = written(at)
+    windows = open_windows(docs.join(written(open_), key).join(at, key, "left").withColumn("known", F.col("known.context")), length)
     earliest = by_key(windows, "window", F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
     repeated = windows.join(earliest, "window").where("least < doc_id").groupBy(key).agg(F.collect_set("window").alias("windows"))
-    marks = per_doc.select(*key, "known").join(repeated, key, "left").where("size(known) > 0 OR windows IS NOT NULL")
+    marks = at.join(repeated, key, "full")
     return without(docs.join(marks, key, "left"), length)
 
 
@@ -178,10 +270,32 @@ class Automaton:
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
+        self.owner: dict[int, int] = {}  # state of a prefix -> least owner of the sequences that have it
         for sequence in sequences:
-            last = 0
-            for c in sequence:
-                last = self.extend(last, c)
+            self.add(sequence)
+
+    def add(self, sequence: list[int], owner: int = 0) -> list[int]:
+        """The states of the sequence's prefixes."""
+        last, at = 0, []
+        for c in sequence:
+            last = self.extend(last, c)
+            at.append(last)
+            self.owner[last] = min(owner, self.owner.get(last, owner))
+        return at
+
+    def owners(self, length: int) -> tuple[list[int], list[int]]:
+        """For each state the least owner of what it stands for, and the state of its string's last `length` numbers."""
+        order = sorted(range(1, len(self.link)), key=self.length.__getitem__)
+        least: list[int | None] = [self.owner.get(s) for s in range(len(self.link))]
+        for s in reversed(order):
+            up = self.link[s]
+            if up > 0 and least[s] is not None and (least[up] is None or least[s] < least[up]):
+                least[up] = least[s]
+        top = list(range(len(self.link)))
+        for s in order:
+            if self.length[self.link[s]] >= length:
+                top[s] = top[self.link[s]]
+        return least, top
 
     def extend(self, last: int, c: int) -> int:
         if c in self.next[last]:  # sequences after the first may lead along known states

@@ -74,8 +74,8 @@ def plain_substrings(rows, length=50):
     return sorted(out, key=str)
 
 
-def check_substrings(df):
-    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.deduplicated(df).collect()), key=str)
+def check_substrings(df, **how):
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.deduplicated(df, **how).collect()), key=str)
     assert got == plain_substrings([(r.doc_id, r.text) for r in df.collect()])
 
 
@@ -95,7 +95,30 @@ def test_substrings_against_plain_code(make):
             a = rng.randrange(10)
             parts.insert(rng.randrange(3), " ".join(p[a if rng.random() < 0.5 else 0 :]))
         rows.append((i * 7 % 120, "\t".join(parts), "s"))
-    check_substrings(make(rows))
+    for most in (0, 3, 256):  # all, some and none of the shared anchors split by window
+        check_substrings(make(rows), most=most)
+
+
+def test_query_of_substrings_against_plain_code(spark, sf):
+    from storyloom.llm.catalog import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    expected = [(i, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, n, gone, kept in plain_substrings([(r.doc_id, r.text) for r in docs])]
+    assert sorted(map(tuple, QUERIES["op7_substring_dedup"](spark, sf).collect()), key=str) == expected and sum(x[2] for x in expected) > 1000
+
+
+def test_automata_decide_between_surroundings():
+    """Least owner of each window by brute force, on sequences with many common parts."""
+    rng = random.Random(5)
+    for _ in range(100):
+        common = [rng.randrange(4) for _ in range(12)]
+        words = [[rng.randrange(4) for _ in range(rng.randrange(6))] + common[rng.randrange(4) :] + [rng.randrange(4) for _ in range(rng.randrange(6))] for _ in range(rng.randrange(1, 7))]
+        words = [w for w in words if len(w) >= 5]
+        owner = [rng.randrange(50) for _ in words]
+        runs = substring_dedup.shard_runs(list(range(len(words))), owner, words, 5)
+        got = {(c, k): least for c, i, j, least in runs for k in range(i, j + 1)}
+        windows = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        assert got == {(c, k): min(o for o, v in zip(owner, words, strict=True) if x in windows(v)) for c, w in enumerate(words) for k, x in enumerate(windows(w))}
 
 
 def plain_classes(rows, size, percent):
