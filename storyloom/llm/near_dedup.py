@@ -129,7 +129,7 @@ def remaining(nodes: DataFrame, label: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node, shingles of the wanted (doc_id, node)."""
+    """node, shingles of the wanted (node, id, text_hash): a document for each node, whose id may be null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=AT_ONCE):
@@ -139,7 +139,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             found = [s.view(np.int64) for s, ok in zip(sets, same, strict=True) if ok]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, ok in zip(nodes, same, strict=True) if ok], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    wanted = wanted.select("node", "id", F.col("text_hash").alias("h"))
+    held = docs.select("doc_id", "text").join(wanted, (F.xxhash64("text") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node")
+    return held.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def confirmed(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -168,12 +170,12 @@ def labels(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept; documents link from `percent` of shared among all shingles of `size` words."""
     rows = written(described(docs, size))
-    nodes = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    nodes = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("holder"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")))
     first, more = candidates(nodes, percent)
 
     def sets(found: DataFrame) -> DataFrame:
         ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return written(sets_of(docs, nodes.join(ends, "node").select("node", F.col("id").alias("doc_id")), size))
+        return written(sets_of(docs, nodes.join(ends, "node").select("node", F.col("holder.doc_id").alias("id"), F.col("holder.text_hash").alias("text_hash")), size))
 
     of_leaders = sets(first.union(more))
     links = confirmed(first, of_leaders, percent)
@@ -190,8 +192,8 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
         found = confirmed(rest, sets(rest), percent)
         if not found.isEmpty():
             label = labels(links.union(found))
-    label = nodes.join(label, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
-    least = label.groupBy("label").agg(F.min("id").alias("component_id"))
+    label = nodes.join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    least = label.groupBy("label").agg(F.min("least").alias("component_id"))
     component = label.join(least, "label").select(F.col("node").alias("of"), "component_id")
     out = rows.join(component, (F.col("node") == F.col("of")) & (F.col("n_shingles") > 0), "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))

@@ -157,6 +157,14 @@ def test_classes_of_odd_rows(odd, none, make):
     check_classes(make([(i, prose(random.Random(i), 50), "s") for i in range(5)]))  # no links at all
 
 
+def test_near_copies_of_null_id(make):
+    rng = random.Random(3)
+    base = prose(rng, 120).split()
+    near = lambda k: " ".join(w if i != 10 * k else "other" for i, w in enumerate(base))
+    check_classes(make([(5, near(1), "s"), (None, near(2), "s"), (None, near(3), "s"), (None, near(3), "s"), (9, prose(rng, 90), "s"), (None, prose(rng, 90), "s")]))
+    check_classes(make([(None, near(1), "s"), (None, near(2), "s")]))
+
+
 def test_classes_against_plain_code(make):
     rng = random.Random(2)
     rows = []
@@ -220,3 +228,17 @@ def copies(rng, n, share):
 def test_copies_just_under_the_threshold_against_plain_code(make, share):
     """Hundreds of copies, most pairs of which aren't near: their leaders alone miss links."""
     check_classes(make([(i, t, "s") for i, t in enumerate(copies(random.Random(0), 300, share))]))
+
+
+def test_query_of_classes_against_sql(spark):
+    """Recall by pairs over 10,000 documents: every link of the SQL's components is found, and no other."""
+    import duckdb
+
+    from storyloom.llm.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    expected = sorted(map(tuple, con.execute(near_dedup.ORACLE).fetchall()))
+    assert sorted(map(tuple, QUERIES["op9_near_dedup"](spark, sf).select("doc_id", "n_shingles", "component_id", "kept").collect())) == expected
+    assert sum(i != c for i, _, c, _ in expected) > 500
