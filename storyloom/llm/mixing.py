@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling; DataFrame functions only.
 
 Each document has an exponential key scaled by its quality weight. In key order the documents of a
-source fill what its target leaves after complete epochs. Sums over buckets of keys, about as many
-as the square root of the rows, find the one bucket where a source's budget ends; only that bucket
-is sorted. The document in which the budget ends is taken in part.
+source fill what its target leaves after complete epochs. Sums over buckets of keys find where a
+source's budget ends: first over buckets of the key's logarithm, which weights of any size only move
+along, then over parts of the bucket in which the budget ends, about as many as the square root of the
+rows; only one such part is sorted. The document in which the budget ends is taken in part.
 
 Rows: null and empty texts have no words, are of size 0 and never taken; a null source is a source,
 the last one; repeated rows have equal keys and are taken alike, sharing what is left at the
@@ -21,8 +22,12 @@ from storyloom.llm.common import words, written
 from storyloom.llm.host_rules import n_symbols
 
 
+#: Buckets for a doubling of the key: the fullest has less than a hundredth of a source's rows of one weight.
+OCTAVE = 64
+
+
 def quality_weight(text: Column) -> Column:
-    """1 for plain prose, less with its share of symbols, 0.05 at least."""
+    """1 for plain prose, less with its share of symbols, 0.05 at least: what DataFrame functions alone can say; mix() takes any other weight."""
     text = F.coalesce(text, F.lit(""))
     return F.greatest(F.lit(0.05), 1 - 4 * n_symbols(text) / F.greatest(F.length(text), F.lit(1)))
 
@@ -58,23 +63,41 @@ def targets(sizes: DataFrame, share: float, weights: tuple[int, ...], most: floa
     return table.withColumn("target", F.round(F.least(cap, level * F.col("weight")), 6)).drop("weight")
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (complete), part (words of one more copy), taken, text_hash."""
+def sources_end(rows: DataFrame, plan: DataFrame, bucket: Column) -> DataFrame:
+    """e_source, e_bucket, before, budget: the bucket in which each source's budget ends and what those before it hold. plan: (source, budget)."""
+    sums = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
+    running = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s, p = sums.withColumn("before", running).alias("s"), plan.alias("p")
+    ends = s.join(p, F.col("s.source").eqNullSafe(F.col("p.source"))).where("before <= budget AND budget < before + size AND budget > 0")
+    return written(ends.select(F.col("s.source").alias("e_source"), F.col("bucket").alias("e_bucket"), "before", "budget"))  # a row for each source
+
+
+def rows_at(rows: DataFrame, ends: DataFrame, bucket: Column) -> DataFrame:
+    """The rows of the buckets in which budgets end, with `before` and `budget`."""
+    found = rows.withColumn("bucket", bucket).join(ends, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("e_bucket")))
+    return found.drop("e_source", "e_bucket")
+
+
+def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0, seed: str = "mix", weight: Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (complete), part (words of one more copy), taken, text_hash.
+
+    weight: a positive column of docs, such as a joined score of the quality classifier; null counts as 0.05, as does less.
+    """
     size = F.size(words(F.col("text"))).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), quality_weight(F.col("text")).alias("weight"), F.xxhash64("text").alias("h"))
+    weight = quality_weight(F.col("text")) if weight is None else F.greatest(F.lit(0.05), F.coalesce(weight.cast("double"), F.lit(0.05)))
+    rows = docs.select("doc_id", "source", size.alias("size"), weight.alias("weight"), F.xxhash64("text").alias("h"))
     rows = rows.select("doc_id", "source", "size", F.struct(sampling_key(F.col("doc_id"), F.col("weight"), seed).alias("key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "h").alias("place"))
     rows = written(rows)  # no texts
     per_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, weights, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = written(per_source.withColumn("copies", epochs).withColumn("budget", F.round(F.col("target") - F.col("copies") * F.col("source_size")).cast("long")))
-    n = max(1, math.isqrt(rows.count()))
-    bucket = F.least(F.floor((1 - F.exp(-F.col("place.key"))) * n), F.lit(n - 1)).cast("int").alias("bucket")
-    sums = rows.groupBy("source", bucket).agg(F.sum("size").alias("size"))
-    running = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("before", running)  # at most n rows for a source
-    p, s = plan.alias("p"), sums.alias("s")
-    ends = s.join(p, F.col("s.source").eqNullSafe(F.col("p.source"))).where("before <= budget AND budget < before + size AND budget > 0").select(F.col("s.source").alias("e_source"), F.col("bucket").alias("e_bucket"), "before", "budget")
-    last = rows.withColumn("bucket", bucket).join(ends, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("e_bucket")))
+    scale, n = F.log2("place.key") * OCTAVE, max(1, math.isqrt(rows.count()))
+    octave = F.floor(scale).cast("int")
+    ends = sources_end(rows, plan.select("source", "budget"), octave)
+    near = rows_at(rows, ends, octave).withColumnRenamed("bucket", "octave").drop("before", "budget")
+    part = F.least(F.floor((scale - F.col("octave")) * n), F.lit(n - 1)).cast("int")
+    rest = ends.select(F.col("e_source").alias("source"), (F.col("budget") - F.col("before")).alias("budget"))
+    last = rows_at(near, sources_end(near, rest, part), part)
     peers = last.groupBy("source", "budget", "before", "place").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     upto = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("before")
     cut = peers.withColumn("upto", upto).where("upto <= budget AND budget < upto + size").select(F.col("source").alias("c_source"), F.col("place").alias("cut"), F.floor((F.col("budget") - F.col("upto")) / F.col("n")).alias("rest"))
