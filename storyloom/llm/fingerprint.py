@@ -9,7 +9,7 @@ and where that fails both are peeled at their own sizes.
 
 Rows: null text is an empty text, whose sketches are empty; likeness is shared / all paragraphs, 1
 for two empty texts; each row gives one row; documents of equal or null id are in the order of
-their texts, null ids last; an empty table gives an empty table; other columns are not looked at.
+their texts' hashes, null ids last; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -240,67 +240,95 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def in_order(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id, text in ranges of descending doc_id, each a partition; the first rows of each also end the range before it (`ahead`)."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
-    bounds = np.unique(ids.approxQuantile("id", [i / parts for i in range(1, parts)], max(1e-6, 0.1 / parts)))  # `parts` numbers
-
-    def place(x: pd.Series) -> np.ndarray:
-        at = len(bounds) - np.searchsorted(bounds, x.fillna(0).to_numpy(float), "right")
-        return np.where(x.isna(), len(bounds) + 1, at).astype("int32")
-
-    range_of = F.pandas_udf(lambda x: pd.Series(place(x)), "int")
-    tops = {r["range"]: r["top"] for r in ids.groupBy(range_of("id").alias("range")).agg(F.max("id").alias("top")).collect()}  # a row for each range
-    order = {r: i for i, r in enumerate(sorted(tops))}
-    ahead = {top: (order[r] - 1) % len(order) for r, top in tops.items()}
-
-    def places(x: pd.Series) -> pd.Series:
-        out = [[order[int(r)]] for r in place(x)]
-        for i, v in enumerate(x):
-            if (key := None if pd.isna(v) else int(v)) in ahead:
+def in_order(docs: DataFrame, per_part: int) -> DataFrame:
+    """doc_id, text, n (equal rows) in ranges of descending doc_id, each a partition of about `per_part` rows; the first row of each also ends the range before it (`ahead`).
+
+    An id that many rows have, or null, is split by the hashes of its texts, after equal rows are made one. What comes to the
+    driver is two numbers for each range.
+    """
+    docs = docs.select("doc_id", F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    slim = docs.select("id", F.xxhash64("text").alias("hash"))
+    total, nulls = slim.agg(F.count(F.lit(1)), F.count_if(F.col("id").isNull())).first()
+    parts = max(4, -(-total // per_part))
+    points = np.array(slim.approxQuantile("id", [i / parts for i in range(1, parts)], max(1e-6, 0.1 / parts)), float).astype(np.int64)
+    bounds, n = np.unique(points, return_counts=True)
+    often = bounds[n > 1]  # ids of about a range's rows or more
+    edges = np.unique(np.concatenate([bounds, often + 1]))  # such an id has a region of its own
+    cuts = np.ones(len(edges) + 2, np.int64)  # ranges of each region; the last one is that of null ids
+    cuts[np.searchsorted(edges, often, "right")] = n[n > 1] + 1
+    cuts[-1] = max(1, -(-nulls // per_part))
+    begin = np.cumsum(cuts[[*range(len(edges), -1, -1), len(edges) + 1]])
+    offset = np.concatenate([[0], begin[:-1]])
+
+    def place(none: pd.Series, x: pd.Series, h: pd.Series) -> np.ndarray:
+        """The range of rows, in descending order of ids and ascending order of hashes."""
+        region = np.where(none.to_numpy(bool), len(edges) + 1, np.searchsorted(edges, x.to_numpy(np.int64), "right"))
+        inside = (h.to_numpy(np.int64) / 2.0**64 + 0.5) * cuts[region]
+        at = np.where(region > len(edges), len(edges) + 1, len(edges) - region)
+        return offset[at] + np.minimum(inside.astype(np.int64), cuts[region] - 1)
+
+    keys = (F.col("id").isNull(), F.coalesce("id", F.lit(0).cast("long")), F.col("hash"))
+    range_of = F.pandas_udf(lambda none, x, h: pd.Series(place(none, x, h)), "long")
+    first = slim.groupBy(range_of(*keys).alias("range")).agg(F.min(F.struct((-F.col("id")).alias("i"), "hash")).alias("top")).collect()  # a row for each range
+    order = {r: i for i, r in enumerate(sorted(x["range"] for x in first))}
+    ahead = {(x["top"]["i"] is None, -(x["top"]["i"] or 0), x["top"]["hash"]): (order[x["range"]] - 1) % len(order) for x in first}
+
+    def places(none: pd.Series, x: pd.Series, h: pd.Series) -> pd.Series:
+        out = [[order[r]] for r in place(none, x, h).tolist()]
+        for i, key in enumerate(zip(none.tolist(), x.tolist(), h.tolist(), strict=True)):
+            if key in ahead:
                 out[i].append(-1 - ahead[key])
         return pd.Series(out)
 
-    ranges = F.pandas_udf(places, "array<int>")
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.explode(ranges(F.col("doc_id").cast("long"))).alias("r"))
-    rows = rows.select("doc_id", "text", (F.col("r") < 0).alias("ahead"), F.when(F.col("r") < 0, -1 - F.col("r")).otherwise(F.col("r")).alias("range"))
-    return rows.repartitionById(max(1, len(order)), "range").sortWithinPartitions("ahead", F.col("doc_id").desc_nulls_last(), "text")
+    rows = docs.withColumn("hash", F.xxhash64("text"))
+    hot = F.pandas_udf(lambda none, x: none | x.isin(often), "boolean")(*keys[:2])
+    many = rows.where(hot).groupBy("id", "hash").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    rows = rows.where(~hot).withColumn("n", F.lit(1).cast("long")).unionByName(many)
+    rows = rows.withColumn("r", F.explode(F.pandas_udf(places, "array<long>")(*keys)))
+    rows = rows.select("doc_id", "text", "n", "hash", (F.col("r") < 0).alias("ahead"), F.when(F.col("r") < 0, -1 - F.col("r")).otherwise(F.col("r")).cast("int").alias("range"))
+    return rows.repartitionById(max(1, len(order)), "range").sortWithinPartitions("ahead", F.col("doc_id").desc_nulls_last(), "hash", "text").drop("hash")
 
 
-def versions(docs: DataFrame, per_part: int = 2_000, most_parts: int = 20_000) -> DataFrame:
+def versions(docs: DataFrame, per_part: int = 4_000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    parts = min(most_parts, max(4, -(-docs.count() // per_part)))  # beyond that, parts are larger
-    rows = in_order(docs, parts)
+    rows = in_order(docs, per_part)
     names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    schema = rows.select("doc_id", *[F.lit(x).alias(n) for n, x in zip(names, (0, "", "", "", 0.0, 0.0), strict=True)]).withColumn("n_chars", F.lit(0).cast("long")).schema
+    schema = rows.select("doc_id", *[F.lit(x).alias(n) for n, x in zip(names, (0, "", "", "", 0.0, 0.0), strict=True)], F.lit(0).cast("long").alias("times")).withColumn("n_chars", F.lit(0).cast("long")).schema
 
-    def finish(ids: list, texts: list[str], id_type: pa.DataType) -> pa.RecordBatch:
-        """Rows of all texts but the last, which only follows."""
-        new = [edited(t, f) for t, f in zip(texts, texts[1:], strict=False)]
+    def finish(ids: list, texts: list[str], n: list[int], id_type: pa.DataType) -> pa.RecordBatch:
+        """Rows of all texts but the last, which only follows; of equal rows all but one are followed by their like."""
+        own = [*range(len(texts) - 1), *(i for i in range(len(texts) - 1) if n[i] > 1)]
+        after = [i + 1 if k < len(texts) - 1 else i for k, i in enumerate(own)]
+        new = [edited(texts[i], texts[j]) for i, j in zip(own, after, strict=True)]
         prints, changed = fingerprints(texts), fingerprints(new)
+        mine = [prints[i] for i in own]
         text = lambda x: pa.array([base64.b64encode(p).decode() for p in x], pa.string())
         cols = [
-            pa.array([len(t) for t in texts[:-1]], pa.int64()),
+            pa.array([len(texts[i]) for i in own], pa.int64()),
             pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new], pa.string()),
-            text(prints[:-1]),
+            text(mine),
             text(changed),
-            pa.array(compared(prints[:-1], changed), pa.float64()),
-            pa.array(compared(prints[:-1], prints[1:]), pa.float64()),
+            pa.array(compared(mine, changed), pa.float64()),
+            pa.array(compared(mine, [prints[j] for j in after]), pa.float64()),
+            pa.array([1 if k < len(texts) - 1 else n[i] - 1 for k, i in enumerate(own)], pa.int64()),
         ]
-        return pa.RecordBatch.from_arrays([pa.array(ids[:-1], id_type), *cols], names=["doc_id", *names])
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], id_type), *cols], names=["doc_id", *names, "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, chars, ended = [], [], 0, False
+        ids, texts, n, chars, ended = [], [], [], 0, False
         for b in slices(batches):
-            for doc_id, text, ahead in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "ahead")), strict=True):
+            for doc_id, text, many, ahead in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "n", "ahead")), strict=True):
                 if ended:  # by the first of the rows that the next range begins with
                     break
                 ids.append(doc_id)
                 texts.append(text)
+                n.append(many)
                 chars += len(text)
                 ended = ahead
                 if (ended or chars > AT_ONCE) and len(texts) > 1:
-                    yield finish(ids, texts, b.schema.field("doc_id").type)
-                    ids, texts, chars = ids[-1:], texts[-1:], len(texts[-1])
+                    yield finish(ids, texts, n, b.schema.field("doc_id").type)
+                    ids, texts, n, chars = ids[-1:], texts[-1:], n[-1:], len(texts[-1])
 
-    return rows.mapInArrow(run, schema)
+    tens = F.sequence(F.lit(0), F.floor((F.col("times") - 1) / 10_000))  # by ten thousands, so that no array is long
+    out = rows.mapInArrow(run, schema).withColumn("t", F.explode(tens))
+    return out.withColumn("t", F.explode(F.sequence(F.lit(1), F.least(F.lit(10_000), F.col("times") - 10_000 * F.col("t"))))).drop("times", "t")

@@ -11,32 +11,48 @@ from storyloom.llm import fingerprint, near_dedup, substring_dedup
 
 
 
-def test_versions_against_plain_code(odd, none):
-    out = fingerprint.versions(odd, per_part=5).collect()
-    rows = sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+def plain_likeness(a, b):
+    coarse, fine = fingerprint.paragraphs([a, b])
+    doc, digest = fine if max(len(a), len(b)) < fingerprint.SHORT else coarse
+    x, y = (set(digest[doc == k].tolist()) for k in (0, 1))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def check_versions(df, per_part):
+    """Every column against plain code; documents of equal id are in the order of their texts' hashes."""
+    out = fingerprint.versions(df, per_part=per_part).collect()
+    rows = df.selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").collect()
+    rows = sorted(((r.doc_id, r.text, r.h) for r in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[2]))
     expected = []
-    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
-        expected.append((i, len(text), hashlib.sha256(fingerprint.edited(text, after).encode()).hexdigest()))
-    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in out), key=str) == sorted(expected, key=str)
-    by_text = {}
-    for (_, text), r in zip(sorted(rows, key=lambda x: (str(x[0]), len(x[1]))), sorted(out, key=lambda r: (str(r.doc_id), r.n_chars)), strict=True):
-        assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
-    assert all(0 <= v <= 1 for r in out for v in (r.near_edited, r.near_next))
+    for (i, text, _), (_, after, _) in zip(rows, rows[1:] + rows[:1], strict=True):
+        new = fingerprint.edited(text, after)
+        expected.append((i, len(text), hashlib.sha256(new.encode()).hexdigest(), round(plain_likeness(text, new), 9), round(plain_likeness(text, after), 9)))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in out), key=str) == sorted(expected, key=str)
+    prints = {}
+    for r in out:
+        assert prints.setdefault((r.doc_id, r.n_chars), r.fingerprint) == r.fingerprint or sum(x[0] == r.doc_id for x in rows) > 1
+
+
+def test_versions_against_plain_code(odd, none):
+    check_versions(odd, 5)
     assert fingerprint.versions(none).count() == 0
 
 
+def test_versions_of_hot_ids(make):
+    """A third of the rows has one id, a third none, and many rows of these are equal."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 20), "s") for i in range(60)] + [(30, prose(rng, rng.randrange(9)), "s") for _ in range(60)] + [(None, "same text", "s")] * 40 + [(None, None, "s")] * 10 + [(None, prose(rng, 9), "s") for _ in range(20)]
+    rows += [(2**60 + i, f"far {i}", "s") for i in range(5)] + [(-(2**60), "low", "s")]
+    check_versions(make(rows), 10)
+    parts = fingerprint.in_order(make(rows), 10).withColumn("p", fingerprint.F.spark_partition_id()).groupBy("p").count().collect()
+    assert max(r["count"] for r in parts) <= 30
+
+
 def test_one_document_follows_itself(make):
     (r,) = fingerprint.versions(make([(3, "abcdefghi", "s")])).collect()
     assert r.edited_sha256 == hashlib.sha256(b"abcdefabc").hexdigest()
 
 
-def plain_likeness(a, b):
-    coarse, fine = fingerprint.paragraphs([a, b])
-    doc, digest = fine if max(len(a), len(b)) < fingerprint.SHORT else coarse
-    x, y = (set(digest[doc == k].tolist()) for k in (0, 1))
-    return len(x & y) / len(x | y) if x | y else 1.0
-
-
 def test_likeness_is_that_of_the_paragraphs():
     rng = random.Random(4)
     texts = ["", "a", "a\na\na\nb", "\n" * 50] + [prose(rng, n) for n in (3, 30, 100, 400, 3000)]
