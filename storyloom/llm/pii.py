@@ -206,25 +206,27 @@ def rekeyed(entities: DataFrame, key: str, most: int = 64) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with surrogates in column `text`, and n_entities, the number of mentions replaced."""
     columns = [c for c in docs.columns if c != "n_entities"]
-    docs = docs.select(columns)
-    same = (F.col("doc_id"), F.xxhash64(text))
-    found = docs.select(F.col("doc_id").alias("m_id"), F.xxhash64(text).alias("m_hash"), mentions(F.col(text)).alias("m")).where(F.size("m") > 0)
+    found = docs.select(*[F.col(c).alias(f"c_{c}") for c in columns], F.xxhash64(text).alias("hash"), mentions(F.col(text)).alias("m"))
+    some = F.size("m") > 0
+    # the one search of all texts: a text with mentions is kept as what stands between them
+    found = found.withColumn("gaps", F.when(some, F.split(f"c_{text}", ANY, -1))).withColumn(f"c_{text}", F.when(~some, F.col(f"c_{text}")))
     found = written(found)
-    each = found.dropDuplicates(["m_id", "m_hash"]).select("m_id", "m_hash", F.posexplode("m").alias("pos", "mention"))
+    touched = found.where(some)
+    each = touched.select(F.col("c_doc_id").alias("m_id"), F.col("hash").alias("m_hash"), "m").dropDuplicates(["m_id", "m_hash"])
+    each = each.select("m_id", "m_hash", F.posexplode("m").alias("pos", "mention"))
     each = each.withColumn("kind", kind_of(F.col("mention"))).withColumn("canon", canonical(F.col("kind"), F.col("mention")))
+    each = written(each)
     entities = written(each.groupBy("kind", "canon").agg(F.min("mention").alias("mention")))
     again = rekeyed(entities, key).select(F.col("kind").alias("a_kind"), F.col("canon").alias("a_canon"), "tries")
     each = each.join(again, (F.col("kind") == F.col("a_kind")) & (F.col("canon") == F.col("a_canon")), "left")
     each = each.select("m_id", "m_hash", "pos", "kind", "mention", "canon", F.coalesce("tries", F.lit(0)).alias("tries"))
     per_doc = with_surrogates(each, key).groupBy("m_id", "m_hash").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("news"))
     per_doc = written(per_doc)
-    n = F.size(mentions(F.col(text)))
-    untouched = docs.where(F.coalesce(n == 0, F.lit(True))).withColumn("n_entities", F.lit(0).cast("long"))
-    touched = docs.where(n > 0).join(per_doc, same[0].eqNullSafe(F.col("m_id")) & (same[1] == F.col("m_hash")))
-    parts = F.split(text, ANY, -1)
-    whole = F.array_join(F.zip_with(parts, F.col("news.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    touched = touched.withColumn("n_entities", F.size("news").cast("long")).withColumn(text, whole)
-    out = untouched.unionByName(touched.select(*columns, "n_entities"))
+    touched = touched.join(per_doc, F.col("c_doc_id").eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash")))
+    whole = F.array_join(F.zip_with("gaps", F.col("news.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    back = [F.col(f"c_{c}").alias(c) for c in columns]
+    untouched = found.where(F.coalesce(~some, F.lit(True))).select(*back, F.lit(0).cast("long").alias("n_entities"))
+    out = untouched.unionByName(touched.withColumn(f"c_{text}", whole).select(*back, F.size("news").cast("long").alias("n_entities")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out

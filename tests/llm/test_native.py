@@ -166,12 +166,28 @@ def test_surrogates_of_odd_rows(odd, none, make):
 
 
 def test_distinct_entities_stay_distinct(make):
-    """Addresses of one letter: first surrogates must collide, or be other real addresses."""
-    users = "abcdefghijklmnop"
-    out = pii.pseudonymise(make([(i, f"{u}@q.de", "s") for i, u in enumerate(users)]), "key").collect()
-    new = [r.text for r in out]
-    assert len(set(new)) == len(users)
-    assert not {n.split("@")[0] for n in new} & set(users) or len({n.split("@")[1] for n in new}) == 1
+    """Addresses of one letter, then of two: first surrogates must collide, or be other real addresses."""
+    import itertools
+
+    users = [*"abcdefghijklmnopqrst", *map("".join, itertools.product("abcdef", repeat=2))]
+    mails = [f"{u}@q.de" for u in users]
+    df = make([(i, f"{m} and {m.upper()}", "s") for i, m in enumerate(mails)])
+    first = df.sparkSession.createDataFrame([("email", m, m, 0) for m in mails], "kind string, canon string, mention string, tries int")
+    once = {r.new for r in pii.with_surrogates(first, "key").collect()}
+    assert len(once) < len(mails) or once & set(mails)  # unchecked, they do
+    new = {}
+    for r in pii.pseudonymise(df, "key").collect():
+        a, b = r.text.split(" and ")
+        assert a == b.lower() and b[0].isupper()  # one entity, in the format of each mention
+        new[mails[r.doc_id]] = a
+    assert len(set(new.values())) == len(mails) and not set(new.values()) & set(mails)
+
+
+def test_very_long_text_with_entities(make):
+    body = [f"word{k} " * 50 + f"user{k % 9}@mail.example.org call +1 988 555 {2000 + k} " for k in range(3000)]
+    (r,) = pii.pseudonymise(make([(1, "".join(body), "s")]), "key").collect()
+    assert r.n_entities == 6000 and r.n_chars == len(r.text) and not re.search(r"@mail\.example|988 555", r.text)
+    assert len(set(re.findall(r"\S+@\S+", r.text))) == 9 and re.sub(r"\S+@\S+|\+1 [\d ]+", "", r.text) == re.sub(r"\S+@\S+|\+1 [\d ]+", "", "".join(body))
 
 
 @pytest.mark.parametrize("quote", ["", '"', "'"])
