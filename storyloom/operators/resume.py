@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from storyloom.operators.store import files
+
+log = logging.getLogger(__name__)
+
 SCHEMA_VERSION = 1
 KEY = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,199}")
 
@@ -69,12 +74,12 @@ def assembled(chunks: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def admission(chunks: DataFrame, failures: DataFrame, judge_failures: DataFrame, merge_failures: DataFrame, written: bool = True) -> DataFrame:
-    """novel_id, complete: no chunk, judge or merge call failed and the graph is written; terminal status of the job."""
+    """novel_id, complete: no chunk, judge or merge call failed and the graph is written; terminal status of the job: chunks that failed in extraction or judging are errors."""
     novels = chunks.select("novel_id").distinct()
     for name, df in (("chunk", failures), ("judge", judge_failures), ("merge", merge_failures)):
         novels = novels.join(df.groupBy("novel_id").agg(F.count(F.lit(1)).alias(f"{name}_failures")), "novel_id", "left").na.fill(0, [f"{name}_failures"])
     gaps = F.col("chunk_failures") + F.col("judge_failures") + F.col("merge_failures")
-    status = F.when(F.col("chunk_failures") > 0, "completed_with_errors").otherwise("completed")
+    status = F.when(F.col("chunk_failures") + F.col("judge_failures") > 0, "completed_with_errors").otherwise("completed")
     return novels.withColumns({"complete": (gaps == 0) & F.lit(written), "status": status if written else F.lit("failed")})
 
 
@@ -94,7 +99,13 @@ def graph_diff(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 class Checkpoints:
-    """Tables of one folder by kind and key. A table that is missing or unreadable counts as empty."""
+    """Tables of one folder by kind and key. A table that is missing or unreadable counts as empty.
+
+    Each put() writes a new version and then marks it as whole; readers take the newest marked version that can be read, so
+    a crash in between, or a run that still reads the version before, loses nothing. The version before the newest stays.
+    """
+
+    MARK = "WHOLE"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -104,23 +115,71 @@ class Checkpoints:
             raise ValueError(f"not a key: {kind!r}, {key!r}")
         return f"{self.path}/{kind}/key={key}"
 
+    def versions(self, kind: str, key: str) -> list[int]:
+        """The marked versions, the newest first."""
+        folder = self.folder(kind, key)
+        fs, at = files(self.spark, folder)
+        found = fs.listStatus(at(folder)) if fs.exists(at(folder)) else []
+        numbers = [int(s.getPath().getName().removeprefix("v")) for s in found if re.fullmatch(r"v\d+", s.getPath().getName())]
+        return sorted((n for n in numbers if fs.exists(at(f"{folder}/v{n}/{self.MARK}"))), reverse=True)
+
     def put(self, kind: str, key: str, rows: DataFrame) -> None:
-        """Replaces the rows; Spark's commit shows them whole or not at all."""
-        rows.write.mode("overwrite").parquet(self.folder(kind, key))
+        """Replaces the rows; they show whole or not at all."""
+        folder, old = self.folder(kind, key), self.versions(kind, key)
+        fs, at = files(self.spark, folder)
+        new = max(old, default=0) + 1
+        rows.write.mode("overwrite").parquet(f"{folder}/v{new}/rows")  # what a crash left there was never marked
+        fs.create(at(f"{folder}/v{new}/{self.MARK}")).close()
+        for n in old[1:]:
+            fs.delete(at(f"{folder}/v{n}"), True)
 
     def get(self, kind: str, key: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(self.folder(kind, key))
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "FileNotFound" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
+        for n in self.versions(kind, key):
+            df = self.spark.read.schema(schema).parquet(f"{self.folder(kind, key)}/v{n}/rows")
+            try:
+                df.count()  # reads the footer of every file
+            except Exception as e:  # noqa: BLE001  whatever is wrong with the files, the version before is tried
+                log.warning("checkpoint %s of %s, version %d, can't be read: %s", kind, key, n, str(e)[:300])
+                continue
+            return df
+        return self.spark.createDataFrame([], schema)
 
     def delete(self, kind: str, key: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder(kind, key))
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        fs, at = files(self.spark, self.folder(kind, key))
+        fs.delete(at(self.folder(kind, key)), True)
 
     def keys(self, kind: str) -> list[str]:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(s.getPath().getName().removeprefix("key=") for s in fs.listStatus(p)) if fs.exists(p) else []
+        fs, at = files(self.spark, f"{self.path}/{kind}")
+        found = fs.listStatus(at(f"{self.path}/{kind}")) if fs.exists(at(f"{self.path}/{kind}")) else []
+        return sorted(k for k in (s.getPath().getName().removeprefix("key=") for s in found) if self.versions(kind, k))
+
+
+#: The states of a manifest; fixed values.
+IN_PROGRESS, COMPLETED = "IN_PROGRESS", "COMPLETED"
+MANIFEST = "novel_id string, content_hash string, config_fingerprint string, structure_hash string, title string, chunk_count long, status string, created_at timestamp, updated_at timestamp"
+
+
+class Manifests:
+    """One row for each novel that a run has begun: what it was made of and whether it's complete."""
+
+    def __init__(self, checkpoints: Checkpoints):
+        self.store = checkpoints
+
+    def all(self) -> DataFrame:
+        return self.store.get("manifests", "all", MANIFEST)
+
+    def save(self, rows: DataFrame) -> None:
+        """rows: (novel_id, content_hash, config_fingerprint, structure_hash, title, chunk_count, status). Other novels' rows stay, and so does the time at which a novel was begun."""
+        bad = rows.where(~F.coalesce(F.col("status").isin(IN_PROGRESS, COMPLETED) & F.col("content_hash").rlike("^[0-9a-f]{64}$") & F.col("config_fingerprint").rlike("^[0-9a-f]{64}$"), F.lit(False)))
+        if not bad.isEmpty():
+            raise ValueError("a manifest has two hashes of 64 hexadecimal digits and is IN_PROGRESS or COMPLETED")
+        old = self.all()
+        begun = old.select("novel_id", F.col("created_at").alias("__begun"))
+        new = rows.join(begun, "novel_id", "left").withColumns({"created_at": F.coalesce("__begun", F.current_timestamp()), "updated_at": F.current_timestamp()})
+        self.store.put("manifests", "all", old.join(rows.select("novel_id"), "novel_id", "left_anti").select(old.columns).unionByName(new.select(old.columns)))
+
+    def reusable(self, uploads: DataFrame, fingerprint: str) -> DataFrame:
+        """content_hash, known_novel_id, known_status of the uploads (content_hash, structure_hash) that an earlier run with the same settings has begun; chunks that differ are another analysis."""
+        known = latest_manifests(self.all().where(F.col("config_fingerprint") == fingerprint))
+        known = known.select("content_hash", "structure_hash", F.col("novel_id").alias("known_novel_id"), F.col("status").alias("known_status"))
+        return uploads.select("content_hash", "structure_hash").join(known, ["content_hash", "structure_hash"]).drop("structure_hash")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from storyloom.functions.text import node_id
 from storyloom.operators.graph import stored_relations
 
 TABLES = ("novels", "persons", "relates_to")
+SCHEMAS = {
+    "novels": "title string, novel_id string",
+    "persons": "name string, mention_count bigint, chapters array<int>, chunk_ids array<int>, aliases array<string>, id string, novel_id string",
+    "relates_to": "source string, target string, type string, chunk_ids array<int>, weight bigint, confidence double, evidence array<struct<chunk_id:int,chapter_id:int,text:string>>, novel_id string",
+}
 
 
 def with_ids(people: DataFrame) -> DataFrame:
@@ -16,27 +23,74 @@ def with_ids(people: DataFrame) -> DataFrame:
     return people.withColumn("id", node_id(F.col("novel_id"), F.col("name")))
 
 
+def files(spark: SparkSession, path: str):  # noqa: ANN201
+    """Hadoop's file system of a path, and the function that makes its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def partitions(spark: SparkSession, path: str) -> set[str]:
+    """Names of the novels' folders of a table."""
+    fs, at = files(spark, path)
+    return {s.getPath().getName() for s in fs.listStatus(at(path)) if s.getPath().getName().startswith("novel_id=")} if fs.exists(at(path)) else set()
+
+
 def write_novels(novels: DataFrame, people: DataFrame, edges: DataFrame, path: str) -> dict[str, int]:
-    """Replaces the partitions of the given novels; edges without both persons aren't stored but counted.
+    """Replaces the partitions of the given novels in all three tables; edges without both persons aren't stored but counted.
 
-    A novel's rows are replaced whole, so what a former run had and this one hasn't is gone.
+    A novel's rows are replaced whole, so what a former run had and this one hasn't is gone, edges too if it has none now.
+    The tables are staged first and then marked as ready: a crash before the mark leaves the store as it was, and one
+    after it is made good by the next write or read, which moves what is left.
     """
+    spark = novels.sparkSession
+    recover(spark, path)
     keep = stored_relations(edges, people)
+    stage = f"{path}/_staged/{uuid.uuid4().hex}"
     for name, df in zip(TABLES, (novels, with_ids(people), keep), strict=True):
-        df.repartition("novel_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("novel_id").parquet(f"{path}/{name}")
+        df.repartition("novel_id").write.partitionBy("novel_id").parquet(f"{stage}/{name}")
+    fs, at = files(spark, path)
+    has = {name: partitions(spark, f"{stage}/{name}") for name in TABLES}
+    for name in TABLES:
+        for novel in set().union(*has.values()) - has[name]:
+            fs.mkdirs(at(f"{stage}/_none/{name}/{novel}"))  # the novel has no rows of this table now
+    fs.create(at(f"{stage}/READY")).close()
+    recover(spark, path)
     return {"edges_without_persons": edges.count() - keep.count()}
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Finishes writes that were staged whole; a step that was done already is passed over. Staged folders without their mark are left to their writers."""
+    fs, at = files(spark, path)
+    if not fs.exists(at(f"{path}/_staged")):
+        return
+    for stage in sorted(s.getPath().toString() for s in fs.listStatus(at(f"{path}/_staged"))):
+        if not fs.exists(at(f"{stage}/READY")):
+            continue
+        for name in TABLES:
+            for novel in sorted(partitions(spark, f"{stage}/_none/{name}")):
+                fs.delete(at(f"{path}/{name}/{novel}"), True)
+            fs.mkdirs(at(f"{path}/{name}"))
+            for novel in sorted(partitions(spark, f"{stage}/{name}")):  # those that aren't moved yet
+                fs.delete(at(f"{path}/{name}/{novel}"), True)
+                if not fs.rename(at(f"{stage}/{name}/{novel}"), at(f"{path}/{name}/{novel}")):
+                    raise OSError(f"{stage}/{name}/{novel} can't be moved")
+        fs.delete(at(stage), True)
+
+
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table; without rows if no novel has any."""
+    recover(spark, path)
+    if not partitions(spark, f"{path}/{name}"):
+        return spark.createDataFrame([], SCHEMAS[name])
     return spark.read.parquet(f"{path}/{name}")
 
 
 def delete_novel(spark: SparkSession, path: str, novel_id: str) -> None:
     """Drops the novel's partition of each table."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs, at = files(spark, path)
+    recover(spark, path)
     for name in TABLES:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/novel_id={novel_id}")
-        p.getFileSystem(conf).delete(p, True)
+        fs.delete(at(f"{path}/{name}/novel_id={novel_id}"), True)
 
 
 def duplicates(people: DataFrame) -> DataFrame:
@@ -64,7 +118,8 @@ def get_novel(novels: DataFrame, people: DataFrame, edges: DataFrame, novel_id:
 
 
 def search(people: DataFrame, novel_id: str, q: str, limit: int = 10) -> DataFrame:
-    """Persons whose name or an alias has q, case-sensitive; most mentioned first, then by name. An empty q finds all."""
+    """Persons whose name or an alias has q without the space around it, case-sensitive; most mentioned first, then by name. An empty q finds all."""
+    q = q.strip()
     hit = F.contains("name", F.lit(q)) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.contains(a, F.lit(q)))
     return people.where((F.col("novel_id") == novel_id) & hit).orderBy(F.desc("mention_count"), "name").limit(limit)
 

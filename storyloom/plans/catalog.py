@@ -550,7 +550,7 @@ def ckp5_combined(spark, sf):
     return resume.combine(t.where("status = 'completed'"), new).select("novel_id", "chunk_id", "status", "attempts")
 
 
-@query(f"WITH {TASKS}, n AS (SELECT DISTINCT novel_id FROM tasks), f AS (SELECT novel_id, count(*) AS c FROM tasks WHERE status = 'failed' AND novel_id < 5 GROUP BY 1), j AS (SELECT novel_id, count(*) AS c FROM tasks WHERE status = 'failed' AND novel_id = 7 GROUP BY 1) SELECT novel_id, coalesce(f.c, 0) AS chunk_failures, coalesce(j.c, 0) AS judge_failures, 0::BIGINT AS merge_failures, coalesce(f.c, 0) + coalesce(j.c, 0) = 0 AS complete, CASE WHEN coalesce(f.c, 0) > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM n LEFT JOIN f USING (novel_id) LEFT JOIN j USING (novel_id)")
+@query(f"WITH {TASKS}, n AS (SELECT DISTINCT novel_id FROM tasks), f AS (SELECT novel_id, count(*) AS c FROM tasks WHERE status = 'failed' AND novel_id < 5 GROUP BY 1), j AS (SELECT novel_id, count(*) AS c FROM tasks WHERE status = 'failed' AND novel_id = 7 GROUP BY 1) SELECT novel_id, coalesce(f.c, 0) AS chunk_failures, coalesce(j.c, 0) AS judge_failures, 0::BIGINT AS merge_failures, coalesce(f.c, 0) + coalesce(j.c, 0) = 0 AS complete, CASE WHEN coalesce(f.c, 0) + coalesce(j.c, 0) > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM n LEFT JOIN f USING (novel_id) LEFT JOIN j USING (novel_id)")
 def ckp9_job3_admission(spark, sf):
     t = tasks(spark, sf)
     bad = resume.failed(t)

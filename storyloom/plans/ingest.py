@@ -33,16 +33,23 @@ class Result:
     persons: DataFrame
     relations: DataFrame
     admission: DataFrame
+    ready: DataFrame  # what was resolved: chunks with their extractions
+    merges: DataFrame
+    manifests: resume.Manifests | None = None
+    begun: DataFrame | None = None  # manifests of the novels that this run worked on
 
 
 def build(
     spark: SparkSession, chapters: DataFrame, work_dir: str, settings: Settings = Settings(), extractor: Extractor = extraction.rule_extractor,
     judge: resolution.AliasJudge = resolution.nobody, merge_judge: merging.MergeJudge = keep_none, checkpoint: str | None = None,
+    contents: DataFrame | None = None,
 ) -> Result:
     """Chunks, extracts what no checkpoint has, resolves, aggregates, merges and drops the unconfirmed.
 
     work_dir is a folder that driver and executors share. What calls judges or extractors is written there, so that
     no later action repeats a call; a checkpoint key makes a later run with the same settings start from what is done.
+    contents: (novel_id, content_hash, title) of the uploads. With a checkpoint, novels that an earlier run completed with the
+    same bytes, settings and chunks aren't worked on again and have no rows in the result; the others are noted as begun.
     """
     numbers, run = iter(range(10_000)), f"{work_dir}/runs/{uuid.uuid4().hex}"
 
@@ -54,14 +61,25 @@ def build(
     chunks = written(C.chunk(chapters, settings.chunk_size, settings.chunk_overlap), "chunks")
     print_ = resume.config_fingerprint(chunker=1, extractor=1, **{k: v for k, v in asdict(settings).items() if k in ("chunk_size", "chunk_overlap", "model")})
     store_ = resume.Checkpoints(spark, f"{work_dir}/checkpoints")
+    manifests = begun = None
+    if checkpoint and contents is not None:
+        manifests = resume.Manifests(store_)
+        uploads = C.structure_hash(chunks).join(contents, "novel_id")
+        known = manifests.reusable(uploads, print_).where("known_status = 'COMPLETED'").select(F.col("known_novel_id").alias("novel_id"))
+        chunks = written(chunks.join(known, "novel_id", "left_anti"), "chunks_to_do")
+        counts = chunks.groupBy("novel_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+        begun = uploads.join(counts, "novel_id").withColumns({"config_fingerprint": F.lit(print_), "status": F.lit(resume.IN_PROGRESS)})
+        begun = written(begun, "manifests")
+        manifests.save(begun)
     old = store_.get("extractions", checkpoint, CHECKPOINT) if checkpoint else spark.createDataFrame([], CHECKPOINT)
     done = resume.completed(old, print_)
     how = extraction.Attempts(retries=settings.retries)
     new = extraction.extract_all(resume.todo(chunks, done), extractor, how, settings.concurrency).withColumn("config_fingerprint", F.lit(print_))
     new = resume.with_attempts(new, old)
-    extractions = written(resume.combine(done, new), "extractions")
+    extractions = written(resume.combine(done.join(chunks.select("novel_id", "chunk_id"), ["novel_id", "chunk_id"], "left_semi"), new), "extractions")
     if checkpoint:
-        store_.put("extractions", checkpoint, extractions)
+        others = old.join(chunks.select("novel_id").distinct(), "novel_id", "left_anti")  # of novels that are complete already
+        store_.put("extractions", checkpoint, others.select(extractions.columns).unionByName(extractions))
     ready = resume.assembled(chunks, extractions.where("status = 'completed'")).select("*", "result.*")
     past = store_.get("judgements", checkpoint, JUDGEMENTS) if checkpoint else None
     resolved = written(resolution.resolve(ready, judge, settings.lineage, past, settings.model), "resolution")
@@ -85,9 +103,14 @@ def build(
     people, edges = written(people, "persons"), written(edges, "relations")
     failures = resume.failed(extractions)
     admission = resume.admission(chunks, failures, resolution.judge_failures(resolved), decisions.where("outcome = 'failed'"))
-    return Result(chunks, extractions, resolved, decisions, people, edges, admission)
+    return Result(chunks, extractions, resolved, decisions, people, edges, admission, ready, merges, manifests, begun)
 
 
 def save(result: Result, titles: DataFrame, path: str) -> dict[str, int]:
-    """Writes the graph's tables; titles: (novel_id, title)."""
-    return store.write_novels(titles, result.persons, result.relations, path)
+    """Writes the graph's tables, then notes the novels without any gap as complete; titles: (novel_id, title)."""
+    worked_on = result.chunks.select("novel_id").distinct()
+    out = store.write_novels(titles.join(worked_on, "novel_id", "left_semi"), result.persons, result.relations, path)
+    if result.manifests is not None:
+        done = result.admission.where("complete").select("novel_id")
+        result.manifests.save(result.begun.join(done, "novel_id", "left_semi").withColumn("status", F.lit(resume.COMPLETED)))
+    return out

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from storyloom.config import Settings
 from storyloom.operators import chunks, evaluation, extraction, graph, lineage, merging, resume, store
-from storyloom.operators.jobs import Jobs, final_status
 from storyloom.plans import ingest
 from storyloom.sources import epub
 
@@ -226,19 +225,88 @@ def test_checkpoints(spark, tmp_path):
     assert one == resume.config_fingerprint(chunk_size=1, model="m") != resume.config_fingerprint(model="m", chunk_size=2)
 
 
-def test_jobs_are_claimed_once():
-    jobs, got = Jobs(), []
-    threads = [threading.Thread(target=lambda: got.append(jobs.get_or_create("n"))) for _ in range(20)]
-    [t.start() for t in threads]
-    [t.join() for t in threads]
-    assert sum(new for _, new in got) == 1 and len({j.job_id for j, _ in got}) == 1
-    job = got[0][0]
-    [t.join() for t in [threading.Thread(target=jobs.advance, args=(job.job_id,)) for _ in range(30)] if not t.start()]
-    assert jobs.get(job.job_id).done == 30
-    jobs.update(job.job_id, status=final_status(2))
-    assert jobs.get_or_create("n")[1] and final_status(0) == "completed" and final_status(1, OSError()) == "failed"
-    with pytest.raises(ValueError, match="no such state"):
-        jobs.update(job.job_id, status="odd")
+def test_a_crash_loses_no_checkpoint(spark, tmp_path):
+    c = resume.Checkpoints(spark, str(tmp_path))
+    c.put("a", "k", spark.range(3).selectExpr("int(id) AS x"))
+    spark.range(9).selectExpr("int(id) AS x").write.parquet(f"{tmp_path}/a/key=k/v2/rows")  # written, but the run died before the mark
+    assert c.get("a", "k", "x int").count() == 3
+    c.put("a", "k", c.get("a", "k", "x int").where("x > 0"))  # reads the version before while it writes
+    assert c.get("a", "k", "x int").count() == 2
+    for f in (tmp_path / "a/key=k/v2/rows").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    for f in (tmp_path / "a/key=k/v2/rows").glob(".*.crc"):
+        f.unlink()
+    assert c.get("a", "k", "x int").count() == 3  # the version before
+    (tmp_path / "a/key=k/v1/WHOLE").unlink()
+    assert c.get("a", "k", "x int").count() == 0
+
+
+def stored(spark, path):
+    return sorted((r.novel_id, r.source, r.target) for r in store.read(spark, path, "relates_to").collect()), sorted((r.novel_id, r.name) for r in store.read(spark, path, "persons").collect())
+
+
+def small_graph(spark, *names):
+    people = graph.persons(spark.createDataFrame([(n, 1, 1, x) for n in "nm" for x in names], "novel_id string, chunk_id int, chapter_id int, name string")).withColumn("aliases", F.array().cast("array<string>"))
+    return people, graph.relations(relations(spark, [(1, a, b, 0.8) for a, b in zip(names, names[1:], strict=False)]))
+
+
+def test_a_novel_without_edges_has_none(spark, tmp_path):
+    titles, path = spark.createDataFrame([("n", "Book"), ("m", "Other")], "novel_id string, title string"), str(tmp_path / "s")
+    assert stored(spark, path) == ([], [])
+    people, edges = small_graph(spark, "A", "B")
+    store.write_novels(titles, people, edges, path)
+    assert stored(spark, path)[0] == [("n", "A", "B")]
+    store.write_novels(titles.where("novel_id = 'n'"), people.where("novel_id = 'n'"), edges.limit(0), path)
+    assert stored(spark, path) == ([], [("m", "A"), ("m", "B"), ("n", "A"), ("n", "B")])
+
+
+def test_a_crash_between_the_tables_is_made_good(spark, tmp_path, monkeypatch):
+    titles, path = spark.createDataFrame([("n", "Book"), ("m", "Other")], "novel_id string, title string"), str(tmp_path / "s")
+    store.write_novels(titles, *small_graph(spark, "A", "B"), path)
+    before = stored(spark, path)
+    finish = store.recover
+    monkeypatch.setattr(store, "recover", lambda *a: None)
+    store.write_novels(titles, *small_graph(spark, "C", "D"), path)  # dies with all staged
+    (stage,) = (tmp_path / "s/_staged").iterdir()
+    (stage / "READY").rename(stage / "NOT")
+    monkeypatch.setattr(store, "recover", finish)
+    assert stored(spark, path) == before  # the mark was not set
+    (stage / "NOT").rename(stage / "READY")
+    import shutil
+
+    shutil.rmtree(tmp_path / "s/persons/novel_id=n")  # dies in the middle of the moves
+    (stage / "persons/novel_id=n").rename(tmp_path / "s/persons/novel_id=n")
+    assert stored(spark, path) == ([("n", "C", "D")], [("m", "C"), ("m", "D"), ("n", "C"), ("n", "D")])
+    assert not list((tmp_path / "s/_staged").iterdir()) and stored(spark, path)[0] == [("n", "C", "D")]
+
+
+def test_a_complete_upload_is_not_worked_on_again(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def extractor(text):
+        (log / f"{len(list(log.iterdir()))}-{threading.get_ident()}").touch()
+        if "fail" in text and not (tmp_path / "mended").exists():
+            raise extraction.Rejected("no")
+        return extraction.rule_extractor(text)
+
+    both = chapters(spark, ["Anna met Bert"]).union(chapters(spark, ["Carl met Dora fail"], "m"))
+    contents = spark.createDataFrame([("n", "a" * 64, "Book"), ("m", "b" * 64, "Other")], "novel_id string, content_hash string, title string")
+    run = lambda ch, **how: ingest.build(spark, ch, str(tmp_path / "w"), Settings(retries=0, **how), extractor, checkpoint="k", contents=contents)
+    one = run(both)
+    ingest.save(one, contents.select("novel_id", "title"), str(tmp_path / "s"))
+    states = lambda: {r.novel_id: r.status for r in one.manifests.all().collect()}
+    assert states() == {"n": "COMPLETED", "m": "IN_PROGRESS"} and len(list(log.iterdir())) == 2
+    (tmp_path / "mended").touch()
+    two = run(both)
+    assert {r.novel_id for r in two.chunks.collect()} == {"m"} and len(list(log.iterdir())) == 3
+    ingest.save(two, contents.select("novel_id", "title"), str(tmp_path / "s"))
+    assert states() == {"n": "COMPLETED", "m": "COMPLETED"}
+    assert {(r.novel_id, r.name) for r in store.read(spark, str(tmp_path / "s"), "persons").collect()} == {("n", "Anna"), ("n", "Bert"), ("m", "Carl"), ("m", "Dora")}
+    assert run(both).chunks.count() == 0 and len(list(log.iterdir())) == 3
+    assert run(both, chunk_size=9, chunk_overlap=1).chunks.count() > 0  # other settings, another analysis
+    with pytest.raises(ValueError, match="manifest"):
+        one.manifests.save(one.begun.withColumn("status", F.lit("DONE")))
 
 
 def test_settings(spark, monkeypatch):
