@@ -105,28 +105,18 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, docs.select(F.lit(0).cast("long").alias("anchor"), F.lit(0).cast("long").alias("context"), "doc_id", "text_hash").schema)
 
 
-def open_windows(docs: DataFrame, length: int) -> DataFrame:
-    """window, doc_id, text_hash of the windows that the anchors in column `open` have and no context in column `known` covers."""
+def looked_up(docs: DataFrame, length: int) -> DataFrame:
+    """Two kinds of rows from one reading of the documents.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=AT_ONCE):
-            a = Anchors([t.encode() for t in b.column("text").to_pylist()], length)
-            left = members(a.gram, a.doc, sets_of(b.column("open"))) & ~members(a.context, a.doc, sets_of(b.column("known")))
-            k = np.flatnonzero(left[a.window_anchor]) if len(a.at) else a.at
-            if len(k):
-                both = np.unique(np.stack([a.doc[a.window_anchor[k]].astype(np.uint64), a.hashes(k)]), axis=1)
-                row = pa.array(both[0].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([signed(both[1]), b.column("doc_id").take(row), b.column("text_hash").take(row)], names=["window", "doc_id", "text_hash"])
-
-    return docs.mapInArrow(run, docs.select(F.lit(0).cast("long").alias("window"), "doc_id", "text_hash").schema)
-
-
-def passages(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, context, least, words (hashes) of the surroundings in column `wanted`, which the document is the least to have."""
+    anchor, context, words (hashes), doc_id of the surroundings in column `wanted`, which the document is the least to have; and
+    window, doc_id, text_hash of the windows that the anchors in column `open` have and no surrounding in column `whole` covers.
+    """
+    names = ["anchor", "context", "words", "window", "doc_id", "text_hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=AT_ONCE):
             a = Anchors([t.encode() for t in b.column("text").to_pylist()], length)
+            of = lambda doc: [b.column(c).take(pa.array(doc.astype(np.int64))) for c in ("doc_id", "text_hash")]
             k = np.flatnonzero(members(a.context, a.doc, sets_of(b.column("wanted"))))
             if len(k):
                 _, one = np.unique(np.stack([a.doc[k].astype(np.uint64), a.context[k]]), axis=1, return_index=True)
@@ -135,10 +125,16 @@ def passages(docs: DataFrame, length: int) -> DataFrame:
                 ends = np.cumsum(size)
                 flat = a.words.hash[np.repeat(a.low[k] - ends + size, size) + np.arange(ends[-1])]
                 words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), signed(flat))
-                yield pa.RecordBatch.from_arrays([signed(a.gram[k]), signed(a.context[k]), b.column("doc_id").take(pa.array(a.doc[k])), words], names=["anchor", "context", "least", "words"])
+                yield pa.RecordBatch.from_arrays([signed(a.gram[k]), signed(a.context[k]), words, pa.nulls(len(k), pa.int64()), *of(a.doc[k])], names=names)
+            left = members(a.gram, a.doc, sets_of(b.column("open"))) & ~members(a.context, a.doc, sets_of(b.column("whole")))
+            k = np.flatnonzero(left[a.window_anchor]) if len(a.at) else a.at
+            if len(k):
+                doc, window = np.unique(np.stack([a.doc[a.window_anchor[k]].astype(np.uint64), a.hashes(k)]), axis=1)
+                none = pa.nulls(len(doc), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(doc), pa.list_(pa.int64())), signed(window), *of(doc)], names=names)
 
-    zero = F.lit(0).cast("long")
-    return docs.mapInArrow(run, docs.select(zero.alias("anchor"), zero.alias("context"), F.col("doc_id").alias("least"), F.array(zero).alias("words")).schema)
+    zero = F.lit(None).cast("long")
+    return docs.mapInArrow(run, docs.select(zero.alias("anchor"), zero.alias("context"), F.lit(None).cast("array<long>").alias("words"), zero.alias("window"), "doc_id", "text_hash").schema)
 
 
 def shard_runs(contexts: list[int], least: list[int], words: list[list[int]], length: int) -> list[tuple[int, int, int, int]]:
@@ -155,7 +151,7 @@ def shard_runs(contexts: list[int], least: list[int], words: list[list[int]], le
 
 
 def matched(rows: DataFrame, length: int) -> DataFrame:
-    """context, first, last, least for the rows of passages(): a shard for each anchor."""
+    """context, first, last, least for rows of (anchor, context, least, words): a shard for each anchor."""
     id_type = rows.schema["least"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +238,7 @@ def deduplicated(docs: DataFrame, length: int = 50, most: int = 256) -> DataFram
     """doc_id, n_words, n_removed, kept. `most` bounds a shard: the surroundings of an anchor that one automaton holds."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    key, zero = ["doc_id", "text_hash"], F.lit(0)
+    key = ["doc_id", "text_hash"]
     found = anchors(docs.where("doc_id IS NOT NULL"), length)
     span = by_key(found, "anchor", F.min("doc_id").alias("min_doc_id"), F.max("doc_id").alias("max_doc_id")).where("min_doc_id < max_doc_id")
     shared = written(found.join(span.select("anchor"), "anchor"))  # rows of anchors that two documents have
@@ -251,16 +247,19 @@ def deduplicated(docs: DataFrame, length: int = 50, most: int = 256) -> DataFram
     size = by_key(context, "anchor", F.count(F.lit(1)).alias("n"))
     context = written(context.join(size, "anchor"))
     few = context.where(F.col("n").between(2, most)).groupBy(F.col("least").alias("doc_id"), "text_hash").agg(F.collect_list("context").alias("wanted"))  # at most as many as the document's words
-    runs = matched(passages(docs.join(few, key), length), length)
-    whole = context.where((F.col("n") == 1) | (F.col("n") > most)).select("context", zero.alias("first"), F.lit(-1).alias("last"), "least")
+    earlier = F.col("least") < F.col("doc_id")
+    hot = shared.join(context.where(F.col("n") > most).select("context", "least"), "context").groupBy(key).agg(
+        F.collect_set(F.when(earlier, F.col("context"))).alias("whole"), F.collect_set(F.when(~earlier, F.col("anchor"))).alias("open")
+    )
+    seen = written(looked_up(docs.join(few.join(hot, key, "full"), key), length))
+    runs = matched(seen.where("words IS NOT NULL").select("anchor", "context", F.col("doc_id").alias("least"), "words"), length)
+    whole = context.where((F.col("n") == 1) | (F.col("n") > most)).select("context", F.lit(0).alias("first"), F.lit(-1).alias("last"), "least")
     runs = written(runs.unionByName(whole))
-    at = shared.join(runs, "context").where("least < doc_id").groupBy(key).agg(F.collect_set(F.struct("context", "first", "last")).alias("known"))
-    open_ = shared.join(context.where(F.col("n") > most).select("context", "least"), "context").where("least >= doc_id").groupBy(key).agg(F.collect_set("anchor").alias("open"))
-    at = written(at)
-    windows = open_windows(docs.join(written(open_), key).join(at, key, "left").withColumn("known", F.col("known.context")), length)
-    earliest = by_key(windows, "window", F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
-    repeated = windows.join(earliest, "window").where("least < doc_id").groupBy(key).agg(F.collect_set("window").alias("windows"))
-    marks = at.join(repeated, key, "full")
+    known = shared.join(runs, "context").where(earlier).groupBy(key).agg(F.collect_set(F.struct("context", "first", "last")).alias("known"))
+    windows = seen.where("window IS NOT NULL").select("window", *key)
+    least = by_key(windows, "window", F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
+    repeated = windows.join(least, "window").where(earlier).groupBy(key).agg(F.collect_set("window").alias("windows"))
+    marks = known.join(repeated, key, "full")
     return without(docs.join(marks, key, "left"), length)
 
 
