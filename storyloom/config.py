@@ -16,6 +16,7 @@ class Settings:
     retries: int = 1
     merge_threshold: float = 0.5
     lineage: bool = False
+    own_candidates_only: bool = True  # a judge may pick only from a mention's own candidates
     model: str = "rule"
 
     @classmethod

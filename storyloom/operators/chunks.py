@@ -34,5 +34,5 @@ def chunk(chapters: DataFrame, size: int = 4000, overlap: int = 400) -> DataFram
 
 def structure_hash(chunks: DataFrame) -> DataFrame:
     """novel_id, structure_hash: of all chunks in order, by the digest of each, so that no text is gathered."""
-    each = chunks.select("novel_id", "chunk_id", F.sha2(F.to_json(F.struct(*columns(CHUNKS))), 256).alias("d"))
+    each = chunks.select("novel_id", "chunk_id", F.sha2(F.concat_ws("\x1f", *columns(CHUNKS)), 256).alias("d"))
     return each.groupBy("novel_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "d"))), lambda x: x["d"]), ""), 256).alias("structure_hash"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from storyloom.operators.recall import text_mentions
+
 PASS, FAIL, SKIP, INCONCLUSIVE, OBSERVATION = "PASS", "FAIL", "SKIP", "INCONCLUSIVE", "OBSERVATION"
 CHECKS = "check_id string, kind string, a string, b string, names array<string>, others array<string>, n long, full_corpus boolean, record boolean, all_of array<string>, any_of array<string>"
 #: persons, labels and the rest of one run, as one row; a null field is one that the run didn't give.
@@ -16,6 +18,7 @@ SNAPSHOT = (
     "novel_id string, persons array<struct<name:string,aliases:array<string>>>, labels array<string>, novels_seen array<string>, hits map<string,array<string>>,"
     " counts map<string,bigint>, stats map<string,bigint>, checkpoint_dir boolean, failed_chunks array<int>"
 )
+CLASSES = ("stable", "variance", "observation")
 KINDS = (
     "single_canonical_with_aliases", "aliased_into", "distinct_persons", "alias_search_unique", "count_eq", "person_absent_and_not_alias", "aliases_not_contain", "alias_in_aliases",
     "family_fragments", "fragments_not_independent", "record_stats", "merge_observation", "observation_if_person", "labels_subset", "novel_isolation", "no_checkpoint_dir",
@@ -42,9 +45,30 @@ def checkset(spark: SparkSession) -> DataFrame:
 
 
 def problems(checks: DataFrame) -> DataFrame:
-    """check_id, problem of a checkset: duplicate ids, unknown kinds."""
+    """check_id, problem of a checkset: duplicate ids, unknown kinds, and of columns that it may have too: classes, attributions, layers and preconditions that aren't valid."""
     twice = checks.groupBy("check_id").count().where("count > 1").select("check_id", F.lit("duplicate id").alias("problem"))
-    return twice.union(checks.where(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))).select("check_id", F.lit("unknown kind")))
+    bad = [(F.col("kind").isin(*KINDS), "unknown kind")]
+    for column, valid, problem in (
+        ("outcome_class", lambda c: c.isin(*CLASSES), "unknown class"), ("attribution", lambda c: c != "", "no attribution"), ("layer", lambda c: c != "", "no layer"),
+        ("preconditions", lambda c: F.forall(c, lambda x: x.startswith("person_exists:")), "unknown precondition"),
+    ):
+        if column in checks.columns:
+            bad.append((valid(F.col(column)), problem))
+    found = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), problem) for ok, problem in bad]))
+    return twice.union(checks.select("check_id", F.explode(found).alias("problem")))
+
+
+def refusals(checks: DataFrame, content_hash: str | None, pinned_hash: str, checkpoint_on: bool, missing_settings: list[str] = []) -> list[str]:  # noqa: B006
+    """Why an evaluation must not start; empty if it may. content_hash: of the corpus, None if there is none."""
+    out = [f"setting {x} is missing" for x in missing_settings]
+    if checkpoint_on:
+        out.append("checkpoints are on: a run that is evaluated starts afresh")
+    out += [f"checkset: {r.check_id}: {r.problem}" for r in problems(checks).orderBy("check_id", "problem").collect()]  # a few dozen at most
+    if content_hash is None:
+        out.append("the corpus is missing")
+    elif content_hash != pinned_hash:
+        out.append(f"the corpus has changed: {content_hash[:12]} isn't {pinned_hash[:12]}")
+    return out
 
 
 def outcome() -> Column:
@@ -126,6 +150,28 @@ def same_identity(runs: DataFrame, fields: list[str]) -> bool:
     return runs.select(*fields).distinct().limit(2).count() <= 1
 
 
+def aggregate(outcomes: DataFrame, runs: DataFrame, fields: list[str]) -> DataFrame:
+    """A baseline: a row for each check with its stability, its outcomes, what is doubtful, and the status of the whole.
+
+    outcomes: (run_id, check_id, outcome), of which a run's last by check counts if there is an `ordinal`; runs: (run_id, *fields).
+    Runs that differ in `fields` can't be one baseline.
+    """
+    if runs.isEmpty() or not same_identity(runs, fields):
+        raise ValueError("a baseline needs runs that agree in what makes them comparable")
+    if "ordinal" in outcomes.columns:
+        outcomes = outcomes.groupBy("run_id", "check_id").agg(F.max_by("outcome", "ordinal").alias("outcome"))
+    stable = stability(outcomes)
+    lone = (F.col("classification") == "unclassified") & (F.col("decisive") == 1) & (F.col("fails") == 1)
+    out = stable.join(distribution(outcomes), "check_id").withColumn("note", F.when(lone, "one decisive outcome, which failed: too few runs to call it stable"))
+    return out.join(baseline_status(stable).withColumnRenamed("status", "baseline_status"), F.lit(True))  # one row
+
+
+def quality(baseline: DataFrame) -> DataFrame:
+    """checks by classification, and stable failures, of aggregate()."""
+    n = lambda c: F.count_if(F.col("classification") == c)
+    return baseline.agg(n("stable").alias("stable"), F.count_if((F.col("classification") == "stable") & ~F.col("satisfies_expected")).alias("stable_failures"), n("variance").alias("variance"), n("unclassified").alias("unclassified"))
+
+
 def compare(run: DataFrame, baseline: DataFrame, same: bool = True, valid: bool = True) -> DataFrame:
     """check_id, outcome, verdict, drift of one run against a baseline (stability())."""
     if not same or not valid:
@@ -154,9 +200,11 @@ def nonbody_canonicals(people: DataFrame, chapters: DataFrame) -> DataFrame:
 def alias_contexts(chunks: DataFrame, names: DataFrame, width: int = 40, most: int = 5) -> DataFrame:
     """novel_id, name, alias, chunk_id, start, context: occurrences left to right without overlap, the first `most` of each alias.
 
-    names: (novel_id, name, alias). Only chunks that have the alias are split at it.
+    names: (novel_id, name, alias). Only chunks that have the alias, as text recall finds them, are split at it.
     """
-    hits = chunks.select("novel_id", "chunk_id", "text").join(names.where("alias <> ''"), "novel_id").where(F.contains("text", "alias"))
+    names = names.where("alias <> ''")
+    found = text_mentions(chunks, names.select("novel_id", F.col("alias").alias("canonical"), F.col("alias").alias("name")))
+    hits = found.withColumnRenamed("canonical", "alias").join(names, ["novel_id", "alias"]).join(chunks.select("novel_id", "chunk_id", "text"), ["novel_id", "chunk_id"])
     parts = F.split("text", F.concat(F.lit(r"\Q"), F.col("alias"), F.lit(r"\E")), -1)
     starts = F.slice(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.aggregate(F.slice("parts", F.lit(1), k), F.lit(0), lambda s, p: s + F.length(p)) + (k - 1) * F.length("alias")), F.lit(1), F.size("parts") - 1)
     hits = hits.withColumn("parts", F.slice(parts, 1, most + 1))  # later ones can't be among the first
@@ -173,17 +221,31 @@ def histogram(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy().pivot("outcome", [PASS, FAIL, SKIP, INCONCLUSIVE, OBSERVATION]).count().na.fill(0)
 
 
-def stage_profile(calls: DataFrame) -> DataFrame:
-    """stage, n, total, least, median (the upper one), most, share of the whole. calls: (stage, seconds).
+def upper_median(calls: DataFrame, bounds: DataFrame, levels: int = 3, parts: int = 1000) -> DataFrame:
+    """stage, median: the value of rank floor(n / 2) + 1. bounds: (stage, n, least, most).
 
-    The upper median is read off a running count of distinct values, so that no stage's values meet in one row.
+    Counts by parts of the range from the least to the greatest value find the part that has it, which is cut into parts again;
+    after `levels` of these one part's different values are ordered. So no task gets all values of a stage.
     """
-    each = calls.groupBy("stage", "seconds").agg(F.count(F.lit(1)).alias("c"))
+    rows = calls.join(bounds.select("stage", F.col("least").alias("low"), F.col("most").alias("high"), (F.floor(F.col("n") / 2) + 1).alias("rank")), "stage")
+    for _ in range(levels):
+        wide = F.col("high") > F.col("low")
+        part = F.when(wide, F.least(F.lit(parts - 1), F.floor((F.col("seconds") - F.col("low")) / (F.col("high") - F.col("low")) * parts))).otherwise(0)
+        rows = rows.withColumn("part", part.cast("int"))
+        each = rows.groupBy("stage", "part").agg(F.count(F.lit(1)).alias("c"), F.min("seconds").alias("part_low"), F.max("seconds").alias("part_high"), F.first("rank").alias("r"))
+        upto = F.sum("c").over(Window.partitionBy("stage").orderBy("part"))  # at most `parts` rows
+        here = each.withColumn("upto", upto).where("upto >= r AND upto - c < r").select("stage", "part", "part_low", "part_high", (F.col("r") - F.col("upto") + F.col("c")).alias("inner"))
+        rows = rows.join(here, ["stage", "part"]).select("stage", "seconds", F.col("part_low").alias("low"), F.col("part_high").alias("high"), F.col("inner").alias("rank"))
+    each = rows.groupBy("stage", "seconds").agg(F.count(F.lit(1)).alias("c"), F.first("rank").alias("rank"))
+    upto = F.sum("c").over(Window.partitionBy("stage").orderBy("seconds"))
+    return each.withColumn("upto", upto).where("upto >= rank AND upto - c < rank").select("stage", F.col("seconds").alias("median"))
+
+
+def stage_profile(calls: DataFrame) -> DataFrame:
+    """stage, n, total, least, median (the upper one), most, share of the whole. calls: (stage, seconds)."""
     total = calls.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("total"), F.min("seconds").alias("least"), F.max("seconds").alias("most"))
-    upto = each.withColumn("upto", F.sum("c").over(Window.partitionBy("stage").orderBy("seconds")))
-    median = upto.join(total, "stage").where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("stage").agg(F.min("seconds").alias("median"))
     whole = total.agg(F.sum("total").alias("whole"))
-    out = total.join(median, "stage").join(F.broadcast(whole), F.lit(True))  # one row
+    out = total.join(upper_median(calls, total), "stage").join(F.broadcast(whole), F.lit(True))  # one row
     return out.select("stage", "n", F.round("total", 6).alias("total"), "least", "median", "most", F.round(F.col("total") / F.col("whole"), 6).alias("share"))
 
 
@@ -194,3 +256,31 @@ def report(rows: list[dict], title: str) -> str:
     head = list(rows[0])
     body = "\n".join("| " + " | ".join("" if r[h] is None else str(r[h]) for h in head) + " |" for r in rows)
     return f"# {title}\n\n| {' | '.join(head)} |\n|{'-|' * len(head)}\n{body}\n"
+
+
+def rows_of(df: DataFrame, *order: str) -> list[dict]:
+    return [r.asDict(recursive=True) for r in df.orderBy(*order).collect()]  # a checkset's few dozen rows
+
+
+def run_report(outcomes: DataFrame, checks: DataFrame, environment: dict[str, object]) -> str:
+    """One run: where it ran, how many checks ended how, and each check with its group."""
+    counts = histogram(outcomes).first().asDict()
+    each = outcomes.join(checks.select("check_id", "kind", F.substring("check_id", 1, 1).alias("group")), "check_id", "left").select("check_id", "group", "kind", "outcome")
+    env = report([{"setting": k, "value": v} for k, v in environment.items()], "Environment")
+    return f"{report([counts], 'Run')}\n{env}\n{report(rows_of(each, 'check_id'), 'Checks')}"
+
+
+def baseline_report(baseline: DataFrame, identity: dict[str, object]) -> str:
+    """A baseline: its status, what its runs have in common, and each check."""
+    status = baseline.select("baseline_status").first()
+    head = report([{"status": status[0] if status else None} | identity | quality(baseline).first().asDict()], "Baseline")
+    return f"{head}\n{report(rows_of(baseline.select('check_id', 'classification', 'satisfies_expected', 'distribution', 'note'), 'check_id'), 'Checks')}"
+
+
+def compare_report(compared: DataFrame) -> str:
+    """A comparison: regressions first, then the rest."""
+    rows = rows_of(compared, "check_id")
+    worse = [r for r in rows if r["verdict"] == "REGRESSION"]
+    refused = bool(rows) and all(r["verdict"] == "REFUSE_COMPARE" for r in rows)
+    verdict = "REFUSE_COMPARE" if refused else "REGRESSION" if worse else "OK"
+    return f"# Comparison: {verdict}\n\n{report(worse, 'Regressions')}\n{report([r for r in rows if r not in worse], 'Other checks')}"

@@ -1,20 +1,36 @@
-"""Why a mention ended where it did: the layer of its first decisive fact."""
+"""Events of a job, and why a mention ended where it did: the layer of its first decisive fact."""
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
+#: The events of a mention and those of a chunk or a job; fixed values.
+MENTION_EVENTS = ("mention_enter", "recall", "judge", "admission", "registration")
+JOB_EVENTS = ("chunk_start", "judge_batch", "extraction_raw", "merge_stats", "merge_drop", "canonical_snapshot", "job_end")
+#: Every event's columns; `body` is JSON of what the event's kind has besides.
+EVENTS = "novel_id string, event string, ordinal long, chunk_id int, chapter_id int, mention string, body string"
+
 #: Admissions that end a mention; fixed values.
 NEGATIVE = ("blocked", "observation", "target_mismatch", "anchor_mismatch", "anchor_absent")
 HYGIENE = ("skipped_hardfilter",)
 LAYERS = ("SUCCESS", "SUCCESS_ALIAS", "SUCCESS_CANONICAL", "CATEGORY_LAYER_D5", "RECALL_LAYER", "JUDGE_LAYER", "ADMISSION_LAYER", "MERGE_LAYER", "REGISTRATION_LAYER", "HYGIENE_LAYER", "CHAIN_BREAK", "EXTRACTION_LAYER", "UNKNOWN")
 
 
+def parsed(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """lines with the fields of their JSON in place of `column`; of a line that can't be read `_corrupt` is the text and all else null."""
+    others = [c for c in lines.columns if c != column]
+    whole = F.from_json(column, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return lines.select(*others, whole.alias("r")).select(*others, "r.*")
+
+
 def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines but for blank ones; of a line that can't be read `_corrupt` is the text and all else null."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
+    """JSON lines but for blank ones."""
+    return parsed(spark.read.text(path).where(F.trim("value") != ""), schema)
 
 
 def all_or_nothing(lines: DataFrame) -> DataFrame:
@@ -23,6 +39,59 @@ def all_or_nothing(lines: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(bad), ~F.col("__bad")).drop("_corrupt", "__bad")  # one row
 
 
+def job_events(ready: DataFrame, mention_events: DataFrame, decided: DataFrame, merges: DataFrame, people: DataFrame, admission: DataFrame, raw_extraction: bool = False) -> DataFrame:
+    """EVENTS of all kinds of a job that ended, out of its tables; they have no part in any decision.
+
+    ready: chunks with their extractions; mention_events: resolution.events(); decided: merge decisions with merge_stats() by
+    novel; merges: (novel_id, drop, keep); people: the final persons; admission: resume.admission().
+    """
+
+    def rows(df: DataFrame, event: str, *body: str, mention: str | None = None, chunk: bool = False) -> DataFrame:
+        at = [F.col(c).cast("int") if chunk else F.lit(None).cast("int").alias(c) for c in ("chunk_id", "chapter_id")]
+        text = F.to_json(F.struct(*[F.expr(x) for x in body])) if body else F.lit("{}")
+        return df.select("novel_id", F.lit(event).alias("event"), F.lit(0).cast("long").alias("ordinal"), *at, (F.col(mention) if mention else F.lit(None).cast("string")).alias("mention"), text.alias("body"))
+
+    each = mention_events.select("novel_id", "event", F.col("ordinal").cast("long").alias("ordinal"), "chunk_id", "chapter_id", "mention", F.to_json("facts").alias("body"))
+    asked = mention_events.where("event = 'judge'").groupBy("novel_id", "chunk_id", "chapter_id").agg(F.sort_array(F.collect_set("mention")).alias("mentions"))  # of one chunk
+    out = each.unionByName(rows(ready, "chunk_start", "section_type", "length(text) AS text_len", "size(characters) AS characters_count", "size(relationships) AS relationships_count", chunk=True))
+    out = out.unionByName(rows(asked, "judge_batch", "mentions", chunk=True))
+    if raw_extraction:
+        out = out.unionByName(rows(ready, "extraction_raw", "characters", "relationships", chunk=True))
+    out = out.unionByName(rows(decided, "merge_stats", *[c for c in decided.columns if c != "novel_id"]))
+    out = out.unionByName(rows(merges, "merge_drop", "keep AS merge_keep", mention="drop"))
+    out = out.unionByName(rows(people, "canonical_snapshot", "aliases", "mention_count", mention="name"))
+    return out.unionByName(rows(admission, "job_end", "status", "chunk_failures", "judge_failures", "merge_failures"))
+
+
+def failed_job(novels: DataFrame, error: str) -> DataFrame:
+    """The last event of the jobs of novels (novel_id) that ended by an exception."""
+    body = F.to_json(F.struct(F.lit("failed").alias("status"), F.lit(error).alias("error")))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return novels.select("novel_id").distinct().select("novel_id", F.lit("job_end").alias("event"), F.lit(0).cast("long").alias("ordinal"), none("int", "chunk_id"), none("int", "chapter_id"), none("string", "mention"), body.alias("body"))
+
+
+def flush(events: DataFrame, path: str) -> bool:
+    """Writes events as JSON lines, a folder for each novel, in place of those of an earlier job; whether that worked. A failure is logged, as it mustn't hide how the job ended."""
+    try:
+        events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("novel_id").json(path)
+    except Exception as e:  # noqa: BLE001
+        log.warning("events can't be written to %s: %s", path, str(e)[:300])
+        return False
+    return True
+
+
+def diagnose_events(events: DataFrame, expected: DataFrame) -> DataFrame:
+    """diagnose() with all that it needs taken from EVENTS of one novel; expected: (mention, expect)."""
+    kind = lambda k, schema: parsed(events.where(F.col("event") == k).select("mention", "ordinal", F.col("body").alias("value")), schema)
+    facts = events.where(F.col("event").isin(*MENTION_EVENTS)).withColumn("facts", F.from_json("body", "map<string,string>"))
+    drops = kind("merge_drop", "merge_keep string").select(F.col("mention").alias("canonical"), F.col("merge_keep").alias("keep"))
+    shown = kind("canonical_snapshot", "aliases array<string>").select(F.col("mention").alias("canonical"), "aliases")
+    raw = kind("extraction_raw", "characters array<struct<name:string>>, relationships array<struct<source:string,target:string>>")
+    names = raw.select(F.explode(F.concat(F.col("characters.name"), F.col("relationships.source"), F.col("relationships.target"))).alias("name"))
+    failed = kind("job_end", "chunk_failures long").where("chunk_failures > 0")
+    return diagnose(flat_events(facts), expected, drops, shown, names, not failed.isEmpty())
+
+
 def effective_category(hygiene, extraction):  # noqa: ANN001, ANN201
     return F.when(hygiene.isin("generic", "collective", "invalid"), hygiene).otherwise(extraction)
 

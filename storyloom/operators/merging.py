@@ -32,7 +32,11 @@ def pair_evidence(bridges: DataFrame) -> DataFrame:
 
 
 def pair_metadata(pairs: DataFrame, canonicals: DataFrame) -> DataFrame:
-    """Adds each side's aliases, first chunk, mention count and chapters; canonicals: (novel_id, name, first_seen, mention_count, chapters, aliases)."""
+    """Adds each side's aliases, first chunk, mention count and chapters; canonicals: (novel_id, name, first_seen, mention_count, chapters, aliases).
+
+    A pair of one canonical with itself is an error.
+    """
+    pairs = pairs.withColumn("a", F.when(F.col("a") == F.col("b"), F.raise_error(F.concat(F.lit("a merge pair has one canonical on both sides: "), "a")).cast("string")).otherwise(F.col("a")))
     for side in ("a", "b"):
         more = canonicals.select("novel_id", F.col("name").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("first_seen", "mention_count", "chapters", "aliases")])
         pairs = pairs.join(more, ["novel_id", side])

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import char_overlap, hard_filtered
+from storyloom.functions.text import OF, char_overlap, hard_filtered
 
 TOP_K = 5
+#: Names up to which an index is broadcast, some 100 bytes each.
+MOST_BROADCAST = 200_000
 
 
 def known_in_extraction(names: DataFrame, known: DataFrame, provisional: DataFrame) -> DataFrame:
@@ -17,22 +23,55 @@ def known_in_extraction(names: DataFrame, known: DataFrame, provisional: DataFra
     return found.join(provisional.select("novel_id", F.col("name").alias("canonical")), ["novel_id", "canonical"], "left_anti").select("novel_id", "chunk_id", "canonical")
 
 
-def text_mentions(chunks: DataFrame, index: DataFrame, gram: int = 3) -> DataFrame:
+def text_mentions(chunks: DataFrame, index: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """novel_id, chunk_id, canonical of the canonicals with a name in the text; index: (novel_id, canonical, name).
 
-    Names of `gram` characters or more meet the chunks that have their first `gram` characters, by an equi-join;
-    shorter names, of which a novel has few, are grouped in one array for each novel and looked for in each chunk.
+    An index of at most `most` names is broadcast and each text read once by an automaton of its novel's names; a larger one
+    meets the texts by the first characters of names, an equi-join.
     """
+    index = index.where("name <> ''")
+    if index.limit(most + 1).count() > most:
+        return by_grams(chunks, index)
+    names: dict[str, list[tuple[str, str]]] = {}
+    for r in index.select("novel_id", "canonical", "name").distinct().toLocalIterator():
+        names.setdefault(r.novel_id, []).append((r.name, r.canonical))
+    shared = chunks.sparkSession.sparkContext.broadcast(names)
+    src = chunks.where("text <> ''").select("novel_id", "chunk_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata: dict[str, ahocorasick.Automaton] = {}
+        for b in batches:
+            rows, found = [], []
+            for i, (novel, text) in enumerate(zip(b.column("novel_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
+                if novel not in shared.value:
+                    continue
+                if novel not in automata:
+                    of: dict[str, set[str]] = {}
+                    for name, canonical in shared.value[novel]:
+                        of.setdefault(name, set()).add(canonical)
+                    automata[novel] = ahocorasick.Automaton()
+                    for name, canonicals in of.items():
+                        automata[novel].add_word(name, tuple(canonicals))
+                    automata[novel].make_automaton()
+                here = {c for _, canonicals in automata[novel].iter(text) for c in canonicals}
+                rows += [i] * len(here)
+                found += here
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("novel_id").take(at), b.column("chunk_id").take(at), pa.array(found, pa.string())], names=["novel_id", "chunk_id", "canonical"])
+
+    return src.mapInArrow(run, src.select("novel_id", "chunk_id", F.lit("").alias("canonical")).schema)
+
+
+def by_grams(chunks: DataFrame, index: DataFrame, longest: int = 3) -> DataFrame:
+    """text_mentions() for an index of any size: names meet the chunks that have their first characters, `longest` at most."""
     texts = chunks.select("novel_id", "chunk_id", "text")
-    grams = F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{{gram}}}))"), F.lit(1))  # at every place
-    keyed = texts.select("novel_id", "chunk_id", F.explode(F.array_distinct(grams)).alias("g"))
-    keyed = keyed.join(index.select("novel_id", F.substring("name", 1, gram).alias("g")).distinct(), ["novel_id", "g"], "left_semi")
-    long = index.where(F.length("name") >= gram).withColumn("g", F.substring("name", 1, gram))
-    likely = keyed.join(long, ["novel_id", "g"]).select("novel_id", "chunk_id", "canonical", "name").distinct()
-    hit = likely.join(texts, ["novel_id", "chunk_id"]).where(F.contains("text", "name")).select("novel_id", "chunk_id", "canonical")
-    short = index.where((F.length("name") < gram) & (F.col("name") != "")).groupBy("novel_id").agg(F.collect_set(F.struct("canonical", "name")).alias("short"))
-    brief = texts.join(short, "novel_id").select("novel_id", "chunk_id", F.explode(F.filter("short", lambda x: F.contains(F.col("text"), x["name"]))).alias("x")).select("novel_id", "chunk_id", "x.canonical")
-    return hit.union(brief).distinct()
+    keyed_names = index.withColumn("g", F.substring("name", 1, longest))
+    sizes = [r.n for r in keyed_names.select(F.length("g").alias("n")).distinct().collect()]  # of 1 to `longest`
+    grams = [F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in sorted(sizes)]  # at every place
+    keyed = texts.select("novel_id", "chunk_id", F.explode(F.concat(*grams) if grams else F.array().cast("array<string>")).alias("g"))
+    keyed = keyed.join(keyed_names.select("novel_id", "g").distinct(), ["novel_id", "g"], "left_semi")
+    likely = keyed.join(keyed_names, ["novel_id", "g"]).select("novel_id", "chunk_id", "canonical", "name").distinct()
+    return likely.join(texts, ["novel_id", "chunk_id"]).where(F.contains("text", "name")).select("novel_id", "chunk_id", "canonical").distinct()
 
 
 def candidates(mentions: DataFrame, index: DataFrame, extraction: DataFrame, text: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -47,14 +86,29 @@ def candidates(mentions: DataFrame, index: DataFrame, extraction: DataFrame, tex
     strong = mentions.join(tiers, ["novel_id", "chunk_id"]).where("mention <> canonical").join(names, ["novel_id", "canonical"])
     strong = strong.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("tier", "canonical")))
     had = strong.groupBy(*key).agg(F.count(F.lit(1)).alias("had"))
-    # only mentions that lack candidates are held against all canonicals of their novel
+    # only mentions that lack candidates are held against the canonicals of their novel, each different one once
     open_ = mentions.join(had, key, "left").na.fill(0, ["had"]).where(F.col("had") < k)
-    weak = open_.join(names, "novel_id").where("mention <> canonical").join(strong.select(*key, "canonical"), [*key, "canonical"], "left_anti")
+    weak = open_.select("novel_id", "mention").distinct().join(names, "novel_id").where("mention <> canonical")
     part = F.exists("matched_names", lambda n: F.contains(F.col("mention"), n) | F.contains(n, F.col("mention")))
     shared = F.array_max(F.transform("matched_names", lambda n: char_overlap(F.col("mention"), n)))
     weak = weak.withColumns({"part": part, "shared": shared, "tier": F.lit(2)})
-    weak = weak.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("part"), F.desc("shared"), "canonical"))).where(F.col("i") <= k)
+    order = [F.desc("part"), F.desc("shared"), "canonical"]
+    # fewer than k are strong, so those that fill up are among the first 2 k
+    weak = weak.withColumn("o", F.row_number().over(Window.partitionBy("novel_id", "mention").orderBy(*order))).where(F.col("o") <= 2 * k)
+    weak = open_.join(weak, ["novel_id", "mention"]).join(strong.select(*key, "canonical"), [*key, "canonical"], "left_anti")
+    weak = weak.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("o"))).where(F.col("i") <= k)
     weak = weak.withColumn("rank", (F.col("had") + F.col("i")).cast("int")).where(F.col("rank") <= k)
     source = F.when(F.col("tier") == 0, "strong_extraction").when(F.col("tier") == 1, "strong_text").otherwise("weak")
     columns = [*key, "canonical", "rank", source.alias("source"), "matched_names"]
     return strong.select(columns).union(weak.select(columns))
+
+
+def role_mentions(mentions: DataFrame, known: DataFrame) -> DataFrame:
+    """mention, kind, by_of, anchor, head against a stated set of known names: each beginning of a mention meets it by an equi-join."""
+    m = mentions.select("mention", F.regexp_extract("mention", OF, 1).alias("x"), F.regexp_extract("mention", OF, 2).alias("y"), (F.col("mention").rlike(OF)).alias("by_of"))
+    begins = m.where(F.length("mention") > 2).select("mention", F.explode(F.sequence(F.lit(2), F.length("mention") - 1)).alias("n"))
+    begins = begins.withColumn("name", F.substring("mention", F.lit(1), F.col("n"))).join(known, "name").groupBy("mention").agg(F.max_by("canonical", "n").alias("who"), F.max("n").alias("n"))
+    out = m.join(begins, "mention", "left").join(known.select(F.col("name").alias("x"), F.col("canonical").alias("of_who")), "x", "left")
+    kind = F.when(F.col("by_of") | F.col("who").isNotNull(), "qualified").otherwise("bare")
+    head = F.when(F.col("by_of"), F.col("y")).when(F.col("who").isNotNull(), F.substring("mention", F.col("n") + 1, F.lit(100)))
+    return out.select("mention", kind.alias("kind"), "by_of", F.when(F.col("by_of"), F.col("of_who")).otherwise(F.col("who")).alias("anchor"), head.alias("head"))

@@ -1,8 +1,9 @@
 """Mentions to canonical persons, chunk by chunk in a novel's order.
 
-Which name is first seen decides who is canonical, so a novel is one ordered group; Spark runs novels side
-by side. Novel keeps the state of one novel and takes a chunk at a time; resolve() runs it over grouped
-rows and storyloom.streaming over a stream. All outputs are rows of one type, told apart by `kind`.
+Which name is first seen decides who is canonical, so what happens to a name is decided in a novel's order; Spark runs
+novels side by side. Novel keeps the state of one novel, takes a chunk at a time and emits what it decides: rows of one
+type, told apart by `kind`. All else is set-based: prepared() finds beforehand which names each text has, and characters(),
+relations(), aliases(), canonicals(), dropped() and bridges() are joins and aggregates over the decisions.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as rules
-from storyloom.operators.recall import TOP_K
+from storyloom.operators.recall import TOP_K, text_mentions
 from storyloom.schema import RESOLUTION, columns
 
 #: (text, [{"mention", "candidates": [{"canonical", "matched_names"}]}]) -> [{"mention", "resolves_to"}]; None resolves to nobody.
@@ -78,6 +79,7 @@ class Chunk:
     body: bool
     section: str
     category: dict[str, str]
+    hits: list[str] | None = None  # names of the novel that the text has, where they were found beforehand
     seen: set[str] = field(default_factory=set)  # canonicals that the extraction has shown so far
     shown: set[str] = field(default_factory=set)  # canonicals that the text has
     pending: dict[str, list[str]] = field(default_factory=dict)
@@ -95,16 +97,12 @@ class Novel:
     version: str = ""  # of the judge: its prompt, model and settings
     replays: dict[str, str] = field(default_factory=dict)  # earlier answers by the fingerprint of what was asked
     canonical: dict[str, str] = field(default_factory=dict)
-    aliases: dict[str, list[str]] = field(default_factory=dict)
     index: dict[str, set[str]] = field(default_factory=dict)
     provisional: set[str] = field(default_factory=set)
-    first_seen: dict[str, int] = field(default_factory=dict)
-    body_chunks: dict[str, set[int]] = field(default_factory=dict)
-    body_chapters: dict[str, set[int]] = field(default_factory=dict)
     sightings: dict[str, tuple[str, set[int]]] = field(default_factory=dict)  # bare role: target, chunks
     settled: set[tuple[str, str]] = field(default_factory=set)
     barred: set[str] = field(default_factory=set)
-    bridges: list[dict] = field(default_factory=list)
+    order: int = 0  # of aliases and bridges
     count: dict[str, int] = field(default_factory=lambda: dict.fromkeys(COUNTERS, 0))
     out: list[dict] = field(default_factory=list)
 
@@ -120,6 +118,10 @@ class Novel:
             shown = {"lineage_id": hashlib.sha256(where.encode()).hexdigest()[:32], "section_type": chunk.section} | facts
             self.emit("event", chunk, type=event, name=name, names=[f"{k}={'|'.join(v) if isinstance(v, list) else '' if v is None else v}" for k, v in shown.items()], ordinal=len(self.out))
 
+    def step(self) -> int:
+        self.order += 1
+        return self.order
+
     def taken(self) -> list[dict]:
         rows, self.out = self.out, []
         return rows
@@ -132,10 +134,9 @@ class Novel:
     def register(self, chunk: Chunk, name: str) -> None:
         """A new canonical; outside the body it's provisional and no candidate until the body has it."""
         self.canonical[name] = name
-        self.aliases.setdefault(name, [])
+        self.emit("register", chunk, name=name, flag=chunk.body)
         if chunk.body:
             self.index.setdefault(name, set()).add(name)
-            self.first_seen.setdefault(name, chunk.id)
         else:
             self.provisional.add(name)
             self.count["nonbody_person_provisional"] += 1
@@ -154,8 +155,14 @@ class Novel:
             self.register(chunk, name)
         return "null_registered"
 
+    def has(self, chunk: Chunk, names: Iterable[str]) -> bool:
+        """Whether the chunk's text has one of the names."""
+        return any(n in (chunk.text if chunk.hits is None else chunk.hits) for n in names)
+
     def in_text(self, chunk: Chunk) -> set[str]:
-        return {c for c, names in self.index.items() if not filtered(c) and any(n in chunk.text for n in names)}
+        if chunk.hits is None:
+            return {c for c, names in self.index.items() if not filtered(c) and self.has(chunk, names)}
+        return {c for n in chunk.hits if (c := self.canonical.get(n)) and n in self.index.get(c, ()) and not filtered(c)}
 
     def recall(self, chunk: Chunk, mention: str) -> list[str]:
         """Canonicals of the chunk's extraction, then of its text, by name within each; the most alike of the others up to TOP_K."""
@@ -182,7 +189,7 @@ class Novel:
             if who in self.provisional and chunk.body:
                 self.provisional.discard(who)
                 self.index.setdefault(who, set()).add(who)
-                self.first_seen.setdefault(who, chunk.id)
+                self.emit("promote", chunk, name=who)
             if who not in self.provisional:
                 chunk.seen.add(who)
             self.trace(chunk, "registration", name, registered=True, alias_to=who if who != name else None, final_canonical=who, provisional=who in self.provisional)
@@ -230,7 +237,7 @@ class Novel:
                 return True, "accept"
             if target != role.head:
                 return False, "target_mismatch" if role.by_of else "anchor_mismatch"
-            here = role.anchor is None or any(n in chunk.text for n in {role.anchor} | self.index.get(role.anchor, set()))
+            here = role.anchor is None or self.has(chunk, {role.anchor} | self.index.get(role.anchor, set()))
             return here, "accept" if here else "anchor_absent"
         if self.category(chunk, mention) != "descriptive" or mention[:1] not in rules.SENIOR:
             return True, "accept"
@@ -259,8 +266,7 @@ class Novel:
             if ok:
                 self.canonical[mention] = target
                 self.index[target].add(mention)
-                if mention not in self.aliases[target]:
-                    self.aliases[target].append(mention)
+                self.emit("alias", chunk, name=target, target=mention, ordinal=self.step())
                 if (category := chunk.category.get(mention)) in ("descriptive", "composite"):
                     self.count[f"{category}_resolved"] += 1
             else:
@@ -293,26 +299,24 @@ class Novel:
     # a chunk
 
     def take(self, row: dict, judge: AliasJudge) -> None:
-        """row: chunk_id, chapter_id, text, section_type, characters, relationships."""
+        """row: chunk_id, chapter_id, section_type, characters, relationships, and text or hits."""
         people = [(c["name"], c["category"]) for c in row["characters"]]
-        links = [r for r in row["relationships"] if r["source"] != r["target"]]
-        section = row["section_type"] or "body"
-        chunk = Chunk(row["chunk_id"], row["chapter_id"], row["text"] or "", section == "body", section, {n: c for n, c in people if c is not None})
-        names = {n for n, _ in people} | {r[end] for r in links for end in ("source", "target")}
+        links = [(i, r["source"], r["target"]) for i, r in enumerate(row["relationships"]) if r["source"] != r["target"]]
+        section, hits = row["section_type"] or "body", row.get("hits")
+        chunk = Chunk(row["chunk_id"], row["chapter_id"], row.get("text") or "", section == "body", section, {n: c for n, c in people if c is not None}, None if hits is None else dict.fromkeys(hits))
+        names = {n for n, _ in people} | {n for _, *ends in links for n in ends}
         chunk.seen = {c for n in names if not filtered(n) and (c := self.canonical.get(n)) and not filtered(c) and c not in self.provisional}
         chunk.shown = self.in_text(chunk)
-        kept: list[str] = []
-        for name, _ in people:
+        kept: list[tuple[str, int, str]] = []  # part, place, name of each occurrence that wasn't dropped
+        for i, (name, _) in enumerate(people):
             if kind := kind_of_name(name) if filtered(name) else None:
                 self.count[f"{kind}_filtered"] += 1
                 self.trace(chunk, "admission", name, admission="skipped_hardfilter")
             elif self.settle(chunk, name, "character") != "dropped":
-                kept.append(name)
-        bonds: list[dict] = []
-        for r in links:
-            ends = r["source"], r["target"]
+                kept.append(("character", i, name))
+        for i, *ends in links:
             if not any(map(filtered, ends)) and all(self.settle(chunk, e, "end") != "dropped" for e in ends):
-                bonds.append(r)
+                kept += [("source", i, ends[0]), ("target", i, ends[1])]
         if chunk.deferred:  # with what the rest of the chunk has shown meanwhile
             chunk.shown = self.in_text(chunk)
             for name in chunk.deferred:
@@ -325,35 +329,23 @@ class Novel:
                     self.trace(chunk, "admission", name, admission=label)
         for m, found in chunk.pending.items():
             sides = sorted(c for c in found if self.canonical.get(c) == c)
-            self.bridges += [{"mention": m, "a": a, "b": b, "chunk_id": chunk.id, "chapter_id": chunk.chapter} for i, a in enumerate(sides) for b in sides[i + 1 :]]
+            for i, a in enumerate(sides):
+                for b in sides[i + 1 :]:
+                    self.emit("bridge", chunk, ordinal=self.step(), type=m, name=a, target=b)
         failed = bool(chunk.pending) and self.judged(chunk, judge)
-        self.bridges = [b for b in self.bridges if b["mention"] not in chunk.gone]
-        final = lambda n: self.canonical.get(n, n) if n in chunk.pending or n in self.canonical else n
-        for i, name in enumerate(dict.fromkeys(final(n) for n in kept if n not in chunk.gone)):
-            self.emit("character", chunk, ordinal=i, name=name)
-            if chunk.body:
-                self.body_chunks.setdefault(name, set()).add(chunk.id)
-                self.body_chapters.setdefault(name, set()).add(chunk.chapter)
-        for i, r in enumerate(r for r in bonds if r["source"] not in chunk.gone and r["target"] not in chunk.gone):
-            a, b = final(r["source"]), final(r["target"])
-            if a != b:
-                self.emit("relation", chunk, ordinal=i, name=a, target=b, type=r["type"], confidence=r["confidence"])
+        for name in sorted(chunk.gone):
+            self.emit("gone", chunk, name=name)
+        for part, i, name in kept:
+            if name not in chunk.gone:
+                self.emit("decision", chunk, type=part, ordinal=i, name=name, target=self.canonical.get(name, name))
         self.emit("chunk", chunk, flag=failed, type=section)
 
     def close(self) -> None:
-        """Drops provisional names that the body never had, and gives the novel's aliases, canonicals, bridges and counters."""
-        for name in sorted(self.provisional):
+        """The novel's counters; names that the body never had are no longer known."""
+        for name in self.provisional:
             if self.canonical.pop(name, None):
-                self.aliases.pop(name, None)
-                self.emit("dropped", name=name)
                 self.count["nonbody_provisional_dropped"] += 1
         self.provisional.clear()
-        for who in sorted(self.aliases):
-            self.emit("canonical", name=who, n=len(self.body_chunks.get(who, ())), ordinal=self.first_seen.get(who, 0), names=[str(x) for x in sorted(self.body_chapters.get(who, ()))])
-            for i, a in enumerate(self.aliases[who]):
-                self.emit("alias", name=who, target=a, ordinal=i)
-        for i, b in enumerate(self.bridges):
-            self.out.append({"novel_id": self.novel_id, "kind": "bridge", "ordinal": i, "type": b["mention"], "name": b["a"], "target": b["b"], "chunk_id": b["chunk_id"], "chapter_id": b["chapter_id"]})
         for k in COUNTERS:
             self.emit("counter", name=k, n=self.count[k])
 
@@ -368,26 +360,54 @@ def frame(rows: Iterable[dict]) -> pd.DataFrame:
     return out
 
 
-def resolve(inputs: DataFrame, judge: AliasJudge, lineage: bool = False, replays: DataFrame | None = None, version: str = "") -> DataFrame:
+def mention_names(inputs: DataFrame) -> DataFrame:
+    """novel_id, name: the names of all extractions of a novel that aren't filtered, each once; only these can be known to it."""
+    names = F.concat(F.transform("characters", lambda c: c["name"]), F.transform("relationships", lambda r: r["source"]), F.transform("relationships", lambda r: r["target"]))
+    each = inputs.select("novel_id", F.explode(F.array_distinct(names)).alias("name"))
+    return each.where(~rules.hard_filtered(F.col("name"))).distinct()
+
+
+def prepared(inputs: DataFrame, with_text: bool) -> DataFrame:
+    """inputs with `hits`, the novel's names that each text has; with the text itself only where a judge reads it."""
+    names = mention_names(inputs).select("novel_id", F.col("name").alias("canonical"), "name")
+    hits = text_mentions(inputs, names).groupBy("novel_id", "chunk_id").agg(F.sort_array(F.collect_set("canonical")).alias("hits"))  # at most as many as the text's places
+    out = inputs.select("novel_id", "chunk_id", "chapter_id", *["text"] * with_text, "section_type", "characters", "relationships").join(hits, ["novel_id", "chunk_id"], "left")
+    return out.withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
+
+
+def resolve(inputs: DataFrame, judge: AliasJudge, lineage: bool = False, replays: DataFrame | None = None, version: str = "", own_candidates_only: bool = True, judge_reads_text: bool = True) -> DataFrame:
     """RESOLUTION rows of every novel. inputs: (novel_id, chunk_id, chapter_id, text, section_type, characters, relationships).
 
     replays, as judgements() gives them, answer what an earlier run has asked of the same version of the judge.
+    own_candidates_only: a judge may pick only from a mention's own candidates; else from those of all mentions of its chunk.
+    judge_reads_text: without it the texts stay out of the ordered step, and the judge gets empty ones.
     Write the result before it's split by kind: each action runs the judge anew.
     """
-
-    def run(key: tuple, rows: pd.DataFrame, old: pd.DataFrame | None = None) -> pd.DataFrame:
-        known = {} if old is None else dict(zip(old["fingerprint"], old["answers"], strict=True))
-        novel = Novel(key[0], lineage, version=version, replays=known)
-        for row in rows.sort_values("chunk_id").to_dict("records"):
-            novel.take(row, judge)
-        if len(rows):
+    rows = prepared(inputs, judge_reads_text)
+    if replays is not None:
+        old = replays.groupBy("novel_id", "chunk_id").agg(F.collect_set(F.struct("fingerprint", "answers")).alias("replays"))  # a few for each chunk
+        rows = rows.join(old, ["novel_id", "chunk_id"], "left")
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        """Rows come in order, a novel after the other; only the state of one novel is held."""
+        novel = None
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                if novel is None or novel.novel_id != row["novel_id"]:
+                    if novel is not None:
+                        novel.close()
+                        out += novel.taken()
+                    novel = Novel(row["novel_id"], lineage, own_candidates_only, version)
+                old = row.get("replays")
+                novel.replays = {} if old is None else {x["fingerprint"]: x["answers"] for x in old}
+                novel.take(row, judge)
+            yield frame(out + (novel.taken() if novel else []))
+        if novel is not None:
             novel.close()
-        return frame(novel.taken())
+            yield frame(novel.taken())
 
-    groups = inputs.select("novel_id", "chunk_id", "chapter_id", "text", "section_type", "characters", "relationships").groupBy("novel_id")
-    if replays is None:
-        return groups.applyInPandas(lambda key, rows: run(key, rows), RESOLUTION)
-    return groups.cogroup(replays.select("novel_id", "fingerprint", "answers").groupBy("novel_id")).applyInPandas(run, RESOLUTION)
+    return rows.repartition("novel_id").sortWithinPartitions("novel_id", "chunk_id").mapInPandas(run, RESOLUTION)
 
 
 def judgements(rows: DataFrame) -> DataFrame:
@@ -395,31 +415,55 @@ def judgements(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'judgement'").select("novel_id", "chunk_id", F.col("name").alias("fingerprint"), F.col("text").alias("answers"))
 
 
+def decisions(rows: DataFrame, part: str) -> DataFrame:
+    return rows.where((F.col("kind") == "decision") & (F.col("type") == part)).select("novel_id", "chunk_id", "chapter_id", "ordinal", "target")
+
+
 def characters(rows: DataFrame) -> DataFrame:
-    return rows.where("kind = 'character'").select("novel_id", "chunk_id", "chapter_id", "ordinal", "name")
+    """Canonicals of each chunk, each once, in the order of their first mention."""
+    first = decisions(rows, "character").groupBy("novel_id", "chunk_id", "chapter_id", F.col("target").alias("name")).agg(F.min("ordinal").alias("at"))
+    ordinal = F.row_number().over(Window.partitionBy("novel_id", "chunk_id").orderBy("at")) - 1  # a chunk's
+    return first.select("novel_id", "chunk_id", "chapter_id", ordinal.alias("ordinal"), "name")
+
+
+def relations(rows: DataFrame, inputs: DataFrame) -> DataFrame:
+    """The relations of `inputs` with the canonicals of their ends: those whose two ends are kept and differ."""
+    raw = inputs.select("novel_id", "chunk_id", F.posexplode("relationships").alias("ordinal", "r")).select("novel_id", "chunk_id", "ordinal", "r.type", "r.confidence")
+    key = ["novel_id", "chunk_id", "ordinal"]
+    ends = rows.where("kind = 'decision' AND type <> 'character'").groupBy(*key).agg(
+        F.first("chapter_id").alias("chapter_id"), F.max(F.when(F.col("type") == "source", F.col("target"))).alias("source"), F.max(F.when(F.col("type") == "target", F.col("target"))).alias("target")
+    )
+    return ends.where("source <> target").join(raw, key).select("novel_id", "chunk_id", "chapter_id", "ordinal", "source", "target", "type", "confidence")
 
 
-def relations(rows: DataFrame) -> DataFrame:
-    return rows.where("kind = 'relation'").select("novel_id", "chunk_id", "chapter_id", "ordinal", F.col("name").alias("source"), "target", "type", "confidence")
+def dropped(rows: DataFrame) -> DataFrame:
+    """Names registered outside the body only: provisional ones that were never promoted."""
+    promoted = rows.where("kind = 'promote'").select("novel_id", "name")
+    return rows.where("kind = 'register' AND NOT flag").select("novel_id", "name").join(promoted, ["novel_id", "name"], "left_anti").distinct()
 
 
 def aliases(rows: DataFrame) -> DataFrame:
-    return rows.where("kind = 'alias'").select("novel_id", F.col("name").alias("canonical"), F.col("target").alias("alias"), "ordinal")
+    """novel_id, canonical, alias, ordinal: each alias once, in the order of its first confirmation."""
+    first = rows.where("kind = 'alias' AND name <> target").groupBy("novel_id", F.col("name").alias("canonical"), F.col("target").alias("alias")).agg(F.min("ordinal").alias("at"))
+    return first.select("novel_id", "canonical", "alias", (F.row_number().over(Window.partitionBy("novel_id", "canonical").orderBy("at")) - 1).alias("ordinal"))
 
 
 def canonicals(rows: DataFrame) -> DataFrame:
     """novel_id, name, first_seen, mention_count (body chunks only), chapters, aliases."""
+    key = ["novel_id", "name"]
+    seen = rows.where("kind = 'promote' OR kind = 'register' AND flag").groupBy(*key).agg(F.min("chunk_id").alias("first_seen"))
+    body = rows.where("kind = 'chunk' AND type = 'body'").select("novel_id", "chunk_id")
+    counted = characters(rows).join(body, ["novel_id", "chunk_id"]).groupBy(*key).agg(F.countDistinct("chunk_id").alias("mention_count"), F.sort_array(F.collect_set("chapter_id")).alias("chapters"))
     names = aliases(rows).groupBy("novel_id", F.col("canonical").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "alias"))), lambda x: x["alias"]).alias("aliases"))
-    out = rows.where("kind = 'canonical'").select("novel_id", "name", F.col("ordinal").alias("first_seen"), F.col("n").alias("mention_count"), F.col("names").cast("array<int>").alias("chapters"))
-    return out.join(names, ["novel_id", "name"], "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    out = seen.join(counted, key, "left").join(names, key, "left").na.fill(0, ["mention_count"])
+    return out.withColumns({"chapters": F.coalesce("chapters", F.array().cast("array<int>")), "aliases": F.coalesce("aliases", F.array().cast("array<string>"))})
 
 
 def bridges(rows: DataFrame) -> DataFrame:
-    return rows.where("kind = 'bridge'").select("novel_id", F.col("type").alias("mention"), F.col("name").alias("a"), F.col("target").alias("b"), "chunk_id", "chapter_id")
-
-
-def dropped(rows: DataFrame) -> DataFrame:
-    return rows.where("kind = 'dropped'").select("novel_id", "name")
+    """Bridge evidence; a mention that is left out takes all its evidence up to that chunk with it."""
+    gone = rows.where("kind = 'gone'").groupBy("novel_id", F.col("name").alias("mention")).agg(F.max("chunk_id").alias("upto"))
+    out = rows.where("kind = 'bridge'").select("novel_id", F.col("type").alias("mention"), F.col("name").alias("a"), F.col("target").alias("b"), "chunk_id", "chapter_id")
+    return out.join(gone, ["novel_id", "mention"], "left").where("upto IS NULL OR chunk_id > upto").select(*out.columns)
 
 
 def judge_failures(rows: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 from storyloom.operators import chunks as C
-from storyloom.operators import evaluation, extraction, graph, layout, lineage, merging, recall, resume, store
+from storyloom.operators import evaluation, extraction, graph, layout, lineage, merging, recall, resolution, resume, store
 from storyloom.schema import CATEGORIES, RELATION_TYPES
 from storyloom.sources import epub
 
@@ -113,9 +113,16 @@ def src5_upload_codes(spark, sf):
     return spark.createDataFrame(UPLOADS, "path string, n long").select("path", epub.upload_code(F.col("path"), F.col("n")).alias("code"))
 
 
-@query("SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, count(json_extract(props, '$.k')) AS with_k, count(*) FILTER (NOT json_valid(props)) AS corrupt FROM events GROUP BY event_type")
 def src6_json_events(spark, sf):
-    return table(spark, sf, "events").withColumn("p", F.get_json_object("props", "$.k")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("p").alias("with_k"))
+    lines = lineage.parsed(table(spark, sf, "events").select("event_type", "props"), "k long", "props")
+    return lines.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("with_k"), F.count("_corrupt").alias("corrupt"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE (SELECT count(*) FROM events WHERE NOT json_valid(props)) = 0")
+def src6_all_or_nothing(spark, sf):
+    lines = lineage.parsed(table(spark, sf, "events").select("event_id", "event_type", "props"), "k long", "props")
+    return lineage.all_or_nothing(lines).select("event_id", "event_type")
 
 
 SECTION_CASES = [
@@ -168,18 +175,7 @@ ROLES = [("翠翠的父亲",), ("天保大老",), ("翠翠祖父",), ("老船夫
     f" CASE WHEN regexp_matches(mention, '{T.OF}') THEN regexp_extract(mention, '{T.OF}', 2) WHEN who IS NOT NULL THEN substring(mention, n + 1) END AS head FROM m LEFT JOIN p USING (mention)"
 )
 def rol1_role_mentions(spark, sf):
-    return recall_roles(spark.createDataFrame(ROLES, "mention string"), spark.createDataFrame(KNOWN, "name string, canonical string"))
-
-
-def recall_roles(mentions: DataFrame, known: DataFrame) -> DataFrame:
-    """mention, kind, by_of, anchor, head against a stated set of known names: each beginning of a mention meets it by an equi-join."""
-    m = mentions.select("mention", F.regexp_extract("mention", T.OF, 1).alias("x"), F.regexp_extract("mention", T.OF, 2).alias("y"), (F.col("mention").rlike(T.OF)).alias("by_of"))
-    begins = m.where(F.length("mention") > 2).select("mention", F.explode(F.sequence(F.lit(2), F.length("mention") - 1)).alias("n"))
-    begins = begins.withColumn("name", F.substring("mention", F.lit(1), F.col("n"))).join(known, "name").groupBy("mention").agg(F.max_by("canonical", "n").alias("who"), F.max("n").alias("n"))
-    out = m.join(begins, "mention", "left").join(known.select(F.col("name").alias("x"), F.col("canonical").alias("of_who")), "x", "left")
-    kind = F.when(F.col("by_of") | F.col("who").isNotNull(), "qualified").otherwise("bare")
-    head = F.when(F.col("by_of"), F.col("y")).when(F.col("who").isNotNull(), F.substring("mention", F.col("n") + 1, F.lit(100)))
-    return out.select("mention", kind.alias("kind"), "by_of", F.when(F.col("by_of"), F.col("of_who")).otherwise(F.col("who")).alias("anchor"), head.alias("head"))
+    return recall.role_mentions(spark.createDataFrame(ROLES, "mention string"), spark.createDataFrame(KNOWN, "name string, canonical string"))
 
 
 @query("SELECT conv_id, turn, role IN ('user') AND contains(text, 'the') AS present FROM conversations")
@@ -214,7 +210,19 @@ def chk1_chunks(spark, sf):
     return C.chunk(chapters(spark, sf)).select("novel_id", "chunk_id", "chapter_id", "start_offset", "end_offset", F.sha2("text", 256).alias("digest"))
 
 
-@query()
+TITLED = f"""{CHUNKS}, titled AS (SELECT novel_id, chapter_id, format('第{{}}章', chapter_id) AS title, {section_sql("''", 'text', 'chapter_id - 1', 'total')} AS section_type FROM (SELECT *, count(*) OVER (PARTITION BY novel_id) AS total FROM chapters)),
+whole AS (SELECT c.*, title, section_type FROM chunks c JOIN titled t ON c.novel_id = t.novel_id AND c.chapter_id = t.chapter_id)"""
+
+
+@query(f"WITH {TITLED} SELECT novel_id, chunk_id, section_type FROM whole")
+def chk3_chunk_sections(spark, sf):
+    return C.chunk(chapters(spark, sf)).select("novel_id", "chunk_id", "section_type")
+
+
+@query(
+    f"WITH {TITLED}, each AS (SELECT novel_id, chunk_id, sha256(concat_ws(chr(31), novel_id, chunk_id, chapter_id, title, text, start_offset, end_offset, section_type)) AS d FROM whole)"
+    " SELECT novel_id, sha256(string_agg(d, '' ORDER BY chunk_id)) AS structure_hash FROM each GROUP BY novel_id"
+)
 def chk4_structure_hashes(spark, sf):
     return C.structure_hash(C.chunk(chapters(spark, sf)))
 
@@ -238,20 +246,21 @@ def llm6_extract_all(spark, sf):
 # recall: benchmark items lend the names that are known
 
 
-#: Every third capitalised word that two benchmark items or more have, as canonical; its first four letters are a name of it too.
+#: Capitalised words that two benchmark items or more have, in the novels that mention them, as canonical; their first four letters are a name of theirs too, and their first two of every seventh letter's.
 INDEX = f"""words AS (SELECT unnest(list_distinct(regexp_extract_all(text, '{extraction.NAME}'))) AS name FROM benchmark), canon AS (SELECT name AS canonical FROM words GROUP BY name HAVING count(*) >= 2),
-index AS (SELECT n.novel_id, canonical, canonical AS name FROM canon, (SELECT DISTINCT coalesce(source, '') AS novel_id FROM documents) n UNION SELECT n.novel_id, canonical, substring(canonical, 1, 4) FROM canon, (SELECT DISTINCT coalesce(source, '') AS novel_id FROM documents) n)"""
+held AS (SELECT DISTINCT novel_id, canonical FROM mentioned JOIN canon ON name = canonical),
+index AS (SELECT novel_id, canonical, canonical AS name FROM held UNION SELECT novel_id, canonical, substring(canonical, 1, 4) FROM held UNION SELECT novel_id, canonical, substring(canonical, 1, 2) FROM held WHERE length(canonical) % 7 = 0)"""
 
 
 def name_index(spark: SparkSession, sf: str) -> DataFrame:
     found = table(spark, sf, "benchmark").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(extraction.NAME), F.lit(0)))).alias("canonical"))
     canon = found.groupBy("canonical").count().where("count >= 2").select("canonical")
-    novels = sections(spark, sf).select("novel_id").distinct()
-    every = novels.join(canon.agg(F.collect_list("canonical").alias("c")), F.lit(True)).select("novel_id", F.explode("c").alias("canonical"))  # the names of a test list
-    return every.select("novel_id", "canonical", F.explode(F.array_distinct(F.array("canonical", F.substring("canonical", 1, 4)))).alias("name"))
+    held = extraction.mentioned(C.chunk(chapters(spark, sf))).select("novel_id", F.col("name").alias("canonical")).distinct().join(canon, "canonical")
+    names = F.array("canonical", F.substring("canonical", 1, 4), F.when(F.length("canonical") % 7 == 0, F.substring("canonical", 1, 2)))
+    return held.select("novel_id", "canonical", F.explode(F.array_distinct(F.array_compact(names))).alias("name"))
 
 
-@query(f"WITH {CHUNKS}, {INDEX} SELECT DISTINCT c.novel_id, c.chunk_id, i.canonical FROM chunks c JOIN index i ON c.novel_id = i.novel_id AND contains(c.text, i.name)")
+@query(f"WITH {NAMES}, {INDEX} SELECT DISTINCT c.novel_id, c.chunk_id, i.canonical FROM chunks c JOIN index i ON c.novel_id = i.novel_id AND contains(c.text, i.name)")
 def rec2_text_recall(spark, sf):
     return recall.text_mentions(C.chunk(chapters(spark, sf)), name_index(spark, sf))
 
@@ -263,14 +272,16 @@ def rec1_known_names(spark, sf):
     return recall.known_in_extraction(names, known, spark.createDataFrame([], "novel_id string, name string"))
 
 
-CANDIDATES = f"""{NAMES}, {INDEX}, asked AS (SELECT novel_id, chunk_id, name AS mention FROM mentioned WHERE ordinal = 0),
+CANDIDATES = f"""{NAMES}, {INDEX}, asked AS (SELECT novel_id, chunk_id, name AS mention FROM mentioned),
 x AS (SELECT DISTINCT m.novel_id, m.chunk_id, i.canonical FROM mentioned m JOIN index i ON m.novel_id = i.novel_id AND m.name = i.name),
 t AS (SELECT DISTINCT c.novel_id, c.chunk_id, i.canonical FROM chunks c JOIN index i ON c.novel_id = i.novel_id AND contains(c.text, i.name)),
 s AS (SELECT novel_id, chunk_id, canonical, min(tier) AS tier FROM (SELECT *, 0 AS tier FROM x UNION ALL SELECT *, 1 AS tier FROM t) GROUP BY ALL),
 g AS (SELECT novel_id, canonical, list_sort(list(DISTINCT name)) AS matched_names FROM index GROUP BY ALL),
-e AS (SELECT a.*, g.canonical, matched_names, coalesce(tier, 2) AS tier, len(list_filter(matched_names, lambda n: contains(mention, n) OR contains(n, mention))) > 0 AS part,
-      list_max(list_transform(matched_names, lambda n: len(list_intersect(string_split(n, ''), string_split(mention, ''))))) AS shared
-      FROM asked a JOIN g ON a.novel_id = g.novel_id AND mention <> g.canonical LEFT JOIN s ON s.novel_id = a.novel_id AND s.chunk_id = a.chunk_id AND s.canonical = g.canonical),
+p AS (SELECT d.novel_id, d.mention, g.canonical, matched_names, len(list_filter(matched_names, lambda n: contains(d.mention, n) OR contains(n, d.mention))) > 0 AS part,
+      list_max(list_transform(matched_names, lambda n: len(list_intersect(string_split(n, ''), string_split(d.mention, ''))))) AS shared
+      FROM (SELECT DISTINCT novel_id, mention FROM asked) d JOIN g ON d.novel_id = g.novel_id AND d.mention <> g.canonical),
+e AS (SELECT a.*, p.canonical, matched_names, coalesce(tier, 2) AS tier, part, shared FROM asked a JOIN p ON a.novel_id = p.novel_id AND a.mention = p.mention
+      LEFT JOIN s ON s.novel_id = a.novel_id AND s.chunk_id = a.chunk_id AND s.canonical = p.canonical),
 r AS (SELECT *, row_number() OVER (PARTITION BY novel_id, chunk_id, mention ORDER BY tier, CASE WHEN tier = 2 THEN -part::INT END, CASE WHEN tier = 2 THEN -shared END, canonical)::INT AS rank FROM e)"""
 
 
@@ -279,7 +290,7 @@ def rec3_candidates(spark, sf):
     chunks, index = C.chunk(chapters(spark, sf)), name_index(spark, sf)
     names = extraction.mentioned(chunks)
     known = recall.known_in_extraction(names.select("novel_id", "chunk_id", "name"), index.select("novel_id", "name", "canonical"), spark.createDataFrame([], "novel_id string, name string"))
-    asked = names.where("ordinal = 0").select("novel_id", "chunk_id", F.col("name").alias("mention"))
+    asked = names.select("novel_id", "chunk_id", F.col("name").alias("mention"))
     out = recall.candidates(asked, index, known, recall.text_mentions(chunks, index))
     return out.withColumn("matched_names", F.array_join("matched_names", "|"))
 
@@ -341,11 +352,11 @@ def agg2_relations(spark, sf):
     return join_lists(e, "evidence", "chunk_ids").select("novel_id", "source", "target", "type", "weight", F.round("confidence", 6).alias("confidence"), "evidence", F.col("chunk_ids").alias("chunks"))
 
 
-ALIASES = "aliases AS (SELECT novel_id, source AS canonical, target AS alias, chunk_id * 10 + ordinal AS ordinal FROM facts WHERE chunk_id % 97 = 0)"
+ALIASES = "aliases AS (SELECT novel_id, source AS canonical, target AS alias, chunk_id * 10 + ordinal AS ordinal FROM facts)"
 
 
 def alias_rows(spark: SparkSession, sf: str) -> DataFrame:
-    f = facts(spark, sf).where("chunk_id % 97 = 0")
+    f = facts(spark, sf)
     return f.select("novel_id", F.col("source").alias("canonical"), F.col("target").alias("alias"), (F.col("chunk_id") * 10 + F.col("ordinal")).alias("ordinal"))
 
 
@@ -396,11 +407,11 @@ def agg10_confirmed_relations(spark, sf):
 
 # merging
 
-BRIDGES = f"{FACTS}, asked AS (SELECT DISTINCT novel_id, chunk_id, type AS mention, source AS canonical FROM facts WHERE chunk_id % 7 = 0), bridges AS (SELECT a.novel_id, a.mention, a.chunk_id, a.canonical AS a, b.canonical AS b FROM asked a JOIN asked b USING (novel_id, chunk_id, mention) WHERE a.canonical < b.canonical)"
+BRIDGES = f"{FACTS}, asked AS (SELECT DISTINCT novel_id, chunk_id, type AS mention, source AS canonical FROM facts), bridges AS (SELECT a.novel_id, a.mention, a.chunk_id, a.canonical AS a, b.canonical AS b FROM asked a JOIN asked b USING (novel_id, chunk_id, mention) WHERE a.canonical < b.canonical)"
 
 
 def bridges(spark: SparkSession, sf: str) -> DataFrame:
-    return merging.bridge_pairs(facts(spark, sf).where("chunk_id % 7 = 0").select("novel_id", "chunk_id", F.col("type").alias("mention"), F.col("source").alias("canonical")))
+    return merging.bridge_pairs(facts(spark, sf).select("novel_id", "chunk_id", F.col("type").alias("mention"), F.col("source").alias("canonical")))
 
 
 @query(f"WITH {BRIDGES} SELECT * FROM bridges")
@@ -638,6 +649,18 @@ def evl7_baseline_status(spark, sf):
     return evaluation.baseline_status(evaluation.stability(runs(spark, sf)))
 
 
+@query(
+    f"WITH {RUNS}, d AS (SELECT check_id, outcome, count(*) AS n FROM runs GROUP BY 1, 2), s AS (SELECT check_id, string_agg(outcome || ':' || n, ',' ORDER BY outcome) AS distribution FROM d GROUP BY 1)"
+    " SELECT check_id, classification, CASE WHEN classification = 'stable' THEN fails = 0 END AS satisfies_expected, decisive, distribution, coalesce(decisive = 1 AND fails = 1, false) AS doubtful,"
+    " CASE WHEN (SELECT count(*) FROM classed WHERE classification = 'stable' AND fails > 0) > 0 THEN 'INVALID_NOT_REGRESSION_SAFE' ELSE 'VALID' END AS baseline_status FROM classed JOIN s USING (check_id)"
+)
+def evl7_baseline(spark, sf):
+    r = runs(spark, sf)
+    base = evaluation.aggregate(r, r.select("run_id").distinct().withColumn("corpus", F.lit("c")), ["corpus"])
+    shown = F.array_join(F.transform(F.map_entries("distribution"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return base.select("check_id", "classification", "satisfies_expected", "decisive", shown.alias("distribution"), F.col("note").isNotNull().alias("doubtful"), "baseline_status")
+
+
 @query(f"WITH {RUNS}, one AS (SELECT check_id, max(outcome) AS outcome FROM runs WHERE run_id = 'r1' GROUP BY 1) SELECT check_id, outcome, CASE WHEN outcome = 'SKIP' THEN 'SKIP' WHEN classification = 'stable' THEN CASE WHEN outcome = 'PASS' THEN 'PASS' ELSE 'REGRESSION' END ELSE 'OBSERVATION' END AS verdict, coalesce(outcome <> 'SKIP' AND classification <> 'stable' AND decisive > 0 AND outcome <> CASE WHEN passes >= fails THEN 'PASS' ELSE 'FAIL' END, false) AS drift FROM one LEFT JOIN classed USING (check_id)")
 def evl8_compare(spark, sf):
     r = runs(spark, sf)
@@ -664,10 +687,12 @@ def evl1_check_outcomes(spark, sf):
     return evaluation.evaluate(evaluation.checkset(spark), spark.createDataFrame(SNAPSHOTS, evaluation.SNAPSHOT))
 
 
-@query(f"WITH {PEOPLE}, t AS (SELECT novel_id, name, unnest(chapters) AS c FROM people) SELECT novel_id, name FROM t WHERE length(name) = 3 GROUP BY ALL HAVING count(*) FILTER (c % 50 >= 10) = 0")
+@query("SELECT l_returnflag AS novel_id, 'Q' || l_partkey AS name FROM lineitem GROUP BY ALL HAVING count(*) FILTER (l_orderkey % 50 >= 47) = 0")
 def evl11_nonbody_canonicals(spark, sf):
-    ch = spark.range(50).select("id").join(spark.createDataFrame([("A",), ("N",), ("R",)], "novel_id string"), F.lit(True)).select("novel_id", F.col("id").alias("chapter_id"), F.when(F.col("id") >= 10, "body").otherwise("epigraph").alias("section_type"))
-    return evaluation.nonbody_canonicals(people(spark, sf).where("length(name) = 3"), ch)
+    """The last three chapters are the body: some persons are in others only."""
+    seen = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("novel_id"), F.col("l_orderkey").alias("chunk_id"), (F.col("l_orderkey") % 50).alias("chapter_id"), F.concat(F.lit("Q"), F.col("l_partkey").cast("string")).alias("name"))
+    ch = spark.range(50).select(F.explode(F.array(*map(F.lit, "ANR"))).alias("novel_id"), F.col("id").alias("chapter_id"), F.when(F.col("id") >= 47, "body").otherwise("epigraph").alias("section_type"))
+    return evaluation.nonbody_canonicals(graph.persons(seen), ch)
 
 
 @query(
@@ -715,24 +740,61 @@ def conversation_input(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("novel_id"), (F.col("turn") + 1).cast("int").alias("chunk_id"), F.lit(1).alias("chapter_id"), F.coalesce("text", F.lit("")).alias("text"))
     names = F.array_distinct(F.regexp_extract_all("text", F.lit(extraction.NAME), F.lit(0)))
     t = t.withColumn("characters", F.transform(names, lambda n: F.struct(n.alias("name"), F.when(F.length(n) % 4 == 0, "descriptive").otherwise("person").alias("category"))))
-    links = F.transform(F.slice(names, 2, 1000), lambda n: F.struct(F.get(names, F.lit(0)).alias("source"), n.alias("target"), F.lit("friendship").alias("type"), F.lit(0.5).alias("confidence")))
+    links = F.transform(F.slice(names, 2, F.greatest(F.size(names), F.lit(1))), lambda n: F.struct(F.get(names, F.lit(0)).alias("source"), n.alias("target"), F.lit("friendship").alias("type"), F.lit(0.5).alias("confidence")))
     return t.withColumn("relationships", links).withColumn("section_type", F.when(F.col("chunk_id") == 1, "epigraph").otherwise("body"))
 
 
+def alike(text: str, pending: list[dict]) -> list[dict]:
+    """A judge that answers: the first candidate with the mention's first three letters, if there is one."""
+    return [{"mention": p["mention"], "resolves_to": next((c["canonical"] for c in p["candidates"] if c["canonical"][:3] == p["mention"][:3]), None)} for p in pending]
+
+
+def resolved(spark: SparkSession, sf: str, lineage: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Inputs and decisions over conversations; `alike` reads no texts."""
+    inputs = conversation_input(spark, sf)
+    return inputs, resolution.resolve(inputs, alike, lineage, judge_reads_text=False)
+
+
 @query()
 def res1_sequential_resolve(spark, sf):
-    from storyloom.operators import resolution
+    _, out = resolved(spark, sf)
+    return out.where("kind IN ('decision', 'alias', 'register', 'promote', 'bridge', 'gone', 'counter')").select("novel_id", "kind", "chunk_id", "ordinal", "name", "target", "type", "n")
 
-    out = resolution.resolve(conversation_input(spark, sf), resolution.nobody)
-    return out.where("kind IN ('character', 'relation', 'alias', 'canonical', 'dropped', 'counter')").select("novel_id", "kind", "chunk_id", "ordinal", "name", "target", "n")
+
+@query()
+def res14_res15_relations(spark, sf):
+    inputs, out = resolved(spark, sf)
+    return resolution.relations(out, inputs)
 
 
 @query()
-def lin1_resolver_verdicts(spark, sf):
-    from storyloom.operators import resolution
+def res16_dropped(spark, sf):
+    return resolution.dropped(resolved(spark, sf)[1])
+
+
+@query()
+def res13_res18_canonicals(spark, sf):
+    return join_lists(resolution.canonicals(resolved(spark, sf)[1]), "chapters", "aliases")
+
 
-    ev = lineage.flat_events(resolution.events(resolution.resolve(conversation_input(spark, sf), resolution.nobody, lineage=True)))
-    one = ev.withColumn("mention", F.concat_ws("/", "novel_id", "mention"))
+@query()
+def mrg2_kept_bridges(spark, sf):
+    return resolution.bridges(resolved(spark, sf)[1])
+
+
+@query(
+    f"WITH c AS (SELECT conv_id::VARCHAR AS novel_id, (turn + 1)::INT AS chunk_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{extraction.NAME}') AS n FROM conversations),"
+    " names AS (SELECT DISTINCT novel_id, unnest(n) AS name FROM c) SELECT c.novel_id, chunk_id, name FROM c JOIN names USING (novel_id) WHERE contains(text, name)"
+)
+def rec2_names_in_turns(spark, sf):
+    rows = resolution.prepared(conversation_input(spark, sf), with_text=False)
+    return rows.select("novel_id", "chunk_id", F.explode("hits").alias("name"))
+
+
+@query()
+def lin1_resolver_verdicts(spark, sf):
+    _, out = resolved(spark, sf, lineage=True)
+    one = lineage.flat_events(resolution.events(out)).withColumn("mention", F.concat_ws("/", "novel_id", "mention"))
     none = lambda ddl: spark.createDataFrame([], ddl)
     return lineage.diagnose(one, lineage.all_mentions(one).withColumn("expect", F.lit(None).cast("string")), none("canonical string, keep string"), none("canonical string, aliases array<string>"), none("name string"), False)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from storyloom.config import Settings
 from storyloom.operators import chunks as C
-from storyloom.operators import extraction, graph, merging, resolution, resume, store
+from storyloom.operators import extraction, graph, lineage, merging, resolution, resume, store
 from storyloom.operators.extraction import Extractor
 from storyloom.schema import EXTRACTIONS
 
@@ -80,14 +80,14 @@ def build(
     if checkpoint:
         others = old.join(chunks.select("novel_id").distinct(), "novel_id", "left_anti")  # of novels that are complete already
         store_.put("extractions", checkpoint, others.select(extractions.columns).unionByName(extractions))
-    ready = resume.assembled(chunks, extractions.where("status = 'completed'")).select("*", "result.*")
+    ready = written(resume.assembled(chunks, extractions.where("status = 'completed'")).select("*", "result.*").drop("result"), "ready")
     past = store_.get("judgements", checkpoint, JUDGEMENTS) if checkpoint else None
-    resolved = written(resolution.resolve(ready, judge, settings.lineage, past, settings.model), "resolution")
+    resolved = written(resolution.resolve(ready, judge, settings.lineage, past, settings.model, settings.own_candidates_only), "resolution")
     if checkpoint:
         store_.put("judgements", checkpoint, resolution.judgements(resolved))
     texts = chunks.select("novel_id", "chunk_id", "text")
     people = graph.apply_aliases(graph.persons(resolution.characters(resolved)), resolution.aliases(resolved))
-    edges = graph.relations(resolution.relations(resolved).join(texts, ["novel_id", "chunk_id"]))
+    edges = graph.relations(resolution.relations(resolved, ready).join(texts, ["novel_id", "chunk_id"]))
     evidence = merging.pair_evidence(resolution.bridges(resolved))
     pairs = merging.pair_metadata(evidence, resolution.canonicals(resolved))
     past = store_.get("merge_answers", checkpoint, merging.ANSWERS) if checkpoint else None
@@ -106,6 +106,26 @@ def build(
     return Result(chunks, extractions, resolved, decisions, people, edges, admission, ready, merges, manifests, begun)
 
 
+def events(result: Result, raw_extraction: bool = False) -> DataFrame:
+    """All lineage events of a run (lineage.EVENTS); those of mentions only with settings.lineage."""
+    stats = merging.merge_stats(result.decisions)
+    return lineage.job_events(result.ready, resolution.events(result.resolution), stats, result.merges, result.persons, result.admission, raw_extraction)
+
+
+def job(spark: SparkSession, chapters: DataFrame, titles: DataFrame, work_dir: str, graph_path: str, lineage_path: str | None = None, raw_extraction: bool = False, **how) -> Result:
+    """build() and save(), with the events written at the end, whether that is a success or an exception, which is raised again."""
+    try:
+        result = build(spark, chapters, work_dir, **how)
+        save(result, titles, graph_path)
+    except Exception as e:
+        if lineage_path:
+            lineage.flush(lineage.failed_job(titles, f"{type(e).__name__}: {e}"), lineage_path)
+        raise
+    if lineage_path:
+        lineage.flush(events(result, raw_extraction), lineage_path)
+    return result
+
+
 def save(result: Result, titles: DataFrame, path: str) -> dict[str, int]:
     """Writes the graph's tables, then notes the novels without any gap as complete; titles: (novel_id, title)."""
     worked_on = result.chunks.select("novel_id").distinct()

@@ -2,7 +2,8 @@
 
 Chunks of a novel may arrive in any order and in different batches. Each novel's state keeps those that came
 early and takes the contiguous run from the next expected chunk on, so the rows are those of the batch form. A
-chunk whose extraction failed is sent with `tombstone` true and only moves the run on; `last` closes the novel.
+chunk whose extraction failed is sent with `tombstone` true and only moves the run on; `last` closes the novel, of which
+only that it's closed is kept: chunks that come again later are passed over. At most `most_early` chunks of a novel may wait.
 """
 
 from __future__ import annotations
@@ -21,23 +22,28 @@ from storyloom.schema import CHARACTER, RELATIONSHIP, RESOLUTION
 INPUT = f"novel_id string, chunk_id int, chapter_id int, text string, section_type string, characters array<{CHARACTER}>, relationships array<{RELATIONSHIP}>, tombstone boolean, last boolean"
 
 
-def resolve_stream(inputs: DataFrame, judge: AliasJudge, lineage: bool = False) -> DataFrame:
+def resolve_stream(inputs: DataFrame, judge: AliasJudge, lineage: bool = False, most_early: int = 10_000) -> DataFrame:
     """RESOLUTION rows as chunks become resolvable. inputs: a streaming frame with the columns of INPUT."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         novel, early, expected = pickle.loads(state.get[0]) if state.exists else (Novel(key[0], lineage), {}, 1)
         for b in batches:
-            early |= {row["chunk_id"]: row for row in b.to_dict("records") if row["chunk_id"] >= expected}
-        closed = False
-        while expected in early and not closed:
+            if novel is not None:
+                early |= {row["chunk_id"]: row for row in b.to_dict("records") if row["chunk_id"] >= expected}
+        rows = []
+        while novel is not None and expected in early:
             row: dict[str, Any] = early.pop(expected)
             expected += 1
             if not row["tombstone"]:
                 novel.take(row, judge)
-            if row["last"]:
+            last = row["last"]
+            if last:
                 novel.close()
-                closed = True
-        rows = novel.taken()
+            rows += novel.taken()
+            if last:
+                novel, early = None, {}
+        if len(early) > most_early:
+            raise ValueError(f"novel {key[0]}: chunk {expected} is missing and {len(early)} later ones wait")
         state.update((pickle.dumps((novel, early, expected)),))
         yield frame(rows)
 

@@ -22,7 +22,26 @@ def run(chunks, answers=None, judge=None, **how):
 
 
 def people(rows, i=None):
-    return [r["name"] for r in rows if r["kind"] == "character" and i in (None, r["chunk_id"])]
+    seen = dict.fromkeys((r["chunk_id"], r["target"]) for r in rows if r["kind"] == "decision" and r["type"] == "character" and i in (None, r["chunk_id"]))
+    return [name for _, name in seen]
+
+
+def bonds(rows):
+    ends = {(r["chunk_id"], r["ordinal"], r["type"]): r["target"] for r in rows if r["kind"] == "decision"}
+    return [(a, ends[c, i, "target"]) for (c, i, part), a in ends.items() if part == "source" and a != ends[c, i, "target"]]
+
+
+def first_seen(rows):
+    out = {}
+    for r in rows:
+        if r["kind"] == "promote" or r["kind"] == "register" and r["flag"]:
+            out.setdefault(r["name"], r["chunk_id"])
+    return out
+
+
+def kept_bridges(rows):
+    gone = {r["name"]: r["chunk_id"] for r in rows if r["kind"] == "gone"}
+    return [(r["name"], r["target"], r["type"]) for r in rows if r["kind"] == "bridge" and r["chunk_id"] > gone.get(r["type"], 0)]
 
 
 def aliases(rows):
@@ -31,19 +50,19 @@ def aliases(rows):
 
 def test_first_name_seen_is_canonical():
     novel, rows = run([chunk(1, "翠翠", ["翠翠"]), chunk(2, "翠翠 二翠", ["二翠"])], {"二翠": "翠翠"})
-    assert aliases(rows) == {"二翠": "翠翠"} and people(rows, 2) == ["翠翠"] and novel.first_seen == {"翠翠": 1}
+    assert aliases(rows) == {"二翠": "翠翠"} and people(rows, 2) == ["翠翠"] and first_seen(rows) == {"翠翠": 1}
 
 
 def test_null_answer_registers_a_person_and_drops_others():
     for category, kept in ((None, True), ("person", True), ("generic", False), ("descriptive", False), ("composite", False)):
         novel, rows = run([chunk(1, "甲", ["甲"]), chunk(2, "甲乙", [("乙某", category)], [("乙某", "甲")])], {"乙某": None})
         assert ("乙某" in people(rows, 2)) is kept
-        assert any(r["kind"] == "relation" for r in rows) is kept
+        assert bool(bonds(rows)) is kept
 
 
 def test_hard_filtered_and_lexicon_names_are_never_persons():
     novel, rows = run([chunk(1, "x", ["甲", "两个儿子", "12", ("弟弟", "person")], [("两个儿子", "甲"), ("弟弟", "甲")])], {"弟弟": None})
-    assert people(rows) == ["甲"] and not [r for r in rows if r["kind"] == "relation"]
+    assert people(rows) == ["甲"] and not bonds(rows)
     assert (novel.count["collective_filtered"], novel.count["invalid_filtered"]) == (1, 1)
 
 
@@ -54,8 +73,8 @@ def test_a_generic_name_may_be_an_alias():
 
 def test_outside_the_body_names_are_provisional():
     novel, rows = run([chunk(1, "序", ["甲", "乙", ("丙某", "descriptive")], section="epigraph"), chunk(2, "甲", ["甲"])])
-    assert [r["name"] for r in rows if r["kind"] == "dropped"] == ["乙"]
-    assert novel.first_seen == {"甲": 2} and novel.count["nonbody_person_provisional"] == 2 and novel.count["nonbody_descriptive_dropped"] == 1
+    assert {r["name"] for r in rows if r["kind"] == "register" and not r["flag"]} - {r["name"] for r in rows if r["kind"] == "promote"} == {"乙"}
+    assert first_seen(rows) == {"甲": 2} and novel.count["nonbody_person_provisional"] == 2 and novel.count["nonbody_descriptive_dropped"] == 1
     assert "丙某" not in people(rows)
 
 
@@ -118,9 +137,9 @@ def test_a_failing_judge_marks_its_chunk():
 def test_bridges_need_two_candidates_and_go_with_dropped_mentions():
     start = chunk(1, "甲乙", ["甲", "乙"])
     novel, rows = run([start, chunk(2, "甲乙", ["丙"])], {"丙": "甲"})
-    assert [(r["name"], r["target"], r["type"]) for r in rows if r["kind"] == "bridge"] == sorted([("乙", "甲", "丙")])
+    assert kept_bridges(rows) == [("乙", "甲", "丙")]
     _, rows = run([start, chunk(2, "甲乙", [("丙", "descriptive")])], {"丙": None})
-    assert not [r for r in rows if r["kind"] == "bridge"]
+    assert not kept_bridges(rows)
 
 
 def test_strong_candidates_are_not_limited():
@@ -141,19 +160,67 @@ def test_lineage_changes_nothing(spark, sf):
 
     inputs = conversation_input(spark, sf)
     off, on = resolution.resolve(inputs, resolution.nobody), resolution.resolve(inputs, resolution.nobody, lineage=True)
-    keep = lambda df: sorted(map(str, df.where("kind <> 'event'").drop("ordinal").collect()))
+    keep = lambda df: sorted(map(str, df.where("kind <> 'event'").collect()))
     assert keep(off) == keep(on)
     events = lineage.flat_events(resolution.events(on))
     assert events.count() > 0 and lineage.chains(events).count() > 0
 
 
-def test_row_order_does_not_matter(spark, sf):
-    from storyloom.plans.catalog import conversation_input
-
-    inputs = conversation_input(spark, sf)
-    one = resolution.resolve(inputs, resolution.nobody).drop("confidence")
-    two = resolution.resolve(inputs.orderBy("text").repartition(3), resolution.nobody).drop("confidence")
-    assert one.exceptAll(two).count() == two.exceptAll(one).count() == 0
+def test_tables_of_the_decisions(spark):
+    """The set-based outputs against plain code over the same rows."""
+    novels = {
+        "n": [chunk(1, "序 丁", ["丁", "戊"], section="epigraph"), chunk(2, "甲 乙 丁", ["甲", "乙", "丁"], [("甲", "乙"), ("甲", "丙")]), chunk(3, "甲 乙", ["甲一", "甲", "甲一"], [("甲一", "乙"), ("甲一", "甲"), ("弟弟", "乙")]), chunk(4, "甲 乙", [("大个子", "descriptive"), "乙"], [("大个子", "乙")])],
+        "m": [chunk(1, "甲", ["甲"]), chunk(2, "乙", ["乙"], [("乙", "甲")])],
+    }
+    answers = {"甲一": "甲", "丙": "乙", "大个子": None}
+    data = [(n, *[c[k] for k in ("chunk_id", "chapter_id", "text", "section_type")], [(p["name"], p["category"]) for p in c["characters"]], [(r["source"], r["target"], r["type"], r["confidence"]) for r in c["relationships"]]) for n, cs in novels.items() for c in cs]
+    from storyloom.schema import CHARACTER, RELATIONSHIP
+
+    inputs = spark.createDataFrame(data, f"novel_id string, chunk_id int, chapter_id int, text string, section_type string, characters array<{CHARACTER}>, relationships array<{RELATIONSHIP}>")
+    rows = resolution.resolve(inputs, resolution.judge_from(answers)).persist()
+    plain = {n: run(cs, answers)[1] for n, cs in novels.items()}
+    got = sorted((r.novel_id, r.chunk_id, r.ordinal, r.name) for r in resolution.characters(rows).collect())
+    expected = [(n, i, k, x) for n, rs in plain.items() for i in (1, 2, 3, 4) for k, x in enumerate(people(rs, i))]
+    assert got == sorted(expected)
+    assert sorted((r.novel_id, r.source, r.target) for r in resolution.relations(rows, inputs).collect()) == sorted((n, *b) for n, rs in plain.items() for b in bonds(rs))
+    assert {(r.novel_id, r.name): r.first_seen for r in resolution.canonicals(rows).collect()} == {(n, x): i for n, rs in plain.items() for x, i in first_seen(rs).items()}
+    assert sorted((r.novel_id, r.a, r.b, r.mention) for r in resolution.bridges(rows).collect()) == sorted((n, *b) for n, rs in plain.items() for b in kept_bridges(rs))
+    assert [(r.novel_id, r.name) for r in resolution.dropped(rows).collect()] == [("n", "戊")]
+    assert {(r.canonical, r.alias, r.ordinal) for r in resolution.aliases(rows).collect()} == {("甲", "甲一", 0)}  # 乙 isn't a candidate of 丙 yet
+    (one,) = resolution.canonicals(rows).where("novel_id = 'n' AND name = '甲'").collect()
+    assert (one.mention_count, one.chapters, one.aliases) == (2, [2, 3], ["甲一"])  # 2 and 3: the body's chunks that show it
+
+
+def test_names_found_beforehand_or_in_the_text(spark, sf):
+    from storyloom.plans.catalog import alike, conversation_input
+
+    inputs = conversation_input(spark, sf).where("novel_id < '2'")
+    rows = sorted(map(str, resolution.resolve(inputs, alike, lineage=True).collect()))
+    plain = []
+    for n in {r.novel_id for r in inputs.select("novel_id").distinct().collect()}:
+        novel = Novel(n, lineage=True)
+        for r in inputs.where(inputs.novel_id == n).orderBy("chunk_id").collect():
+            novel.take(r.asDict(recursive=True), alike)
+        novel.close()
+        plain += novel.taken()
+    assert rows == sorted(map(str, spark.createDataFrame(resolution.frame(plain), resolution.RESOLUTION).collect())) and "kind='alias'" in " ".join(rows)
+
+
+def test_the_union_of_candidates_may_be_allowed():
+    start = [chunk(1, "x", list("甲乙子丑寅卯"))]
+    again = chunk(2, "甲乙子丑寅", ["丙", "卯客"])  # five are strong, so 卯 is a candidate of nobody; 卯客 has it where the text shows it
+    for own, text, expected in ((True, "甲乙子丑寅", None), (False, "甲乙子丑寅", None), (True, "卯", "卯")):
+        _, rows = run([*start, again | {"text": text}], {"丙": "卯", "卯客": None}, own_candidates_only=own)
+        assert aliases(rows).get("丙") == expected
+    found = {"丙": ["甲"], "丁": ["乙"]}
+    for own, expected in ((True, None), (False, "乙")):
+        novel, _ = run(start, own_candidates_only=own)
+        c = resolution.Chunk(3, 3, "甲乙", True, "body", {})
+        c.pending = {m: list(x) for m, x in found.items()}
+        novel.canonical |= {"甲": "甲", "乙": "乙"}
+        novel.index |= {"甲": {"甲"}, "乙": {"乙"}}
+        novel.judged(c, resolution.judge_from({"丙": "乙", "丁": "乙"}))
+        assert aliases(novel.taken()).get("丙") == expected
 
 
 def test_stream_gives_the_rows_of_the_batch(spark, sf, tmp_path):
