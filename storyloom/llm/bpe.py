@@ -25,6 +25,8 @@ from storyloom.llm.common import slices
 
 #: Chunks in each of the two generations that a worker keeps with their ids. It bounds memory only.
 CACHE = 400_000
+#: The pattern for which CHUNK's cuts hold; a fixed value. Texts are cut at matches themselves for any other.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A word before white space or an end mark, such marks before white space, else all up to white space, each with the one
 #: space before it; or white space. No match of the pattern crosses from one into the next.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -84,17 +86,17 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Chunk of text -> its ids as little-endian unsigned 32-bit integers; filled as chunks are met.
+    """Chunk of text -> its ids as little-endian unsigned 32-bit integers; filled as chunks are met. A chunk is a match of the pattern, or some of them together.
 
     Chunks are kept in two generations: when the young one is full it becomes the old one, whose used chunks come back.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern, self.old = ranks, regex.compile(pattern), {}
+        self.ranks, self.pattern, self.old, self.cut = ranks, regex.compile(pattern), {}, pattern == CUT_PATTERN
 
     def __missing__(self, chunk: str) -> bytes:
         if (out := self.old.get(chunk)) is None:
-            matches = (chunk,) if chunk[chunk[0] == " " :].isalpha() else self.pattern.findall(chunk)
+            matches = (chunk,) if not self.cut or chunk[chunk[0] == " " :].isalpha() else self.pattern.findall(chunk)
             ids = [i for m in matches for i in merge(m.encode(), self.ranks)]
             out = struct.pack(f"<{len(ids)}I", *ids)
         if len(chunk) <= 48:
@@ -105,7 +107,9 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        return b"".join([self[c] for c in CHUNK.findall(text)])
+        if self.cut:
+            return b"".join([self[c] for c in CHUNK.findall(text)])
+        return b"".join([self[m[0]] for m in self.pattern.finditer(text) if m[0]])
 
 
 #: The encoders of this worker, so that its later tasks find the chunks of earlier ones.

@@ -278,6 +278,20 @@ def test_bpe_against_the_library(spark, odd, none, tokenizer, monkeypatch):
         assert coder.encode(text) == np.array(reference.encode_ordinary(text), "<u4").tobytes()
 
 
+@pytest.mark.parametrize("pattern", [r"\p{L}+|\s+|[^\s\p{L}]+", r"(?i:'s|'t)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"])
+def test_bpe_with_other_patterns(tokenizer, pattern):
+    import tiktoken
+
+    path, known, _ = tokenizer
+    assert bpe.CUT_PATTERN == known
+    ranks, rng = bpe.read_ranks(path), np.random.default_rng(4)
+    reference = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    coder = bpe.Encoder(ranks, pattern)
+    for _ in range(300):
+        text = "".join(rng.choice(list("ab c's \n\t.,éЖ日12! don'tS"), 60))
+        assert coder.encode(text) == np.array(reference.encode_ordinary(text), "<u4").tobytes()
+
+
 def test_bpe_of_long_pieces(tokenizer):
     path, pattern, reference = tokenizer
     coder = bpe.Encoder(bpe.read_ranks(path), pattern)
