@@ -81,10 +81,13 @@ def present(text: Column, names: Column) -> Column:
     return F.exists(names, lambda n: F.contains(text, n))
 
 
+def characters(s: Column) -> Column:
+    return F.filter(F.split(s, ""), lambda c: c != "")
+
+
 def char_overlap(a: Column, b: Column) -> Column:
     """Distinct characters that two names share."""
-    chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
-    return F.size(F.array_intersect(chars(a), chars(b)))
+    return F.size(F.array_intersect(characters(a), characters(b)))
 
 
 def node_id(novel_id: Column, name: Column) -> Column:

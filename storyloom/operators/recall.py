@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import OF, char_overlap, hard_filtered
+from storyloom.functions.text import OF, characters, hard_filtered
 
 TOP_K = 5
 #: Names up to which an index is broadcast, some 100 bytes each.
@@ -29,11 +29,12 @@ def text_mentions(chunks: DataFrame, index: DataFrame, most: int = MOST_BROADCAS
     An index of at most `most` names is broadcast and each text read once by an automaton of its novel's names; a larger one
     meets the texts by the first characters of names, an equi-join.
     """
-    index = index.where("name <> ''")
-    if index.limit(most + 1).count() > most:
+    index = index.where("name <> ''").select("novel_id", "canonical", "name").distinct()
+    found = index.limit(most + 1).collect()  # never more
+    if len(found) > most:
         return by_grams(chunks, index)
     names: dict[str, list[tuple[str, str]]] = {}
-    for r in index.select("novel_id", "canonical", "name").distinct().toLocalIterator():
+    for r in found:
         names.setdefault(r.novel_id, []).append((r.name, r.canonical))
     shared = chunks.sparkSession.sparkContext.broadcast(names)
     src = chunks.where("text <> ''").select("novel_id", "chunk_id", "text")
@@ -88,9 +89,10 @@ def candidates(mentions: DataFrame, index: DataFrame, extraction: DataFrame, tex
     had = strong.groupBy(*key).agg(F.count(F.lit(1)).alias("had"))
     # only mentions that lack candidates are held against the canonicals of their novel, each different one once
     open_ = mentions.join(had, key, "left").na.fill(0, ["had"]).where(F.col("had") < k)
-    weak = open_.select("novel_id", "mention").distinct().join(names, "novel_id").where("mention <> canonical")
+    letters = names.withColumn("letters", F.transform("matched_names", characters))  # of each name once, not of each pair
+    weak = open_.select("novel_id", "mention").distinct().withColumn("own", characters(F.col("mention"))).join(letters, "novel_id").where("mention <> canonical")
     part = F.exists("matched_names", lambda n: F.contains(F.col("mention"), n) | F.contains(n, F.col("mention")))
-    shared = F.array_max(F.transform("matched_names", lambda n: char_overlap(F.col("mention"), n)))
+    shared = F.array_max(F.transform("letters", lambda x: F.size(F.array_intersect("own", x))))
     weak = weak.withColumns({"part": part, "shared": shared, "tier": F.lit(2)})
     order = [F.desc("part"), F.desc("shared"), "canonical"]
     # fewer than k are strong, so those that fill up are among the first 2 k

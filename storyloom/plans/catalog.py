@@ -287,8 +287,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY novel_id, chunk_id, mention ORDE
 
 @query(f"WITH {CANDIDATES} SELECT novel_id, chunk_id, mention, canonical, rank, ['strong_extraction', 'strong_text', 'weak'][tier + 1] AS source, array_to_string(matched_names, '|') AS matched_names FROM r WHERE tier < 2 OR rank <= 5")
 def rec3_candidates(spark, sf):
-    chunks, index = C.chunk(chapters(spark, sf)), name_index(spark, sf)
-    names = extraction.mentioned(chunks)
+    chunks, index = C.chunk(chapters(spark, sf)), name_index(spark, sf).persist()
+    names = extraction.mentioned(chunks).persist()  # both are read several times
     known = recall.known_in_extraction(names.select("novel_id", "chunk_id", "name"), index.select("novel_id", "name", "canonical"), spark.createDataFrame([], "novel_id string, name string"))
     asked = names.select("novel_id", "chunk_id", F.col("name").alias("mention"))
     out = recall.candidates(asked, index, known, recall.text_mentions(chunks, index))
