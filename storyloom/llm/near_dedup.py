@@ -4,10 +4,11 @@ Documents with equal sets of shingles are one node. Signatures are cut into chun
 that differ in few enough symbols agree, by the pigeonhole principle, in some chunk but for one
 symbol, so each chunk is looked up with each symbol left out. What shares such a key is first paired
 with a few leaders of the key only: the least and the greatest node, which pairs all in keys of up to
-three nodes, then, across what isn't connected yet, leaders by other orders. Last, in keys whose nodes
-are still in several components, every pair across them is looked at, so that each pair within
-MAX_DISTANCE is compared or connected. Pairs are confirmed on full sets, and links closed to
-components by least labels.
+three nodes, then, across what isn't connected yet, leaders by other orders. Pairs are confirmed on
+full sets, and links closed to components by least labels. Last, nodes whose keys still lead to
+several components are brought together in blocks: those outside the largest component meet all, full
+set against full set, and a block gives one link for each two components, not its pairs. So each pair
+within MAX_DISTANCE is compared or connected.
 
 Rows: null and empty texts have empty sets and link with nothing; rows of equal sets are linked,
 repeated rows too; a null doc_id is never a component's id unless all of its ids are null; an empty
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import slices, written
+from storyloom.llm.common import give_back, slices, written
 from storyloom.llm.numeric import Runs, Words, mixed
 
 #: A signature has CHUNKS * WIDTH symbols of 16 bits; pairs are looked for that differ in at most MAX_DISTANCE of them, so
@@ -32,8 +33,8 @@ from storyloom.llm.numeric import Runs, Words, mixed
 CHUNKS, WIDTH = 8, 4
 MAX_DISTANCE = 15
 AT_ONCE = 600_000
-#: Nodes of a key that one task holds against the key's others.
-AT_ONCE_NODES = 512
+#: Nodes of a block, and how many of those outside the largest component a task holds against it at once.
+BLOCK, AT_ONCE_NODES = 512, 128
 FACTORS = mixed(np.arange(CHUNKS * WIDTH, dtype=np.uint64), 11) | np.uint64(1)
 
 
@@ -110,22 +111,66 @@ def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return first, more
 
 
-def remaining(nodes: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """All pairs that share a key of more than three nodes, may link and have different labels.
+def torn(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """node, n, label, group, main of the nodes that share keys across components; groups are closed over such keys, main is a group's largest component."""
+    named = written(nodes.join(label, "node", "left").select("node", "n", "sig", F.coalesce("label", "node").alias("label")))
+    keyed = named.select("node", "label", F.explode(keys("sig")).alias("key"))
+    apart = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 3 AND low <> high")
+    led = keyed.join(written(apart.select("key", "lead")), "key").where("node <> lead")
+    group = labels(led.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()).withColumnRenamed("label", "group")
+    rows = named.drop("sig").join(group, "node")
+    part = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("size"))
+    main = part.groupBy("group").agg(F.max(F.struct("size", "label")).getField("label").alias("main"), F.sum("size").alias("size"))
+    return written(rows.join(main, "group"))
 
-    In each key, nodes outside its largest component meet all of other components; hot keys are dealt out by salts.
+
+def across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: for each two components of a block one pair of nodes whose full sets are similar enough, where there is one.
+
+    A group's nodes are dealt out to blocks of about BLOCK; its nodes outside the main component come to each of its blocks.
     """
-    named = nodes.join(label, "node", "left").select("node", "n", "sig", F.coalesce("label", "node").alias("label"))
-    keyed = named.select("*", F.explode(keys("sig")).alias("key"))
-    torn = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("size > 3 AND low <> high")
-    rows = written(keyed.join(written(torn.select("key", F.ceil(F.col("size") / AT_ONCE_NODES).cast("int").alias("salts"))), "key"))
-    part = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    rows = rows.join(part.groupBy("key").agg(F.max(F.struct("size", "label")).getField("label").alias("main")), "key")
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "label")]
-    few = rows.where("label <> main").select("key", F.col("node").alias("a"), *side("a"), F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"))
-    all_ = rows.select("key", F.col("node").alias("b"), *side("b"), "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    apart = (F.col("label_b") == F.col("main")) | (F.col("label_a") < F.col("label_b"))
-    return few.join(all_, ["key", "salt"]).where(apart & may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.join(sets, "node").select("group", "node", "label", "main", "shingles", blocks.alias("blocks"))
+    all_ = rows.withColumns({"block": F.pmod(F.xxhash64("node"), "blocks").cast("int"), "side": F.lit(0)})
+    few = rows.where("label <> main").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "side": F.lit(1)})
+    both = all_.unionByName(few).select("group", "block", "side", "node", "label", "shingles")
+
+    def links(held: list[tuple], asked: list[tuple]) -> list[tuple[int, int]]:
+        """held and asked: (node, label, set)."""
+        flat = np.concatenate([x[2] for x in held])
+        order = np.argsort(flat, kind="stable")
+        flat, holder = flat[order], np.repeat(np.arange(len(held)), [len(x[2]) for x in held])[order]
+        shared = np.zeros((len(asked), len(held)), np.int64)
+        for i, (_, _, s) in enumerate(asked):
+            for part in np.split(s, range(2_000, len(s), 2_000)):
+                left, right = np.searchsorted(flat, part, "left"), np.searchsorted(flat, part, "right")
+                size = right - left
+                shared[i] += np.bincount(holder[np.repeat(left - np.cumsum(size) + size, size) + np.arange(size.sum())], minlength=len(held))
+        n, m = (np.array([len(x[2]) for x in side], np.int64) for side in (asked, held))
+        of, to = (np.array([x[1] for x in side], np.int64) for side in (asked, held))
+        i, j = np.nonzero((100 * shared >= percent * (n[:, None] + m[None, :] - shared)) & (of[:, None] != to[None, :]))
+        found = {}
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            found.setdefault((min(of[a], to[b]), max(of[a], to[b])), (asked[a][0], held[b][0]))
+        return [(min(p), max(p)) for p in found.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, asked, out = None, [], [], []
+        for b in batches:
+            for group, block, side, node, label, shingles in zip(*(b.column(c) for c in ("group", "block", "side", "node", "label", "shingles")), strict=True):
+                key = (group.as_py(), block.as_py())
+                if asked and (key != now or len(asked) >= AT_ONCE_NODES):
+                    out += links(held, asked)
+                    asked = []
+                if key != now:
+                    now, held = key, []
+                (asked if side.as_py() else held).append((node.as_py(), label.as_py(), shingles.values.to_numpy()))
+        if asked:
+            out += links(held, asked)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        give_back()
+
+    return both.repartition("group", "block").sortWithinPartitions("group", "block", "side").mapInArrow(run, "a long, b long").distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -136,7 +181,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             sets = shingle_sets([(t or "").encode() for t in b.column("text").to_pylist()], size)
             nodes = b.column("node").to_pylist()
             same = [node_of(s) == n for s, n in zip(sets, nodes, strict=True)]
-            found = [s.view(np.int64) for s, ok in zip(sets, same, strict=True) if ok]
+            found = [np.sort(s.view(np.int64)) for s, ok in zip(sets, same, strict=True) if ok]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, ok in zip(nodes, same, strict=True) if ok], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     wanted = wanted.select("node", "id", F.col("text_hash").alias("h"))
@@ -180,16 +225,17 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     of_leaders = sets(first.union(more))
     links = confirmed(first, of_leaders, percent)
     label = labels(links)
-    across = more
+    open_ = more
     for x in ("a", "b"):
-        across = across.join(label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
-    found = confirmed(across.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), of_leaders, percent)
+        open_ = open_.join(label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
+    found = confirmed(open_.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), of_leaders, percent)
     if not found.isEmpty():
         links = links.union(found)
         label = labels(links)
-    rest = written(remaining(nodes, label, percent).join(first.union(more), ["a", "b"], "left_anti"))
+    rest = torn(nodes, label)
     if not rest.isEmpty():
-        found = confirmed(rest, sets(rest), percent)
+        holders = nodes.join(rest.select("node"), "node").select("node", F.col("holder.doc_id").alias("id"), F.col("holder.text_hash").alias("text_hash"))
+        found = written(across(rest, written(sets_of(docs, holders, size)), percent))
         if not found.isEmpty():
             label = labels(links.union(found))
     label = nodes.join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
