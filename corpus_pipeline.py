@@ -42,7 +42,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("personal_data", personal_data), ("mixture", mixture), ("tokens", tokens)]
 
-#: SQL can't express the trained classifier; tests hold run() against a plain version.
+#: SQL can't express the trained classifier; tests hold each stage against plain code on its own input, and run() against the stages.
 ORACLE_SQL = None
 
 

@@ -21,20 +21,29 @@ SLICE_CHARS = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where spark.checkpoint.dir is unset."""
+    """The folder that driver and executors share, of spark.checkpoint.dir; a temporary one only where that is unset and all run on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="storyloom-"))
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if found is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="storyloom-"))
     return sc.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, sizes are known, executors may be lost."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder: lineage is cut, sizes are known, executors may be lost. clear() removes them."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that operators wrote in this session: to be called when their results are written, which still read them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
