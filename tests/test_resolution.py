@@ -203,7 +203,7 @@ def test_names_found_beforehand_or_in_the_text(spark, sf):
             novel.take(r.asDict(recursive=True), alike)
         novel.close()
         plain += novel.taken()
-    assert rows == sorted(map(str, spark.createDataFrame(resolution.frame(plain), resolution.RESOLUTION).collect())) and "kind='alias'" in " ".join(rows)
+    assert rows == sorted(map(str, spark.createDataFrame([tuple(r.get(c) for c in resolution.columns(resolution.RESOLUTION)) for r in plain], resolution.RESOLUTION).collect())) and "kind='alias'" in " ".join(rows)
 
 
 def test_the_union_of_candidates_may_be_allowed():
