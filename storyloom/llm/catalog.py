@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, fingerprint, host_rules, html_extract, mixing, near_dedup, pii, quality_model, substring_dedup, toxicity
+from storyloom.llm import bpe, filter_audit, fingerprint, host_rules, html_extract, mixing, near_dedup, pii, quality_model, substring_dedup, token_counts, toxicity, vector_codes
 from storyloom.llm.common import documents
 
 #: The key of the surrogates here; a user passes their own.
@@ -60,5 +60,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir), SECRET).select("doc_id", "n_entities", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op4_fingerprints, op5_host_rules, op6_mixing, op7_substring_dedup, op8_bpe, op9_near_dedup, op10_pii)}
-ORACLES = {"op5_host_rules": host_rules.ORACLE, "op6_mixing": mixing.ORACLE, "op9_near_dedup": near_dedup.ORACLE}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_errors(coded).drop("label").withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.counted(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extraction, op2_toxicity, op3_quality_classifier, op4_fingerprints, op5_host_rules, op6_mixing, op7_substring_dedup, op8_bpe, op9_near_dedup, op10_pii, op11_vector_codes,
+        op12_token_counts, op13_filter_audit,
+    )
+}
+ORACLES = {"op5_host_rules": host_rules.ORACLE, "op6_mixing": mixing.ORACLE, "op9_near_dedup": near_dedup.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
