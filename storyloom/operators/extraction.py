@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -24,6 +26,11 @@ class Rejected(Exception):
     """A failure that is final: a refused request, or an answer that isn't valid."""
 
 
+def service_failure(status: int, message: str) -> Exception:
+    """What an extractor or judge raises for an HTTP status that is no success: only too many requests and the service's own failures may be mended by trying again."""
+    return (Retryable if status == 429 or status >= 500 else Rejected)(f"{status}: {message[:300]}")
+
+
 #: text -> {"characters": [{"name", "category"}], "relationships": [{"source", "target", "type", "confidence"}]}
 Extractor = Callable[[str], dict]
 
@@ -77,35 +84,70 @@ class Attempts:
     pause: float = 0.5
 
 
-def extract_all(chunks: DataFrame, extractor: Extractor, how: Attempts = Attempts(), concurrency: int = 4) -> DataFrame:
-    """EXTRACTIONS of every chunk: a completed or a failed row for each; `concurrency` calls run at a time."""
-
-    def one(text: str) -> tuple[str, int, str | None, dict | None]:
-        for attempt in range(1, how.retries + 2):
-            try:
-                answer = extractor(text)
-                if bad := problems(answer):
-                    raise Rejected(f"validation: {bad}")
-                loops = [r for r in answer.get("relationships", []) if r["source"] != r["target"]]
-                return "completed", attempt, None, {"characters": answer.get("characters", []), "relationships": loops}
-            except Rejected as e:
-                return "failed", attempt, str(e), None
-            except Exception as e:  # noqa: BLE001  a service may fail in any way; the row tells which
-                if attempt > how.retries:
-                    return "failed", attempt, f"{type(e).__name__}: {e}", None
-                time.sleep(how.pause * attempt)
-        raise AssertionError
+def in_order(run: Callable, rows: Iterable, at_once: int) -> Iterator:
+    """run(row) of each row, in the rows' order, `at_once` of them at a time.
+
+    At most twice as many rows are taken ahead of the first that isn't done, so neither rows nor answers pile up behind a
+    slow call. If the reader stops early, what hasn't begun is not begun.
+    """
+    pool = ThreadPoolExecutor(at_once)
+    waiting: deque = deque()
+    try:
+        for row in rows:
+            waiting.append(pool.submit(run, row))
+            if len(waiting) >= 2 * at_once:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+    finally:
+        pool.shutdown(wait=True, cancel_futures=True)
+
+
+def attempt(extractor: Extractor, text: str, how: Attempts) -> tuple[str, int, str | None, dict | None]:
+    """Status, attempts, error and answer of one text. What the extractor says is final, and an answer that isn't valid, is not tried again; anything else is."""
+    for n in range(1, how.retries + 2):
+        try:
+            answer = extractor(text)
+            if bad := problems(answer):
+                raise Rejected(f"validation: {bad}")
+            loops = [r for r in answer.get("relationships", []) if r["source"] != r["target"]]
+            return "completed", n, None, {"characters": answer.get("characters", []), "relationships": loops}
+        except Rejected as e:
+            return "failed", n, str(e), None
+        except Exception as e:  # noqa: BLE001  a service may fail in any way; the row tells which
+            if n > how.retries:
+                return "failed", n, f"{type(e).__name__}: {e}", None
+            time.sleep(how.pause * n)
+    raise AssertionError
+
+
+def extract_all(chunks: DataFrame, extractor: Extractor, how: Attempts = Attempts(), concurrency: int = 4, tasks: int | None = None) -> DataFrame:
+    """EXTRACTIONS of every chunk: a completed or a failed row for each.
+
+    A task keeps up to `concurrency` calls going, in threads, and gives its rows in their order; a pause before another
+    attempt holds one of them only. There are `tasks` tasks, as many as the session's shuffle partitions or cores if none are
+    given, so up to tasks at work x concurrency calls are made at once. Rows are given on as soon as they and those before
+    them are done: what a task holds doesn't grow with its chunks.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for novel, chunk_id, text in zip(b["novel_id"], b["chunk_id"], b["text"], strict=True):
-                began = time.monotonic()
-                status, attempts, error, result = one(text)
-                rows.append((novel, chunk_id, status, attempts, error, time.monotonic() - began, json.dumps(result) if result else None))
-            yield pd.DataFrame(rows, columns=["novel_id", "chunk_id", "status", "attempts", "error", "seconds", "answer"])
-
-    raw = chunks.select("novel_id", "chunk_id", "text").repartition(concurrency, "novel_id", "chunk_id")
+        def one(row: tuple) -> tuple:
+            novel, chunk_id, text = row
+            began = time.monotonic()
+            status, attempts, error, result = attempt(extractor, text, how)
+            return novel, chunk_id, status, attempts, error, time.monotonic() - began, json.dumps(result) if result else None
+
+        rows, names = [], ["novel_id", "chunk_id", "status", "attempts", "error", "seconds", "answer"]
+        for row in in_order(one, (r for b in batches for r in zip(b["novel_id"], b["chunk_id"], b["text"], strict=True)), concurrency):
+            rows.append(row)
+            if len(rows) >= 64:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        yield pd.DataFrame(rows, columns=names)
+
+    spark = chunks.sparkSession
+    n = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    raw = chunks.select("novel_id", "chunk_id", "text").repartition(n, "novel_id", "chunk_id")
     out = raw.mapInPandas(run, "novel_id string, chunk_id int, status string, attempts int, error string, seconds double, answer string")
     return out.withColumn("result", F.from_json("answer", EXTRACTION)).select(columns(EXTRACTIONS))
 

@@ -1,9 +1,11 @@
 """Sources, chunks, extraction, merging, resume, store: small cases and properties."""
 
 import io
+import os
 import subprocess
 import sys
 import threading
+import time
 import zipfile
 from pathlib import Path
 
@@ -91,6 +93,57 @@ def test_extraction_fails_chunk_by_chunk(spark):
     assert again.where("status = 'completed'").count() == 2
 
 
+def test_calls_run_side_by_side_in_every_task(spark, tmp_path):
+    c = spark.range(48).selectExpr("'n' AS novel_id", "int(id) AS chunk_id", "concat('text ', id) AS text")
+
+    def sleeper(text):
+        began = time.time()
+        time.sleep(0.3)
+        (tmp_path / f"{began}-{time.time()}-{os.getpid()}-{text}").touch()
+        return extraction.rule_extractor(text)
+
+    out = extraction.extract_all(c, sleeper, concurrency=4, tasks=3)
+    assert out.rdd.getNumPartitions() == 3 and extraction.extract_all(c, sleeper, concurrency=9).rdd.getNumPartitions() == extraction.extract_all(c, sleeper, concurrency=1).rdd.getNumPartitions()
+    rows = out.collect()
+    spans = [(float(a), float(b), pid) for a, b, pid in (p.name.split("-")[:3] for p in tmp_path.iterdir())]
+    assert len(rows) == len(spans) == 48 and {r.status for r in rows} == {"completed"}
+    at_once = lambda own: max(sum(a <= t < b for a, b, _ in own) for t, _, _ in own)
+    each = [at_once([s for s in spans if s[2] == pid]) for pid in {s[2] for s in spans}]
+    assert max(each) == 4 and at_once(spans) > 4
+
+
+def test_rows_of_calls_keep_their_order_and_do_not_pile_up():
+    taken, most, lock = [], [], threading.Lock()
+
+    def rows():
+        for i in range(60):
+            taken.append(i)
+            yield i
+
+    def call(i):
+        time.sleep(0.05 if i % 7 == 0 else 0.001)
+        return i
+
+    done = []
+    for i in extraction.in_order(call, rows(), 5):
+        done.append(i)
+        with lock:
+            most.append(len(taken) - len(done))
+    assert done == list(range(60)) and max(most) <= 10
+    few = extraction.in_order(call, rows(), 3)
+    assert next(few) == 0
+    few.close()  # the reader stops: the rest isn't called
+
+
+def test_what_a_service_says_decides_about_another_attempt():
+    for status, attempts in ((429, 3), (503, 3), (500, 3), (400, 1), (403, 1), (404, 1)):
+        def extractor(text, status=status):
+            raise extraction.service_failure(status, "x" * 1000)
+
+        got = extraction.attempt(extractor, "t", extraction.Attempts(2, 0))
+        assert got[:2] == ("failed", attempts) and str(status) in got[2] and len(got[2]) < 350
+
+
 def relations(spark, rows):
     return spark.createDataFrame([("n", c, c, i, a, b, "love", x, f"t{c}") for i, (c, a, b, x) in enumerate(rows)], "novel_id string, chunk_id int, chapter_id int, ordinal int, source string, target string, type string, confidence double, text string")
 
