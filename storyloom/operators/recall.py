@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import OF, characters, hard_filtered
+from storyloom.functions.text import OF, hard_filtered
+from storyloom.operators.alike import NameIndex
 
 TOP_K = 5
-#: Names up to which an index is broadcast, some 100 bytes each.
-MOST_BROADCAST = 200_000
 
 
 def known_in_extraction(names: DataFrame, known: DataFrame, provisional: DataFrame) -> DataFrame:
@@ -23,56 +20,82 @@ def known_in_extraction(names: DataFrame, known: DataFrame, provisional: DataFra
     return found.join(provisional.select("novel_id", F.col("name").alias("canonical")), ["novel_id", "canonical"], "left_anti").select("novel_id", "chunk_id", "canonical")
 
 
-def text_mentions(chunks: DataFrame, index: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+def brought_together(rows: DataFrame, size: Column, index: DataFrame, most_rows: int, most_names: int) -> tuple[GroupedData, GroupedData]:
+    """Both in groups of (novel, block, shard): blocks of a novel's rows of about `most_rows` in the sum of `size`, shards of its index of about `most_names` names.
+
+    A canonical's names are in one shard. Each block meets each shard of its novel in a group of its own, so neither a large
+    novel nor a large index ends up in one task; rows of novels without an index, and the other way round, are left out.
+    """
+    sizes = rows.groupBy("novel_id").agg(F.ceil(F.sum(size) / most_rows).cast("int").alias("__blocks"))
+    sizes = sizes.join(index.groupBy("novel_id").agg(F.ceil(F.count(F.lit(1)) / most_names).cast("int").alias("__shards")), "novel_id")
+    sizes = sizes.select("novel_id", F.greatest("__blocks", F.lit(1)).alias("__blocks"), F.greatest("__shards", F.lit(1)).alias("__shards"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    piece = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+    by_row = [c for c in rows.columns if c not in ("novel_id", "text")]
+    left = rows.join(sizes, "novel_id").withColumn("__block", piece("__blocks", *by_row)).withColumn("__shard", every("__shards"))
+    right = index.join(sizes, "novel_id").withColumn("__shard", piece("__shards", "canonical")).withColumn("__block", every("__blocks"))
+    own = lambda x: x.select(*[F.col(c).alias(c) for c in x.columns if c not in ("__blocks", "__shards")])  # noqa: E731  both may come from one table
+    return tuple(own(x).groupBy("novel_id", "__block", "__shard") for x in (left, right))
+
+
+def names_of(index: pa.Table) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for canonical, name in zip(index["canonical"].to_pylist(), index["name"].to_pylist(), strict=True):
+        out.setdefault(canonical, []).append(name)
+    return out
+
+
+def text_mentions(chunks: DataFrame, index: DataFrame, most_chars: int = 4_000_000, most_names: int = 100_000) -> DataFrame:
     """novel_id, chunk_id, canonical of the canonicals with a name in the text; index: (novel_id, canonical, name).
 
-    An index of at most `most` names is broadcast and each text read once by an automaton of its novel's names; a larger one
-    meets the texts by the first characters of names, an equi-join.
+    Each group of a novel's texts is read once by an automaton of the names that it meets, whatever the size of texts and index.
     """
     index = index.where("name <> ''").select("novel_id", "canonical", "name").distinct()
-    found = index.limit(most + 1).collect()  # never more
-    if len(found) > most:
-        return by_grams(chunks, index)
-    names: dict[str, list[tuple[str, str]]] = {}
-    for r in found:
-        names.setdefault(r.novel_id, []).append((r.name, r.canonical))
-    shared = chunks.sparkSession.sparkContext.broadcast(names)
     src = chunks.where("text <> ''").select("novel_id", "chunk_id", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata: dict[str, ahocorasick.Automaton] = {}
-        for b in batches:
-            rows, found = [], []
-            for i, (novel, text) in enumerate(zip(b.column("novel_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
-                if novel not in shared.value:
-                    continue
-                if novel not in automata:
-                    of: dict[str, set[str]] = {}
-                    for name, canonical in shared.value[novel]:
-                        of.setdefault(name, set()).add(canonical)
-                    automata[novel] = ahocorasick.Automaton()
-                    for name, canonicals in of.items():
-                        automata[novel].add_word(name, tuple(canonicals))
-                    automata[novel].make_automaton()
-                here = {c for _, canonicals in automata[novel].iter(text) for c in canonicals}
-                rows += [i] * len(here)
-                found += here
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("novel_id").take(at), b.column("chunk_id").take(at), pa.array(found, pa.string())], names=["novel_id", "chunk_id", "canonical"])
-
-    return src.mapInArrow(run, src.select("novel_id", "chunk_id", F.lit("").alias("canonical")).schema)
-
-
-def by_grams(chunks: DataFrame, index: DataFrame, longest: int = 3) -> DataFrame:
-    """text_mentions() for an index of any size: names meet the chunks that have their first characters, `longest` at most."""
-    texts = chunks.select("novel_id", "chunk_id", "text")
-    keyed_names = index.withColumn("g", F.substring("name", 1, longest))
-    sizes = [r.n for r in keyed_names.select(F.length("g").alias("n")).distinct().collect()]  # of 1 to `longest`
-    grams = [F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in sorted(sizes)]  # at every place
-    keyed = texts.select("novel_id", "chunk_id", F.explode(F.concat(*grams) if grams else F.array().cast("array<string>")).alias("g"))
-    keyed = keyed.join(keyed_names.select("novel_id", "g").distinct(), ["novel_id", "g"], "left_semi")
-    likely = keyed.join(keyed_names, ["novel_id", "g"]).select("novel_id", "chunk_id", "canonical", "name").distinct()
-    return likely.join(texts, ["novel_id", "chunk_id"]).where(F.contains("text", "name")).select("novel_id", "chunk_id", "canonical").distinct()
+    def run(texts: pa.Table, names: pa.Table) -> pa.Table:
+        of: dict[str, list[str]] = {}
+        for canonical, own in names_of(names).items():
+            for name in own:
+                of.setdefault(name, []).append(canonical)
+        automaton = ahocorasick.Automaton()
+        for name, canonicals in of.items():
+            automaton.add_word(name, canonicals)
+        automaton.make_automaton()
+        rows, found = [], []
+        for i, text in enumerate(texts["text"].to_pylist() if of else ()):
+            here = {c for _, canonicals in automaton.iter(text) for c in canonicals}
+            rows += [i] * len(here)
+            found += here
+        at = pa.array(rows, pa.int64())
+        return pa.table({"novel_id": texts["novel_id"].take(at), "chunk_id": texts["chunk_id"].take(at), "canonical": pa.array(found, pa.string())})
+
+    left, right = brought_together(src, F.length("text"), index, most_chars, most_names)
+    return left.cogroup(right).applyInArrow(run, src.select("novel_id", "chunk_id", F.lit("").alias("canonical")).schema)
+
+
+def weak_candidates(mentions: DataFrame, index: DataFrame, k: int, most_mentions: int = 20_000, most_names: int = 50_000) -> DataFrame:
+    """novel_id, mention, canonical, matched_names, o: for each mention the first k of its novel's canonicals by likeness (see NameIndex), numbered from 1.
+
+    mentions: (novel_id, mention), each once; index: (novel_id, canonical, name). Each shard of an index gives its own first k, of which the first k count.
+    """
+
+    def run(asked: pa.Table, names: pa.Table) -> pa.Table:
+        of, alike = names_of(names), NameIndex()
+        for canonical, own in of.items():
+            own.sort()
+            for name in own:
+                alike.add(canonical, name)
+        novel, rows = (asked if len(asked) else names)["novel_id"][0].as_py(), []
+        for m in asked["mention"].to_pylist() if of else ():
+            rows += [(novel, m, c, of[c], part, n) for c, part, n in alike.most_alike(m, k)]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names=fields)
+
+    fields, types = ["novel_id", "mention", "canonical", "matched_names", "part", "shared"], [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.int32()]
+    left, right = brought_together(mentions, F.lit(1), index.select("novel_id", "canonical", "name"), most_mentions, most_names)
+    out = left.cogroup(right).applyInArrow(run, "novel_id string, mention string, canonical string, matched_names array<string>, part boolean, shared int")
+    o = F.row_number().over(Window.partitionBy("novel_id", "mention").orderBy(F.desc("part"), F.desc("shared"), "canonical"))
+    return out.withColumn("o", o).where(F.col("o") <= k).drop("part", "shared")
 
 
 def candidates(mentions: DataFrame, index: DataFrame, extraction: DataFrame, text: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -89,14 +112,9 @@ def candidates(mentions: DataFrame, index: DataFrame, extraction: DataFrame, tex
     had = strong.groupBy(*key).agg(F.count(F.lit(1)).alias("had"))
     # only mentions that lack candidates are held against the canonicals of their novel, each different one once
     open_ = mentions.join(had, key, "left").na.fill(0, ["had"]).where(F.col("had") < k)
-    letters = names.withColumn("letters", F.transform("matched_names", characters))  # of each name once, not of each pair
-    weak = open_.select("novel_id", "mention").distinct().withColumn("own", characters(F.col("mention"))).join(letters, "novel_id").where("mention <> canonical")
-    part = F.exists("matched_names", lambda n: F.contains(F.col("mention"), n) | F.contains(n, F.col("mention")))
-    shared = F.array_max(F.transform("letters", lambda x: F.size(F.array_intersect("own", x))))
-    weak = weak.withColumns({"part": part, "shared": shared, "tier": F.lit(2)})
-    order = [F.desc("part"), F.desc("shared"), "canonical"]
     # fewer than k are strong, so those that fill up are among the first 2 k
-    weak = weak.withColumn("o", F.row_number().over(Window.partitionBy("novel_id", "mention").orderBy(*order))).where(F.col("o") <= 2 * k)
+    usable = index.where(F.col("name").isNotNull() & ~hard_filtered(F.col("canonical"))).select("novel_id", "canonical", "name").distinct()
+    weak = weak_candidates(open_.select("novel_id", "mention").distinct(), usable, 2 * k).withColumn("tier", F.lit(2))
     weak = open_.join(weak, ["novel_id", "mention"]).join(strong.select(*key, "canonical"), [*key, "canonical"], "left_anti")
     weak = weak.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("o"))).where(F.col("i") <= k)
     weak = weak.withColumn("rank", (F.col("had") + F.col("i")).cast("int")).where(F.col("rank") <= k)

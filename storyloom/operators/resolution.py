@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as rules
+from storyloom.operators.alike import NameIndex
 from storyloom.operators.recall import TOP_K, text_mentions
 from storyloom.schema import RESOLUTION, columns
 
@@ -98,6 +99,7 @@ class Novel:
     replays: dict[str, str] = field(default_factory=dict)  # earlier answers by the fingerprint of what was asked
     canonical: dict[str, str] = field(default_factory=dict)
     index: dict[str, set[str]] = field(default_factory=dict)
+    alike: NameIndex = field(default_factory=NameIndex)  # of the same names, where no rule filters the canonical
     provisional: set[str] = field(default_factory=set)
     sightings: dict[str, tuple[str, set[int]]] = field(default_factory=dict)  # bare role: target, chunks
     settled: set[tuple[str, str]] = field(default_factory=set)
@@ -131,12 +133,18 @@ class Novel:
     def category(self, chunk: Chunk, name: str) -> str | None:
         return "generic" if name in rules.GENERIC else chunk.category.get(name)
 
+    def know(self, canonical: str, name: str) -> None:
+        """From now on the name leads to the canonical in recall."""
+        self.index.setdefault(canonical, set()).add(name)
+        if not filtered(canonical):
+            self.alike.add(canonical, name)
+
     def register(self, chunk: Chunk, name: str) -> None:
         """A new canonical; outside the body it's provisional and no candidate until the body has it."""
         self.canonical[name] = name
         self.emit("register", chunk, name=name, flag=chunk.body)
         if chunk.body:
-            self.index.setdefault(name, set()).add(name)
+            self.know(name, name)
         else:
             self.provisional.add(name)
             self.count["nonbody_person_provisional"] += 1
@@ -170,13 +178,7 @@ class Novel:
         strong = sorted(filter(usable, chunk.seen)) + sorted(filter(usable, chunk.shown - chunk.seen))
         if len(strong) >= TOP_K:
             return strong
-        letters = set(mention)
-
-        def distance(c: str) -> tuple[bool, int, str]:
-            names = self.index[c]
-            return not any(mention in n or n in mention for n in names), -max(len(letters & set(n)) for n in names), c
-
-        return strong + sorted((c for c in self.index if c not in strong and usable(c)), key=distance)[: TOP_K - len(strong)]
+        return strong + [c for c, _, _ in self.alike.most_alike(mention, TOP_K - len(strong), strong)]
 
     def recall_source(self, chunk: Chunk, found: list[str]) -> str:
         return "none" if not found else "strong_extraction" if chunk.seen & set(found) else "strong_text" if chunk.shown & set(found) else "weak"
@@ -188,7 +190,7 @@ class Novel:
             who = self.canonical[name]
             if who in self.provisional and chunk.body:
                 self.provisional.discard(who)
-                self.index.setdefault(who, set()).add(who)
+                self.know(who, who)
                 self.emit("promote", chunk, name=who)
             if who not in self.provisional:
                 chunk.seen.add(who)
@@ -265,7 +267,7 @@ class Novel:
             ok, label = self.admits(chunk, mention, target)
             if ok:
                 self.canonical[mention] = target
-                self.index[target].add(mention)
+                self.know(target, mention)
                 self.emit("alias", chunk, name=target, target=mention, ordinal=self.step())
                 if (category := chunk.category.get(mention)) in ("descriptive", "composite"):
                     self.count[f"{category}_resolved"] += 1

@@ -37,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df in the shared folder, where the session names one; else it's worked out wherever it's read."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def literal(x: object) -> str:
     if x is None:
         return "NULL"
@@ -287,8 +292,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY novel_id, chunk_id, mention ORDE
 
 @query(f"WITH {CANDIDATES} SELECT novel_id, chunk_id, mention, canonical, rank, ['strong_extraction', 'strong_text', 'weak'][tier + 1] AS source, array_to_string(matched_names, '|') AS matched_names FROM r WHERE tier < 2 OR rank <= 5")
 def rec3_candidates(spark, sf):
-    chunks, index = C.chunk(chapters(spark, sf)), name_index(spark, sf).persist()
-    names = extraction.mentioned(chunks).persist()  # both are read several times
+    chunks, index = C.chunk(chapters(spark, sf)), kept(name_index(spark, sf))
+    names = kept(extraction.mentioned(chunks))  # both are read several times
     known = recall.known_in_extraction(names.select("novel_id", "chunk_id", "name"), index.select("novel_id", "name", "canonical"), spark.createDataFrame([], "novel_id string, name string"))
     asked = names.select("novel_id", "chunk_id", F.col("name").alias("mention"))
     out = recall.candidates(asked, index, known, recall.text_mentions(chunks, index))
@@ -461,7 +466,7 @@ def mrg8_merge_stats(spark, sf):
 def mrg9_roots(spark, sf):
     key = F.col("c_custkey")
     m = table(spark, sf, "customer").where((key % 5 != 0) & (key >= 3)).select(F.lit("n").alias("novel_id"), key.cast("string").alias("drop"), F.floor(key / 3).cast("string").alias("keep"))
-    return merging.roots(m, lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist())
+    return merging.roots(m, kept)
 
 
 # store and queries

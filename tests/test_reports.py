@@ -50,15 +50,6 @@ def test_a_failed_chunk_breaks_the_chain(spark):
         assert {r.mention: r.verdict for r in lineage.diagnose_events(spark.createDataFrame(keep, lineage.EVENTS), asked).collect()} == expected
 
 
-def test_recall_by_automata_and_by_grams(spark):
-    texts = spark.createDataFrame([(n, i, t) for n in "nm" for i, t in enumerate(["翠翠和天保", "天保大老 ab", "", "a", "xabcabc\n二老"])], "novel_id string, chunk_id int, text string")
-    index = spark.createDataFrame([("n", "翠翠", "翠"), ("n", "翠翠", "翠翠"), ("n", "天保", "天保大老"), ("m", "天保", "天保"), ("n", "A", "a"), ("n", "B", "abcabc"), ("n", "C", "c\n二老"), ("n", "D", ""), ("n", "E", "zz"), ("m", "F", "b"), ("m", "G", "b")], "novel_id string, canonical string, name string")
-    names = [tuple(r) for r in index.collect()]
-    expected = sorted({(r.novel_id, r.chunk_id, c) for r in texts.collect() for n, c, name in names if n == r.novel_id and name and name in r.text})
-    for most in (0, 1000):
-        assert sorted(map(tuple, recall.text_mentions(texts, index, most).collect())) == expected
-
-
 def test_roles_are_those_of_the_resolver(spark):
     known = {"天保": "天保", "大老": "天保", "翠翠": "翠翠", "翠": "翠翠", "岳云": "岳云"}
     mentions = ["翠翠的父亲", "天保大老", "翠翠祖父", "老船夫", "岳云", "大老爷", "他的船", "船的主"]
