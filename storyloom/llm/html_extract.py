@@ -9,8 +9,9 @@ middling is bad, and open blocks look for neighbours on their own side. Kept blo
 line break.
 
 Rows: null and empty html give an empty text; each row gives one row, repeated rows the same one;
-an empty table gives an empty table; unclosed elements, comments and quotes end with the page; of two neighbours
-as near the one before counts.
+an empty table gives an empty table; unclosed comments, quotes and elements whose text isn't markup (scripts, styles,
+titles and the like) end with the page, all others with what they are in, and a head where the body begins; of two
+neighbours as near the one before counts.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ from storyloom.llm.common import slices
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|head|select|annotation|annotation-xml)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|iframe|title|annotation-xml|annotation)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
     r"|<[!?/a-zA-Z][^>]*>?",
     re.S | re.I,
@@ -46,7 +47,7 @@ BESIDE = re.compile(
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 #: Those that mark an article.
 ARTICLE = re.compile(r"(?:^|\s)(?:article|post|entry|story)(?:[_-]?(?:body|content|text|main))?(?:$|\s)", re.I)
-SKIP = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "label", "option", "datalist", "fieldset", "legend"}
+SKIP = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "label", "select", "optgroup", "option", "datalist", "fieldset", "legend"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt",
@@ -81,6 +82,7 @@ class Block:
     text: str
     links: float  # share of its characters
     aside: bool  # in furniture
+    hard: bool  # by the kind of an element, whatever its marks
     article: bool  # in an article or main element
     depth: int  # of its container
     shared: int  # least depth of the containers from the block before to this one: that of the last one that holds both
@@ -101,7 +103,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # open elements: name, in furniture, in an article, containers up to it
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # open elements: name, in furniture, and by the kind of an element, in an article, containers up to it
     open_: Counter[str] = Counter()
     links = breaks = at = shared = 0
 
@@ -110,8 +112,8 @@ def blocks(page: str) -> list[Block]:
         if text:
             if s := " ".join(html.unescape("".join(text)).split()):
                 n = len(" ".join(html.unescape(" ".join(linked)).split())) if linked else 0
-                _, aside, article, depth = stack[-1] if stack else ("", False, False, 0)
-                out.append(Block(s, n / len(s), aside, article, depth, min(shared, depth)))
+                _, aside, hard, article, depth = stack[-1] if stack else ("", False, False, False, 0)
+                out.append(Block(s, n / len(s), aside, hard, article, depth, min(shared, depth)))
                 shared = depth
             text.clear()
             linked.clear()
@@ -120,7 +122,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal shared
         gone = stack.pop()[0]
         open_[gone] -= 1
-        shared = min(shared, stack[-1][3] if stack else 0)
+        shared = min(shared, stack[-1][-1] if stack else 0)
         return gone
 
     def add(s: str) -> None:
@@ -138,7 +140,7 @@ def blocks(page: str) -> list[Block]:
         name = (m[3] or "").lower()
         if not name:
             if m[1]:
-                close_block() if m[1].lower() in ("head", "iframe", "textarea", "select") else None
+                close_block() if m[1].lower() in ("iframe", "textarea") else None
             continue
         if name in VOID:
             if name == "br":
@@ -166,13 +168,14 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             pop()  # such an element ends where the next begins
-        _, aside, article, depth = stack[-1] if stack else ("", False, False, 0)
+        _, aside, hard, article, depth = stack[-1] if stack else ("", False, False, False, 0)
         article |= name in ("article", "main") or "role" in m[4] and "main" in marks.split() or name in ("div", "section") and bool(ARTICLE.search(marks))
-        aside |= name in SKIP or not article and (name == "header" or bool(marks) and bool(HEADER.search(marks)))
+        hard |= name in SKIP or not article and name == "header"
+        aside |= hard or not article and bool(marks) and bool(HEADER.search(marks))
         if name == "article":
             marked = "comment" in marks.lower()
         aside |= marked and name not in ("html", "body", "main")
-        stack.append((name, aside, article, depth + (name not in LEAF)))
+        stack.append((name, aside, hard, article, depth + (name not in LEAF)))
         open_[name] += 1
     add(page[at:])
     close_block()
@@ -264,12 +267,17 @@ def second_pass(found: list[Block], labels: list[str], inside: list[bool]) -> li
     return out
 
 
+def kept(found: list[Block]) -> str:
+    labels = first_pass(found)
+    return "\n".join(b.text for b, keep in zip(found, second_pass(found, labels, hinted(found, labels)), strict=True) if keep)
+
+
 def main_text(page: str | None) -> str:
+    """The kept blocks. Where none is, what only names mark as furniture is looked at like any other block."""
     if not page:
         return ""
     found = blocks(page)
-    labels = first_pass(found)
-    return "\n".join(b.text for b, keep in zip(found, second_pass(found, labels, hinted(found, labels)), strict=True) if keep)
+    return kept(found) or (kept([replace(b, aside=b.hard) for b in found]) if any(b.aside and not b.hard for b in found) else "")
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), source: str = "html") -> DataFrame:

@@ -95,7 +95,7 @@ def test_second_pass_against_brute_force():
                 low = min(low, len(path))
                 path = path + [len(paths) * 10 + int(rng.integers(9))] * int(rng.integers(0, 2))
             paths.append(tuple(path))
-            found.append(html_extract.Block("x" * int(rng.integers(1, 9)), 0.0, False, False, len(path), min(low, len(path)) if k else 0))
+            found.append(html_extract.Block("x" * int(rng.integers(1, 9)), 0.0, False, False, False, len(path), min(low, len(path)) if k else 0))
         common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         for k in range(1, n):
             found[k].shared = common(paths[k - 1], paths[k])
@@ -115,6 +115,61 @@ def test_second_pass_against_brute_force():
         assert html_extract.second_pass(found, labels, inside) == expected
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<html><head><title>x</title><body><p>{PROSE}</p></body></html>", PROSE), (f"<head><meta charset=utf-8><title>x</title><style>p{{}}</style><p>{PROSE}", PROSE), (f"<head><link rel=x>{PROSE}", PROSE),
+        (f"<head-line>{PROSE}</head-line>", PROSE), (f"<select-box></select-box><p>{PROSE}</p>", PROSE), (f"<div><p>{PROSE}</p><template-part></template-part><p>{PROSE}</p></div>", f"{PROSE}\n{PROSE}"),
+        (f"<div><p>{PROSE}</p><style-guide/><p>{PROSE}</p></div>", f"{PROSE}\n{PROSE}"), (f"<div><p>{PROSE}</p><script-x>{PROSE}</script-x></div>", f"{PROSE}\n{PROSE}"),
+        (f"<article><section id=side><p>{PROSE}</p></section></article>", PROSE), (f"<div id=related><p>{PROSE}</p></div><nav>{PROSE}</nav>", PROSE), (f"<article><p>{PROSE}</p><section id=side><p>{PROSE}</p></section></article>", PROSE),
+        (f"<div><select><option>One<option>Two</div><p>{PROSE}</p>", PROSE),
+    ],
+)
+def test_optional_end_tags_and_custom_elements(page, text):
+    assert html_extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("name", ["script", "style", "noscript", "template", "textarea", "iframe", "title", "annotation", "annotation-xml"])
+def test_elements_whose_text_is_not_the_pages(name):
+    page = lambda end: f"<div><p>{PROSE}</p><{name} a='b'>{PROSE} <b>x</b>{end}<p>{PROSE}</p></div>"
+    for end in (f"</{name}>", f"</{name.upper()} >", f"</{name}\n x>"):
+        assert html_extract.main_text(page(end)) == f"{PROSE}\n{PROSE}"
+    assert html_extract.main_text(page("")) == PROSE  # never closed
+    assert html_extract.main_text(page(f"</{name}-x>")) == PROSE  # another name's end
+    assert html_extract.main_text(f"<div><p>{PROSE}</p><{name}-x>{PROSE}</{name}-x></div>") == f"{PROSE}\n{PROSE}"
+
+
+def test_blocks_hold_all_text_that_another_parser_sees(spark):
+    """Every page's blocks together, against Python's own HTML parser: no text lost, none made up."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        SILENT = ("script", "style", "noscript", "template", "textarea", "iframe", "title")
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.text = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in self.SILENT:
+                self.inside.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in self.inside:
+                self.inside.remove(tag)
+
+        def handle_data(self, data):
+            if not self.inside:
+                self.text.append(data)
+
+    bare = lambda s: "".join(s.split())
+    for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect():
+        parser = Plain()
+        parser.feed(r.html or "")
+        parser.close()
+        assert bare("".join(b.text for b in html_extract.blocks(r.html or ""))) == bare("".join(parser.text)), r.page_id
+
+
 def test_extract_odd_pages(spark):
     rows = [(1, "u", f"<article><p>{PROSE}</p></article>", "clash"), (1, "u", f"<article><p>{PROSE}</p></article>", "clash"), (2, None, None, None), (3, "v", "<p>" + PROSE * 2000, None)]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
