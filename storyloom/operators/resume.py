@@ -10,7 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyloom.operators.store import files
+from storyloom.operators.store import files, put_small
+from storyloom.schema import columns
 
 log = logging.getLogger(__name__)
 
@@ -123,15 +124,25 @@ class Checkpoints:
         numbers = [int(s.getPath().getName().removeprefix("v")) for s in found if re.fullmatch(r"v\d+", s.getPath().getName())]
         return sorted((n for n in numbers if fs.exists(at(f"{folder}/v{n}/{self.MARK}"))), reverse=True)
 
-    def put(self, kind: str, key: str, rows: DataFrame) -> None:
-        """Replaces the rows; they show whole or not at all."""
-        folder, old = self.folder(kind, key), self.versions(kind, key)
-        fs, at = files(self.spark, folder)
-        new = max(old, default=0) + 1
-        rows.write.mode("overwrite").parquet(f"{folder}/v{new}/rows")  # what a crash left there was never marked
-        fs.create(at(f"{folder}/v{new}/{self.MARK}")).close()
-        for n in old[1:]:
-            fs.delete(at(f"{folder}/v{n}"), True)
+    def put(self, kind: str, key: str, rows: DataFrame) -> bool:
+        """Replaces the rows; they show whole or not at all. A write that fails is logged and gives False: a job goes on without it, and the rows before stay."""
+        folder = self.folder(kind, key)
+        try:
+            old, (fs, at) = self.versions(kind, key), files(self.spark, folder)
+            new = max(old, default=0) + 1
+            rows.write.mode("overwrite").parquet(f"{folder}/v{new}/rows")  # what a crash left there was never marked
+            fs.create(at(f"{folder}/v{new}/{self.MARK}")).close()
+            for n in old[1:]:
+                fs.delete(at(f"{folder}/v{n}"), True)
+        except Exception as e:  # noqa: BLE001  a checkpoint saves work, it isn't the work
+            log.warning("checkpoint %s of %s can't be written: %s", kind, key, str(e)[:300])
+            return False
+        return True
+
+    def put_novels(self, kind: str, key: str, rows: DataFrame, novels: DataFrame, schema: str) -> bool:
+        """put() in place of the given novels' rows only; those of other novels under the key stay."""
+        others = self.get(kind, key, schema).join(novels.select("novel_id").distinct(), "novel_id", "left_anti")
+        return self.put(kind, key, others.select(rows.columns).unionByName(rows))
 
     def get(self, kind: str, key: str, schema: str) -> DataFrame:
         for n in self.versions(kind, key):
@@ -160,23 +171,24 @@ MANIFEST = "novel_id string, content_hash string, config_fingerprint string, str
 
 
 class Manifests:
-    """One row for each novel that a run has begun: what it was made of and whether it's complete."""
+    """One row for each novel that a run has begun: what it was made of and whether it's complete. Each novel's is a small file of its own, so runs side by side don't touch each other's."""
 
     def __init__(self, checkpoints: Checkpoints):
-        self.store = checkpoints
+        self.spark, self.path = checkpoints.spark, f"{checkpoints.path}/manifests"
 
     def all(self) -> DataFrame:
-        return self.store.get("manifests", "all", MANIFEST)
+        fs, at = files(self.spark, self.path)
+        return self.spark.read.schema(MANIFEST).json(self.path) if fs.exists(at(self.path)) else self.spark.createDataFrame([], MANIFEST)
 
     def save(self, rows: DataFrame) -> None:
-        """rows: (novel_id, content_hash, config_fingerprint, structure_hash, title, chunk_count, status). Other novels' rows stay, and so does the time at which a novel was begun."""
+        """rows: (novel_id, content_hash, config_fingerprint, structure_hash, title, chunk_count, status), the novels of one run. Other novels' rows stay, and so does the time at which a novel was begun."""
         bad = rows.where(~F.coalesce(F.col("status").isin(IN_PROGRESS, COMPLETED) & F.col("content_hash").rlike("^[0-9a-f]{64}$") & F.col("config_fingerprint").rlike("^[0-9a-f]{64}$"), F.lit(False)))
         if not bad.isEmpty():
             raise ValueError("a manifest has two hashes of 64 hexadecimal digits and is IN_PROGRESS or COMPLETED")
-        old = self.all()
-        begun = old.select("novel_id", F.col("created_at").alias("__begun"))
+        begun = self.all().select("novel_id", F.col("created_at").alias("__begun"))
         new = rows.join(begun, "novel_id", "left").withColumns({"created_at": F.coalesce("__begun", F.current_timestamp()), "updated_at": F.current_timestamp()})
-        self.store.put("manifests", "all", old.join(rows.select("novel_id"), "novel_id", "left_anti").select(old.columns).unionByName(new.select(old.columns)))
+        for r in new.select("novel_id", F.to_json(F.struct(*columns(MANIFEST))).alias("line")).collect():  # a line a novel
+            put_small(self.spark, f"{self.path}/{hashlib.sha256(r.novel_id.encode()).hexdigest()}.json", r.line)
 
     def reusable(self, uploads: DataFrame, fingerprint: str) -> DataFrame:
         """content_hash, known_novel_id, known_status of the uploads (content_hash, structure_hash) that an earlier run with the same settings has begun; chunks that differ are another analysis."""

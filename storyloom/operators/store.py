@@ -1,11 +1,15 @@
-"""Graph tables, a partition for each novel, and the queries over them."""
+"""Graph tables, a partition for each novel and write, and the queries over them."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from storyloom.functions.text import node_id
 from storyloom.operators.graph import stored_relations
@@ -29,68 +33,87 @@ def files(spark: SparkSession, path: str):  # noqa: ANN201
     return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
 
 
-def partitions(spark: SparkSession, path: str) -> set[str]:
-    """Names of the novels' folders of a table."""
+def put_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with the text in place of the one before: readers have the old one or the new one, whole."""
     fs, at = files(spark, path)
-    return {s.getPath().getName() for s in fs.listStatus(at(path)) if s.getPath().getName().startswith("novel_id=")} if fs.exists(at(path)) else set()
+    hidden = at(f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    out = fs.create(hidden)
+    out.write(bytearray(text.encode()))
+    out.close()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    how[0] = jvm.Options.Rename.OVERWRITE
+    jvm.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(hidden), fs.makeQualified(at(path)), how)
+
+
+def pointer(path: str, novel_id: str) -> str:
+    return f"{path}/current/{hashlib.sha256(novel_id.encode()).hexdigest()}.json"
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """novel_id, version, before: the folder that each novel's rows are in now, and that of the write before."""
+    fs, at = files(spark, path)
+    schema = "novel_id string, version string, before string"
+    return spark.read.schema(schema).json(f"{path}/current") if fs.exists(at(f"{path}/current")) else spark.createDataFrame([], schema)
+
+
+def table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """All versions of a table, with novel_id and version as text; None if there's none."""
+    fs, at = files(spark, path)
+    if not fs.exists(at(f"{path}/{name}")):
+        return None
+    fields = [f for f in spark.read.parquet(f"{path}/{name}").schema if f.name not in ("novel_id", "version")]
+    return spark.read.schema(StructType([*fields, StructField("version", StringType()), StructField("novel_id", StringType())])).parquet(f"{path}/{name}")
 
 
 def write_novels(novels: DataFrame, people: DataFrame, edges: DataFrame, path: str) -> dict[str, int]:
-    """Replaces the partitions of the given novels in all three tables; edges without both persons aren't stored but counted.
+    """Replaces the given novels' rows in all three tables; edges without both persons aren't stored but counted.
 
     A novel's rows are replaced whole, so what a former run had and this one hasn't is gone, edges too if it has none now.
-    The tables are staged first and then marked as ready: a crash before the mark leaves the store as it was, and one
-    after it is made good by the next write or read, which moves what is left.
+    Each write has a folder of its own in each table. When all are written, each novel's pointer is switched to it, one small
+    file for all three tables: a crash before leaves the novel as it was. Readers move nothing, and the rows before stay
+    for those who still read them, until the novel's next write.
     """
-    spark = novels.sparkSession
-    recover(spark, path)
+    spark, version = novels.sparkSession, uuid.uuid4().hex
     keep = stored_relations(edges, people)
-    stage = f"{path}/_staged/{uuid.uuid4().hex}"
     for name, df in zip(TABLES, (novels, with_ids(people), keep), strict=True):
-        df.repartition("novel_id").write.partitionBy("novel_id").parquet(f"{stage}/{name}")
-    fs, at = files(spark, path)
-    has = {name: partitions(spark, f"{stage}/{name}") for name in TABLES}
-    for name in TABLES:
-        for novel in set().union(*has.values()) - has[name]:
-            fs.mkdirs(at(f"{stage}/_none/{name}/{novel}"))  # the novel has no rows of this table now
-    fs.create(at(f"{stage}/READY")).close()
-    recover(spark, path)
+        df.repartition("novel_id").write.partitionBy("novel_id").parquet(f"{path}/{name}/version={version}")
+    ids = reduce(DataFrame.union, [t.where(F.col("version") == version).select("novel_id") for n in TABLES if (t := table(spark, path, n)) is not None])
+    old = {r.novel_id: r for r in current(spark, path).join(ids.distinct(), "novel_id", "left_semi").collect()}
+    for (novel,) in ids.distinct().collect():  # a pointer for each novel of this write
+        was = old.get(novel)
+        put_small(spark, pointer(path, novel), json.dumps({"novel_id": novel, "version": version, "before": was.version if was else None}))
+        if was and was.before:
+            drop_version(spark, path, novel, was.before)
     return {"edges_without_persons": edges.count() - keep.count()}
 
 
-def recover(spark: SparkSession, path: str) -> None:
-    """Finishes writes that were staged whole; a step that was done already is passed over. Staged folders without their mark are left to their writers."""
+def drop_version(spark: SparkSession, path: str, novel_id: str, version: str) -> None:
     fs, at = files(spark, path)
-    if not fs.exists(at(f"{path}/_staged")):
-        return
-    for stage in sorted(s.getPath().toString() for s in fs.listStatus(at(f"{path}/_staged"))):
-        if not fs.exists(at(f"{stage}/READY")):
-            continue
-        for name in TABLES:
-            for novel in sorted(partitions(spark, f"{stage}/_none/{name}")):
-                fs.delete(at(f"{path}/{name}/{novel}"), True)
-            fs.mkdirs(at(f"{path}/{name}"))
-            for novel in sorted(partitions(spark, f"{stage}/{name}")):  # those that aren't moved yet
-                fs.delete(at(f"{path}/{name}/{novel}"), True)
-                if not fs.rename(at(f"{stage}/{name}/{novel}"), at(f"{path}/{name}/{novel}")):
-                    raise OSError(f"{stage}/{name}/{novel} can't be moved")
-        fs.delete(at(stage), True)
+    folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("novel_id", novel_id)
+    for name in TABLES:
+        fs.delete(at(f"{path}/{name}/version={version}/{folder}"), True)
+
+
+def snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The three tables as they are now, of one look at the pointers: they belong together whatever is written meanwhile."""
+    now = spark.createDataFrame(current(spark, path).select("novel_id", "version").collect(), "novel_id string, version string")  # a row a novel
+    return {n: spark.createDataFrame([], SCHEMAS[n]) if (t := table(spark, path, n)) is None else t.join(now, ["novel_id", "version"], "left_semi").drop("version") for n in TABLES}
 
 
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table; without rows if no novel has any."""
-    recover(spark, path)
-    if not partitions(spark, f"{path}/{name}"):
-        return spark.createDataFrame([], SCHEMAS[name])
-    return spark.read.parquet(f"{path}/{name}")
+    t = table(spark, path, name)
+    return spark.createDataFrame([], SCHEMAS[name]) if t is None else t.join(current(spark, path), ["novel_id", "version"], "left_semi").drop("version")
 
 
 def delete_novel(spark: SparkSession, path: str, novel_id: str) -> None:
-    """Drops the novel's partition of each table."""
+    """Drops the novel's rows of each table."""
     fs, at = files(spark, path)
-    recover(spark, path)
-    for name in TABLES:
-        fs.delete(at(f"{path}/{name}/novel_id={novel_id}"), True)
+    for r in current(spark, path).where(F.col("novel_id") == novel_id).collect():
+        fs.delete(at(pointer(path, novel_id)), False)
+        for version in filter(None, (r.version, r.before)):
+            drop_version(spark, path, novel_id, version)
 
 
 def duplicates(people: DataFrame) -> DataFrame:

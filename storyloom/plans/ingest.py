@@ -24,6 +24,21 @@ def keep_none(pairs: list[dict]) -> list[dict]:
     return [{"a": p["a"], "b": p["b"], "merge": False, "confidence": 1.0} for p in pairs]
 
 
+#: Of the chunker's and the extractor's own rules: raised when their results change.
+CHUNKER_VERSION = EXTRACTOR_VERSION = 1
+CALLS = ("extraction", "judge", "merge")
+
+
+def versions_of(settings: Settings, prompts: dict[str, tuple[str, ...]]) -> tuple[str, dict[str, str]]:
+    """The fingerprint of extraction, and the versions under which the answers of each judge may be used again."""
+    if unknown := prompts.keys() - set(CALLS):
+        raise ValueError(f"no such calls: {sorted(unknown)}")
+    hashes = {k: resume.prompt_hash(*prompts.get(k, ())) for k in CALLS}
+    own = {k: v for k, v in asdict(settings).items() if k in ("chunk_size", "chunk_overlap", "model")}
+    print_ = resume.config_fingerprint(chunker=CHUNKER_VERSION, extractor=EXTRACTOR_VERSION, prompt=hashes["extraction"], **own)
+    return print_, {k: resume.config_fingerprint(config=print_, model=settings.model, prompt=hashes[k]) for k in ("judge", "merge")}
+
+
 @dataclass
 class Result:
     chunks: DataFrame
@@ -42,7 +57,7 @@ class Result:
 def build(
     spark: SparkSession, chapters: DataFrame, work_dir: str, settings: Settings = Settings(), extractor: Extractor = extraction.rule_extractor,
     judge: resolution.AliasJudge = resolution.nobody, merge_judge: merging.MergeJudge = keep_none, checkpoint: str | None = None,
-    contents: DataFrame | None = None,
+    contents: DataFrame | None = None, prompts: dict[str, tuple[str, ...]] | None = None,
 ) -> Result:
     """Chunks, extracts what no checkpoint has, resolves, aggregates, merges and drops the unconfirmed.
 
@@ -50,6 +65,8 @@ def build(
     no later action repeats a call; a checkpoint key makes a later run with the same settings start from what is done.
     contents: (novel_id, content_hash, title) of the uploads. With a checkpoint, novels that an earlier run completed with the
     same bytes, settings and chunks aren't worked on again and have no rows in the result; the others are noted as begun.
+    prompts: what `extraction`, `judge` and `merge` ask a model with; an answer to another prompt, model or setting counts as none.
+    A checkpoint that can't be written is logged and left out.
     """
     numbers, run = iter(range(10_000)), f"{work_dir}/runs/{uuid.uuid4().hex}"
 
@@ -59,7 +76,7 @@ def build(
         return spark.read.schema(df.schema).parquet(path)
 
     chunks = written(C.chunk(chapters, settings.chunk_size, settings.chunk_overlap), "chunks")
-    print_ = resume.config_fingerprint(chunker=1, extractor=1, **{k: v for k, v in asdict(settings).items() if k in ("chunk_size", "chunk_overlap", "model")})
+    print_, versions = versions_of(settings, prompts or {})
     store_ = resume.Checkpoints(spark, f"{work_dir}/checkpoints")
     manifests = begun = None
     if checkpoint and contents is not None:
@@ -78,22 +95,21 @@ def build(
     new = resume.with_attempts(new, old)
     extractions = written(resume.combine(done.join(chunks.select("novel_id", "chunk_id"), ["novel_id", "chunk_id"], "left_semi"), new), "extractions")
     if checkpoint:
-        others = old.join(chunks.select("novel_id").distinct(), "novel_id", "left_anti")  # of novels that are complete already
-        store_.put("extractions", checkpoint, others.select(extractions.columns).unionByName(extractions))
+        store_.put_novels("extractions", checkpoint, extractions, chunks, CHECKPOINT)
     ready = written(resume.assembled(chunks, extractions.where("status = 'completed'")).select("*", "result.*").drop("result"), "ready")
     past = store_.get("judgements", checkpoint, JUDGEMENTS) if checkpoint else None
-    resolved = written(resolution.resolve(ready, judge, settings.lineage, past, settings.model, settings.own_candidates_only), "resolution")
+    resolved = written(resolution.resolve(ready, judge, settings.lineage, past, versions["judge"], settings.own_candidates_only), "resolution")
     if checkpoint:
-        store_.put("judgements", checkpoint, resolution.judgements(resolved))
+        store_.put_novels("judgements", checkpoint, resolution.judgements(resolved), chunks, JUDGEMENTS)
     texts = chunks.select("novel_id", "chunk_id", "text")
     people = graph.apply_aliases(graph.persons(resolution.characters(resolved)), resolution.aliases(resolved))
     edges = graph.relations(resolution.relations(resolved, ready).join(texts, ["novel_id", "chunk_id"]))
     evidence = merging.pair_evidence(resolution.bridges(resolved))
     pairs = merging.pair_metadata(evidence, resolution.canonicals(resolved))
     past = store_.get("merge_answers", checkpoint, merging.ANSWERS) if checkpoint else None
-    answers = written(merging.judged(pairs, merge_judge, past, settings.model), "merge_answers")
+    answers = written(merging.judged(pairs, merge_judge, past, versions["merge"]), "merge_answers")
     if checkpoint:
-        store_.put("merge_answers", checkpoint, answers.where("error IS NULL"))
+        store_.put_novels("merge_answers", checkpoint, answers.where("error IS NULL"), chunks, merging.ANSWERS)
     answers = answers.withColumn("ordinal", F.lit(0))
     decisions = written(merging.decide(pairs, answers, settings.merge_threshold), "decisions")
     merges = merging.roots(merging.merge_map(decisions), lambda df: written(df, f"roots_{next(numbers)}"))

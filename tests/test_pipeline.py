@@ -6,6 +6,7 @@ import subprocess
 import sys
 import threading
 import time
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -261,7 +262,8 @@ def test_store_round_trip(spark, tmp_path):
     assert [r.name for r in store.search(now, "n", "Ay").collect()] == ["A"] and store.search(now, "n", "").count() == 1 and store.search(now, "n", "zz").count() == 0
     assert store.get_character(now, ids["A"], "m").count() == 0
     store.delete_novel(spark, path, "n")
-    assert {r.novel_id for r in spark.read.parquet(f"{path}/persons").collect()} == {"m"}
+    assert {r.novel_id for r in store.read(spark, path, "persons").collect()} == {"m"}
+    assert not list((tmp_path / "store").glob("*/version=*/novel_id=n/*.parquet"))
 
 
 def test_checkpoints(spark, tmp_path):
@@ -313,24 +315,113 @@ def test_a_novel_without_edges_has_none(spark, tmp_path):
     assert stored(spark, path) == ([], [("m", "A"), ("m", "B"), ("n", "A"), ("n", "B")])
 
 
-def test_a_crash_between_the_tables_is_made_good(spark, tmp_path, monkeypatch):
-    titles, path = spark.createDataFrame([("n", "Book"), ("m", "Other")], "novel_id string, title string"), str(tmp_path / "s")
-    store.write_novels(titles, *small_graph(spark, "A", "B"), path)
+def test_a_crash_before_the_switch_leaves_a_novel_as_it_was(spark, tmp_path, monkeypatch):
+    titles, path = spark.createDataFrame([("n", "Book"), ("m", "Other"), ("007/a=b", "Odd")], "novel_id string, title string"), str(tmp_path / "s")
+    people, edges = small_graph(spark, "A", "B")
+    store.write_novels(titles, people.union(people.where("novel_id = 'm'").withColumn("novel_id", F.lit("007/a=b"))), edges, path)
     before = stored(spark, path)
-    finish = store.recover
-    monkeypatch.setattr(store, "recover", lambda *a: None)
-    store.write_novels(titles, *small_graph(spark, "C", "D"), path)  # dies with all staged
-    (stage,) = (tmp_path / "s/_staged").iterdir()
-    (stage / "READY").rename(stage / "NOT")
-    monkeypatch.setattr(store, "recover", finish)
-    assert stored(spark, path) == before  # the mark was not set
-    (stage / "NOT").rename(stage / "READY")
-    import shutil
-
-    shutil.rmtree(tmp_path / "s/persons/novel_id=n")  # dies in the middle of the moves
-    (stage / "persons/novel_id=n").rename(tmp_path / "s/persons/novel_id=n")
+    assert ("007/a=b", "A") in before[1] and len(before[1]) == 6
+
+    def dies(*a):
+        raise OSError("no space")
+
+    switch = store.put_small
+    monkeypatch.setattr(store, "put_small", dies)
+    with pytest.raises(OSError, match="no space"):
+        store.write_novels(titles, *small_graph(spark, "C", "D"), path)
+    assert stored(spark, path) == before
+    monkeypatch.setattr(store, "put_small", switch)
+    store.delete_novel(spark, path, "007/a=b")
+    store.write_novels(titles.limit(2), *small_graph(spark, "C", "D"), path)
     assert stored(spark, path) == ([("n", "C", "D")], [("m", "C"), ("m", "D"), ("n", "C"), ("n", "D")])
-    assert not list((tmp_path / "s/_staged").iterdir()) and stored(spark, path)[0] == [("n", "C", "D")]
+
+
+def test_readers_move_nothing_and_a_writer_takes_nothing_from_them(spark, tmp_path):
+    titles, path = spark.createDataFrame([("n", "Book"), ("m", "Other")], "novel_id string, title string"), str(tmp_path / "s")
+    store.write_novels(titles, *small_graph(spark, "A", "B"), path)
+    held = store.snapshot(spark, path)  # a reader that has looked, but not read yet
+    listing = lambda: sorted(str(p) for p in (tmp_path / "s").rglob("*"))
+    files, seen = listing(), []
+    readers = [threading.Thread(target=lambda: seen.append(stored(spark, path))) for _ in range(4)]
+    for t in readers:
+        t.start()
+    for t in readers:
+        t.join()
+    assert listing() == files and len(seen) == 4 and all(x == seen[0] for x in seen) and len(seen[0][1]) == 4
+    seen.clear()
+    stop = threading.Event()
+
+    def watch():
+        while not stop.is_set():
+            s = store.snapshot(spark, path)
+            names = {r.name for r in s["persons"].where("novel_id = 'n'").collect()}
+            seen.append((names, {x for r in s["relates_to"].where("novel_id = 'n'").collect() for x in (r.source, r.target)}))
+
+    reader = threading.Thread(target=watch)
+    reader.start()
+    try:
+        store.write_novels(titles, *small_graph(spark, "C", "D"), path)
+    finally:
+        stop.set()
+        reader.join()
+    assert seen and all(names == ends and names in ({"A", "B"}, {"C", "D"}) for names, ends in seen)
+    assert {r.name for r in held["persons"].collect()} == {"A", "B"}  # the write before is still there
+    store.write_novels(titles, *small_graph(spark, "E", "F"), path)
+    assert len(list((tmp_path / "s").glob("persons/version=*/novel_id=n"))) == 2  # and goes with the next
+    assert {r.name for r in store.read(spark, path, "persons").collect()} == {"E", "F"}
+
+
+def test_other_novels_answers_under_a_key_stay(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def note(kind):
+        (log / f"{kind}-{uuid.uuid4().hex}").touch()
+
+    def judge(text, pending):
+        note("alias")
+        return [{"mention": p["mention"], "resolves_to": None} for p in pending]
+
+    def merge_judge(pairs):
+        note("merge")
+        return [{"a": p["a"], "b": p["b"], "merge": False, "confidence": 1.0} for p in pairs]
+
+    texts = {"a": ["Anna met Bert", "Anna and Bert and Carl"], "b": ["Dora met Emil", "Dora and Emil and Fritz"]}
+    run = lambda novel, **how: ingest.build(spark, chapters(spark, texts[novel], novel), str(tmp_path / "w"), judge=judge, merge_judge=merge_judge, checkpoint="k", **how)
+    kinds = lambda: sorted(p.name.split("-")[0] for p in log.iterdir())
+    run("a"), run("b")
+    paid = kinds()
+    assert paid.count("alias") >= 2 and paid.count("merge") == 2
+    run("a"), run("b")
+    assert kinds() == paid
+    run("a", prompts={"judge": ("another prompt",)})  # old answers were to another question
+    assert kinds().count("alias") > paid.count("alias") and kinds().count("merge") == paid.count("merge")
+    with pytest.raises(ValueError, match="no such calls"):
+        run("a", prompts={"jugde": ("x",)})
+
+
+def test_a_checkpoint_that_cannot_be_written_only_degrades(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/checkpoints").write_text("a file where the folder should be")
+    out = ingest.build(spark, chapters(spark, ["Anna met Bert"]), str(tmp_path / "w"), checkpoint="k")
+    assert {r.name for r in out.persons.collect()} == {"Anna", "Bert"} and out.admission.first().complete
+    c = resume.Checkpoints(spark, str(tmp_path / "w/checkpoints"))
+    assert c.put("a", "k", spark.range(1)) is False and c.get("a", "k", "id long").count() == 0
+
+
+def test_manifests_of_runs_side_by_side(spark, tmp_path):
+    c = resume.Checkpoints(spark, str(tmp_path))
+    row = lambda n, status=resume.IN_PROGRESS: spark.createDataFrame([(n, "a" * 64, "b" * 64, "s", "t", 1, status)], "novel_id string, content_hash string, config_fingerprint string, structure_hash string, title string, chunk_count long, status string")
+    runs = [threading.Thread(target=resume.Manifests(c).save, args=(row(n),)) for n in "abcd"]
+    for t in runs:
+        t.start()
+    for t in runs:
+        t.join()
+    begun = {r.novel_id: r.created_at for r in resume.Manifests(c).all().collect()}
+    assert set(begun) == set("abcd")
+    resume.Manifests(c).save(row("a", resume.COMPLETED))
+    now = {r.novel_id: r for r in resume.Manifests(c).all().collect()}
+    assert now["a"].status == "COMPLETED" and now["a"].created_at == begun["a"] < now["a"].updated_at and now["b"].status == "IN_PROGRESS"
 
 
 def test_a_complete_upload_is_not_worked_on_again(spark, tmp_path):
