@@ -4,7 +4,7 @@ import pytest
 
 from storyloom.operators import lineage, resolution
 from storyloom.operators.resolution import Novel
-from storyloom.streaming.resolution import INPUT, resolve_stream
+from storyloom.streaming.resolution import INPUT, PROVIDER, resolve_stream
 
 
 def chunk(i, text, names=(), links=(), section="body"):
@@ -223,19 +223,95 @@ def test_the_union_of_candidates_may_be_allowed():
         assert aliases(novel.taken()).get("丙") == expected
 
 
-def test_stream_gives_the_rows_of_the_batch(spark, sf, tmp_path):
+@pytest.fixture
+def states(spark):
+    """A session whose state store has map states."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, PROVIDER)
+    yield spark
+    spark.conf.set(key, before)
+
+
+def stream_input(inputs):
     from pyspark.sql import functions as F
 
+    last = inputs.groupBy("novel_id").agg(F.max("chunk_id").alias("end"))
+    return inputs.join(last, "novel_id").select("novel_id", "chunk_id", "chapter_id", "text", "section_type", "characters", "relationships", F.lit(False).alias("tombstone"), (F.col("chunk_id") == F.col("end")).alias("last"))
+
+
+def drain(spark, path, judge=resolution.nobody, **how):
+    """Runs the stream over what is in path/in and not taken yet: each call is a restart."""
+    stream = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    q = resolve_stream(stream, judge, **how).writeStream.format("parquet").option("checkpointLocation", f"{path}/ckpt").option("path", f"{path}/out").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    if q.exception():
+        raise q.exception()
+    return q
+
+
+def test_stream_gives_the_rows_of_the_batch(states, sf, tmp_path):
     from storyloom.plans.catalog import conversation_input
 
-    inputs = conversation_input(spark, sf)
-    last = inputs.groupBy("novel_id").agg(F.max("chunk_id").alias("end"))
-    rows = inputs.join(last, "novel_id").select("novel_id", "chunk_id", "chapter_id", "text", "section_type", "characters", "relationships", F.lit(False).alias("tombstone"), (F.col("chunk_id") == F.col("end")).alias("last"))
+    spark, inputs = states, conversation_input(states, sf)
+    rows = stream_input(inputs)
     rows.where("chunk_id % 2 = 0").coalesce(1).write.parquet(str(tmp_path / "in"))  # even chunks come first
+    drain(spark, tmp_path)
     rows.where("chunk_id % 2 = 1").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = resolve_stream(stream, resolution.nobody).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ckpt")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
-    q.awaitTermination(240)
+    drain(spark, tmp_path)  # a restart in the middle of every novel
     out = spark.read.parquet(str(tmp_path / "out"))
     batch = resolution.resolve(inputs, resolution.nobody)
     assert sorted(map(str, out.collect())) == sorted(map(str, batch.select(out.columns).collect()))
+    rows.limit(5).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # come again: all novels are closed
+    drain(spark, tmp_path)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == out.count()
+
+
+def test_a_stream_restarts_in_mid_novel_with_all_that_it_knew(states, tmp_path):
+    """Aliases, provisional names, sightings of a role, barred roles and bridges of earlier runs count in later ones; one file a run."""
+    spark = states
+
+    def judge(text, pending):
+        same = {"二老": "傩送", "大老": "天保", "父亲": "天保" if "天保" in text else "傩送", "爷爷": "天保"}
+        return [{"mention": p["mention"], "resolves_to": same.get(p["mention"])} for p in pending]
+
+    father, grand = ("父亲", "descriptive"), ("爷爷", "descriptive")
+    story = [
+        chunk(1, "序 天保", ["天保", "顺顺"], section="epigraph"), chunk(2, "天保 傩送", ["天保", "傩送"], [("天保", "傩送")]), chunk(3, "天保 大老", ["大老", grand]), chunk(4, "傩送 父亲", [father]), chunk(5, "天保 父亲", [father]),
+        chunk(6, "天保 父亲", [father]), chunk(7, "天保 爷爷 二老", [grand, "二老"]), chunk(8, "大老 二老", ["大老", "二老"], [("大老", "二老")]), chunk(9, "爷爷", [grand, ("弟弟", None)]),
+    ]
+    schema = INPUT.replace(", tombstone boolean, last boolean", "")
+    inputs = spark.createDataFrame([tuple({"novel_id": "n", **c}[k] for k in ("novel_id", "chunk_id", "chapter_id", "text", "section_type", "characters", "relationships")) for c in story], schema)
+    rows = stream_input(inputs)
+    for part in ("chunk_id IN (2, 3)", "chunk_id IN (1, 5)", "chunk_id = 4", "chunk_id IN (8, 7)", "chunk_id = 6", "chunk_id = 9"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        drain(spark, tmp_path, judge)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    batch = resolution.resolve(inputs, judge).select(out.columns)
+    assert sorted(map(str, out.collect())) == sorted(map(str, batch.collect()))
+    assert {(r.name, r.target) for r in out.where("kind = 'alias'").collect()} >= {("天保", "大老"), ("傩送", "二老"), ("天保", "爷爷")}
+
+
+def test_what_a_stream_writes_follows_what_changed(states, tmp_path):
+    """A novel that knows many names: a chunk that brings one name changes a few entries, whatever the novel's size."""
+    spark, entries = states, []
+    names = [f"Name{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{i}" for i in range(400)]
+    story = [chunk(1, "x", names)] + [chunk(i, "x", [names[i], f"New{i}"]) for i in range(2, 6)]
+    schema = INPUT.replace(", tombstone boolean, last boolean", "")
+    inputs = spark.createDataFrame([tuple({"novel_id": "n", **c}[k] for k in ("novel_id", "chunk_id", "chapter_id", "text", "section_type", "characters", "relationships")) for c in story], schema)
+    rows = stream_input(inputs)
+    for i in range(1, 5):
+        rows.where(f"chunk_id = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        state = drain(spark, tmp_path).recentProgress[-1].stateOperators[0]
+        entries.append(state.customMetrics["rocksdbPutCount"] if "rocksdbPutCount" in state.customMetrics else state.numRowsUpdated)
+    assert max(entries[1:]) < 0.1 * entries[0], entries
+
+
+def test_a_stream_waits_for_no_more_than_it_may(states, tmp_path):
+    rows = stream_input(states.createDataFrame([("n", i, i, "x", "body", [], []) for i in range(2, 9)], INPUT.replace(", tombstone boolean, last boolean", "")))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="chunk 1 is missing"):
+        drain(states, tmp_path, most_early=3)
+    states.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    with pytest.raises(ValueError, match="providerClass"):
+        drain(states, tmp_path)
