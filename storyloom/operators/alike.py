@@ -29,7 +29,7 @@ class NameIndex:
         self.canonicals: list[str] = []
         self.masks: dict[str, list[int]] = {}
         self.of_name: dict[str, list[str]] = {}
-        self.longest = 0
+        self.longest = self.size = 0
         self.looked_at = 0  # names, over all calls
 
     def add(self, canonical: str, name: str) -> None:
@@ -38,7 +38,7 @@ class NameIndex:
         if (at := bisect_left(own, canonical)) < len(own) and own[at] == canonical:
             return
         own.insert(at, canonical)
-        self.longest = max(self.longest, len(name))
+        self.longest, self.size = max(self.longest, len(name)), self.size + 1
         mask = 0
         for c in set(name):
             mask |= self.bit.setdefault(c, 1 << len(self.bit))
@@ -72,6 +72,11 @@ class NameIndex:
     def by_shared(self, mention: str) -> Iterator[tuple[str, int]]:
         """Canonicals with the characters that a name shares with the mention, the most first, then by canonical; a canonical may come again with fewer."""
         letters, mask = set(mention), self.mask(mention)
+        if self.size <= BLOCK:  # all names are looked at together
+            self.looked_at += self.size
+            best = {c: max([(m & mask).bit_count() for m in masks]) for c, masks in self.masks.items()}
+            yield from sorted(best.items(), key=lambda x: (-x[1], x[0]))
+            return
         lists = sorted((self.lists[c] for c in letters if c in self.lists), key=len)
         known: list[list[str]] = [[] for _ in range(len(lists) + 1)]  # by what they share
         read = 0  # bits of the characters whose lists are read

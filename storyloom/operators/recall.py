@@ -74,7 +74,7 @@ def text_mentions(chunks: DataFrame, index: DataFrame, most_chars: int = 4_000_0
     return left.cogroup(right).applyInArrow(run, src.select("novel_id", "chunk_id", F.lit("").alias("canonical")).schema)
 
 
-def weak_candidates(mentions: DataFrame, index: DataFrame, k: int, most_mentions: int = 20_000, most_names: int = 50_000) -> DataFrame:
+def weak_candidates(mentions: DataFrame, index: DataFrame, k: int, most_mentions: int = 4_000, most_names: int = 50_000) -> DataFrame:
     """novel_id, mention, canonical, matched_names, o: for each mention the first k of its novel's canonicals by likeness (see NameIndex), numbered from 1.
 
     mentions: (novel_id, mention), each once; index: (novel_id, canonical, name). Each shard of an index gives its own first k, of which the first k count.

@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from storyloom.operators import recall
+from storyloom.operators import alike, recall
 from storyloom.operators.alike import NameIndex
 
 
@@ -16,10 +16,11 @@ def plain(index, mention, k, skip=()):
     return [(c, *score(c)) for c in ranked[:k]]
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_index_against_all_names(seed):
+@pytest.mark.parametrize(("seed", "block"), [(i, b) for i in range(4) for b in (0, 5, 128)])
+def test_index_against_all_names(seed, block, monkeypatch):
+    monkeypatch.setattr(alike, "BLOCK", max(block, 1))
     rng = random.Random(seed)
-    for _ in range(150):
+    for _ in range(100):
         letters = "abcdéf日"[: rng.randrange(2, 8)]
         word = lambda least=1: "".join(rng.choice(letters) for _ in range(rng.randrange(least, 6)))  # noqa: E731, B023
         index, names = NameIndex(), {}
