@@ -7,7 +7,7 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -15,9 +15,15 @@ from storyloom.functions.text import node_id
 from storyloom.operators.graph import stored_relations
 
 TABLES = ("novels", "persons", "relates_to")
+#: Made of these for look-ups: see postings() and adjacent().
+LOOKUPS = ("postings", "adjacent")
+#: Bytes of a row group of the look-ups: what a search reads at least.
+ROW_GROUP = 4 << 20
 SCHEMAS = {
     "novels": "title string, novel_id string",
     "persons": "name string, mention_count bigint, chapters array<int>, chunk_ids array<int>, aliases array<string>, id string, novel_id string",
+    "postings": "gram string, text string, name string, mention_count bigint, novel_id string",
+    "adjacent": "end string, source string, target string, type string, chunk_ids array<int>, weight bigint, confidence double, evidence array<struct<chunk_id:int,chapter_id:int,text:string>>, novel_id string",
     "relates_to": "source string, target string, type string, chunk_ids array<int>, weight bigint, confidence double, evidence array<struct<chunk_id:int,chapter_id:int,text:string>>, novel_id string",
 }
 
@@ -78,6 +84,9 @@ def write_novels(novels: DataFrame, people: DataFrame, edges: DataFrame, path: s
     keep = stored_relations(edges, people)
     for name, df in zip(TABLES, (novels, with_ids(people), keep), strict=True):
         df.repartition("novel_id").write.partitionBy("novel_id").parquet(f"{path}/{name}/version={version}")
+    for name, df, key in zip(LOOKUPS, (postings(people), adjacent(keep)), ("gram", "end"), strict=True):
+        by = [c for c in ("novel_id", key, "text", "name") if c in df.columns]  # a large novel, or a common gram of it, goes into several files
+        df.repartitionByRange(*by).sortWithinPartitions(*by).write.option("parquet.block.size", ROW_GROUP).partitionBy("novel_id").parquet(f"{path}/{name}/version={version}")
     ids = reduce(DataFrame.union, [t.where(F.col("version") == version).select("novel_id") for n in TABLES if (t := table(spark, path, n)) is not None])
     old = {r.novel_id: r for r in current(spark, path).join(ids.distinct(), "novel_id", "left_semi").collect()}
     for (novel,) in ids.distinct().collect():  # a pointer for each novel of this write
@@ -91,14 +100,14 @@ def write_novels(novels: DataFrame, people: DataFrame, edges: DataFrame, path: s
 def drop_version(spark: SparkSession, path: str, novel_id: str, version: str) -> None:
     fs, at = files(spark, path)
     folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("novel_id", novel_id)
-    for name in TABLES:
+    for name in TABLES + LOOKUPS:
         fs.delete(at(f"{path}/{name}/version={version}/{folder}"), True)
 
 
 def snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The three tables as they are now, of one look at the pointers: they belong together whatever is written meanwhile."""
+    """The graph's tables as they are now, of one look at the pointers: they belong together whatever is written meanwhile."""
     now = spark.createDataFrame(current(spark, path).select("novel_id", "version").collect(), "novel_id string, version string")  # a row a novel
-    return {n: spark.createDataFrame([], SCHEMAS[n]) if (t := table(spark, path, n)) is None else t.join(now, ["novel_id", "version"], "left_semi").drop("version") for n in TABLES}
+    return {n: spark.createDataFrame([], SCHEMAS[n]) if (t := table(spark, path, n)) is None else t.join(now, ["novel_id", "version"], "left_semi").drop("version") for n in TABLES + LOOKUPS}
 
 
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -147,6 +156,45 @@ def search(people: DataFrame, novel_id: str, q: str, limit: int = 10) -> DataFra
     return people.where((F.col("novel_id") == novel_id) & hit).orderBy(F.desc("mention_count"), "name").limit(limit)
 
 
+def grams(s: Column, n: int) -> Column:
+    """All runs of n characters of a text, each once; none if it's shorter."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1)))
+    return F.array_distinct(F.filter(F.transform(places, lambda i: F.substring(s, i, F.lit(n))), lambda g: F.length(g) == n))
+
+
+def postings(people: DataFrame) -> DataFrame:
+    """novel_id, gram, text, name, mention_count: each run of one to three characters of each name and alias of a person."""
+    names = F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    each = people.select("novel_id", "name", "mention_count", F.explode(names).alias("text"))
+    return each.select("novel_id", F.explode(F.concat(*[grams(F.col("text"), n) for n in (1, 2, 3)])).alias("gram"), "text", "name", "mention_count")
+
+
+def search_written(spark: SparkSession, path: str, novel_id: str, q: str, limit: int = 10) -> DataFrame:
+    """search() in a written graph. The postings of q's grams of three characters (of its own length if it's shorter) are read
+    and met, and the texts that have all of them looked at; then those of the persons found, `limit` at most, by name. An empty q reads all persons."""
+    q, people = q.strip(), read(spark, path, "persons")
+    if not q:
+        return search(people, novel_id, q, limit)
+    n = min(3, len(q))
+    wanted = sorted({q[i : i + n] for i in range(len(q) - n + 1)})
+    hits = read(spark, path, "postings").where((F.col("novel_id") == novel_id) & F.col("gram").isin(wanted))
+    if len(wanted) > 1:
+        hits = hits.groupBy("text", "name", "mention_count").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted))
+    best = hits.where(F.contains("text", F.lit(q))).select("name", "mention_count").distinct().orderBy(F.desc("mention_count"), "name").limit(limit)
+    names = [r.name for r in best.collect()]  # `limit` at most
+    return people.where((F.col("novel_id") == novel_id) & F.col("name").isin(names)).orderBy(F.desc("mention_count"), "name").limit(limit)
+
+
+def adjacent(edges: DataFrame) -> DataFrame:
+    """The edges at each of their ends: end, and the edge's own columns."""
+    return edges.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("end"), *edges.columns)
+
+
+def one_hop_written(spark: SparkSession, path: str, novel_id: str, name: str) -> DataFrame:
+    """one_hop_edges() in a written graph: rows are clustered by end, so other persons' row groups aren't read."""
+    return read(spark, path, "adjacent").where((F.col("novel_id") == novel_id) & (F.col("end") == name)).drop("end")
+
+
 def get_character(people: DataFrame, person_id: str, novel_id: str | None = None) -> DataFrame:
     out = people.where(F.col("id") == person_id)
     return out.where(F.col("novel_id") == novel_id) if novel_id else out

@@ -7,6 +7,7 @@ Novels are the sources of `documents`, chapters their documents by doc_id. Opera
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from storyloom.functions import text as T
 from storyloom.operators import chunks as C
 from storyloom.operators import evaluation, extraction, graph, layout, lineage, merging, recall, resolution, resume, store
 from storyloom.schema import CATEGORIES, RELATION_TYPES
+from storyloom.shared import new_folder
 from storyloom.sources import epub
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -500,6 +502,41 @@ def qry3_search(spark, sf):
     return join_lists(store.search(named(spark, sf), "N", "P3"), "aliases").select("name", "mention_count", "aliases")
 
 
+def written_graph(spark: SparkSession, sf: str) -> str:
+    """Folder of a graph written as a user writes it: persons with aliases, relations, look-ups."""
+    path = new_folder(spark, "graphs")
+    p = named(spark, sf)
+    store.write_novels(p.select("novel_id").distinct().withColumn("title", F.col("novel_id")), p, edges(spark, sf), path)
+    return path
+
+
+@query(f"WITH {NAMED} SELECT name, mention_count, {joined('aliases')} FROM named WHERE novel_id = 'N' AND (contains(name, 'P3') OR len(list_filter(aliases, lambda a: contains(a, 'P3'))) > 0) ORDER BY mention_count DESC, name LIMIT 10")
+def qry3_search_written(spark, sf):
+    return join_lists(store.search_written(spark, written_graph(spark, sf), "N", "P3"), "aliases").select("name", "mention_count", "aliases")
+
+
+@query(f"WITH {NAMED} SELECT name, mention_count, {joined('aliases')} FROM named WHERE novel_id = 'N' AND (contains(name, 'P3') OR len(list_filter(aliases, lambda a: contains(a, 'P3'))) > 0) ORDER BY mention_count DESC, name LIMIT 8")
+def ui3_search_box(spark, sf):
+    """What the search box shows: eight persons."""
+    return join_lists(store.search(named(spark, sf), "N", "P3", 8), "aliases").select("name", "mention_count", "aliases")
+
+
+@query(f"WITH {EDGES} SELECT source, target, type, weight FROM edges WHERE novel_id = 'A' AND (source = 'P7' OR target = 'P7')")
+def qry5_one_hop_written(spark, sf):
+    return store.one_hop_written(spark, written_graph(spark, sf), "A", "P7").select("source", "target", "type", "weight")
+
+
+@query(f"WITH {NAMED} SELECT 'novels' AS t, novel_id, count(*) AS n FROM (SELECT DISTINCT novel_id FROM people) GROUP BY ALL UNION ALL SELECT 'persons', novel_id, count(*) FROM named GROUP BY ALL UNION ALL SELECT 'relates_to', novel_id, count(*) FROM edges GROUP BY ALL")
+def snk1_snk2_written_graph(spark, sf):
+    """Rows of each novel in each table of a graph that was written twice; the second write replaces the first."""
+    path, p = new_folder(spark, "graphs"), named(spark, sf)
+    titles = p.select("novel_id").distinct().withColumn("title", F.col("novel_id"))
+    store.write_novels(titles, p.where("name LIKE 'P1%'"), edges(spark, sf), path)
+    store.write_novels(titles, p, edges(spark, sf), path)
+    now = store.snapshot(spark, path)
+    return reduce(DataFrame.union, [now[t].groupBy("novel_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("t"), "novel_id", "n") for t in store.TABLES])
+
+
 @query(f"WITH {PEOPLE} SELECT novel_id, name, mention_count, sha256(novel_id || chr(31) || name) AS id FROM people WHERE name = 'P12' AND novel_id = 'R'")
 def qry4_get_character(spark, sf):
     p = store.with_ids(people(spark, sf))
