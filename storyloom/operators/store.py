@@ -66,7 +66,7 @@ def current(spark: SparkSession, path: str) -> DataFrame:
 def table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     """All versions of a table, with novel_id and version as text; None if there's none."""
     fs, at = files(spark, path)
-    if not fs.exists(at(f"{path}/{name}")):
+    if not fs.globStatus(at(f"{path}/{name}/version=*/novel_id=*")):  # none was written, or none had rows
         return None
     fields = [f for f in spark.read.parquet(f"{path}/{name}").schema if f.name not in ("novel_id", "version")]
     return spark.read.schema(StructType([*fields, StructField("version", StringType()), StructField("novel_id", StringType())])).parquet(f"{path}/{name}")
