@@ -5,7 +5,10 @@ format of each mention: one entity has one surrogate everywhere, whatever its pu
 entities that would get one surrogate, or the name of a real entity, are keyed anew until none do.
 
 Kinds: email, secret (access keys, passwords, tokens), iban, ip, ssn, phone, card (13 to 19 digits),
-name (after a title, which tells the gender). Digits stay digits, letters stay letters of their
+name (after a title, which tells the gender). A name's other mentions in its document, without the title,
+whole or by its last words, get the same new words; a last word that the document has in lower case too is
+no name by itself. Not looked for: names that no title tells anywhere in the document, first names alone,
+IPv6 addresses, and local numbers without an area code (555-0147). Digits stay digits, letters stay letters of their
 script and case, separators stay; phones keep their country code, cards their first digit and a
 valid check digit, addresses their top-level domain, names their title and gender.
 
@@ -187,22 +190,56 @@ def mentions(text: Column) -> Column:
 
 
 def rekeyed(entities: DataFrame, key: str, most: int = 64) -> DataFrame:
-    """kind, canon, tries of the entities (kind, canon, mention) whose first surrogate another entity has, or is."""
-    current = written(entities.withColumn("tries", F.lit(0)))
+    """kind, canon, tries of the entities (kind, canon, mention) whose first surrogate another entity has, or is.
+
+    A round keys only those whose surrogates were taken; the ones that have theirs keep them.
+    """
+    real = entities.select(F.col("kind").alias("rk"), F.col("canon").alias("rc"))
+    open_, settled = entities.withColumn("tries", F.lit(0)), None
     for _ in range(most):
-        new = written(with_surrogates(current, key).withColumn("s", canonical(F.col("kind"), F.col("new"))).drop("new"))
+        new = written(with_surrogates(open_, key).withColumn("s", canonical(F.col("kind"), F.col("new"))).drop("new"))
         owners = new.groupBy(F.col("kind").alias("k"), F.col("s").alias("t")).agg(F.min("canon").alias("owner"))
-        real = entities.select(F.col("kind").alias("rk"), F.col("canon").alias("rc"))
-        new = new.join(owners, (F.col("kind") == F.col("k")) & (F.col("s") == F.col("t")))
-        new = new.join(real, (F.col("kind") == F.col("rk")) & (F.col("s") == F.col("rc")), "left")
         taken = (F.col("canon") != F.col("owner")) | F.col("rc").isNotNull()
-        new = written(new.select("kind", "canon", "mention", (F.col("tries") + taken.cast("int")).alias("tries"), taken.alias("taken")))
-        if new.where("taken").isEmpty():
-            return new.where("tries > 0").select("kind", "canon", "tries")
-        current = new.drop("taken")
+        found = new.join(owners, (F.col("kind") == F.col("k")) & (F.col("s") == F.col("t"))).join(real, (F.col("kind") == F.col("rk")) & (F.col("s") == F.col("rc")), "left")
+        if settled is not None:
+            had = settled.select(F.col("kind").alias("hk"), F.col("s").alias("hs"))
+            found, taken = found.join(had, (F.col("kind") == F.col("hk")) & (F.col("s") == F.col("hs")), "left"), taken | F.col("hs").isNotNull()
+        found = written(found.select("kind", "canon", "mention", "tries", "s", taken.alias("taken")))
+        own = found.where("NOT taken").select("kind", "canon", "tries", "s")
+        settled = own if settled is None else settled.unionByName(own)
+        open_ = found.where("taken").select("kind", "canon", "mention", (F.col("tries") + 1).alias("tries"))
+        if open_.isEmpty():
+            return settled.where("tries > 0").select("kind", "canon", "tries")
     raise ValueError("surrogates of some kind are too few for its entities")
 
 
+def name_ends(news: Column, text: Column) -> Column:
+    """The names of a document's mentions without their titles, and their last words: array of (old, new), the longest first.
+
+    news: array of (pos, new, kind, mention). A single word that the text also has in lower case isn't one.
+    """
+    words = lambda s: F.split(F.regexp_replace(s, rf"^(?:{'|'.join(TITLES.values())})\.?[ ]", ""), " ")
+    ends = lambda x: F.transform(F.sequence(F.lit(1), F.size(words(x["mention"]))), lambda i: F.struct(*[F.array_join(F.slice(words(x[c]), i, F.lit(3)), " ").alias(n) for n, c in (("old", "mention"), ("new", "new"))]))
+    every = F.array_distinct(F.flatten(F.transform(F.filter(news, lambda x: x["kind"] == "name"), ends)))
+    word = lambda w: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), w, F.lit(r"\E(?![\p{L}\p{N}])"))
+    name = lambda p: p["old"].contains(" ") | ~F.regexp_like(text, word(F.lower(p["old"])))
+    return F.transform(F.sort_array(F.transform(F.filter(every, lambda p: F.contains(text, p["old"]) & name(p)), lambda p: F.struct((-F.length(p["old"])).alias("size"), p["old"].alias("old"), p["new"].alias("new")))), lambda p: F.struct(p["old"], p["new"]))
+
+
+def with_known_names(df: DataFrame) -> DataFrame:
+    """Replaces the other mentions of each document's names in its gaps, and adds `more`, their number."""
+    df = df.withColumn("__names", name_ends(F.col("news"), F.array_join("gaps", "\n")))
+    some = F.size("__names") > 0
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("__names", lambda p: F.concat(F.lit(r"\Q"), p["old"], F.lit(r"\E"))), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    df = df.withColumn("__pattern", F.when(some, pattern))
+    known = lambda hit: F.get(F.filter("__names", lambda p: p["old"] == hit), F.lit(0))["new"]
+    between = lambda g: F.split(g, F.col("__pattern"), -1)
+    hits = lambda g: F.regexp_extract_all(g, F.col("__pattern"), F.lit(0))
+    renamed = F.transform("gaps", lambda g: F.array_join(F.zip_with(between(g), F.transform(hits(g), known), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+    more = F.aggregate("gaps", F.lit(0), lambda n, g: n + F.size(hits(g)))
+    return df.withColumns({"more": F.when(some, more).otherwise(0), "gaps": F.when(some, renamed).otherwise(F.col("gaps"))}).drop("__names", "__pattern")
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with surrogates in column `text`, and n_entities, the number of mentions replaced."""
     columns = [c for c in docs.columns if c != "n_entities"]
@@ -220,13 +257,14 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     again = rekeyed(entities, key).select(F.col("kind").alias("a_kind"), F.col("canon").alias("a_canon"), "tries")
     each = each.join(again, (F.col("kind") == F.col("a_kind")) & (F.col("canon") == F.col("a_canon")), "left")
     each = each.select("m_id", "m_hash", "pos", "kind", "mention", "canon", F.coalesce("tries", F.lit(0)).alias("tries"))
-    per_doc = with_surrogates(each, key).groupBy("m_id", "m_hash").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("news"))
+    per_doc = with_surrogates(each, key).groupBy("m_id", "m_hash").agg(F.sort_array(F.collect_list(F.struct("pos", "new", "kind", "mention"))).alias("news"))
     per_doc = written(per_doc)
     touched = touched.join(per_doc, F.col("c_doc_id").eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash")))
+    touched = with_known_names(touched)
     whole = F.array_join(F.zip_with("gaps", F.col("news.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     back = [F.col(f"c_{c}").alias(c) for c in columns]
     untouched = found.where(F.coalesce(~some, F.lit(True))).select(*back, F.lit(0).cast("long").alias("n_entities"))
-    out = untouched.unionByName(touched.withColumn(f"c_{text}", whole).select(*back, F.size("news").cast("long").alias("n_entities")))
+    out = untouched.unionByName(touched.withColumn(f"c_{text}", whole).select(*back, (F.size("news") + F.col("more")).cast("long").alias("n_entities")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out

@@ -184,6 +184,33 @@ def test_distinct_entities_stay_distinct(make):
     assert len(set(new.values())) == len(mails) and not set(new.values()) & set(mails)
 
 
+def test_other_mentions_of_a_name_go_too(make):
+    """By plain code: no word of a titled name is left anywhere in its document, but in words that hold it."""
+    texts = [
+        "John Smith again; Dr. John Smith", "Mr. Smith came. Smith's hat, SMITH, Smithson and smith-work; John Smith.", "Mrs. Mary Anne O'Neil (O'Neil) met Anne O'Neil and Mary Anne O'Neil",
+        "Frau Müller und Herr Hans Müller: Müller, Hans Müller.", "господин Иван Петров и Петров", "Dr. Grace Long; a long day, Long nights, Grace Long", "Smith has no title here", "Dr. Kim Lee saw fleets\nLee", "Mr. Adam Xavier, x@y.org, Adam Xavier",
+    ]
+    out = {r.doc_id: r for r in pii.pseudonymise(make([(i, t, "s") for i, t in enumerate(texts)]), "key").collect()}
+    new = [out[i].text for i in range(len(texts))]
+    assert new[0].split(" again; Dr. ")[0] == new[0].split(" again; Dr. ")[1] and out[0].n_entities == 2 and "Smith" not in new[0] and "John" not in new[0]
+    last = new[1].split(" ")[1].rstrip(".")
+    assert "smith-work" in new[1] and "Smithson" in new[1] and "SMITH" in new[1] and f"{last}'s hat" not in new[1] and "John Smith" in new[1]  # smith is a word of this text
+    assert "O'Neil" not in new[2] and "Mary" not in new[2] and out[2].n_entities == 4
+    a, b = re.fullmatch(r"Frau (\S+) und Herr (.+): .+, .+\.", new[3]).groups()
+    assert b.endswith(f" {a}") and new[3] == f"Frau {a} und Herr {b}: {a}, {b}." and out[3].n_entities == 4
+    assert "Петров" not in new[4] and "Иван" not in new[4]
+    assert "Grace Long" not in new[5] and "a long day, Long nights" in new[5]  # the whole name goes, the common word stays
+    assert new[6] == texts[6] and out[6].n_entities == 0
+    assert new[7].split("\n")[1] == new[7].split("\n")[0].split(" ")[2] and out[8].n_entities == 3 and "Xavier" not in new[8]
+    assert all(out[i].n_chars == len(new[i]) for i in out)
+
+
+def test_surrogates_that_run_out(make):
+    mails = [f"{u}@q.de" for u in "abcdefghijklmnopqrstuvwxyz"]  # every address of one letter: none is free
+    with pytest.raises(ValueError, match="too few"):
+        pii.rekeyed(make([]).sparkSession.createDataFrame([("email", m, m) for m in mails], "kind string, canon string, mention string"), "key", most=3)
+
+
 def test_very_long_text_with_entities(make):
     body = [f"word{k} " * 50 + f"user{k % 9}@mail.example.org call +1 988 555 {2000 + k} " for k in range(3000)]
     (r,) = pii.pseudonymise(make([(1, "".join(body), "s")]), "key").collect()
