@@ -6,9 +6,13 @@ Novels are the sources of `documents`, chapters their documents by doc_id. Opera
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ from storyloom.operators import chunks as C
 from storyloom.operators import evaluation, extraction, graph, layout, lineage, merging, recall, resolution, resume, store
 from storyloom.schema import CATEGORIES, RELATION_TYPES
 from storyloom.shared import new_folder
-from storyloom.sources import epub
+from storyloom.sources import epub, epub_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,6 +136,50 @@ def src6_all_or_nothing(spark, sf):
     return lineage.all_or_nothing(lines).select("event_id", "event_type")
 
 
+def write_books(spark: SparkSession, sf: str, folder: str, pages: int = 50) -> None:
+    """Archives of `pages` pages each, in the order of page_id: what an export would have made of the table."""
+    system, root = pyarrow.fs.FileSystem.from_uri(folder)
+    system.create_dir(root)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            put = lambda name, text: z.writestr(zipfile.ZipInfo(name), text)  # noqa: E731  of no date: the same bytes each time
+            put("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>')
+            ids = [str(i) for i in sorted(rows["page_id"])]
+            items = "".join(f'<item id="p{i}" href="p%20{i}.xhtml" media-type="application/xhtml+xml"/>' for i in ids)
+            put("OPS/book.opf", f'<package xmlns="http://www.idpf.org/2007/opf"><manifest>{items}</manifest><spine>{"".join(f'<itemref idref="p{i}"/>' for i in ids)}</spine></package>')
+            for i, html in zip(rows["page_id"], rows["html"], strict=True):
+                put(f"OPS/p {i}.xhtml", html or "")
+        own, path = pyarrow.fs.FileSystem.from_uri(f"{folder}/book{key[0]}.epub")
+        with own.open_output_stream(path) as f:
+            f.write(out.getvalue())
+        return pd.DataFrame({"path": [path]})
+
+    books = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / pages).alias("book"))
+    books.applyInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+
+
+def html_sql(x: str) -> str:
+    """html_text() of an SQL expression."""
+    plain = f"regexp_replace({x}, '<[^>]+>', '', 'g')"
+    for ref, char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&amp;", "'&'")):
+        plain = f"replace({plain}, '{ref}', {char})"
+    return f"array_to_string({lines_sql(plain)}, chr(10))"
+
+
+@query(
+    f"""WITH p AS (SELECT 'book' || (page_id // 50) AS novel_id, page_id, {html_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, {html_sql(r"regexp_replace(html, '(?is)<head(?:\s[^>]*)?>.*?</head>', '', 'g')")} AS text FROM pages),
+    n AS (SELECT *, row_number() OVER (PARTITION BY novel_id ORDER BY page_id)::INT AS chapter_id, count(*) OVER (PARTITION BY novel_id) AS total FROM p WHERE text <> '')
+    SELECT novel_id, chapter_id, coalesce(nullif(trim(title), ''), format('第{{}}章', chapter_id)) AS chapter_title, sha256(text) AS digest, {section_sql("coalesce(title, '')", "text", "chapter_id - 1", "total")} AS section_type FROM n"""
+)
+def src1_epub_chapters(spark, sf):
+    folder = new_folder(spark, "books")
+    write_books(spark, sf, folder)
+    rows = epub_source.read(spark, folder).withColumn("book", F.regexp_extract("path", r"([^/]+)\.epub$", 1))
+    return epub_source.chapters(rows, "book").select("novel_id", "chapter_id", "chapter_title", F.sha2("text", 256).alias("digest"), "section_type")
+
+
 SECTION_CASES = [
     ("版权页", "x", 0, 9), ("", "  \n　题记 一\n文", 1, 9), (None, "第三章 渡口\n正文", 2, 9), ("", "三\n正文", 3, 9), ("", "三、渡口\n正文", 4, 9), ("", "本书作者某某", 0, 9), ("", "请搜微信", 8, 9), ("", "请搜微信", 7, 9),
     ("序", "正文", 3, 9), ("一", "关注公众号 x", 3, 9), ("", "作者：某\n第一章", 0, 2), ("", "作" * 201 + "作者", 0, 9),
@@ -298,7 +346,7 @@ def rec3_candidates(spark, sf):
     names = kept(extraction.mentioned(chunks))  # both are read several times
     known = recall.known_in_extraction(names.select("novel_id", "chunk_id", "name"), index.select("novel_id", "name", "canonical"), spark.createDataFrame([], "novel_id string, name string"))
     asked = names.select("novel_id", "chunk_id", F.col("name").alias("mention"))
-    out = recall.candidates(asked, index, known, recall.text_mentions(chunks, index))
+    out = recall.candidates(asked, index, known, kept(recall.text_mentions(chunks, index)))
     return out.withColumn("matched_names", F.array_join("matched_names", "|"))
 
 

@@ -37,7 +37,7 @@ def sections(content: bytes) -> list[tuple[int, str, str]]:
             if path in names:
                 markup = z.read(path).decode("utf-8", "ignore")
                 head = re.search(r"<title[^>]*>(.*?)</title>", markup, re.S | re.I)
-                out.append((place, head[1] if head else "", re.sub(r"<head\b.*?</head>", "", markup, flags=re.S | re.I)))
+                out.append((place, head[1] if head else "", re.sub(r"<head(?:\s[^>]*)?>.*?</head>", "", markup, flags=re.S | re.I)))
     return out
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from storyloom.config import Settings
 from storyloom.operators import chunks, evaluation, extraction, graph, lineage, merging, resume, store
 from storyloom.plans import ingest
-from storyloom.sources import epub
+from storyloom.sources import epub, epub_source
 
 ROOT = Path(__file__).parent.parent
 
@@ -74,6 +74,24 @@ def test_epub(spark, tmp_path):
     assert [(r.chapter_id, r.chapter_title, r.text, r.section_type) for r in out] == [(1, "序 & 言", "a &lt; b", "epigraph"), (2, "第2章", "第二章\nc", "body")]
 
 
+def test_epub_source(spark, tmp_path):
+    x = "application/xhtml+xml"
+    good = book([(x, "<html><head><title>序</title></head><body><p>a</p></body></html>"), (x, "<p>第二章</p>\n<p>c</p>")])
+    (tmp_path / "deep").mkdir()
+    for name, content in (("a.epub", good), ("deep/same.EPUB", good), ("b.epub", b"not a zip"), ("c.pdf", b"x"), ("d.epub", b""), ("e.epub", book([])), (".hidden.epub", good)):
+        (tmp_path / name).write_bytes(content)
+    df = epub_source.read(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 6 and epub_source.read(spark, f"file://{tmp_path}", 4).rdd.getNumPartitions() == 2
+    rows = sorted((r.path.rpartition("/")[2], r.code, r.place, r.title, r.error and r.error.partition(":")[0]) for r in df.collect())
+    assert rows == [("a.epub", 0, 0, "序", None), ("a.epub", 0, 1, "", None), ("b.epub", 0, None, None, "BadZipFile"), ("c.pdf", 400, None, None, None), ("d.epub", 400, None, None, None), ("same.EPUB", 0, 0, "序", None), ("same.EPUB", 0, 1, "", None)]
+    out = epub_source.chapters(df).orderBy("chapter_id").collect()
+    assert [(r.chapter_id, r.chapter_title, r.text) for r in out] == [(1, "序", "a"), (2, "第2章", "第二章\nc")]
+    both = epub.read_epub(epub.uploads(spark, str(tmp_path / "a.epub"))).orderBy("chapter_id").collect()
+    assert both == out
+    (one,) = epub_source.read(spark, str(tmp_path / "b.epub")).collect()
+    assert one.error.startswith("BadZipFile")
+
+
 def test_extraction_fails_chunk_by_chunk(spark):
     c = chunks.chunk(chapters(spark, ["fine", "bad", "busy", "refused", "loop"]))
 
