@@ -17,6 +17,7 @@ class Settings:
     merge_threshold: float = 0.5
     lineage: bool = False
     own_candidates_only: bool = True  # a judge may pick only from a mention's own candidates
+    chunk_lists: bool = True  # persons and relations carry the ids of their chunks; without, these are counted as rows only
     model: str = "rule"
 
     @classmethod

@@ -9,11 +9,22 @@ EVIDENCE_CAP = 5
 KEY = ["novel_id", "source", "target", "type"]
 
 
-def persons(mentions: DataFrame) -> DataFrame:
-    """From characters only; mention_count is the number of distinct chunks. mentions: (novel_id, chunk_id, chapter_id, name)."""
-    return mentions.groupBy("novel_id", "name").agg(
-        F.countDistinct("chunk_id").alias("mention_count"), F.sort_array(F.collect_set("chapter_id")).alias("chapters"), F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids")
-    )
+def person_chunks(mentions: DataFrame) -> DataFrame:
+    """novel_id, name, chunk_id, each once: the chunk sets of persons, as rows."""
+    return mentions.select("novel_id", "name", "chunk_id").distinct()
+
+
+def persons(mentions: DataFrame, lists: bool = True) -> DataFrame:
+    """From characters only; mention_count is the number of distinct chunks. mentions: (novel_id, chunk_id, chapter_id, name).
+
+    lists: with chunk_ids, an array as long as the person has chunks. Without, chunk sets stay rows (person_chunks()), and
+    merge_persons() counts them as such.
+    """
+    chapters = [F.sort_array(F.collect_set("chapter_id")).alias("chapters")]
+    if lists:
+        return mentions.groupBy("novel_id", "name").agg(F.countDistinct("chunk_id").alias("mention_count"), *chapters, F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"))
+    slim = mentions.groupBy("novel_id", "name", "chunk_id").agg(F.min("chapter_id").alias("chapter_id"))  # a chunk has one chapter
+    return slim.groupBy("novel_id", "name").agg(F.count("chunk_id").alias("mention_count"), *chapters)
 
 
 def first_in_chunk(relations: DataFrame) -> DataFrame:
@@ -33,14 +44,20 @@ def ranked_evidence(rows: DataFrame, key: list[str], order: list[str]) -> DataFr
     return rows.withColumn("__i", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("__i") <= EVIDENCE_CAP).drop("__i")
 
 
-def relations(rows: DataFrame) -> DataFrame:
+def relation_chunks(rows: DataFrame) -> DataFrame:
+    """novel_id, source, target, type, chunk_id, each once: the chunk sets of relations, as rows."""
+    return rows.where("source <> target").select(*KEY, "chunk_id").distinct()
+
+
+def relations(rows: DataFrame, lists: bool = True) -> DataFrame:
     """weight (distinct chunks), confidence (mean over chunks of each chunk's first), chunk_ids, evidence (first five chunks).
 
-    rows: (novel_id, chunk_id, chapter_id, ordinal, source, target, type, confidence[, text]).
+    rows: (novel_id, chunk_id, chapter_id, ordinal, source, target, type, confidence[, text]). lists as in persons(): without
+    chunk_ids, relation_chunks() has them.
     """
     once = first_in_chunk(rows)
     total = once.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("weight"), F.avg("confidence").alias("confidence"), F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"),
+        F.count(F.lit(1)).alias("weight"), F.avg("confidence").alias("confidence"), *[F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids")] * lists,
         F.min(F.struct("chunk_id", "ordinal")).alias("first_seen"),
     )
     fields = ["chunk_id", "chapter_id"] + ["text"] * ("text" in rows.columns)
@@ -61,32 +78,61 @@ def valid_merges(people: DataFrame, merges: DataFrame) -> DataFrame:
     return merges.where("drop <> keep").join(ends.withColumnRenamed("name", "drop"), ["novel_id", "drop"]).join(ends.withColumnRenamed("name", "keep"), ["novel_id", "keep"]).select("novel_id", "drop", "keep")
 
 
-def merge_persons(people: DataFrame, merges: DataFrame) -> DataFrame:
-    """Chunks and chapters are united; aliases: the kept person's, then those of each dropped one and its name. merges are to roots."""
+def redirected(rows: DataFrame, merges: DataFrame, *ends: str) -> DataFrame:
+    """rows with the kept name in place of each dropped one in the given columns. merges are to roots."""
+    for end in ends:
+        to = merges.select("novel_id", F.col("drop").alias(end), F.col("keep").alias("__keep"))
+        rows = rows.join(to, ["novel_id", end], "left").withColumn(end, F.coalesce("__keep", end)).drop("__keep")
+    return rows
+
+
+def merge_person_chunks(chunks: DataFrame, merges: DataFrame) -> DataFrame:
+    """person_chunks() after the merges."""
+    return redirected(chunks, merges, "name").select("novel_id", "name", "chunk_id").distinct()
+
+
+def merge_relation_chunks(chunks: DataFrame, merges: DataFrame) -> DataFrame:
+    """relation_chunks() after the merges; self-loops go."""
+    return redirected(chunks, merges, "source", "target").where("source <> target").select(*KEY, "chunk_id").distinct()
+
+
+def counted_chunks(out: DataFrame, chunks: DataFrame, key: list[str], count: str) -> DataFrame:
+    return out.join(chunks.groupBy(*key).agg(F.count(F.lit(1)).alias(count)), key, "left").na.fill(0, [count])
+
+
+def merge_persons(people: DataFrame, merges: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """Chunks and chapters are united; aliases: the kept person's, then those of each dropped one and its name. merges are to roots.
+
+    chunks: merge_person_chunks() of people without chunk_ids, whose rows are counted.
+    """
     merges = valid_merges(people, merges)
     rows = people.join(merges.withColumnRenamed("drop", "name"), ["novel_id", "name"], "left")
     rows = rows.withColumns({"to": F.coalesce("keep", "name"), "moved": F.col("keep").isNotNull()})
     names = F.when(F.col("moved"), F.concat("aliases", F.array("name"))).otherwise(F.col("aliases"))
     merged = rows.groupBy("novel_id", F.col("to").alias("name")).agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("chapters")))).alias("chapters"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("chunk_ids")))).alias("chunk_ids"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("chapters")))).alias("chapters"), *[F.sort_array(F.array_distinct(F.flatten(F.collect_list("chunk_ids")))).alias("chunk_ids")] * (chunks is None),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("moved", "name", names.alias("n")))), lambda x: x["n"])).alias("names"),
     )
-    return merged.select("novel_id", "name", F.size("chunk_ids").cast("long").alias("mention_count"), "chapters", "chunk_ids", F.array_remove(F.array_distinct("names"), F.col("name")).alias("aliases"))
+    names = F.array_remove(F.array_distinct("names"), F.col("name")).alias("aliases")
+    if chunks is not None:
+        return counted_chunks(merged.select("novel_id", "name", "chapters", names), chunks, ["novel_id", "name"], "mention_count")
+    return merged.select("novel_id", "name", F.size("chunk_ids").cast("long").alias("mention_count"), "chapters", "chunk_ids", names)
 
 
-def merge_relations(edges: DataFrame, merges: DataFrame) -> DataFrame:
-    """Ends are redirected, self-loops go, equal keys are joined: chunks united, confidences pooled, evidence in order of first discovery, five at most."""
-    for end in ("source", "target"):
-        to = merges.select("novel_id", F.col("drop").alias(end), F.col("keep").alias(f"new_{end}"))
-        edges = edges.join(to, ["novel_id", end], "left").withColumn(end, F.coalesce(f"new_{end}", end)).drop(f"new_{end}")
-    edges = edges.where("source <> target")
+def merge_relations(edges: DataFrame, merges: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """Ends are redirected, self-loops go, equal keys are joined: chunks united, confidences pooled, evidence in order of first discovery, five at most.
+
+    chunks: merge_relation_chunks() of edges without chunk_ids, whose rows are counted.
+    """
+    edges = redirected(edges, merges, "source", "target").where("source <> target")
     total = edges.groupBy(*KEY).agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("chunk_ids")))).alias("chunk_ids"), (F.sum(F.col("confidence") * F.col("weight")) / F.sum("weight")).alias("confidence"),
+        *[F.sort_array(F.array_distinct(F.flatten(F.collect_list("chunk_ids")))).alias("chunk_ids")] * (chunks is None), (F.sum(F.col("confidence") * F.col("weight")) / F.sum("weight")).alias("confidence"),
         F.min("first_seen").alias("first_seen"),
     )
     proof = edges.select(*KEY, "first_seen", F.posexplode("evidence").alias("pos", "e"))
     few = ranked_evidence(proof, KEY, ["first_seen", "pos"]).groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("first_seen", "pos", "e"))), lambda x: x["e"]).alias("evidence"))
-    return total.join(few, KEY).withColumn("weight", F.size("chunk_ids").cast("long"))
+    out = total.join(few, KEY)
+    return out.withColumn("weight", F.size("chunk_ids").cast("long")) if chunks is None else counted_chunks(out, chunks, KEY, "weight")
 
 
 def drop_unconfirmed(people: DataFrame, edges: DataFrame, dropped: DataFrame) -> tuple[DataFrame, DataFrame]:

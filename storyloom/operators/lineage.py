@@ -81,23 +81,24 @@ def flush(events: DataFrame, path: str) -> bool:
 
 
 def diagnose_events(events: DataFrame, expected: DataFrame) -> DataFrame:
-    """diagnose() with all that it needs taken from EVENTS of one novel; expected: (mention, expect)."""
-    kind = lambda k, schema: parsed(events.where(F.col("event") == k).select("mention", "ordinal", F.col("body").alias("value")), schema)
+    """diagnose() with all that it needs taken from EVENTS; expected: (novel_id, mention, expect), or without novel_id where the events are of one novel."""
+    by = ["novel_id"] if "novel_id" in expected.columns else []
+    kind = lambda k, schema: parsed(events.where(F.col("event") == k).select("novel_id", "mention", "ordinal", F.col("body").alias("value")), schema)
     facts = events.where(F.col("event").isin(*MENTION_EVENTS)).withColumn("facts", F.from_json("body", "map<string,string>"))
-    drops = kind("merge_drop", "merge_keep string").select(F.col("mention").alias("canonical"), F.col("merge_keep").alias("keep"))
-    shown = kind("canonical_snapshot", "aliases array<string>").select(F.col("mention").alias("canonical"), "aliases")
+    drops = kind("merge_drop", "merge_keep string").select(*by, F.col("mention").alias("canonical"), F.col("merge_keep").alias("keep"))
+    shown = kind("canonical_snapshot", "aliases array<string>").select(*by, F.col("mention").alias("canonical"), "aliases")
     raw = kind("extraction_raw", "characters array<struct<name:string>>, relationships array<struct<source:string,target:string>>")
-    names = raw.select(F.explode(F.concat(F.col("characters.name"), F.col("relationships.source"), F.col("relationships.target"))).alias("name"))
+    names = raw.select(*by, F.explode(F.concat(F.col("characters.name"), F.col("relationships.source"), F.col("relationships.target"))).alias("name"))
     failed = kind("job_end", "chunk_failures long").where("chunk_failures > 0")
-    return diagnose(flat_events(facts), expected, drops, shown, names, not failed.isEmpty())
+    return diagnose(flat_events(facts), expected, drops, shown, names, failed.select("novel_id").distinct() if by else not failed.isEmpty())
 
 
 def effective_category(hygiene, extraction):  # noqa: ANN001, ANN201
     return F.when(hygiene.isin("generic", "collective", "invalid"), hygiene).otherwise(extraction)
 
 
-def facts(events: DataFrame) -> DataFrame:
-    """One row for each mention with what its events say, the last by ordinal where one counts.
+def facts(events: DataFrame, *by: str) -> DataFrame:
+    """One row for each mention (of each novel, with by="novel_id") with what its events say, the last by ordinal where one counts.
 
     events: (mention, ordinal, event, hygiene_category, extraction_category, candidates int, judge_called, resolves_to,
     admission, registered, alias_to, final_canonical).
@@ -106,7 +107,7 @@ def facts(events: DataFrame) -> DataFrame:
     last = lambda c, test: F.max_by(F.when(test, F.col(c)), F.when(test, F.col("ordinal")))
     category = effective_category(F.col("hygiene_category"), F.col("extraction_category"))
     some = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
-    return events.groupBy("mention").agg(
+    return events.groupBy(*by, "mention").agg(
         some(is_("mention_enter") & (category.isNull() | (category == "person"))).alias("plain_category"),
         some(is_("recall")).alias("recalled"),
         some(is_("recall") & (F.col("candidates") > 0)).alias("found"),
@@ -119,21 +120,24 @@ def facts(events: DataFrame) -> DataFrame:
     )
 
 
-def diagnose(events: DataFrame, expected: DataFrame, merge_drops: DataFrame, snapshot: DataFrame, raw_names: DataFrame, any_failed_chunk: bool) -> DataFrame:
+def diagnose(events: DataFrame, expected: DataFrame, merge_drops: DataFrame, snapshot: DataFrame, raw_names: DataFrame, failed: bool | DataFrame) -> DataFrame:
     """mention, verdict for each (mention, expect) of `expected`; expect may be null.
 
-    merge_drops: (canonical, keep), snapshot: (canonical, aliases), raw_names: (name) that the extraction had.
+    merge_drops: (canonical, keep), snapshot: (canonical, aliases), raw_names: (name) that the extraction had. failed: whether any
+    chunk failed. If `expected` has novel_id, so has each of these, a novel's mentions are told by its own rows only, and `failed` is a table of the novels.
     """
-    f = expected.join(facts(events), "mention", "left").withColumn("seen", F.col("registered").isNotNull())
+    by = ["novel_id"] if "novel_id" in expected.columns else []
+    f = expected.join(facts(events, *by), [*by, "mention"], "left").withColumn("seen", F.col("registered").isNotNull())
     alias = F.when(F.col("registered"), F.col("alias_to"))
     f = f.withColumn("alias", alias).withColumn("own", F.when(F.col("registered") & F.col("alias").isNull(), F.col("final_canonical")))
     f = f.withColumn("holder", F.coalesce("alias", "own"))
-    f = f.join(merge_drops.select(F.col("canonical").alias("holder"), F.lit(True).alias("absorbed")), "holder", "left")
-    f = f.join(snapshot.select(F.col("canonical").alias("holder"), F.col("aliases").alias("holder_aliases")), "holder", "left")
-    f = f.join(raw_names.select(F.col("name").alias("mention"), F.lit(True).alias("raw")).distinct(), "mention", "left")
+    f = f.join(merge_drops.select(*by, F.col("canonical").alias("holder"), F.lit(True).alias("absorbed")), [*by, "holder"], "left")
+    f = f.join(snapshot.select(*by, F.col("canonical").alias("holder"), F.col("aliases").alias("holder_aliases")), [*by, "holder"], "left")
+    f = f.join(raw_names.select(*by, F.col("name").alias("mention"), F.lit(True).alias("raw")).distinct(), [*by, "mention"], "left")
+    f = f.withColumn("__broken", F.lit(failed)) if isinstance(failed, bool) else f.join(failed.select(*by, F.lit(True).alias("__broken")), by, "left")
     is_null_safe = lambda c: F.coalesce(c, F.lit(False))
     met = is_null_safe((F.col("alias") == F.col("expect")) | (F.col("own") == F.col("expect"))) | is_null_safe(F.array_contains("holder_aliases", F.col("expect")))
-    unseen = F.when(F.col("raw").isNotNull() | F.lit(any_failed_chunk), "CHAIN_BREAK").otherwise("EXTRACTION_LAYER")
+    unseen = F.when(F.col("raw").isNotNull() | F.coalesce("__broken", F.lit(False)), "CHAIN_BREAK").otherwise("EXTRACTION_LAYER")
     fixed = (
         F.when(F.col("plain_category"), "CATEGORY_LAYER_D5").when(F.col("recalled") & ~F.col("found"), "RECALL_LAYER").when(F.col("judged_null"), "JUDGE_LAYER")
         .when(F.col("refused"), "ADMISSION_LAYER").when(F.col("absorbed").isNotNull(), "MERGE_LAYER")
@@ -141,7 +145,7 @@ def diagnose(events: DataFrame, expected: DataFrame, merge_drops: DataFrame, sna
     with_expectation = F.when(met, "SUCCESS").otherwise(F.coalesce(fixed, F.when(F.col("own") != F.col("expect"), "REGISTRATION_LAYER"), F.lit("UNKNOWN")))
     ended = F.when(F.col("last_admission").isin(*HYGIENE), "HYGIENE_LAYER").when(F.col("last_admission").isNotNull(), "ADMISSION_LAYER").otherwise("UNKNOWN")
     without = F.when(F.col("alias").isNotNull(), "SUCCESS_ALIAS").when(F.col("own").isNotNull(), "SUCCESS_CANONICAL").otherwise(F.coalesce(fixed, ended))
-    return f.select("mention", "expect", F.when(~F.col("seen"), unseen).when(F.col("expect").isNotNull(), with_expectation).otherwise(without).alias("verdict"))
+    return f.select(*by, "mention", "expect", F.when(~F.col("seen"), unseen).when(F.col("expect").isNotNull(), with_expectation).otherwise(without).alias("verdict"))
 
 
 def flat_events(events: DataFrame) -> DataFrame:
@@ -156,8 +160,8 @@ def flat_events(events: DataFrame) -> DataFrame:
     )
 
 
-def all_mentions(events: DataFrame) -> DataFrame:
-    return events.where("mention <> ''").select("mention").distinct()
+def all_mentions(events: DataFrame, *by: str) -> DataFrame:
+    return events.where("mention <> ''").select(*by, "mention").distinct()
 
 
 def chains(events: DataFrame) -> DataFrame:

@@ -398,7 +398,9 @@ def join_lists(df: DataFrame, *names: str) -> DataFrame:
 
 @query(f"WITH {PEOPLE} SELECT novel_id, name, mention_count, {joined('chapters')}, len(chunk_ids) AS n FROM people")
 def agg1_persons(spark, sf):
-    return join_lists(people(spark, sf), "chapters").select("novel_id", "name", "mention_count", "chapters", F.size("chunk_ids").cast("long").alias("n"))
+    f = facts(spark, sf).withColumnRenamed("source", "name")
+    sizes = graph.person_chunks(f).groupBy("novel_id", "name").agg(F.count(F.lit(1)).alias("n"))
+    return join_lists(graph.persons(f, lists=False), "chapters").join(sizes, ["novel_id", "name"]).select("novel_id", "name", "mention_count", "chapters", "n")
 
 
 @query(f"WITH {EDGES} SELECT novel_id, source, target, type, weight, round(confidence, 6) AS confidence, {joined('evidence')}, array_to_string(chunk_ids, ',') AS chunks FROM edges")
@@ -437,7 +439,9 @@ merged AS (SELECT m.novel_id, m.dest AS name, len(list_distinct(flatten(list(chu
 
 @query(f"WITH {MERGED} SELECT novel_id, name, mention_count, {joined('chapters')}, {joined('aliases')} FROM merged")
 def agg8_merged_persons(spark, sf):
-    out = graph.merge_persons(named(spark, sf), merges(spark, sf))
+    f, m = facts(spark, sf).withColumnRenamed("source", "name"), merges(spark, sf)
+    valid = graph.valid_merges(people(spark, sf), m)
+    out = graph.merge_persons(graph.apply_aliases(graph.persons(f, lists=False), alias_rows(spark, sf)), m, graph.merge_person_chunks(graph.person_chunks(f), valid))
     return join_lists(out, "chapters", "aliases").select("novel_id", "name", "mention_count", "chapters", "aliases")
 
 
@@ -449,7 +453,8 @@ redirected AS (SELECT novel_id, source, target, type, len(list_distinct(flatten(
 
 @query(f"WITH {REDIRECTED} SELECT novel_id, source, target, type, weight, round(confidence, 6) AS confidence, {joined('evidence')} FROM redirected JOIN few USING (novel_id, source, target, type)")
 def agg9_merged_relations(spark, sf):
-    out = graph.merge_relations(edges(spark, sf), graph.valid_merges(people(spark, sf), merges(spark, sf)))
+    f, valid = facts(spark, sf), graph.valid_merges(people(spark, sf), merges(spark, sf))
+    out = graph.merge_relations(graph.relations(f, lists=False), valid, graph.merge_relation_chunks(graph.relation_chunks(f), valid))
     out = join_lists(out.withColumn("evidence", F.transform("evidence", lambda x: x["chunk_id"])), "evidence")
     return out.select("novel_id", "source", "target", "type", "weight", F.round("confidence", 6).alias("confidence"), "evidence")
 
@@ -884,9 +889,11 @@ def rec2_names_in_turns(spark, sf):
 @query()
 def lin1_resolver_verdicts(spark, sf):
     _, out = resolved(spark, sf, lineage=True)
-    one = lineage.flat_events(resolution.events(out)).withColumn("mention", F.concat_ws("/", "novel_id", "mention"))
-    none = lambda ddl: spark.createDataFrame([], ddl)
-    return lineage.diagnose(one, lineage.all_mentions(one).withColumn("expect", F.lit(None).cast("string")), none("canonical string, keep string"), none("canonical string, aliases array<string>"), none("name string"), False)
+    one = lineage.flat_events(resolution.events(out))
+    none = lambda ddl: spark.createDataFrame([], f"novel_id string, {ddl}")
+    expected = lineage.all_mentions(one, "novel_id").withColumn("expect", F.lit(None).cast("string"))
+    out = lineage.diagnose(one, expected, none("canonical string, keep string"), none("canonical string, aliases array<string>"), none("name string"), none("x int").select("novel_id"))
+    return out.select(F.concat_ws("/", "novel_id", "mention").alias("mention"), "expect", "verdict")
 
 
 FLAGSHIP = f"""WITH {NAMES}, p AS (SELECT novel_id, name, count(DISTINCT chunk_id) AS mention_count, count(DISTINCT chapter_id) AS chapters FROM mentioned GROUP BY ALL)

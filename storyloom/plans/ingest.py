@@ -102,8 +102,9 @@ def build(
     if checkpoint:
         store_.put_novels("judgements", checkpoint, resolution.judgements(resolved), chunks, JUDGEMENTS)
     texts = chunks.select("novel_id", "chunk_id", "text")
-    people = graph.apply_aliases(graph.persons(resolution.characters(resolved)), resolution.aliases(resolved))
-    edges = graph.relations(resolution.relations(resolved, ready).join(texts, ["novel_id", "chunk_id"]))
+    named, linked = resolution.characters(resolved), resolution.relations(resolved, ready).join(texts, ["novel_id", "chunk_id"])
+    people = graph.apply_aliases(graph.persons(named, settings.chunk_lists), resolution.aliases(resolved))
+    edges = graph.relations(linked, settings.chunk_lists)
     evidence = merging.pair_evidence(resolution.bridges(resolved))
     pairs = merging.pair_metadata(evidence, resolution.canonicals(resolved))
     past = store_.get("merge_answers", checkpoint, merging.ANSWERS) if checkpoint else None
@@ -114,7 +115,11 @@ def build(
     decisions = written(merging.decide(pairs, answers, settings.merge_threshold), "decisions")
     merges = merging.roots(merging.merge_map(decisions), lambda df: written(df, f"roots_{next(numbers)}"))
     merges = written(graph.valid_merges(people, merges), "merges")
-    people, edges = graph.merge_persons(people, merges), graph.merge_relations(edges, merges)
+    if settings.chunk_lists:
+        people, edges = graph.merge_persons(people, merges), graph.merge_relations(edges, merges)
+    else:
+        people = graph.merge_persons(people, merges, graph.merge_person_chunks(graph.person_chunks(named), merges))
+        edges = graph.merge_relations(edges, merges, graph.merge_relation_chunks(graph.relation_chunks(linked), merges))
     people, edges = graph.drop_unconfirmed(people, edges, resolution.dropped(resolved))
     people, edges = written(people, "persons"), written(edges, "relations")
     failures = resume.failed(extractions)

@@ -50,6 +50,18 @@ def test_a_failed_chunk_breaks_the_chain(spark):
         assert {r.mention: r.verdict for r in lineage.diagnose_events(spark.createDataFrame(keep, lineage.EVENTS), asked).collect()} == expected
 
 
+def test_novels_are_told_by_their_own_rows(spark):
+    """The same names in two novels: one novel's failed chunks, raw names, merges and snapshots say nothing about the other's."""
+    known = '{"registered":"True","final_canonical":"%s"}'
+    rows = [("n", "job_end", 0, None, None, None, '{"chunk_failures":2}'), ("m", "job_end", 0, None, None, None, '{"chunk_failures":0}'), ("m", "extraction_raw", 0, 1, 1, None, '{"characters":[{"name":"Raw"}],"relationships":[]}')]
+    rows += [(v, "registration", 1, 1, 1, "Eve", known % "Eve") for v in "nm"] + [("m", "merge_drop", 0, None, None, "Eve", '{"merge_keep":"Ann"}'), ("n", "canonical_snapshot", 0, None, None, "Eve", '{"aliases":["Ann"]}')]
+    asked = [(v, m, "Ann") for v in "nm" for m in ("Eve", "Zed", "Raw")]
+    out = lineage.diagnose_events(spark.createDataFrame(rows, lineage.EVENTS), spark.createDataFrame(asked, "novel_id string, mention string, expect string"))
+    assert {(r.novel_id, r.mention): r.verdict for r in out.collect()} == {
+        ("n", "Eve"): "SUCCESS", ("m", "Eve"): "MERGE_LAYER", ("n", "Zed"): "CHAIN_BREAK", ("m", "Zed"): "EXTRACTION_LAYER", ("n", "Raw"): "CHAIN_BREAK", ("m", "Raw"): "CHAIN_BREAK",
+    }
+
+
 def test_roles_are_those_of_the_resolver(spark):
     known = {"天保": "天保", "大老": "天保", "翠翠": "翠翠", "翠": "翠翠", "岳云": "岳云"}
     mentions = ["翠翠的父亲", "天保大老", "翠翠祖父", "老船夫", "岳云", "大老爷", "他的船", "船的主"]
