@@ -101,14 +101,22 @@ def pairs(led: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs with the first two leaders of each key, and those with four leaders by other orders in keys of more than three nodes."""
+    """Pairs with the first two leaders of each key; and node, leaders: four by other orders, for the nodes of keys of more than three."""
     keyed = nodes.select("node", F.explode(keys("sig")).alias("key"))
     other = [F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("o"), "node")).getField("node") for salt in range(4)]
     leaders = written(keyed.groupBy("key").agg(F.array(F.min("node"), F.max("node")).alias("first"), F.array(*other).alias("more"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     led = keyed.join(leaders, "key")
     first = written(pairs(led.select("node", F.col("first").alias("leaders")), nodes, percent))
-    more = written(pairs(led.where("size > 3").select("node", F.col("more").alias("leaders")), nodes, percent).join(first, ["a", "b"], "left_anti"))
-    return first, more
+    return first, led.where("size > 3").select("node", F.col("more").alias("leaders"))
+
+
+def unconnected(led: DataFrame, label: DataFrame) -> DataFrame:
+    """led with the leaders only that aren't in their node's component yet."""
+    each = led.select("node", F.explode(F.array_distinct("leaders")).alias("leader")).where("node <> leader")
+    for x in ("node", "leader"):
+        each = each.join(label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
+    apart = each.where(F.coalesce("label_node", "node") != F.coalesce("label_leader", "leader"))
+    return apart.select("node", F.array("leader").alias("leaders"))
 
 
 def torn(nodes: DataFrame, label: DataFrame) -> DataFrame:
@@ -216,19 +224,16 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept; documents link from `percent` of shared among all shingles of `size` words."""
     rows = written(described(docs, size))
     nodes = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("holder"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    first, more = candidates(nodes, percent)
+    first, led = candidates(nodes, percent)
 
     def sets(found: DataFrame) -> DataFrame:
         ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         return written(sets_of(docs, nodes.join(ends, "node").select("node", F.col("holder.doc_id").alias("id"), F.col("holder.text_hash").alias("text_hash")), size))
 
-    of_leaders = sets(first.union(more))
-    links = confirmed(first, of_leaders, percent)
+    links = confirmed(first, sets(first), percent)
     label = labels(links)
-    open_ = more
-    for x in ("a", "b"):
-        open_ = open_.join(label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
-    found = confirmed(open_.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), of_leaders, percent)
+    more = written(pairs(unconnected(led, label), nodes, percent).join(first, ["a", "b"], "left_anti"))
+    found = confirmed(more, sets(more), percent)
     if not found.isEmpty():
         links = links.union(found)
         label = labels(links)
