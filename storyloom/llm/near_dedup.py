@@ -5,10 +5,13 @@ that differ in few enough symbols agree, by the pigeonhole principle, in some ch
 symbol, so each chunk is looked up with each symbol left out. What shares such a key is first paired
 with a few leaders of the key only: the least and the greatest node, which pairs all in keys of up to
 three nodes, then, across what isn't connected yet, leaders by other orders. Pairs are confirmed on
-full sets, and links closed to components by least labels. Last, nodes whose keys still lead to
-several components are brought together in blocks: those outside the largest component meet all, full
-set against full set, and a block gives one link for each two components, not its pairs. So each pair
-within MAX_DISTANCE is compared or connected.
+full sets, and links closed to components by least labels. Last, the nodes whose keys still lead to
+several components are joined by a prefix filter on their full sets: shingles in rising order of how
+many nodes have them, those of one component first; two sets that link share one of the first
+n - ceil(percent of n) + 1. Nodes that share such a shingle with few others are paired; those that
+share one with many, and have enough in common with any, meet in blocks, full set against full set,
+and a block gives one link for each two components, not its pairs. So each pair within MAX_DISTANCE
+is compared or connected.
 
 Rows: null and empty texts have empty sets and link with nothing; rows of equal sets are linked,
 repeated rows too; a null doc_id is never a component's id unless all of its ids are null; an empty
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import give_back, slices, written
+from storyloom.llm.common import by_key, give_back, slices, written
 from storyloom.llm.numeric import Runs, Words, mixed
 
 #: A signature has CHUNKS * WIDTH symbols of 16 bits; pairs are looked for that differ in at most MAX_DISTANCE of them, so
@@ -33,8 +36,10 @@ from storyloom.llm.numeric import Runs, Words, mixed
 CHUNKS, WIDTH = 8, 4
 MAX_DISTANCE = 15
 AT_ONCE = 600_000
-#: Nodes of a block, and how many of those outside the largest component a task holds against it at once.
-BLOCK, AT_ONCE_NODES = 512, 128
+#: Nodes that share a shingle of their prefixes are paired up to this many; more meet in blocks.
+PAIRED = 32
+#: Nodes and shingles of a block in the mean, and how many of those that come to it a task holds against it at once.
+BLOCK, BLOCK_SHINGLES, AT_ONCE_NODES = 512, 400_000, 128
 FACTORS = mixed(np.arange(CHUNKS * WIDTH, dtype=np.uint64), 11) | np.uint64(1)
 
 
@@ -120,27 +125,56 @@ def unconnected(led: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def torn(nodes: DataFrame, label: DataFrame) -> DataFrame:
-    """node, n, label, group, main of the nodes that share keys across components; groups are closed over such keys, main is a group's largest component."""
+    """node, n, label, group of the nodes that share keys across components; groups are closed over such keys."""
     named = written(nodes.join(label, "node", "left").select("node", "n", "sig", F.coalesce("label", "node").alias("label")))
     keyed = named.select("node", "label", F.explode(keys("sig")).alias("key"))
     apart = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 3 AND low <> high")
     led = keyed.join(written(apart.select("key", "lead")), "key").where("node <> lead")
     group = labels(led.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()).withColumnRenamed("label", "group")
-    rows = named.drop("sig").join(group, "node")
-    part = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = part.groupBy("group").agg(F.max(F.struct("size", "label")).getField("label").alias("main"), F.sum("size").alias("size"))
-    return written(rows.join(main, "group"))
+    return written(named.drop("sig").join(group, "node"))
+
+
+def prefixes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """shingle, node, label, n, place of the shingles of each set's prefix that more than one component has; place: how many of the set come before."""
+    each = rows.select("node", "label", "n").join(sets, "node").select("node", "label", "n", F.explode("shingles").alias("shingle"))
+    known = by_key(each, "shingle", F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high")
+    shared = each.join(known.select("shingle", "many"), "shingle").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("many", "shingle"))).alias("shared"))
+    shared = shared.withColumn("alone", F.col("n") - F.size("shared")).withColumn("last", F.expr(f"n - (n * {percent} + 99) div 100 + 1 - alone"))
+    posted = shared.where("last > 0").select("node", "label", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("last").cast("int"))).alias("i", "of"))
+    return written(posted.select(F.col("of.shingle").alias("shingle"), "node", "label", "n", (F.col("alone") + F.col("i")).alias("place")))
 
 
 def across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between components, at least one for each two that a pair of a group links; rows: (node, n, label, group)."""
+    posted = prefixes(rows, sets, percent)
+    known = by_key(posted, "shingle", F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high")
+    posted = posted.join(known.select("shingle", "many"), "shingle")
+    one, other = (posted.where(F.col("many") <= PAIRED).select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "place")]) for x in ("a", "b"))
+    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # in common, from the first common shingle on
+    enough = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+    few = one.join(other, "shingle").where("node_a < node_b AND label_a <> label_b").where(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    many = posted.where(F.col("many") > PAIRED).groupBy("node").agg(F.min("place").alias("place"))
+    return confirmed(written(few), sets, percent).union(written(in_blocks(rows.join(many, "node"), sets, percent)))
+
+
+def in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: for each two components of a block one pair of nodes whose full sets are similar enough, where there is one.
 
-    A group's nodes are dealt out to blocks of about BLOCK; its nodes outside the main component come to each of its blocks.
+    Two nodes have at most n - place in common each, so one link needs gains that add up to 0 or more: what can't reach that with
+    any node of its group goes. The rest is dealt out to blocks. To each block of its group come the nodes outside the group's largest
+    component, or those with a gain of 0 or more: each link has one of either kind, and the fewer are taken.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.join(sets, "node").select("group", "node", "label", "main", "shingles", blocks.alias("blocks"))
+    rows = rows.withColumn("gain", (100 + percent) * (F.col("n") - F.col("place")) - 2 * percent * F.col("n"))
+    top = rows.groupBy("group").agg(F.max("gain").alias("top"))
+    rows = written(rows.join(top, "group").where("gain + top >= 0").select("group", "node", "label", "n", "gain"))
+    part = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.count_if(F.col("gain") >= 0).alias("able"))
+    whole = part.groupBy("group").agg(F.max(F.struct("size", "label")).alias("main"), *[F.sum(c).alias(c) for c in ("size", "shingles", "able")]).where("main.size < size")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    whole = whole.select("group", F.col("main.label").alias("main"), blocks, (F.col("able") < F.col("size") - F.col("main.size")).alias("by_gain"))
+    comes = F.when(F.col("by_gain"), F.col("gain") >= 0).otherwise(F.col("label") != F.col("main"))
+    rows = rows.join(whole, "group").join(sets, "node").select("group", "node", "label", "shingles", "blocks", comes.alias("comes"))
     all_ = rows.withColumns({"block": F.pmod(F.xxhash64("node"), "blocks").cast("int"), "side": F.lit(0)})
-    few = rows.where("label <> main").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "side": F.lit(1)})
+    few = rows.where("comes").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "side": F.lit(1)})
     both = all_.unionByName(few).select("group", "block", "side", "node", "label", "shingles")
 
     def links(held: list[tuple], asked: list[tuple]) -> list[tuple[int, int]]:
@@ -162,20 +196,23 @@ def across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             found.setdefault((min(of[a], to[b]), max(of[a], to[b])), (asked[a][0], held[b][0]))
         return [(min(p), max(p)) for p in found.values()]
 
+    def linked(held: list[tuple], asked: list[tuple]) -> pa.RecordBatch:
+        out = links(held, asked) if asked else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, asked, out = None, [], [], []
+        now, held, asked, size = None, [], [], 0
         for b in batches:
             for group, block, side, node, label, shingles in zip(*(b.column(c) for c in ("group", "block", "side", "node", "label", "shingles")), strict=True):
                 key = (group.as_py(), block.as_py())
-                if asked and (key != now or len(asked) >= AT_ONCE_NODES):
-                    out += links(held, asked)
-                    asked = []
+                if asked and (key != now or len(asked) >= AT_ONCE_NODES or size >= BLOCK_SHINGLES):
+                    yield linked(held, asked)
+                    asked, size = [], 0
                 if key != now:
                     now, held = key, []
                 (asked if side.as_py() else held).append((node.as_py(), label.as_py(), shingles.values.to_numpy()))
-        if asked:
-            out += links(held, asked)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                size += len(shingles) * side.as_py()
+        yield linked(held, asked)
         give_back()
 
     return both.repartition("group", "block").sortWithinPartitions("group", "block", "side").mapInArrow(run, "a long, b long").distinct()
@@ -240,7 +277,7 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     rest = torn(nodes, label)
     if not rest.isEmpty():
         holders = nodes.join(rest.select("node"), "node").select("node", F.col("holder.doc_id").alias("id"), F.col("holder.text_hash").alias("text_hash"))
-        found = written(across(rest, written(sets_of(docs, holders, size)), percent))
+        found = across(rest, written(sets_of(docs, holders, size)), percent)
         if not found.isEmpty():
             label = labels(links.union(found))
     label = nodes.join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))

@@ -258,3 +258,52 @@ def test_query_of_classes_against_sql(spark):
     expected = sorted(map(tuple, con.execute(near_dedup.ORACLE).fetchall()))
     assert sorted(map(tuple, QUERIES["op9_near_dedup"](spark, sf).select("doc_id", "n_shingles", "component_id", "kept").collect())) == expected
     assert sum(i != c for i, _, c, _ in expected) > 500
+
+
+def joined_components(spark, rng, groups, paired, monkeypatch):
+    """What across() joins and what all pairs would: nodes are sets that share a template of their group, each a component or of one of a few."""
+    monkeypatch.setattr(near_dedup, "PAIRED", paired)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    nodes = []
+    for g, (n, changed) in enumerate(groups):
+        base = rng.sample(range(10**6), 60)
+        for _ in range(n):
+            s = {x if rng.random() > changed * rng.uniform(0, 1.5) else rng.randrange(10**9) for x in base}
+            nodes.append((len(nodes), g, len(nodes) if rng.random() < 0.6 else -1 - rng.randrange(3) - 3 * g, sorted(s)))
+    rows = spark.createDataFrame([(i, len(s), c, g) for i, g, c, s in nodes], "node long, n long, label long, group long")
+    sets = spark.createDataFrame([(i, s) for i, _, _, s in nodes], "node long, shingles array<long>")
+    found = {(r.a, r.b) for r in near_dedup.across(rows, sets, 80).collect()}
+    held = [set(s) for *_, s in nodes]
+    near = {(a, b) for b in range(len(nodes)) for a in range(b) if nodes[a][2] != nodes[b][2] and 100 * len(held[a] & held[b]) >= 80 * len(held[a] | held[b])}
+
+    def components(links):
+        label = {c: c for _, _, c, _ in nodes}
+        root = lambda c: c if label[c] == c else root(label[c])
+        for a, b in links:
+            label[root(nodes[a][2])] = root(nodes[b][2])
+        parts = {}
+        for c in label:
+            parts.setdefault(root(c), set()).add(c)
+        return sorted(map(sorted, parts.values()))
+
+    assert found <= near
+    return components(found), components(near), len(near)
+
+
+@pytest.mark.parametrize("paired", [1, 8, 32])
+def test_last_step_against_all_pairs(spark, monkeypatch, paired):
+    """Sets that share rare and frequent shingles, paired one by one and in blocks."""
+    got, expected, n = joined_components(spark, random.Random(paired), [(6, 0.1), (40, 0.06), (40, 0.12), (90, 0.09), (30, 0.3)], paired, monkeypatch)
+    assert got == expected and n > 100
+
+
+def test_a_shared_template_needs_no_pairs(spark):
+    """Where a template is not enough for a link, its many documents neither post it nor meet."""
+    rng = random.Random(7)
+    for own, most in ((60, 0), (25, 40 * 14)):
+        sets = [(i, [*range(97), *rng.sample(range(1000, 10**9), own)]) for i in range(40)]
+        rows = spark.createDataFrame([(i, len(s), i, 0) for i, s in sets], "node long, n long, label long, group long")
+        held = spark.createDataFrame(sets, "node long, shingles array<long>")
+        assert near_dedup.prefixes(rows, held, 80).count() <= most
+        hot = rows.withColumn("place", near_dedup.F.lit(own))
+        assert near_dedup.in_blocks(hot, held, 80).count() == 0
