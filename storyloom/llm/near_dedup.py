@@ -257,6 +257,19 @@ def labels(links: DataFrame) -> DataFrame:
         label = new.select("node", "label")
 
 
+
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label with the components made one that the links lead between, and the nodes that had no link before."""
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("label"))
+    label = written(label.unionByName(new))
+    ends = links
+    for x in ("a", "b"):
+        ends = ends.join(label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x)
+    between = ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a <> b").distinct()
+    top = labels(between).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return written(label.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+
+
 def classes(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept; documents link from `percent` of shared among all shingles of `size` words."""
     rows = written(described(docs, size))
@@ -267,19 +280,17 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
         ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         return written(sets_of(docs, nodes.join(ends, "node").select("node", F.col("holder.doc_id").alias("id"), F.col("holder.text_hash").alias("text_hash")), size))
 
-    links = confirmed(first, sets(first), percent)
-    label = labels(links)
+    label = labels(confirmed(first, sets(first), percent))
     more = written(pairs(unconnected(led, label), nodes, percent).join(first, ["a", "b"], "left_anti"))
     found = confirmed(more, sets(more), percent)
     if not found.isEmpty():
-        links = links.union(found)
-        label = labels(links)
+        label = joined(label, found)
     rest = torn(nodes, label)
     if not rest.isEmpty():
         holders = nodes.join(rest.select("node"), "node").select("node", F.col("holder.doc_id").alias("id"), F.col("holder.text_hash").alias("text_hash"))
         found = across(rest, written(sets_of(docs, holders, size)), percent)
         if not found.isEmpty():
-            label = labels(links.union(found))
+            label = joined(label, found)
     label = nodes.join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     least = label.groupBy("label").agg(F.min("least").alias("component_id"))
     component = label.join(least, "label").select(F.col("node").alias("of"), "component_id")
