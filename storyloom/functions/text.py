@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-BREAK = r"\r\n|[\x{A}-\x{D}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+BREAKS = r"\x{A}-\x{D}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}"
+BREAK = rf"\r\n|[{BREAKS}]"
 
 #: Words and patterns of the section rules; fixed values, tuned to Chinese editions.
 TITLE_WORDS = {"版权": "metadata", "目录": "metadata", "题记": "epigraph", "新题记": "epigraph", "序": "epigraph", "前言": "epigraph", "引言": "epigraph", "跋": "trailer", "后记": "trailer", "致谢": "trailer", "广告": "trailer", "推广": "trailer"}
@@ -45,12 +46,18 @@ def chapter_title(title: Column, chapter_id: Column) -> Column:
 
 
 def first_line(text: Column) -> Column:
-    return F.get(lines(text), F.lit(0))
+    """The first of lines(text), or null; what comes after it isn't looked at."""
+    line = F.regexp_extract(text, f"^{BLANK}*([^{BREAKS}]*)", 1)  # every break is blank too
+    return F.nullif(F.regexp_replace(line, f"{BLANK}+$", ""), F.lit(""))
 
 
-def section_type(title: Column, text: Column, place: Column, total: Column) -> Column:
-    """Title words, words of the first line, a chapter number there, place and length, in this order; else body. place from 0."""
-    title, first, size = strip(F.coalesce(title, F.lit(""))), F.coalesce(first_line(text), F.lit("")), F.length(text)
+def section_type(title: Column, text: Column, place: Column, total: Column, first: Column | None = None) -> Column:
+    """Title words, words of the first line, a chapter number there, place and length, in this order; else body. place from 0.
+
+    first: first_line(text) where a column has it already; else each rule works it out anew.
+    """
+    first = first_line(text) if first is None else first
+    title, first, size = strip(F.coalesce(title, F.lit(""))), F.coalesce(first, F.lit("")), F.length(text)
     rules = [(title.contains(w), s) for w, s in TITLE_WORDS.items()] + [(first.contains(w), s) for w, s in FIRST_LINE_WORDS.items()]
     rules += [(first.rlike(CHAPTER_NUMBER), "body"), ((place == 0) & (size <= 200) & text.rlike("版权|作者"), "metadata"), ((place == total - 1) & (size <= 500) & text.rlike(r"公众号|微信|mp\.weixin"), "trailer")]
     out = F.lit("body")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import chapter_title, section_type
+from storyloom.functions.text import chapter_title, first_line, section_type
 from storyloom.schema import CHUNKS, columns
 
 
@@ -14,8 +14,8 @@ def number_chapters(sections: DataFrame) -> DataFrame:
     w = Window.partitionBy("novel_id").orderBy("place")
     slim = sections.where("text <> ''").select("novel_id", "place").withColumn("chapter_id", F.row_number().over(w))
     slim = slim.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("novel_id")))  # without texts
-    out = sections.where("text <> ''").join(slim, ["novel_id", "place"])
-    section = section_type(F.col("title"), F.col("text"), F.col("chapter_id") - 1, F.col("total"))
+    out = sections.where("text <> ''").join(slim, ["novel_id", "place"]).withColumn("first", first_line(F.col("text")))  # worked out once, not by each rule
+    section = section_type(F.col("title"), F.col("text"), F.col("chapter_id") - 1, F.col("total"), F.col("first"))
     return out.select("novel_id", "chapter_id", chapter_title(F.col("title"), F.col("chapter_id")).alias("chapter_title"), "text", section.alias("section_type"))
 
 

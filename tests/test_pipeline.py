@@ -16,8 +16,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from storyloom.config import Settings
+from storyloom.functions import text as T
 from storyloom.operators import chunks, evaluation, extraction, graph, lineage, merging, resume, store
-from storyloom.plans import ingest
+from storyloom.plans import catalog, ingest
 from storyloom.sources import epub, epub_source
 
 ROOT = Path(__file__).parent.parent
@@ -516,3 +517,13 @@ def test_nothing_else_imports_the_llm_package():
     for p in (ROOT / "storyloom").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:
             assert "storyloom.llm" not in p.read_text()
+
+
+def test_the_first_line_is_read_once_and_alone(spark, sf):
+    texts = [None, "", " \n\t\r\n ", "a", "  a b 　\nc", "\r\n\x1c   第三章 渡口\x85正文", "x  y \r\nz", "　 \x0b\x0cq\x1fr \x1d s", "last line\n"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = rows.select("i", T.first_line(F.col("text")).alias("a"), F.get(T.lines(F.col("text")), F.lit(0)).alias("b")).orderBy("i").collect()
+    assert [r.a for r in got] == [r.b for r in got] and got[5].a == "第三章 渡口" and got[2].a is None
+    for name in ("src3_src4_chapters", "cls3_sections_by_place", "chk3_chunk_sections"):  # sections come of them by eight rules
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(text") == 1 and "split(text" not in plan
