@@ -11,10 +11,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,19 +107,21 @@ class Novel:
     barred: set[str] = field(default_factory=set)
     order: int = 0  # of aliases and bridges
     count: dict[str, int] = field(default_factory=lambda: dict.fromkeys(COUNTERS, 0))
+    emitted: int = 0  # rows, those taken too: the order of events
     out: list[dict] = field(default_factory=list)
 
     # output
 
     def emit(self, kind: str, chunk: Chunk | None = None, **values: object) -> None:
         self.out.append({"novel_id": self.novel_id, "kind": kind, "chunk_id": chunk.id if chunk else None, "chapter_id": chunk.chapter if chunk else None} | values)
+        self.emitted += 1
 
     def trace(self, chunk: Chunk, event: str, name: str, **facts: object) -> None:
         """A lineage event; it has no part in any decision."""
         if self.lineage:
             where = f"{self.novel_id}\x1f{chunk.id}\x1f{name}"
             shown = {"lineage_id": hashlib.sha256(where.encode()).hexdigest()[:32], "section_type": chunk.section} | facts
-            self.emit("event", chunk, type=event, name=name, names=[f"{k}={'|'.join(v) if isinstance(v, list) else '' if v is None else v}" for k, v in shown.items()], ordinal=len(self.out))
+            self.emit("event", chunk, type=event, name=name, names=[f"{k}={'|'.join(v) if isinstance(v, list) else '' if v is None else v}" for k, v in shown.items()], ordinal=self.emitted)
 
     def step(self) -> int:
         self.order += 1
@@ -362,6 +365,37 @@ def frame(rows: Iterable[dict]) -> pd.DataFrame:
     return out
 
 
+#: Chunks that a task has as Python rows at a time, and rows that it gathers before it gives them on: what it holds doesn't grow with its input.
+AT_ONCE, GATHERED = 64, 2_000
+ARROW = pa.schema([
+    ("novel_id", pa.string()), ("kind", pa.string()), ("chunk_id", pa.int32()), ("chapter_id", pa.int32()), ("ordinal", pa.int32()), ("name", pa.string()), ("target", pa.string()), ("type", pa.string()),
+    ("confidence", pa.float64()), ("n", pa.int64()), ("flag", pa.bool_()), ("text", pa.string()), ("names", pa.list_(pa.string())),
+])
+
+
+def resolved_in_order(batches: Iterable[pa.RecordBatch], start: Callable[[str], Novel], judge: AliasJudge) -> Iterator[pa.RecordBatch]:
+    """RESOLUTION rows of chunks that come in order, a novel after the other; only the state of one novel is held."""
+    novel, out = None, []
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            for row in batch.slice(at, AT_ONCE).to_pylist():
+                if novel is None or novel.novel_id != row["novel_id"]:
+                    if novel is not None:
+                        novel.close()
+                        out += novel.taken()
+                    novel = start(row["novel_id"])
+                novel.replays = {x["fingerprint"]: x["answers"] for x in row.get("replays") or ()}
+                novel.take(row, judge)
+                out += novel.taken()
+                if len(out) >= GATHERED:
+                    yield pa.RecordBatch.from_pylist(out, ARROW)
+                    out = []
+    if novel is not None:
+        novel.close()
+        out += novel.taken()
+    yield pa.RecordBatch.from_pylist(out, ARROW)
+
+
 def mention_names(inputs: DataFrame) -> DataFrame:
     """novel_id, name: the names of all extractions of a novel that aren't filtered, each once; only these can be known to it."""
     names = F.concat(F.transform("characters", lambda c: c["name"]), F.transform("relationships", lambda r: r["source"]), F.transform("relationships", lambda r: r["target"]))
@@ -390,26 +424,10 @@ def resolve(inputs: DataFrame, judge: AliasJudge, lineage: bool = False, replays
         old = replays.groupBy("novel_id", "chunk_id").agg(F.collect_set(F.struct("fingerprint", "answers")).alias("replays"))  # a few for each chunk
         rows = rows.join(old, ["novel_id", "chunk_id"], "left")
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        """Rows come in order, a novel after the other; only the state of one novel is held."""
-        novel = None
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                if novel is None or novel.novel_id != row["novel_id"]:
-                    if novel is not None:
-                        novel.close()
-                        out += novel.taken()
-                    novel = Novel(row["novel_id"], lineage, own_candidates_only, version)
-                old = row.get("replays")
-                novel.replays = {} if old is None else {x["fingerprint"]: x["answers"] for x in old}
-                novel.take(row, judge)
-            yield frame(out + (novel.taken() if novel else []))
-        if novel is not None:
-            novel.close()
-            yield frame(novel.taken())
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return resolved_in_order(batches, lambda novel_id: Novel(novel_id, lineage, own_candidates_only, version), judge)
 
-    return rows.repartition("novel_id").sortWithinPartitions("novel_id", "chunk_id").mapInPandas(run, RESOLUTION)
+    return rows.repartition("novel_id").sortWithinPartitions("novel_id", "chunk_id").mapInArrow(run, RESOLUTION)
 
 
 def judgements(rows: DataFrame) -> DataFrame:

@@ -845,7 +845,7 @@ def alike(text: str, pending: list[dict]) -> list[dict]:
 
 
 def resolved(spark: SparkSession, sf: str, lineage: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Inputs and decisions over conversations; `alike` reads no texts."""
+    """Inputs and decisions over conversations; `alike` reads no texts. What reads decisions of several kinds keeps them first."""
     inputs = conversation_input(spark, sf)
     return inputs, resolution.resolve(inputs, alike, lineage, judge_reads_text=False)
 
@@ -864,17 +864,17 @@ def res14_res15_relations(spark, sf):
 
 @query()
 def res16_dropped(spark, sf):
-    return resolution.dropped(resolved(spark, sf)[1])
+    return resolution.dropped(kept(resolved(spark, sf)[1].where("kind IN ('register', 'promote')")))
 
 
 @query()
 def res13_res18_canonicals(spark, sf):
-    return join_lists(resolution.canonicals(resolved(spark, sf)[1]), "chapters", "aliases")
+    return join_lists(resolution.canonicals(kept(resolved(spark, sf)[1].where("kind IN ('register', 'promote', 'chunk', 'decision', 'alias')"))), "chapters", "aliases")
 
 
 @query()
 def mrg2_kept_bridges(spark, sf):
-    return resolution.bridges(resolved(spark, sf)[1])
+    return resolution.bridges(kept(resolved(spark, sf)[1].where("kind IN ('bridge', 'gone')")))
 
 
 @query(
@@ -889,7 +889,7 @@ def rec2_names_in_turns(spark, sf):
 @query()
 def lin1_resolver_verdicts(spark, sf):
     _, out = resolved(spark, sf, lineage=True)
-    one = lineage.flat_events(resolution.events(out))
+    one = kept(lineage.flat_events(resolution.events(out)))
     none = lambda ddl: spark.createDataFrame([], f"novel_id string, {ddl}")
     expected = lineage.all_mentions(one, "novel_id").withColumn("expect", F.lit(None).cast("string"))
     out = lineage.diagnose(one, expected, none("canonical string, keep string"), none("canonical string, aliases array<string>"), none("name string"), none("x int").select("novel_id"))

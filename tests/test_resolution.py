@@ -1,9 +1,11 @@
 """The resolver's decisions, case by case, in batch and in a stream."""
 
+import pyarrow as pa
 import pytest
 
 from storyloom.operators import lineage, resolution
 from storyloom.operators.resolution import Novel
+from storyloom.plans import catalog
 from storyloom.streaming.resolution import INPUT, PROVIDER, resolve_stream
 
 
@@ -315,3 +317,34 @@ def test_a_stream_waits_for_no_more_than_it_may(states, tmp_path):
     states.conf.unset("spark.sql.streaming.stateStore.providerClass")
     with pytest.raises(ValueError, match="providerClass"):
         drain(states, tmp_path)
+
+
+def test_what_a_task_holds_does_not_grow_with_its_chunks(monkeypatch):
+    monkeypatch.setattr(resolution, "GATHERED", 50)
+    read = []
+
+    def batches():
+        for b in range(4):
+            read.append(b)
+            yield pa.RecordBatch.from_pylist([
+                {"novel_id": f"n{b // 2}", "chunk_id": b * 100 + i, "chapter_id": 1, "section_type": "body", "characters": [{"name": f"Name{i}", "category": None}], "relationships": [], "hits": []} for i in range(100)
+            ])
+
+    sizes, kinds = [], set()
+    for i, out in enumerate(resolution.resolved_in_order(batches(), resolution.Novel, resolution.nobody)):
+        assert i or read == [0]  # the first rows are given on before more is read
+        sizes.append(out.num_rows)
+        kinds |= set(out.column("kind").to_pylist())
+    assert max(sizes) < 120 and len(sizes) > 10 and {"register", "decision", "chunk", "counter"} <= kinds
+
+
+def test_events_of_a_novel_keep_their_order_over_batches(spark, sf):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        _, out = catalog.resolved(spark, sf, lineage=True)
+        split = sorted(map(str, resolution.events(out).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = resolution.events(catalog.resolved(spark, sf, lineage=True)[1])
+    assert split == sorted(map(str, whole.collect()))
+    assert whole.groupBy("novel_id", "ordinal").count().where("count > 1").isEmpty()
