@@ -21,8 +21,10 @@ def persons(mentions: DataFrame, lists: bool = True) -> DataFrame:
     merge_persons() counts them as such.
     """
     chapters = [F.sort_array(F.collect_set("chapter_id")).alias("chapters")]
-    if lists:
-        return mentions.groupBy("novel_id", "name").agg(F.countDistinct("chunk_id").alias("mention_count"), *chapters, F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"))
+    if lists:  # counted by the set itself: a distinct count beside sets would send a set for each row
+        once = mentions.select("novel_id", "name", "chapter_id", "chunk_id").distinct()
+        out = once.groupBy("novel_id", "name").agg(*chapters, F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"))
+        return out.select("novel_id", "name", F.size("chunk_ids").cast("long").alias("mention_count"), "chapters", "chunk_ids")
     slim = mentions.groupBy("novel_id", "name", "chunk_id").agg(F.min("chapter_id").alias("chapter_id"))  # a chunk has one chapter
     return slim.groupBy("novel_id", "name").agg(F.count("chunk_id").alias("mention_count"), *chapters)
 

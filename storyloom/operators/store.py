@@ -7,6 +7,7 @@ import json
 import uuid
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -81,9 +82,17 @@ def write_novels(novels: DataFrame, people: DataFrame, edges: DataFrame, path: s
     for those who still read them, until the novel's next write.
     """
     spark, version = novels.sparkSession, uuid.uuid4().hex
-    keep = stored_relations(edges, people)
-    for name, df in zip(TABLES, (novels, with_ids(people), keep), strict=True):
-        df.repartition("novel_id").write.partitionBy("novel_id").parquet(f"{path}/{name}/version={version}")
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        """df written, and as it's written: what comes of it isn't worked out anew."""
+        to = f"{path}/{name}/version={version}"
+        df.repartition("novel_id").write.partitionBy("novel_id").parquet(to)
+        return spark.read.schema(StructType([*[f for f in df.schema if f.name != "novel_id"], StructField("novel_id", StringType())])).parquet(to)
+
+    edges = edges.persist(StorageLevel.DISK_ONLY)  # written and counted
+    people = put("persons", with_ids(people)).drop("id")
+    keep = put("relates_to", stored_relations(edges, people))
+    put("novels", novels)
     for name, df, key in zip(LOOKUPS, (postings(people), adjacent(keep)), ("gram", "end"), strict=True):
         by = [c for c in ("novel_id", key, "text", "name") if c in df.columns]  # a large novel, or a common gram of it, goes into several files
         df.repartitionByRange(*by).sortWithinPartitions(*by).write.option("parquet.block.size", ROW_GROUP).partitionBy("novel_id").parquet(f"{path}/{name}/version={version}")
@@ -94,7 +103,9 @@ def write_novels(novels: DataFrame, people: DataFrame, edges: DataFrame, path: s
         put_small(spark, pointer(path, novel), json.dumps({"novel_id": novel, "version": version, "before": was.version if was else None}))
         if was and was.before:
             drop_version(spark, path, novel, was.before)
-    return {"edges_without_persons": edges.count() - keep.count()}
+    lost = edges.count() - keep.count()
+    edges.unpersist()
+    return {"edges_without_persons": lost}
 
 
 def drop_version(spark: SparkSession, path: str, novel_id: str, version: str) -> None:

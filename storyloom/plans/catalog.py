@@ -558,7 +558,7 @@ def qry3_search(spark, sf):
 def written_graph(spark: SparkSession, sf: str) -> str:
     """Folder of a graph written as a user writes it: persons with aliases, relations, look-ups."""
     path = new_folder(spark, "graphs")
-    p = named(spark, sf)
+    p = kept(named(spark, sf))
     store.write_novels(p.select("novel_id").distinct().withColumn("title", F.col("novel_id")), p, edges(spark, sf), path)
     return path
 
@@ -582,10 +582,10 @@ def qry5_one_hop_written(spark, sf):
 @query(f"WITH {NAMED} SELECT 'novels' AS t, novel_id, count(*) AS n FROM (SELECT DISTINCT novel_id FROM people) GROUP BY ALL UNION ALL SELECT 'persons', novel_id, count(*) FROM named GROUP BY ALL UNION ALL SELECT 'relates_to', novel_id, count(*) FROM edges GROUP BY ALL")
 def snk1_snk2_written_graph(spark, sf):
     """Rows of each novel in each table of a graph that was written twice; the second write replaces the first."""
-    path, p = new_folder(spark, "graphs"), named(spark, sf)
+    path, p, e = new_folder(spark, "graphs"), kept(named(spark, sf)), kept(edges(spark, sf))
     titles = p.select("novel_id").distinct().withColumn("title", F.col("novel_id"))
-    store.write_novels(titles, p.where("name LIKE 'P1%'"), edges(spark, sf), path)
-    store.write_novels(titles, p, edges(spark, sf), path)
+    store.write_novels(titles, p.where("name LIKE 'P1%'"), e, path)
+    store.write_novels(titles, p, e, path)
     now = store.snapshot(spark, path)
     return reduce(DataFrame.union, [now[t].groupBy("novel_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("t"), "novel_id", "n") for t in store.TABLES])
 

@@ -64,3 +64,8 @@ def test_a_build_without_lists(spark, tmp_path):
         plain = lambda df: sorted(map(str, df.select(sorted(set(df.columns) - {"chunk_ids"})).collect()))
         got.append((plain(now["persons"]), plain(now["relates_to"])))
     assert got[0] == got[1] and got[0][0] and got[0][1]
+
+
+def test_a_person_in_a_chunk_of_two_chapters(spark):
+    rows = spark.createDataFrame([("n", 1, 1, "A"), ("n", 1, 2, "A"), ("n", 1, 1, "A"), ("n", None, 3, "A"), ("n", 4, None, "A")], "novel_id string, chunk_id int, chapter_id int, name string")
+    assert tuple(graph.persons(rows).first()) == ("n", "A", 2, [1, 2, 3], [1, 4])

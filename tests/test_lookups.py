@@ -86,3 +86,21 @@ def test_postings_and_ends_of_odd_rows(spark):
     assert got == {("a", "a\nb"), ("\n", "a\nb"), ("b", "a\nb"), ("a\n", "a\nb"), ("\nb", "a\nb"), ("a\nb", "a\nb")} | {(g, "\U0001f600x") for g in ("\U0001f600", "x", "\U0001f600x")}
     empty = graph.stored_relations(spark.createDataFrame([], "novel_id string, source string, target string"), people)
     assert store.adjacent(empty).count() == 0 and store.adjacent(spark.createDataFrame([("n", "a", "a"), ("n", "a", "b")], "novel_id string, source string, target string")).where(F.col("end") == "a").count() == 2
+
+
+def test_a_write_works_out_people_and_edges_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    people = spark.createDataFrame([("n", f"P{i}", i, [1], [i], []) for i in range(10)], "novel_id string, name string, mention_count long, chapters array<int>, chunk_ids array<int>, aliases array<string>")
+    edges = spark.createDataFrame([("n", f"P{i}", f"P{i + 1}", "other", [i], 1, 0.5, []) for i in range(10)], "novel_id string, " + store.SCHEMAS["relates_to"].removesuffix(", novel_id string"))
+    people, edges = (df.repartition(2).mapInArrow(noted, df.schema) for df in (people, edges))
+    titles = spark.createDataFrame([("n", "N")], "novel_id string, title string")
+    assert store.write_novels(titles, people, edges, f"file://{tmp_path}/g") == {"edges_without_persons": 1}  # P10 is no person
+    assert seen.value == 20
+    now = store.snapshot(spark, f"file://{tmp_path}/g")
+    assert now["persons"].count() == 10 and now["relates_to"].count() == 9 and now["adjacent"].count() == 18
