@@ -30,8 +30,11 @@ def persons(mentions: DataFrame, lists: bool = True) -> DataFrame:
 
 
 def first_in_chunk(relations: DataFrame) -> DataFrame:
-    """One row for each key and chunk, the first by ordinal; self-loops go."""
-    w = Window.partitionBy(*KEY, "chunk_id").orderBy("ordinal")
+    """One row for each key and chunk, the first by ordinal, of equal ones by what else they have, so that it doesn't hang on how rows are dealt out; self-loops go.
+
+    A column `row`, where there is one, is the rows' order in their table, and decides first among equal ordinals.
+    """
+    w = Window.partitionBy(*KEY, "chunk_id").orderBy("ordinal", *[c for c in ("row", "chapter_id", "confidence", "text") if c in relations.columns])
     return relations.where("source <> target").withColumn("__i", F.row_number().over(w)).where("__i = 1").drop("__i")
 
 

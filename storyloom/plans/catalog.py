@@ -369,9 +369,9 @@ MERGES = "merges AS (SELECT DISTINCT novel_id, name AS drop, name[:-2] || '3' AS
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
+    li = table(spark, sf, "lineitem").withColumn("row", F.col("_metadata.row_index"))  # some orders have a line number twice, with equal ends: the table's first counts
     name = lambda c: F.concat(F.lit("P"), (F.col(c) % 60).cast("string"))
-    return li.select(F.col("l_returnflag").alias("novel_id"), F.col("l_orderkey").alias("chunk_id"), (F.col("l_orderkey") % 50).alias("chapter_id"), F.col("l_linenumber").alias("ordinal"), name("l_partkey").alias("source"), name("l_suppkey").alias("target"), F.col("l_linestatus").alias("type"), (F.col("l_discount") * 10).alias("confidence"))
+    return li.select(F.col("l_returnflag").alias("novel_id"), F.col("l_orderkey").alias("chunk_id"), (F.col("l_orderkey") % 50).alias("chapter_id"), F.col("l_linenumber").alias("ordinal"), name("l_partkey").alias("source"), name("l_suppkey").alias("target"), F.col("l_linestatus").alias("type"), (F.col("l_discount") * 10).alias("confidence"), "row")
 
 
 def people(spark: SparkSession, sf: str) -> DataFrame:

@@ -66,6 +66,16 @@ def test_a_build_without_lists(spark, tmp_path):
     assert got[0] == got[1] and got[0][0] and got[0][1]
 
 
+def test_equal_ordinals_are_decided_by_the_rows_alone(spark):
+    rows = [("n", 1, 1, 3, "A", "B", "t", c / 10, i) for i, c in enumerate((7, 2, 9, 4))]
+    names = "novel_id string, chunk_id int, chapter_id int, ordinal int, source string, target string, type string, confidence double, row long"
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        for n in (1, 3):
+            df = spark.createDataFrame(order, names).repartition(n)
+            assert graph.relations(df).first().confidence == 0.7  # the first of the table
+            assert graph.relations(df.drop("row")).first().confidence == 0.2
+
+
 def test_a_person_in_a_chunk_of_two_chapters(spark):
     rows = spark.createDataFrame([("n", 1, 1, "A"), ("n", 1, 2, "A"), ("n", 1, 1, "A"), ("n", None, 3, "A"), ("n", 4, None, "A")], "novel_id string, chunk_id int, chapter_id int, name string")
     assert tuple(graph.persons(rows).first()) == ("n", "A", 2, [1, 2, 3], [1, 4])
