@@ -106,9 +106,9 @@ def pairs(led: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs with the first two leaders of each key; and node, leaders: four by other orders, for the nodes of keys of more than three."""
+    """Pairs with the first two leaders of each key; and node, leaders: two by other orders, for the nodes of keys of more than three."""
     keyed = nodes.select("node", F.explode(keys("sig")).alias("key"))
-    other = [F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("o"), "node")).getField("node") for salt in range(4)]
+    other = [F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("o"), "node")).getField("node") for salt in range(2)]
     leaders = written(keyed.groupBy("key").agg(F.array(F.min("node"), F.max("node")).alias("first"), F.array(*other).alias("more"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     led = keyed.join(leaders, "key")
     first = written(pairs(led.select("node", F.col("first").alias("leaders")), nodes, percent))
@@ -244,18 +244,27 @@ def confirmed(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def labels(links: DataFrame) -> DataFrame:
-    """node, label of every linked node: the least node that it reaches; each round takes the least neighbour's label, then that label's own."""
-    edges = written(links.select("a", "b").union(links.select("b", "a")))
-    label = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = edges.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = written(label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid")))
-        jump = new.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
-        new = written(new.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("label")))
-        if new.where("label <> old").isEmpty():
-            return new.select("node", "label")
-        label = new.select("node", "label")
+    """node, label of every linked node: the least node that it reaches.
 
+    Each round hangs every node on its least neighbour, follows that to its end, and goes on with the links between ends only.
+    Two rounds leave half the nodes at most, so all rounds together join little more than the links, whatever a component's shape.
+    """
+    edges, label = written(links.select("a", "b")), None
+    while True:
+        ends = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+        up = written(ends.select("node", F.least("node", "near").alias("up")))
+        while True:  # each time twice as far
+            step = written(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", "up", "far"))
+            up = step.select("node", F.col("far").alias("up"))
+            if step.where("up <> far").isEmpty():
+                break
+        top = up.select(F.col("node").alias("label"), "up")
+        label = up.select("node", F.col("up").alias("label")) if label is None else written(label.join(top, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        for x in ("a", "b"):
+            edges = edges.join(up.select(F.col("node").alias(x), F.col("up").alias(f"up_{x}")), x)
+        edges = written(edges.where("up_a <> up_b").select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
+        if edges.isEmpty():
+            return label
 
 
 def joined(label: DataFrame, links: DataFrame) -> DataFrame:

@@ -307,3 +307,40 @@ def test_a_shared_template_needs_no_pairs(spark):
         assert near_dedup.prefixes(rows, held, 80).count() <= most
         hot = rows.withColumn("place", near_dedup.F.lit(own))
         assert near_dedup.in_blocks(hot, held, 80).count() == 0
+
+
+def joined_rows(spark, run):
+    """Rows that the joins of run() made, by Spark's own count, and its result."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    done, total = store.executionsList(), 0
+    for i in range(before, done.size()):
+        at = done.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name():
+                metrics = (node.metrics().apply(k) for k in range(node.metrics().size()))
+                total += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return total, out
+
+
+def test_closing_labels_joins_each_link_about_twice(spark):
+    """Links within large groups aren't joined anew in each round; a path and a star around a late node take few rounds too."""
+    rng = random.Random(12)
+    links = {(a, b) for a in range(300) for b in rng.sample(range(300), 12) if a < b and a % 3 == b % 3}
+    links |= {(1000 + k, 1001 + k) for k in range(90)} | {(2000 + k, 2999) for k in range(60)}
+    label = {x: x for link in links for x in link}
+    root = lambda x: x if label[x] == x else root(label[x])
+    for a, b in sorted(links):
+        x, y = sorted((root(a), root(b)))
+        label[y] = x
+    df = spark.createDataFrame(sorted(links), "a long, b long")
+    rows, got = joined_rows(spark, lambda: near_dedup.labels(df).collect())
+    assert {r.node: r.label for r in got} == {x: root(x) for x in label} and len(got) == len(label)
+    assert rows <= 2 * len(links) + 12 * len(label)
+    links = [(a, b) for a in range(200) for b in range(a + 1, 200) if rng.random() < 0.5]
+    rows, got = joined_rows(spark, lambda: near_dedup.labels(spark.createDataFrame(links, "a long, b long")).collect())
+    assert {r.label for r in got} == {0} and rows <= 2.2 * len(links)
+    assert near_dedup.labels(df.limit(0)).count() == 0
