@@ -54,13 +54,13 @@ def relation_chunks(rows: DataFrame) -> DataFrame:
     return rows.where("source <> target").select(*KEY, "chunk_id").distinct()
 
 
-def relations(rows: DataFrame, lists: bool = True) -> DataFrame:
+def relations(rows: DataFrame, lists: bool = True, firsts: bool = False) -> DataFrame:
     """weight (distinct chunks), confidence (mean over chunks of each chunk's first), chunk_ids, evidence (first five chunks).
 
     rows: (novel_id, chunk_id, chapter_id, ordinal, source, target, type, confidence[, text]). lists as in persons(): without
-    chunk_ids, relation_chunks() has them.
+    chunk_ids, relation_chunks() has them. firsts: rows are those of first_in_chunk() already, written once as they're read twice.
     """
-    once = first_in_chunk(rows)
+    once = rows if firsts else first_in_chunk(rows)
     total = once.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("weight"), F.avg("confidence").alias("confidence"), *[F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids")] * lists,
         F.min(F.struct("chunk_id", "ordinal")).alias("first_seen"),

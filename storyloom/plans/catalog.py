@@ -48,6 +48,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: for rows that are many or long and read several times."""
+    path = new_folder(df.sparkSession, "tables")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def literal(x: object) -> str:
     if x is None:
         return "NULL"
@@ -382,8 +389,8 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.relations(facts(spark, sf))
 
 
-def merges(spark: SparkSession, sf: str) -> DataFrame:
-    p = people(spark, sf)
+def merges(spark: SparkSession, sf: str, names: DataFrame | None = None) -> DataFrame:
+    p = people(spark, sf) if names is None else names
     seven = p.where("name LIKE '%7'").select("novel_id", F.col("name").alias("drop"), F.concat(F.expr("left(name, length(name) - 1)"), F.lit("3")).alias("keep"))
     return seven.union(p.select("novel_id").distinct().select("novel_id", F.lit("P5"), F.lit("Nobody")))
 
@@ -453,8 +460,11 @@ redirected AS (SELECT novel_id, source, target, type, len(list_distinct(flatten(
 
 @query(f"WITH {REDIRECTED} SELECT novel_id, source, target, type, weight, round(confidence, 6) AS confidence, {joined('evidence')} FROM redirected JOIN few USING (novel_id, source, target, type)")
 def agg9_merged_relations(spark, sf):
-    f, valid = facts(spark, sf), graph.valid_merges(people(spark, sf), merges(spark, sf))
-    out = graph.merge_relations(graph.relations(f, lists=False), valid, graph.merge_relation_chunks(graph.relation_chunks(f), valid))
+    f = facts(spark, sf)
+    names = kept(f.select("novel_id", F.col("source").alias("name")).distinct())
+    once, valid = written(graph.first_in_chunk(f)), graph.valid_merges(names, merges(spark, sf, names))
+    chunks = graph.merge_relation_chunks(once.select(*graph.KEY, "chunk_id"), valid)  # each key and chunk is there once
+    out = graph.merge_relations(graph.relations(once, lists=False, firsts=True), valid, chunks)
     out = join_lists(out.withColumn("evidence", F.transform("evidence", lambda x: x["chunk_id"])), "evidence")
     return out.select("novel_id", "source", "target", "type", "weight", F.round("confidence", 6).alias("confidence"), "evidence")
 
