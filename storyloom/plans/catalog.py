@@ -184,7 +184,7 @@ def src1_epub_chapters(spark, sf):
     folder = new_folder(spark, "books")
     write_books(spark, sf, folder)
     rows = epub_source.read(spark, folder).withColumn("book", F.regexp_extract("path", r"([^/]+)\.epub$", 1))
-    return epub_source.chapters(rows, "book").select("novel_id", "chapter_id", "chapter_title", F.sha2("text", 256).alias("digest"), "section_type")
+    return epub_source.chapters(rows, "book", written).select("novel_id", "chapter_id", "chapter_title", F.sha2("text", 256).alias("digest"), "section_type")
 
 
 SECTION_CASES = [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
@@ -76,7 +76,10 @@ def read(spark: SparkSession, path: str, archives_per_task: int = 1) -> DataFram
     return spark.read.format("epub").option("archives_per_task", archives_per_task).load(path)
 
 
-def chapters(rows: DataFrame, novel_id: str = "novel_id") -> DataFrame:
-    """Chapters of what was read: (novel_id, chapter_id, chapter_title, text, section_type). The same bytes under two paths count once."""
+def chapters(rows: DataFrame, novel_id: str = "novel_id", materialise: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Chapters of what was read: (novel_id, chapter_id, chapter_title, text, section_type). The same bytes under two paths count once.
+
+    The texts are used several times: `materialise` writes them, so that archives are read and markup is turned to text once.
+    """
     good = rows.where("place IS NOT NULL").groupBy(F.col(novel_id).alias("novel_id"), "place").agg(F.min_by(F.struct("title", "html"), "path").alias("s"))
-    return number_chapters(good.select("novel_id", "place", html_text(F.col("s.title")).alias("title"), html_text(F.col("s.html")).alias("text")))
+    return number_chapters(materialise(good.select("novel_id", "place", html_text(F.col("s.title")).alias("title"), html_text(F.col("s.html")).alias("text"))))

@@ -10,3 +10,8 @@ def plan(df):
 def test_merged_relations_read_lines_once(spark):
     df = QUERIES["agg9_merged_relations"](spark, "/root/testdata/sf0.001")
     assert "l_partkey" not in plan(df) and df.count() > 0
+
+
+def test_chapters_read_archives_once(spark):
+    df = QUERIES["src1_epub_chapters"](spark, "/root/testdata/sf0.001")
+    assert "html" not in plan(df) and df.count() > 0
