@@ -107,17 +107,19 @@ def candidates(mentions: DataFrame, index: DataFrame, extraction: DataFrame, tex
     key = ["novel_id", "chunk_id", "mention"]
     names = index.groupBy("novel_id", "canonical").agg(F.sort_array(F.collect_set("name")).alias("matched_names")).where(~hard_filtered(F.col("canonical")))
     tiers = extraction.withColumn("tier", F.lit(0)).union(text.withColumn("tier", F.lit(1))).groupBy("novel_id", "chunk_id", "canonical").agg(F.min("tier").alias("tier"))
-    strong = mentions.join(tiers, ["novel_id", "chunk_id"]).where("mention <> canonical").join(names, ["novel_id", "canonical"])
-    strong = strong.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("tier", "canonical")))
-    had = strong.groupBy(*key).agg(F.count(F.lit(1)).alias("had"))
+    # a chunk's candidates in their order, once for all its mentions: rows of mentions and candidates aren't dealt out again
+    own = tiers.join(names, ["novel_id", "canonical"]).groupBy("novel_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("tier", "canonical", "matched_names"))).alias("own"))
+    held = mentions.select(*key).join(own, ["novel_id", "chunk_id"], "left").withColumn("own", F.filter(F.coalesce("own", F.array()), lambda x: x["canonical"] != F.col("mention")))
+    strong = held.select(*key, F.posexplode("own").alias("i", "x")).select(*key, "x.*", (F.col("i") + 1).alias("rank"))
     # only mentions that lack candidates are held against the canonicals of their novel, each different one once
-    open_ = mentions.join(had, key, "left").na.fill(0, ["had"]).where(F.col("had") < k)
+    open_ = held.where(F.size("own") < k).select(*key, F.transform("own", lambda x: x["canonical"]).alias("had"))
     # fewer than k are strong, so those that fill up are among the first 2 k
     usable = index.where(F.col("name").isNotNull() & ~hard_filtered(F.col("canonical"))).select("novel_id", "canonical", "name").distinct()
-    weak = weak_candidates(open_.select("novel_id", "mention").distinct(), usable, 2 * k).withColumn("tier", F.lit(2))
-    weak = open_.join(weak, ["novel_id", "mention"]).join(strong.select(*key, "canonical"), [*key, "canonical"], "left_anti")
-    weak = weak.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("o"))).where(F.col("i") <= k)
-    weak = weak.withColumn("rank", (F.col("had") + F.col("i")).cast("int")).where(F.col("rank") <= k)
+    weak = weak_candidates(open_.select("novel_id", "mention").distinct(), usable, 2 * k)
+    lists = weak.groupBy("novel_id", "mention").agg(F.array_sort(F.collect_list(F.struct("o", "canonical", "matched_names"))).alias("all"))
+    fill = F.slice(F.filter("all", lambda x: ~F.array_contains("had", x["canonical"])), F.lit(1), k - F.size("had"))
+    weak = open_.join(lists, ["novel_id", "mention"]).select(*key, F.size("had").alias("n"), F.posexplode(fill).alias("i", "x"))
+    weak = weak.select(*key, "x.canonical", "x.matched_names", F.lit(2).alias("tier"), (F.col("n") + F.col("i") + 1).alias("rank"))
     source = F.when(F.col("tier") == 0, "strong_extraction").when(F.col("tier") == 1, "strong_text").otherwise("weak")
     columns = [*key, "canonical", "rank", source.alias("source"), "matched_names"]
     return strong.select(columns).union(weak.select(columns))

@@ -314,10 +314,11 @@ held AS (SELECT DISTINCT novel_id, canonical FROM mentioned JOIN canon ON name =
 index AS (SELECT novel_id, canonical, canonical AS name FROM held UNION SELECT novel_id, canonical, substring(canonical, 1, 4) FROM held UNION SELECT novel_id, canonical, substring(canonical, 1, 2) FROM held WHERE length(canonical) % 7 = 0)"""
 
 
-def name_index(spark: SparkSession, sf: str) -> DataFrame:
+def name_index(spark: SparkSession, sf: str, mentioned: DataFrame | None = None) -> DataFrame:
     found = table(spark, sf, "benchmark").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(extraction.NAME), F.lit(0)))).alias("canonical"))
     canon = found.groupBy("canonical").count().where("count >= 2").select("canonical")
-    held = extraction.mentioned(C.chunk(chapters(spark, sf))).select("novel_id", F.col("name").alias("canonical")).distinct().join(canon, "canonical")
+    mentioned = extraction.mentioned(C.chunk(chapters(spark, sf))) if mentioned is None else mentioned
+    held = mentioned.select("novel_id", F.col("name").alias("canonical")).distinct().join(canon, "canonical")
     names = F.array("canonical", F.substring("canonical", 1, 4), F.when(F.length("canonical") % 7 == 0, F.substring("canonical", 1, 2)))
     return held.select("novel_id", "canonical", F.explode(F.array_distinct(F.array_compact(names))).alias("name"))
 
@@ -349,8 +350,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY novel_id, chunk_id, mention ORDE
 
 @query(f"WITH {CANDIDATES} SELECT novel_id, chunk_id, mention, canonical, rank, ['strong_extraction', 'strong_text', 'weak'][tier + 1] AS source, array_to_string(matched_names, '|') AS matched_names FROM r WHERE tier < 2 OR rank <= 5")
 def rec3_candidates(spark, sf):
-    chunks, index = C.chunk(chapters(spark, sf)), kept(name_index(spark, sf))
-    names = kept(extraction.mentioned(chunks))  # both are read several times
+    chunks = written(C.chunk(chapters(spark, sf)))
+    names = kept(extraction.mentioned(chunks))  # all of them are read several times
+    index = kept(name_index(spark, sf, names))
     known = recall.known_in_extraction(names.select("novel_id", "chunk_id", "name"), index.select("novel_id", "name", "canonical"), spark.createDataFrame([], "novel_id string, name string"))
     asked = names.select("novel_id", "chunk_id", F.col("name").alias("mention"))
     out = recall.candidates(asked, index, known, kept(recall.text_mentions(chunks, index)))
